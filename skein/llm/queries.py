@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, decontamination, quality, sharding, warc
+from skein.llm import bpe, decontamination, quality, sharding, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": op1_decontamination,
         "op3_warc": op3_warc,
         "op4_quality": op4_quality,
+        "op5_topk": op5_topk,
         "op9_bpe": op9_bpe,
         "op10_sharding": op10_sharding,
     }
@@ -49,4 +54,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontamination.ORACLE_SQL,
         "op3_warc": warc.ORACLE_SQL,
+        "op5_topk": topk.ORACLE_SQL,
     }

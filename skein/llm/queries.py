@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, decontamination, licenses, lm, neardup, quality, sharding, topk, warc
+from skein.llm import bpe, decontamination, licenses, lm, neardup, quality, sharding, substrings, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.digest(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality": op4_quality,
         "op5_topk": op5_topk,
         "op6_ppm": op6_ppm,
+        "op7_substrings": op7_substrings,
         "op8_minhash": op8_minhash,
         "op9_bpe": op9_bpe,
         "op10_sharding": op10_sharding,
@@ -70,5 +75,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontamination": decontamination.ORACLE_SQL,
         "op3_warc": warc.ORACLE_SQL,
         "op5_topk": topk.ORACLE_SQL,
+        "op7_substrings": substrings.ORACLE_SQL,
         "op8_minhash": neardup.ORACLE_SQL,
     }

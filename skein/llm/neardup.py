@@ -255,9 +255,12 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; rows without id stay."""
-    gone = link(docs, shingle, share).where("not kept and doc_id is not null").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs whose doc_id is the smallest of its component, with the columns of docs.
+
+    Rows without id stay. An id that is repeated goes with all its rows if one of them is to go; rows that are repeated as they are stay together.
+    """
+    gone = written(link(docs, shingle, share).where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 ORACLE_SQL = r"""

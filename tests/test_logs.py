@@ -1,6 +1,7 @@
 """State machines, statistics, chunks and sources."""
 
 import json
+import os
 
 import pandas as pd
 import pytest
@@ -90,6 +91,7 @@ def test_stream_equals_batch(spark, tmp_path):
     folder.mkdir()
     for part in range(3):  # a task's events come over several batches
         (folder / f"{part}.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows if (r["sequence"] - 1) // 2 == part))
+        os.utime(folder / f"{part}.jsonl", (1_700_000_000 + part * 60,) * 2)  # files come in the order of their times
     stream = tasks.replay_stream(tasks.read_events(spark, str(folder), files_per_batch=1))
     q = stream.writeStream.outputMode("update").format("memory").queryName("replayed").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()

@@ -2,7 +2,8 @@
 
 An archive is a file of gzip members, one per record. The reader's tasks get byte ranges. A task scans its range for gzip's magic bytes, tries each candidate by decoding a member from it
 and checking the WARC header, and follows the chain of members from there; it owns the records that start inside its range, the last of which may end behind it.
-A candidate whose chain breaks before the range's end (bytes of a payload may look like a member, or even be one) is dropped and the scan goes on behind it.
+A candidate whose chain breaks before CONFIRM_BYTES behind the range's end, or the file's end (bytes of a payload may look like a member, or even be one), is dropped and the scan goes on behind it. What stays possible: that a
+payload holds, uncompressed, an archive that crosses a range's end and goes on for CONFIRM_BYTES more.
 
 Files are read and written by pyarrow's file systems, so that a path can be local, on a shared mount or in an object store.
 """
@@ -23,6 +24,7 @@ from skein.llm._shared import salted_left_join, shared_dir
 
 SPLIT_BYTES = 8 << 20
 FILE_BYTES = 64 << 20
+CONFIRM_BYTES = 64 << 10
 _MAGIC = b"\x1f\x8b\x08"
 _BLOCK = 1 << 18
 _REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -197,10 +199,11 @@ def _owned(path: str, size: int, start: int, end: int) -> Iterator[list[dict]]:
             if not fields:
                 sound = False
                 break
-            if p >= end:  # another range's record; it confirms the chain
-                break
-            chain.append({"path": path, "offset": p, **fields})
+            if p < end:
+                chain.append({"path": path, "offset": p, **fields})
             p = got[1]
+            if p >= end + CONFIRM_BYTES:  # what starts behind the end are other ranges' records; they confirm the chain
+                break
         if sound:
             yield chain
             return

@@ -3,7 +3,8 @@
 Each task cuts its texts with the tokenizer's pattern and keeps the distinct pieces that its worker hasn't met yet. Their bytes become token-position rows;
 a recursive query joins neighbouring tokens to the merge table, contracts each piece's leftmost pair of least rank, and ends at the fixpoint. A piece that is a token itself is that token, as in the
 tiktoken library. An ordered aggregation over the ids decodes them. Pieces don't depend on what stands around them, so that each worker encodes a piece once and
-looks it up after that (the table is emptied when it holds `CACHED` pieces).
+looks it up after that. Where every space of a text stands alone between two characters that aren't white, no piece reaches over a space but at its own start: such texts are cut at their spaces, and the
+worker keeps the ids of what stands between two of them, too. The pattern must have this property (`spaced`; that of public_tokenizers does). Both tables are emptied when they hold `CACHED` entries.
 
 Pieces of more than LONG bytes go through a second query, a few rounds at a time. There all non-overlapping places of the least pair are contracted at once, where the merged token can't start a
 pair of lower rank (`_Vocabulary.calm`); elsewhere only the leftmost is. The ids are the same.
@@ -22,23 +23,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 LONG = 48
-CACHED = 300_000
+CACHED = 1_300_000
 CHUNK_CHARS = 2_000_000
 _ROUNDS = 16
 
-#: One round: rows of a piece (w) in the order of pos; new is the id, which is the rank, of the pair that starts there.
+#: Rows of a piece (w) with the byte place (pos) of each token. new is the id, which is the rank, of the pair that starts there, size the bytes of its left token: the row at pos + size goes.
 _ENCODE = """
 WITH RECURSIVE s AS (
-  SELECT 0 AS it, w, pos, tok FROM start_rows
+  SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt, false AS done FROM start_rows
   UNION ALL
-  SELECT it + 1, w, pos, CASE WHEN pos = best & 4294967295 THEN CAST(best >> 32 AS INTEGER) ELSE tok END
-  FROM (
-    SELECT p.it, p.w, p.pos, p.tok, p.prev, min((CAST(m.new AS BIGINT) << 32) + p.pos) OVER (PARTITION BY p.w) AS best
-    FROM (SELECT it, w, pos, tok, lead(tok) OVER o AS nxt, lag(pos) OVER o AS prev FROM s WINDOW o AS (PARTITION BY w ORDER BY pos)) p
-    LEFT JOIN merges m ON m.l = p.tok AND m.r = p.nxt
-  ) WHERE best IS NOT NULL AND (prev IS NULL OR prev <> best & 4294967295)
+  SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos), done FROM (
+    SELECT s.w, s.pos, CASE WHEN s.pos = best & 4294967295 THEN CAST(best >> 32 AS INTEGER) ELSE s.tok END AS tok, best IS NULL AS done
+    FROM s JOIN (
+      SELECT w, min((CAST(m.new AS BIGINT) << 32) + pos) AS best, min_by(m.size, (CAST(m.new AS BIGINT) << 32) + pos) AS size
+      FROM s LEFT JOIN merges m ON m.l = s.tok AND m.r = s.nxt WHERE NOT done GROUP BY w
+    ) b ON b.w = s.w
+    WHERE best IS NULL OR s.pos <> (best & 4294967295) + size
+  )
 )
-SELECT w, pos, tok FROM s QUALIFY it = max(it) OVER (PARTITION BY w)
+SELECT w, pos, tok FROM s WHERE done
 """
 
 _ENCODE_LONG = f"""
@@ -73,7 +76,7 @@ SELECT r.w, string_agg(v.hex, '' ORDER BY r.pos) AS hex FROM token_rows r JOIN v
 class Codec:
     """A rank file and a pattern, in one worker."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, spaced: bool = True):
         import duckdb
         import regex
 
@@ -83,7 +86,7 @@ class Codec:
         self.of_byte = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         if (self.of_byte < 0).any():
             raise ValueError("the rank file lacks some single bytes")
-        left, right, new, restless = [], [], [], set()
+        left, right, new, size, restless = [], [], [], [], set()
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
@@ -91,13 +94,17 @@ class Codec:
                     left.append(a)
                     right.append(b)
                     new.append(rank)
+                    size.append(cut)
                     restless.update(x for x in (a, b) if x > rank)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
-        self._table("merges", l=np.array(left, np.int32), r=np.array(right, np.int32), new=np.array(new, np.int32))
+        self._table("merges", l=np.array(left, np.int32), r=np.array(right, np.int32), new=np.array(new, np.int32), size=np.array(size, np.int32))
         self._table("vocabulary", id=np.array(list(self.ranks.values()), np.int32), hex=[t.hex() for t in self.ranks])
         self._table("calm", id=np.array([r for r in self.ranks.values() if r not in restless], np.int32))
-        self.ids: dict[str, str] = {}
-        self.decoded: dict[str, bytes] = {}
+        self.spaced = spaced
+        self.ids: dict[str, str] = {}  # of pieces
+        self.first: dict[str, str | None] = {}  # of what stands before a text's first space; None if it is empty, or white at an end
+        self.later: dict[str, str | None] = {}  # of what stands behind a space, with that space; likewise
+        self.unlike: dict[str, bytes] = {}  # what pieces decode to, where that isn't the piece (nowhere, with a sound rank file)
 
     def _table(self, name: str, **columns) -> None:
         self.db.register("given", pa.table({k: pa.array(v) for k, v in columns.items()}))
@@ -155,17 +162,36 @@ class Codec:
         return out
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode and decode what isn't in the worker's tables yet."""
+        """Encode and decode what isn't in the worker's table yet."""
         new = list(pieces - self.ids.keys())
         if len(new) + len(self.ids) > CACHED:
             self.ids.clear()
-            self.decoded.clear()
             new = list(pieces)
         for k in range(0, len(new), 50_000):
             some = new[k : k + 50_000]
-            ids = self.encode([p.encode() for p in some])
+            raw = [p.encode() for p in some]
+            ids = self.encode(raw)
             self.ids.update(zip(some, (",".join(map(str, x)) for x in ids), strict=True))
-            self.decoded.update(zip(some, self.decode(ids), strict=True))
+            self.unlike.update((p, back) for p, r, back in zip(some, raw, self.decode(ids), strict=True) if r != back)
+
+    def _learn_spaced(self, known: dict[str, str | None], parts: set[str], before: str) -> None:
+        """Ids of parts of texts that were cut at spaces."""
+        new = list(parts - known.keys())
+        if len(new) + len(known) > CACHED:
+            known.clear()
+            new = list(parts)
+        for k in range(0, len(new), 100_000):
+            some = [x for x in new[k : k + 100_000] if x and not x[0].isspace() and not x[-1].isspace()]
+            pieces = [self.pattern.findall(before + x) for x in some]
+            self.learn({p for x in pieces for p in x})
+            known.update(dict.fromkeys(new[k : k + 100_000]))
+            known.update(zip(some, (",".join(map(self.ids.__getitem__, x)) for x in pieces), strict=True))
+
+    def _whole(self, text: str) -> str:
+        """The ids of a text without cutting it at spaces."""
+        pieces = self.pattern.findall(text)
+        self.learn(set(pieces))
+        return ",".join(map(self.ids.__getitem__, pieces))
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[str, bytes]]:
         """For each text, null as empty, its ids joined by commas and the bytes that they decode to."""
@@ -174,11 +200,23 @@ class Codec:
             chunk, size = [], 0
             while at < len(texts) and (not chunk or size + len(texts[at] or "") <= CHUNK_CHARS):
                 size += len(texts[at] or "")
-                chunk.append(self.pattern.findall(texts[at] or ""))
+                chunk.append(texts[at] or "")
                 at += 1
-            self.learn({p for pieces in chunk for p in pieces})
-            for pieces in chunk:
-                yield ",".join(map(self.ids.__getitem__, pieces)), b"".join(map(self.decoded.__getitem__, pieces))
+            cut = [t.split(" ") if self.spaced else [] for t in chunk]
+            self._learn_spaced(self.first, {c[0] for c in cut if c}, "")
+            self._learn_spaced(self.later, {x for c in cut for x in c[1:]}, " ")
+            for text, parts in zip(chunk, cut, strict=True):
+                try:
+                    ids = ",".join([self.first[parts[0]], *map(self.later.__getitem__, parts[1:])]) if parts else self._whole(text)
+                except TypeError:  # a part is None: some space doesn't stand alone
+                    ids = self._whole(text)
+                yield ids, self._bytes(text)
+
+    def _bytes(self, text: str) -> bytes:
+        """What the text's pieces decode to, as learn() has found."""
+        if not self.unlike:
+            return text.encode()
+        return b"".join(self.unlike.get(p, p.encode()) for p in self.pattern.findall(text))
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -232,6 +270,20 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids")
     return _mapped(df, ids, ranks_path, pattern, [("decoded", pa.binary(), T.BinaryType())], back)
 
 
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
+    """df with token_ids (array<int>), n_tokens and decoded, the text that the ids decode to. Null texts are empty; columns of df with these names are replaced."""
+
+    def both(own: Codec, texts):
+        ids, decoded = [], []
+        for s, raw in own.texts(texts):
+            ids.append(np.fromstring(s, np.int32, sep=",") if s else np.empty(0, np.int32))
+            decoded.append(raw.decode())
+        return [ids, [len(x) for x in ids], decoded]
+
+    added = [("token_ids", pa.list_(pa.int32()), T.ArrayType(T.IntegerType())), ("n_tokens", pa.int64(), T.LongType()), ("decoded", pa.string(), T.StringType())]
+    return _mapped(df, text, ranks_path, pattern, added, both)
+
+
 def digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """One row per document: n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the decoded bytes)."""
 

@@ -117,21 +117,28 @@ def _spaces(c):
     return (F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))).cast("bigint")
 
 
-def _prepared(docs: DataFrame, text: str) -> DataFrame:
-    """All rows of docs but the text, numbered, with the words of those that pass the gate."""
+def _pieces(docs: DataFrame, text: str) -> DataFrame:
+    """All rows of docs but the text, numbered; for each rule that is run a row for each piece (i) of the text cut before its matches, with the words in it (own) and those of the match that it begins with (width).
+
+    Rows that no rule is run on stay as one row without a rule. Texts and pieces go no further than this.
+    """
+    given = [{"rule": i, **r} for i, r in enumerate(rules())]
+    table = F.from_json(F.lit(json.dumps(given)), "array<struct<rule:int,base:boolean,priority:int,label:string,keyword:string,pattern:string,weight:double>>")
     rows = row_at(docs.withColumn("__words", _words(F.coalesce(F.col(text), F.lit("")))), "__row").drop(text)
-    return written(rows, "license-words")
+    others = [c for c in rows.columns if c != "__words"]
+    hits = rows.select(*others, "__words", F.explode_outer(F.filter(F.when(F.col("__words").isNotNull(), table), lambda r: F.expr("__words").contains(r["keyword"]))).alias("__rule"))
+    pieces = hits.select(*others, "__rule", F.posexplode_outer(F.split(F.expr(f"regexp_replace(__words, __rule.pattern, '{_MARK}$0')"), _MARK)).alias("__i", "__piece"))
+    width = _spaces(F.expr("regexp_extract(concat(__piece, ' '), concat('^', __rule.pattern), 0)"))
+    pieces = pieces.select(*others, *(F.col(f"__rule.{c}").alias(f"__{c}") for c in ("rule", "base", "priority", "label", "weight")), "__i", _spaces(F.col("__piece")).alias("__own"), F.when(F.col("__i") > 0, width).alias("__width"))
+    return written(pieces, "license-pieces")
 
 
-def _detections(rows: DataFrame) -> DataFrame:
+def _detections(pieces: DataFrame) -> DataFrame:
     """__row, base, priority, label, weight, first, last (words from 0, last included), kept: every match of every rule."""
-    given = rules()
-    table = F.from_json(F.lit(json.dumps([{"rule": i, **r} for i, r in enumerate(given)])), "array<struct<rule:int,base:boolean,priority:int,label:string,keyword:string,pattern:string,weight:double>>")
-    hits = rows.where("__words is not null").select("__row", "__words", F.explode(F.filter(table, lambda r: F.expr("__words").contains(r["keyword"]))).alias("r")).select("__row", "__words", "r.*")
-    pieces = hits.select("__row", "rule", "base", "priority", "label", "weight", "pattern", F.posexplode(F.split(F.expr(f"regexp_replace(__words, pattern, '{_MARK}$0')"), _MARK)).alias("i", "piece"))
+    pieces = pieces.where("__rule is not null").select("__row", *(F.col(f"__{c}").alias(c) for c in ("rule", "base", "priority", "label", "weight", "i", "own", "width")))
     before = Window.partitionBy("__row", "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    found = pieces.withColumn("first", F.sum(_spaces(F.col("piece"))).over(before)).where("i > 0")
-    found = found.withColumn("last", F.col("first") + _spaces(F.expr("regexp_extract(concat(piece, ' '), concat('^', pattern), 0)")) - 1)
+    found = pieces.withColumn("first", F.sum("own").over(before)).where("i > 0")
+    found = found.withColumn("last", F.col("first") + F.col("width") - 1)
     order = Window.partitionBy("__row", "base").orderBy("first", F.desc("last"), "priority", "rule")
     found = found.withColumn("reach", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     found = found.withColumn("out", F.col("base") | F.coalesce(F.col("reach") >= F.col("last"), F.lit(False)))
@@ -141,17 +148,23 @@ def _detections(rows: DataFrame) -> DataFrame:
     return found.select("__row", "base", "priority", "label", "weight", F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last"), (F.col("base") | (~F.col("out") & ~F.col("beaten"))).alias("kept"))
 
 
+def _rows(pieces: DataFrame) -> DataFrame:
+    """Each row of docs once."""
+    others = [c for c in pieces.columns if not c.startswith("__") or c == "__row"]
+    return pieces.where("__rule is null").select(*others).unionByName(pieces.where("__rule is not null").select(*others).dropDuplicates(["__row"]))
+
+
 def detections(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of docs but the text, with label, priority, weight, first_word and last_word: a row for each detection that stands after suppression, base phrases aside."""
-    rows = _prepared(docs, text)
-    kept = _detections(rows).where("kept and not base").select("__row", "label", "priority", "weight", F.col("first").alias("first_word"), F.col("last").alias("last_word"))
-    return rows.drop("__words").join(kept, "__row").drop("__row")
+    pieces = _pieces(docs, text)
+    kept = _detections(pieces).where("kept and not base").select("__row", "label", "priority", "weight", F.col("first").alias("first_word"), F.col("last").alias("last_word"))
+    return _rows(pieces).join(kept, "__row").drop("__row")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_base, first_word, last_word, base_labels, labels, score (the largest weight of what was found; 0 without)."""
-    rows = _prepared(docs.select("doc_id", "text"), "text")
-    found = _detections(rows).where("kept").groupBy("__row").agg(
+    pieces = _pieces(docs.select("doc_id", "text"), "text")
+    found = _detections(pieces).where("kept").groupBy("__row").agg(
         F.count_if("base").alias("n_base"),
         F.min(F.when(F.col("base"), F.col("first"))).alias("first_word"),
         F.max(F.when(F.col("base"), F.col("first"))).alias("last_word"),
@@ -159,7 +172,7 @@ def digest(docs: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max("weight").alias("score"),
     )
-    out = rows.select("__row", "doc_id").join(found, "__row", "left")
+    out = _rows(pieces).join(found, "__row", "left")
     return out.select(
         "doc_id",
         F.coalesce("n_base", F.lit(0)).cast("bigint").alias("n_base"),

@@ -25,6 +25,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # Spark drops the shuffle files behind the table once the driver's JVM has collected their handles
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -41,3 +42,10 @@ def salted_left_join(left: DataFrame, right: DataFrame, key: str, salt: Column,
     left = left.withColumn("__salt", F.pmod(salt, F.lit(salts)).cast("int"))
     right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [key, "__salt"], "left").drop("__salt")
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """Join to rows of right, unique by keys, that know the number n of their rows in left (of about total rows): keys of more than 1/10,000 of all rows, so fewer than 10,000, are broadcast. left is read twice."""
+    hot = F.broadcast(right.where(F.col("n") * 10_000 > total))
+    rest = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col("n") * 10_000 <= total), keys, how)
+    return left.join(hot, keys).unionByName(rest)

@@ -6,8 +6,8 @@ shards x shards x 64 hash buckets; from it the driver (whose table has that size
 rows than its quota: exchanges between two shards first, then moves into free room. Rows without links fill each shard up to its quota at the end,
 so that shards have the same number of rows, give or take one.
 
-A group of more than 1/(16 * shards) of all rows can't stay whole on a shard, or would be a hot key: it is dealt to parts of at most about that
-size, each of them moved as a group of its own. There are fewer than 16 * shards such groups, so that their list can be broadcast.
+A group of more than half a shard's rows is dealt to parts of at most about that size, each of them moved as a group of its own. There are fewer than 2 * shards such groups, so that their list can be
+broadcast; joins broadcast what belongs to hot groups and parts, of which there are few, too.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm._shared import row_at, written
+from skein.llm._shared import hot_join, row_at, written
 
 SHARDS = 16
 ROUNDS = 4
@@ -39,7 +39,7 @@ def _numbered(rows: DataFrame, by: list[str], out: str) -> DataFrame:
 
 def _allowed(asked: dict[tuple[int, int], dict[int, int]], held: list[int], quota: list[int]) -> list[tuple[int, int, int]]:
     """(from, to, bucket) that may move: asked[from, to][bucket] rows ask to, held and quota are by shard."""
-    moves, waiting = [], {}
+    moves, waiting = [], {}  # held is changed to what it is after the moves
     for (i, j), buckets in sorted(asked.items()):
         waiting[i, j] = sorted(buckets.items())
     for i, j in sorted(k for k in waiting if k[0] < k[1]):
@@ -87,9 +87,9 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, text: st
     if not total:
         return rows.select(*others, "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("slot"))
     quota = [total // shards + (j < total % shards) for j in range(shards)]
-    most = max(1, total // (16 * shards))
+    most = max(1, total // (2 * shards))
     heavy = rows.where("__group is not null").groupBy("__group").count().where(F.col("count") > most)
-    heavy = heavy.select("__group", F.ceil(F.col("count") / most).cast("bigint").alias("__parts"))  # fewer than 16 * shards + 1
+    heavy = heavy.select("__group", F.ceil(F.col("count") / most).cast("bigint").alias("__parts"))  # fewer than 2 * shards + 1
     state = _numbered(rows.select("__row", "__group"), [], "__rank").join(F.broadcast(heavy), "__group", "left")
     state = state.select(
         "__row",
@@ -97,11 +97,17 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, text: st
         F.pmod("__rank", F.lit(shards)).cast("int").alias("shard"),
     )
     state = written(state, "shard-state")
-    sizes = state.where("__link is not null").groupBy("__link").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__link")
-    linked = written(state.join(sizes, "__link", "left_semi"), "shard-linked")
+    sizes = state.where("__link is not null").groupBy("__link").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    linked = written(hot_join(state, sizes, ["__link"], total).drop("n"), "shard-linked")
+    full: list[int] = []  # shards without room after the last round; a group that isn't whole then tries for another
     for _ in range(rounds):
-        best = linked.groupBy("__link", "shard").count().groupBy("__link").agg(F.max_by("shard", F.struct("count", F.pmod(F.xxhash64("__link", "shard"), F.lit(1 << 20)))).alias("__to"))
-        wants = linked.join(best, "__link").withColumn("__bucket", F.pmod(F.xxhash64("__link", F.lit(1)), F.lit(_BUCKETS)).cast("int"))
+        tie = F.pmod(F.xxhash64("__link", "shard"), F.lit(1 << 20))
+        best = linked.groupBy("__link", "shard").count().groupBy("__link").agg(
+            F.sum("count").alias("n"), F.max("count").alias("__most"), F.max_by("shard", F.struct("count", tie)).alias("__first"), F.max_by("shard", F.struct(~F.col("shard").isin(full), "count", tie)).alias("__second")
+        )
+        stays = (F.col("__most") == F.col("n")) | ~F.col("__first").isin(full)
+        best = best.select("__link", "n", F.when(stays, F.col("__first")).otherwise(F.col("__second")).alias("__to"))
+        wants = hot_join(linked, best, ["__link"], total).drop("n").withColumn("__bucket", F.pmod(F.xxhash64("__link", F.lit(1)), F.lit(_BUCKETS)).cast("int"))
         asked: dict[tuple[int, int], dict[int, int]] = {}
         held = [0] * shards
         for i, j, bucket, n in wants.groupBy("shard", "__to", "__bucket").count().collect():  # at most shards * shards * 64 rows
@@ -111,6 +117,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, text: st
         moves = _allowed(asked, held, quota)
         if not moves:
             break
+        full = [j for j in range(shards) if held[j] >= quota[j] - quota[j] // 50]
         accepted = spark.createDataFrame(moves, "shard int, __to int, __bucket int").withColumn("__go", F.lit(True))
         linked = wants.join(F.broadcast(accepted), ["shard", "__to", "__bucket"], "left")
         linked = written(linked.select("__row", "__link", F.when(F.col("__go"), F.col("__to")).otherwise(F.col("shard")).alias("shard")), "shard-linked")

@@ -83,7 +83,8 @@ def tokens(c: Column) -> Column:
     fold = lambda x: F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
     words = F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9_]+"), 0)
     parts = lambda w: F.flatten(F.transform(F.split(w, "_"), lambda p: F.split(p, r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")))
-    inner = F.flatten(F.transform(words, lambda w: F.filter(F.transform(parts(w), F.lower), lambda p: (p != "") & (p != F.lower(w)))))
+    compound = F.filter(words, lambda w: w.rlike("_|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"))
+    inner = F.flatten(F.transform(compound, lambda w: F.filter(F.transform(parts(w), F.lower), lambda p: (p != "") & (p != F.lower(w)))))
     rest = F.regexp_replace(c, r"[A-Za-z0-9_]+", " ")
     runs = F.regexp_extract_all(rest, F.lit(f"[{CJK}]+"), 0)
     cjk = F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit("(?s)."), 0)))

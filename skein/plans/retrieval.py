@@ -32,7 +32,7 @@ lexical AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DES
 
 
 def _index(read):
-    return search.postings(read("documents"), "doc_id", "text")
+    return search.postings(read("documents"), "doc_id", "text").persist()  # statistics, lengths and hits all read it
 
 
 def _lexical(read):

@@ -134,6 +134,14 @@ class Words:
         out[: n - k + 1] = mix((sums[k:] - sums[: n - k + 1]) * down[: n - k + 1] + np.uint64(k))
         return out
 
+    def range_hashes(self, h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """A hash of the words from first to last (not included), for arrays of both."""
+        n = len(h)
+        up, down = _power_tables("word", n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(h * up[:n], out=sums[1:])
+        return mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+
     def inside(self, k: int) -> np.ndarray:
         """Whether the k words from each word on belong to one text."""
         last = np.repeat(self.bounds[1:], self.counts)
@@ -143,7 +151,8 @@ class Words:
         """Words i to j (not included), folded, joined by one space."""
         if j <= i:
             return b""
-        return b" ".join(self.data[self.starts[i] : self.ends[j - 1]].tobytes().translate(self.kind.translate).split())
+        raw = self.data[self.starts[i] : self.ends[j - 1]].tobytes()
+        return b" ".join((raw if self.kind is SPACED else raw.translate(self.kind.translate)).split())  # split() knows the white bytes of SPACED
 
 
 def words_of(column: pa.Array, kind: Kind, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Words]:

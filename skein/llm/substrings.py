@@ -22,14 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm._shared import written
-from skein.llm._words import SPACED, Words, signed, words_of
+from skein.llm._shared import hot_join, written
+from skein.llm._words import SPACED, Words, mix, signed, words_of
 
-WINDOW, GRAM = 13, 5
+WINDOW, GRAM = 13, 7
 #: Grams of fewer bytes, mostly of common words, become anchors only where there are no others.
-LONG_GRAM = 26
+LONG_GRAM = 34
 SAMPLE, HOT, HOT_KEYS = 64, 16, 100_000
-BROADCAST_IDS = 500_000
 _LAST = 2**63 - 1
 
 
@@ -84,13 +83,13 @@ class Automaton:
         return out
 
 
-def _segments(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The anchor, the first and the last window of each segment, and all windows' hashes."""
-    h, gram = w.hashes(), min(GRAM, k)
+def _segments(w: Words, k: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The anchor, the first and the last window of each segment, for words with hashes h."""
+    gram = min(GRAM, k)
     grams = w.window_hashes(h, gram)
     n = len(h)
     if n < k:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), grams
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     rank = grams >> np.uint64(1)
     rank[: n - gram + 1] |= (w.ends[gram - 1 :] - w.starts[: n - gram + 1] < LONG_GRAM).astype(np.uint64) << np.uint64(63)
     windows = n - k + 1
@@ -106,7 +105,7 @@ def _segments(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     ends = valid.copy()
     ends[:-1] &= (at[1:] != at[:-1]) | ~valid[1:]
     first, last = np.flatnonzero(begins), np.flatnonzero(ends)
-    return grams[at[first]], first, last, w.window_hashes(h, k)
+    return grams[at[first]], first, last
 
 
 def _class(w: Words, d: int) -> bytes:
@@ -133,7 +132,7 @@ def _anchored(k: int, hot):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in words_of(batch.column(0), SPACED):
-                anchor, first, _, _ = _segments(w, k)
+                anchor, first, _ = _segments(w, k, w.hashes())
                 classes = np.array([_number(_class(w, d)) if w.bounds[d + 1] - w.bounds[d] >= k else 0 for d in range(w.hi - w.lo)], np.int64)
                 key, own = signed(anchor), classes[w.doc_of_word()[first]]
                 if hot is not None:
@@ -173,36 +172,44 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found(held_key, held_own)
 
 
-def _picked(w: Words, d: int, k: int, segments, anchors: set[int], hot: np.ndarray):
-    """(key, first word, last word not included) of the segments of a text whose anchor is shared or hot."""
-    anchor, first, last, windows = segments
-    a, b = np.searchsorted(first, w.bounds[d : d + 2])
-    for x, s, e in zip(signed(anchor[a:b]).tolist(), first[a:b].tolist(), last[a:b].tolist(), strict=True):
-        if x in anchors:
-            yield x, s, e + k
-        elif len(hot) and hot[np.searchsorted(hot, x) % len(hot)] == x:
-            for i in range(s, e + 1):
-                yield int(windows[i].view(np.int64)), i, i + k
+def _picked(w: Words, k: int, anchors: list[list[int] | None], hot: np.ndarray):
+    """The text, key, hash, first word and end of each segment whose anchor is shared (by text) or hot; of hot anchors each window is a segment of its own, keyed by its words."""
+    h = w.hashes()
+    anchor, first, last = _segments(w, k, h)
+    doc = w.doc_of_word()[first]
+    key = signed(anchor)
+    owner = np.repeat(np.arange(len(anchors)), [len(a or ()) for a in anchors])
+    own = np.array([x for a in anchors for x in a or ()], np.int64)
+    paired = lambda d, x: mix(x.astype(np.int64).view(np.uint64) ^ mix(d.astype(np.uint64)))
+    is_hot = np.isin(key, hot)
+    is_shared = np.isin(paired(doc, key), paired(owner, own)) & ~is_hot
+    sizes = (last - first + 1)[is_hot]
+    window = np.repeat(first[is_hot] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+    start = np.concatenate([first[is_shared], window])
+    end = np.concatenate([last[is_shared], window]) + k
+    seg = signed(w.range_hashes(h, start, end))
+    return np.concatenate([doc[is_shared], np.repeat(doc[is_hot], sizes)]), np.concatenate([key[is_shared], seg[is_shared.sum() :]]), seg, start, end
 
 
 def _emitted(k: int, hot, places: bool):
-    """Rows of (class, ord, text, anchors) as segments: key, seg, words, ord; with places class, ord, key, seg, first word, number of windows."""
+    """Rows of (class, ord, text, anchors) as segments: key, seg, words, ord, and the number of texts of the batch that it stands for; with places class, ord, key, seg, first word, number of windows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            classes, ords, anchors = (batch.column(c).to_pylist() for c in ("class", "ord", "anchors"))
-            for w in words_of(batch.column(batch.schema.get_field_index("text")), SPACED):
-                segments, out = _segments(w, k), []
-                for d in range(w.hi - w.lo):
-                    for key, s, e in _picked(w, d, k, segments, set(anchors[w.lo + d] or ()), hot.value):
-                        words = w.joined(s, e)
-                        seg = int.from_bytes(hashlib.blake2b(words, digest_size=8).digest(), "little", signed=True)
-                        out.append((classes[w.lo + d], ords[w.lo + d], key, seg, s - int(w.bounds[d]), e - s - k + 1) if places else (key, seg, words, ords[w.lo + d]))
-                columns = list(zip(*out, strict=True)) or [()] * (6 if places else 4)
+            classes, ords = (batch.column(c).to_numpy() for c in ("class", "ord"))
+            anchors = batch.column("anchors").to_pylist()
+            for w in words_of(batch.column("text"), SPACED):
+                doc, key, seg, start, end = _picked(w, k, anchors[w.lo : w.hi], hot.value)
+                own, ord_ = classes[w.lo + doc], ords[w.lo + doc]
                 if places:
+                    columns = (own, ord_, key, seg, start - w.bounds[doc], end - start - k + 1)
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["class", "ord", "key", "seg", "first", "n_windows"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["key", "seg", "words", "ord"])
+                    continue
+                order = np.lexsort((ord_, seg, key))
+                key, seg, ord_, start, end = (x[order] for x in (key, seg, ord_, start, end))
+                at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (seg[1:] != seg[:-1]))) if len(key) else np.empty(0, np.int64)
+                words = [w.joined(a, b) for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(seg[at]), pa.array(words, pa.binary()), pa.array(ord_[at]), pa.array(np.diff(np.append(at, len(key))), pa.int64())], names=["key", "seg", "words", "ord", "n"])
 
     return work
 
@@ -241,10 +248,17 @@ def _spanned(k: int):
                 for d in range(w.hi - w.lo):
                     a, b = int(w.bounds[d]), int(w.bounds[d + 1])
                     edge = np.zeros(b - a + 1, np.int64)
+                    ons, offs = [], []
                     for c in covers[w.lo + d]:
-                        hit = np.arange(c["n_windows"]) if c["found"] is None else np.flatnonzero(np.unpackbits(np.frombuffer(c["found"], np.uint8), count=c["n_windows"]))
-                        np.add.at(edge, hit + c["first"], 1)
-                        np.add.at(edge, hit + c["first"] + k, -1)
+                        if c["found"] is None:  # all its windows
+                            ons.append(c["first"])
+                            offs.append(c["first"] + c["n_windows"] - 1 + k)
+                        else:
+                            hit = np.flatnonzero(np.unpackbits(np.frombuffer(c["found"], np.uint8), count=c["n_windows"])) + c["first"]
+                            ons += hit.tolist()
+                            offs += (hit + k).tolist()
+                    np.add.at(edge, ons, 1)
+                    np.add.at(edge, offs, -1)
                     gone = np.cumsum(edge)[:-1] > 0
                     cut = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
                     left, pieces, kept = int(w.offsets[d]), [], []
@@ -262,13 +276,6 @@ def _spanned(k: int):
     return work
 
 
-def _hot_join(left: DataFrame, right: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
-    """Join to rows of right, unique by keys, that know the number n of their rows in left: keys of more than 1/10,000 of all rows are broadcast."""
-    hot = F.broadcast(right.where(F.col("n") * 10_000 > total))
-    rest = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col("n") * 10_000 <= total), keys, how)
-    return left.join(hot, keys).unionByName(rest)
-
-
 def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """Two tables: rows (doc_id, ord, n_words, all_words, class), one for each row of docs, and classes (class, least, n, n_removed, kept_words, kept_text).
 
@@ -292,20 +299,26 @@ def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     needed = written(classes.select("class", F.col("least").alias("ord")).join(shared, "class"), "shared")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The texts that are of the class they were joined to, each class once: all rows of an ord are in one task."""
+        done: set[int] = set()
         for batch in batches:
             same = [_number(_class(w, d)) for w in words_of(batch.column(batch.schema.get_field_index("text")), SPACED) for d in range(w.hi - w.lo)]
-            yield batch.filter(pa.array([a == b for a, b in zip(same, batch.column(batch.schema.get_field_index("class")).to_pylist(), strict=True)], pa.bool_()))
+            keep = []
+            for a, b in zip(same, batch.column(batch.schema.get_field_index("class")).to_pylist(), strict=True):
+                keep.append(a == b and b not in done)
+                done.update([b] if keep[-1] else [])
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    found = texts.select(F.coalesce("doc_id", F.lit(_LAST)).alias("ord"), "text")
-    found = found.join(F.broadcast(needed) if (needed.agg(F.sum(F.size("anchors") + 4)).first()[0] or 0) <= BROADCAST_IDS else needed, "ord").select("class", "ord", "text", "anchors")
-    found = written(found.mapInArrow(own, found.schema).dropDuplicates(["class"]), "involved")
+    found = texts.select(F.coalesce("doc_id", F.lit(_LAST)).alias("ord"), "text").repartition("ord")
+    found = found.join(needed.repartition("ord").hint("shuffle_hash"), "ord").select("class", "ord", "text", "anchors")
+    found = written(found.mapInArrow(own, found.schema), "involved")
 
-    segments = found.mapInArrow(_emitted(window, hot, False), "key bigint, seg bigint, words binary, ord bigint").groupBy("key", "seg").agg(F.first("words").alias("words"), F.min("ord").alias("least"), F.count(F.lit(1)).alias("n"))
+    segments = found.mapInArrow(_emitted(window, hot, False), "key bigint, seg bigint, words binary, ord bigint, n bigint").groupBy("key", "seg").agg(F.first("words").alias("words"), F.min("ord").alias("least"), F.sum("n").alias("n"))
     matched = segments.repartition("key").sortWithinPartitions("key", "least").mapInArrow(_streamed(window), "key bigint, seg bigint, least bigint, n bigint, found binary")
     matched = written(matched, "matched")
     total = matched.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    places = found.mapInArrow(_emitted(window, hot, True), "class bigint, ord bigint, key bigint, seg bigint, first bigint, n_windows bigint")
-    covers = _hot_join(places, matched, ["key", "seg"], total)
+    places = written(found.mapInArrow(_emitted(window, hot, True), "class bigint, ord bigint, key bigint, seg bigint, first bigint, n_windows bigint"), "places")
+    covers = hot_join(places, matched, ["key", "seg"], total)
     covers = covers.withColumn("found", F.when(F.col("ord") <= F.col("least"), F.col("found"))).where(F.col("found").isNull() | (F.regexp_replace(F.hex("found"), "0", "") != ""))
     covers = covers.groupBy("class").agg(F.collect_list(F.struct("first", "n_windows", "found")).alias("covers"))  # a document's
     changed = found.select("class", "text").join(covers, "class").mapInArrow(_spanned(window), "class bigint, n_removed bigint, kept_words binary, kept_text string")
@@ -315,7 +328,7 @@ def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
     rows, classes = removals(docs, window)
-    out = _hot_join(rows.drop("n_words"), classes, ["class"], rows.count())
+    out = hot_join(rows.drop("n_words"), classes, ["class"], rows.count())
     copy = (F.col("ord") > F.col("least")) & (F.col("n_words") >= window)
     none = F.sha2(F.lit(""), 256)
     return out.select(
@@ -329,7 +342,8 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with the words that are to go cut from the texts; texts that lose all their words are empty. Null texts stay."""
     _, classes = removals(docs, window)
-    classes = classes.where("n_removed is not null or n > 1").select(F.col("class").alias("__class"), "least", "n", "n_words", "kept_text")
+    names = {"class": "__class", "least": "__least", "n": "__n", "n_words": "__n_words", "kept_text": "__kept_text"}
+    classes = classes.where("n_removed is not null or n > 1").select(*(F.col(c).alias(x) for c, x in names.items()))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,11 +352,11 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=[*batch.schema.names, "__class"])
 
     marked = docs.mapInArrow(named, T.StructType([*docs.schema.fields, T.StructField("__class", T.LongType())]))
-    hot = F.broadcast(classes.where("n > 10000"))
-    cold = marked.join(hot.select("__class"), "__class", "left_anti").join(classes.where("n <= 10000"), "__class", "left")
+    hot = F.broadcast(classes.where("__n > 10000"))
+    cold = marked.join(hot.select("__class"), "__class", "left_anti").join(classes.where("__n <= 10000"), "__class", "left")
     both = marked.join(hot, "__class").unionByName(cold)
-    copy = (F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)) > F.col("least")) & (F.col("n_words") >= window)
-    text = F.when(F.col("text").isNotNull() & F.col("least").isNotNull(), F.when(copy, F.lit("")).otherwise(F.coalesce("kept_text", "text"))).otherwise(F.col("text"))
+    copy = (F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)) > F.col("__least")) & (F.col("__n_words") >= window)
+    text = F.when(F.col("text").isNotNull() & F.col("__least").isNotNull(), F.when(copy, F.lit("")).otherwise(F.coalesce("__kept_text", "text"))).otherwise(F.col("text"))
     return both.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns))
 
 

@@ -6,7 +6,8 @@ it was given, and a set's rounds end when all its coordinates are full: sets of
 that agree is concentrated as for independent ones.
 
 Candidates share a band of ROWS coordinates. First each class is tried against the smallest class of each of its bands, which joins groups of copies without forming their pairs. Then, within bands whose classes still lie
-in several components, classes of different components are compared by their sketches, in blocks of at most BLOCK classes where a band holds more. Pairs whose agreeing coordinates are no more than SLACK below the wanted share are verified on
+in several components, classes of different components are compared by their sketches, in blocks of at most BLOCK classes where a band holds more. One link joins two components, so that rounds try the most similar pair of each two
+components first, then more of what is still apart, and the last round all that is left. Pairs whose agreeing coordinates are no more than SLACK below the wanted share are verified on
 the full sets; links are closed to components.
 
 Chance: with T = 128 and ROWS = 4 a pair at similarity 0.8 shares no band with probability 5e-8, and agrees in fewer than 0.6 of T coordinates with about 1e-8. Sets of fewer than 4 elements can't reach 0.8 with a different set.
@@ -31,6 +32,8 @@ SHINGLE, SHARE = 5, 80
 T, ROWS, BLOCK = 128, 4, 2048
 #: Sketches of candidates agree in at least the wanted share of T coordinates, less this.
 SLACK = 0.2
+#: Pairs that a round tries for each two components of a band; the last tries all.
+TRIES = (1, None)
 BROADCAST_IDS = 500_000
 HOT = 10_000
 _FULL = np.uint64(2**64 - 1)
@@ -135,50 +138,67 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, sha
     few = needed.count() <= BROADCAST_IDS
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [s.tobytes() for s in shingle_sets(batch.column(2), k)]
-            same = [hashlib.blake2b(s, digest_size=16).digest() == key for s, key in zip(made, batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "elements"]).filter(pa.array(same, pa.bool_()))
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, len(b), 500)):
+            made = list(shingle_sets(batch.column(2), k))
+            same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == key for s, key in zip(made, batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signed(s) for s in made], pa.list_(pa.int64()))], names=["node", "elements"]).filter(pa.array(same, pa.bool_()))
 
     texts = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"), "text").join(F.broadcast(needed) if few else needed, "__id").select("node", "key", "text")
-    full = written(texts.mapInArrow(sets, "node bigint, elements binary").dropDuplicates(["node"]), "sets")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= share * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    full = written(texts.mapInArrow(sets, "node bigint, elements array<bigint>").dropDuplicates(["node"]), "sets")
 
     with_b = pairs.join(full.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b")
-    both = with_b.join(full.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a").select("a", "b", "ea", "eb")
-    return both.mapInArrow(compare, "a bigint, b bigint")
+    both = with_b.join(full.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a")
+    common = F.size(F.array_intersect("ea", "eb"))
+    return both.withColumn("common", common).where(100 * F.col("common") >= share * (F.size("ea") + F.size("eb") - F.col("common"))).select("a", "b")
+
 
+def _crossing(batches: Iterator[pa.RecordBatch], share: int, most: int | None) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by group, the pairs of a group that lie in different components, of different blocks where there are two, and agree enough: the `most` that agree best for each two components.
 
-def _crossing(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by group, the pairs of a group that lie in different components, of different blocks where there are two, and agree enough."""
+    A pair is given by the first band that it shares only.
+    """
     held: list[pa.RecordBatch] = []
 
+    def best(found: list[np.ndarray]) -> np.ndarray:
+        """Rows of node, node, component, component, agreeing coordinates."""
+        all_pairs = np.concatenate(found)
+        if most is None:
+            return all_pairs
+        x = all_pairs[np.lexsort((-all_pairs[:, 4], all_pairs[:, 3], all_pairs[:, 2]))]
+        new = np.append(True, (x[1:, 2] != x[:-1, 2]) | (x[1:, 3] != x[:-1, 3]))
+        at = np.flatnonzero(new)
+        return x[np.arange(len(x)) - np.repeat(at, np.diff(np.append(at, len(x)))) < most] if len(x) else x
+
     def pairs(rows: pa.RecordBatch):
         node, comp, size, block, two = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "n_shingles", "block", "two"))
         if len(node) < 2 or comp.min() == comp.max():
             return
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, T)
-        found_a, found_b = [], []
+        own_bands = rows.column("bands").flatten().to_numpy().reshape(len(node), -1)
+        this = own_bands == rows.column("band").to_numpy()[:, None]
+        found, waiting = [np.empty((0, 5), np.int64)], 0
         for i in range(len(node) - 1):
             other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
             if two[0]:
                 other = other[block[other] != block[i]]
             small, large = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
             other = other[100 * small >= share * large]
-            other = other[(sketch[other] == sketch[i]).sum(axis=1) >= (share / 100 - SLACK) * T]
-            found_a.append(np.maximum(node[other], node[i]))
-            found_b.append(np.minimum(node[other], node[i]))
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            same = (sketch[other] == sketch[i]).sum(axis=1)
+            enough = same >= (share / 100 - SLACK) * T
+            other, same = other[enough], same[enough]
+            first = (own_bands[other] == own_bands[i]).argmax(axis=1)
+            once = this[i, first]
+            other, same = other[once], same[once]
+            found.append(np.column_stack([np.maximum(node[other], node[i]), np.minimum(node[other], node[i]), np.minimum(comp[other], comp[i]), np.maximum(comp[other], comp[i]), same]))
+            waiting += len(other)
+            if waiting > 200_000:
+                kept = best(found)
+                if most is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1])], names=["a", "b"])
+                found, waiting = [kept[:0] if most is None else kept], 0
+        kept = best(found)
+        if len(kept):
+            yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1])], names=["a", "b"])
 
     def groups(rows: pa.RecordBatch, last: bool):
         group = rows.column("group").to_numpy()
@@ -224,21 +244,28 @@ def link(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE) -> DataFra
     heads = written(members.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"), "heads")
     in_bands = written(_hot_join(members, heads, "band", total), "in-bands")
     stars = in_bands.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    stars = written(stars, "stars")
     edges = written(_verified(_estimated(stars, sketch, share), classes, docs, shingle, share), "edges")
     labels = components(edges)
 
-    placed = in_bands.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-    mixed = placed.groupBy("band").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count(F.lit(1)).alias("n")).where("c <> d and n > 2").select("band", "n")
-    open_ = _hot_join(placed.drop("n"), mixed, "band", total).join(classes.select("node", "n_shingles", "sketch"), "node")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    open_ = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.select("node", "comp", "n_shingles", "sketch", "block", (F.col("block") != F.col("other")).alias("two"), F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("group"))
-    # a group of two blocks has both rows that look from one to the other and back
-    crossing = open_.repartition("group").sortWithinPartitions("group").mapInArrow(lambda batches: _crossing(batches, share), "a bigint, b bigint").distinct()
-    more = _verified(crossing, classes, docs, shingle, share)
-    edges = written(edges.select("a", "b").unionByName(more), "edges")
-    labels = components(edges)
+    tested = stars.select("a", "b")
+    for most in TRIES:
+        placed = in_bands.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+        mixed = placed.groupBy("band").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count(F.lit(1)).alias("n")).where("c <> d and n > 2").select("band", "n")
+        open_ = _hot_join(placed.drop("n"), mixed, "band", total).join(classes.select("node", "n_shingles", "sketch", "bands"), "node")
+        open_ = open_.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        open_ = open_.select("node", "comp", "n_shingles", "sketch", "bands", "band", "block", (F.col("block") != F.col("other")).alias("two"), F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("group"))
+        # a group of two blocks has both rows that look from one to the other and back
+        crossing = open_.repartition("group").sortWithinPartitions("group").mapInArrow(lambda batches, most=most: _crossing(batches, share, most), "a bigint, b bigint").distinct()
+        crossing = written(crossing.join(tested, ["a", "b"], "left_anti"), "crossing")
+        if crossing.isEmpty():
+            continue
+        more = written(_verified(crossing, classes, docs, shingle, share), "edges")
+        tested = tested.unionByName(crossing)
+        if not more.isEmpty():
+            edges = edges.select("a", "b").unionByName(more)
+            labels = components(edges)
 
     named = classes.select("node", "key", "doc_id", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
     names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min("node").alias("first_row"))

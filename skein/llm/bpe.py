@@ -4,7 +4,8 @@ Each task cuts its texts with the tokenizer's pattern and keeps the distinct pie
 a recursive query joins neighbouring tokens to the merge table, contracts each piece's leftmost pair of least rank, and ends at the fixpoint. A piece that is a token itself is that token, as in the
 tiktoken library. An ordered aggregation over the ids decodes them. Pieces don't depend on what stands around them, so that each worker encodes a piece once and
 looks it up after that. Where every space of a text stands alone between two characters that aren't white, no piece reaches over a space but at its own start: such texts are cut at their spaces, and the
-worker keeps the ids of what stands between two of them, too. The pattern must have this property (`spaced`; that of public_tokenizers does). Both tables are emptied when they hold `CACHED` entries.
+worker keeps the ids of what stands between two of them, too. The pattern must have this property (`spaced`; that of public_tokenizers does). The tables are emptied when they hold CACHED and CACHED_PARTS entries, and dropped by a worker that
+hasn't used them for IDLE seconds.
 
 Pieces of more than LONG bytes go through a second query, a few rounds at a time. There all non-overlapping places of the least pair are contracted at once, where the merged token can't start a
 pair of lower rank (`_Vocabulary.calm`); elsewhere only the leftmost is. The ids are the same.
@@ -14,7 +15,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import threading
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 LONG = 48
-CACHED = 1_300_000
+CACHED, CACHED_PARTS = 1_000_000, 150_000
+#: Seconds after which a worker that does something else drops its tables.
+IDLE = 20
 CHUNK_CHARS = 2_000_000
 _ROUNDS = 16
 
@@ -177,7 +182,7 @@ class Codec:
     def _learn_spaced(self, known: dict[str, str | None], parts: set[str], before: str) -> None:
         """Ids of parts of texts that were cut at spaces."""
         new = list(parts - known.keys())
-        if len(new) + len(known) > CACHED:
+        if len(new) + len(known) > CACHED_PARTS:
             known.clear()
             new = list(parts)
         for k in range(0, len(new), 100_000):
@@ -220,14 +225,30 @@ class Codec:
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
+_used: dict[tuple[str, str], float] = {}
 _lock = threading.Lock()
+_watched_by: list[int] = []
+
+
+def _drop_idle() -> None:
+    """Forgets codecs that no task has asked for in a while; a task that still holds one goes on with it."""
+    while True:
+        time.sleep(IDLE / 4)
+        with _lock:
+            for key in [k for k, at in _used.items() if time.monotonic() - at > IDLE]:
+                _codecs.pop(key, None)
+                _used.pop(key, None)
 
 
 def codec(ranks_path: str, pattern: str) -> Codec:
     """One for each worker."""
     with _lock:
+        if os.getpid() not in _watched_by:
+            _watched_by[:] = [os.getpid()]
+            threading.Thread(target=_drop_idle, daemon=True).start()
         if (ranks_path, pattern) not in _codecs:
             _codecs[ranks_path, pattern] = Codec(ranks_path, pattern)
+        _used[ranks_path, pattern] = time.monotonic()
         return _codecs[ranks_path, pattern]
 
 
@@ -239,6 +260,7 @@ def _mapped(df: DataFrame, column: str, ranks_path: str, pattern: str, added: li
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
         for batch in batches:
+            codec(ranks_path, pattern)  # still in use
             new = values(own, batch.column(batch.schema.get_field_index(column)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, t) for v, (_, t, _) in zip(new, added, strict=True))], names=[*batch.schema.names, *names])
 

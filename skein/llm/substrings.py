@@ -26,7 +26,7 @@ from skein.llm._shared import hot_join, written
 from skein.llm._words import SPACED, Words, mix, signed, words_of
 
 WINDOW, GRAM = 13, 7
-#: Grams of fewer bytes, mostly of common words, become anchors only where there are no others.
+#: Grams of fewer bytes, mostly of common words, become anchors only where there are no others. One byte counts between two words, whatever white space is there.
 LONG_GRAM = 34
 SAMPLE, HOT, HOT_KEYS = 64, 16, 100_000
 _LAST = 2**63 - 1
@@ -91,7 +91,8 @@ def _segments(w: Words, k: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if n < k:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     rank = grams >> np.uint64(1)
-    rank[: n - gram + 1] |= (w.ends[gram - 1 :] - w.starts[: n - gram + 1] < LONG_GRAM).astype(np.uint64) << np.uint64(63)
+    letters = np.concatenate(([0], np.cumsum(w.ends - w.starts)))
+    rank[: n - gram + 1] |= (letters[gram:] - letters[: n - gram + 1] + gram - 1 < LONG_GRAM).astype(np.uint64) << np.uint64(63)
     windows = n - k + 1
     best, at = rank[:windows].copy(), np.arange(windows)
     for j in range(1, k - gram + 1):

@@ -248,6 +248,20 @@ def test_substrings(spark, monkeypatch, hot, window):
     assert substrings.digest(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("window", [13, 50])
+def test_substrings_whatever_the_white_space(spark, window):
+    rng = random.Random(17)
+    rows = []
+    for p in range(30):
+        shared = ["".join(rng.choice("abcdefgh") for _ in range(rng.choice([3, 4, 4, 5]))) for _ in range(window)]  # seven of them are short or long by a byte or two
+        for i, spaces in enumerate([[" "], ["  "], ["\r\n"], [" ", "\n    ", "\t", " \n"]]):
+            text = "".join(w + rng.choice(spaces) for w in shared)
+            rows.append((10 * p + i, f"{prose(rng, 9, 10**6)} {text}{prose(rng, 9, 10**6)}"))
+    want = collections.Counter(brute_substrings(rows, window))
+    assert sum(n for _, _, n, _ in want) >= 90 * window
+    assert collections.Counter(tuple(r) for r in substrings.digest(frame(spark, rows), window).collect()) == want
+
+
 def test_automaton():
     rng = random.Random(2)
     auto, texts = substrings.Automaton(), [[rng.choice([b"a", b"b", b"c"]) for _ in range(30)] for _ in range(6)]

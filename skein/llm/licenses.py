@@ -27,10 +27,15 @@ BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 _GATE_PATTERN = r"(?i)cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
 _GATES = ("licen", "spdx", "copyright", "reserved", "domain", "redistribution", "permission", "warrant")
 
+#: What stands before "under" in a grant. Grants need not hold one of _GATES, and pass by these two words in a row.
+_GRANTS = "(?:licensed|released|distributed|published|available|provided)"
+
 #: label, keyword, name as a regular expression over words, versions as such
 _NAMES = (
     ("apache", "apache", r"apache(?: software)?", ("2 0", "1 1", "1 0")),
-    ("mit", "mit", r"(?:mit|expat|x11)", ()),
+    ("mit", "mit", r"mit", ()),
+    ("mit", "expat", r"expat", ()),
+    ("mit", "x11", r"x11", ()),
     ("bsd", "bsd", r"(?:new |simplified |modified |revised )?bsd(?: 0 clause| 1 clause| 2 clause| 3 clause| 4 clause)?", ("2", "3")),
     ("gpl", "gnu", r"gnu (?:general public|gpl)", ("3", "3 0", "2", "2 0", "1")),
     ("gpl", "gpl", r"(?:gpl|gplv[123])", ("3", "3 0", "2", "2 0")),
@@ -42,7 +47,8 @@ _NAMES = (
     ("mpl", "mozilla", r"mozilla public", ("2 0", "1 1", "1 0")),
     ("epl", "eclipse", r"eclipse public", ("2 0", "1 0")),
     ("cddl", "distribution", r"common development and distribution", ("1 1", "1 0")),
-    ("cc-by", "by", r"(?:cc|creative commons) (?:by|attribution)", ("4 0", "3 0", "2 5", "2 0")),
+    ("cc-by", "by", r"(?:cc|creative commons) by", ("4 0", "3 0", "2 5", "2 0")),
+    ("cc-by", "attribution", r"(?:cc|creative commons) attribution", ("4 0", "3 0", "2 5", "2 0")),
     ("cc-by-sa", "sa", r"(?:cc by sa|creative commons attribution sa)", ("4 0", "3 0", "2 5", "2 0")),
     ("cc-by-sa", "sharealike", r"creative commons attribution sharealike", ("4 0", "3 0")),
     ("cc-by-nd", "nd", r"cc by nd", ("4 0", "3 0")),
@@ -89,7 +95,7 @@ def rules() -> list[dict]:
         out.append({"base": False, "priority": priority, "label": label, "keyword": keyword, "pattern": f" {pattern}(?= )", "weight": weight})
 
     for label, keyword, name, versions in _NAMES:
-        grant = rf"(?:licensed|released|distributed|published|available|provided) under (?:the )?(?:terms of (?:the )?)?{name}"
+        grant = rf"{_GRANTS} under (?:the )?(?:terms of (?:the )?)?{name}"
         for v in versions:
             short = v.removesuffix(" 0")
             add(0, f"{label}-{short.replace(' ', '.')}", keyword, rf"spdx license identifier {name} v?{v}(?: only| or later)?", 1.0)
@@ -110,6 +116,7 @@ def _words(text):
     for part in _GATES:
         gate = gate | low.contains(part)
     gate = gate | low.rlike(r"general[\x00-\x2F\x3A-\x60\x7B-\x7F]+public")
+    gate = gate | (low.contains("under") & low.rlike(rf"{_GRANTS}[\x00-\x2F\x3A-\x60\x7B-\x7F]+under"))
     return F.when(gate, F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" ")))
 
 

@@ -105,6 +105,51 @@ def test_licenses(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def example(rng, pattern):
+    """A text that a rule's pattern matches, made at random."""
+    from re import _parser
+
+    def made(parsed):
+        out = ""
+        for op, arg in parsed:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(arg)
+            elif op == "IN":
+                op, arg = rng.choice(arg)
+                out += chr(arg if str(op) == "LITERAL" else rng.randint(*arg))
+            elif op == "BRANCH":
+                out += made(rng.choice(arg[1]))
+            elif op == "MAX_REPEAT":
+                out += made(arg[2]) * rng.randint(arg[0], arg[1])
+            elif op == "SUBPATTERN":
+                out += made(arg[3])
+            else:
+                assert op == "ASSERT", op
+        return out
+
+    return made(_parser.parse(pattern)).strip()
+
+
+def test_licenses_each_rule_alone(spark):
+    rng = random.Random(8)
+    given = [(r, re.compile(r["pattern"])) for r in licenses.rules()]
+    texts = ["Released under the MIT", "distributed under GPL v3", "available under Apache 2.0", "published under Creative Commons Attribution 4.0", "Expat License", "provided\n-- under X11"]
+    texts += [example(rng, r["pattern"]) for r, _ in given for _ in range(4)]
+    rows, want = [], {}
+    for i, text in enumerate(texts):
+        norm = " " + " ".join(ALNUM.findall(text.translate(LOWER))) + " "
+        whole = [(r["priority"], k, r) for k, (r, p) in enumerate(given) if not r["base"] and (m := p.match(norm)) and m.end() == len(norm) - 1]
+        base = [r for r, p in given if r["base"] and p.search(norm)]
+        if whole:  # all others lie within it
+            best = min(whole, key=lambda x: x[:2])[2]
+            rows.append((i, text))
+            want[i] = ",".join(sorted({r["label"] for r in [best, *base]})), max(r["weight"] for r in [best, *base])
+    assert len(rows) > 0.9 * len(texts)
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.digest(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {i: (texts[i], got[i], w) for i, w in want.items() if got[i] != w} == {}
+
+
 def test_warc(spark, tmp_path):
     rng = random.Random(3)
     inner = b"".join(warc._record("response", f"urn:page:{i}", "u", None, b"inner", 6) for i in range(3))

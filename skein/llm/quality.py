@@ -3,7 +3,8 @@
 A text's UTF-8 bytes are embedded in DIMS numbers each. FILTERS learned filters of KERNEL bytes move over them in steps of STEP bytes. Chunks of CHUNK bytes (each reaches KERNEL - STEP bytes into the
 next one, so that they overlap and cover the whole text) are max-pooled; the largest and the mean value of each filter over the chunks go into one logistic unit.
 
-Training runs on the driver, on a bounded sample: at most `per_class` texts of each label, those with the smallest hash of their id, and of these as many as fit `sample_bytes`. Scoring runs in Spark's tasks with
+Training runs on the driver, on a bounded sample: at most `per_class` texts of each label, those with the smallest hash of their id, and of these, in that order, all that
+fit half of `sample_bytes` for their label; what doesn't fit is passed over. A text of more than LONGEST bytes is trained on with its first LONGEST / 4 characters, so that each label that occurs is in the sample. Scoring runs in Spark's tasks with
 the weights (about 16 KB) in the closure and reads whole texts.
 """
 
@@ -18,10 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.llm._shared import row_at, written
 from skein.llm._words import CHUNK_BYTES, texts_as_bytes
 
 DIMS, FILTERS, KERNEL, STEP, CHUNK = 4, 24, 8, 4, 256
 PER_CLASS, SAMPLE_BYTES, EPOCHS, SEED = 1200, 24 << 20, 12, 7
+#: Bytes of the longest text that is trained on whole.
+LONGEST = 1 << 18
 THRESHOLD = 0.7
 _BLOCKS = CHUNK // STEP
 
@@ -185,15 +189,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_b
     ids = picked.collect()  # at most 2 * per_class
     spark = docs.sparkSession
     some = F.broadcast(spark.createDataFrame([tuple(r) for r in ids], "__id bigint, quality int"))
-    rows = docs.select(F.col("doc_id").alias("__id"), F.coalesce("text", F.lit("")).alias("text")).join(some, "__id")
-    rows = rows.select("quality", "text", F.xxhash64("__id").alias("h")).orderBy("h", "text").limit(2 * per_class).collect()
-    texts, quality, size = [], [], 0
-    for r in rows:
-        size += len(r["text"])
-        if size > sample_bytes:
-            break
-        texts.append(r["text"])
-        quality.append(r["quality"])
+    longest = min(LONGEST, sample_bytes // 2)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").alias("__id"), F.when(F.octet_length(text) > longest, F.substring(text, 1, longest // 4)).otherwise(text).alias("text")).join(some, "__id")
+    rows = written(row_at(rows.select("quality", "text", F.xxhash64("__id").alias("h"), F.xxhash64("text").alias("t"), F.octet_length("text").alias("size")), "row"), "sample")
+    picks = []
+    for label in (0, 1):
+        left = sample_bytes // 2
+        for r in rows.where(F.col("quality") == label).select("h", "t", "size", "row").orderBy("h", "t").limit(per_class).collect():
+            if r["size"] <= left:
+                left -= r["size"]
+                picks.append(r["row"])
+    sample = sorted(rows.where(F.col("row").isin(picks)).select("h", "t", "text", "quality").collect())  # at most sample_bytes of text
+    texts, quality = [r["text"] for r in sample], [r["quality"] for r in sample]
     return train(texts, quality, **options)
 
 

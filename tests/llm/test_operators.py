@@ -198,6 +198,27 @@ def test_quality(spark):
     assert all((a == b).all() for a, b in zip(w.arrays(), quality.fit(docs.repartition(5), labels).arrays(), strict=True))
 
 
+def test_quality_of_long_samples(spark, monkeypatch):
+    rng = random.Random(6)
+    good = lambda n: " ".join(rng.choice(["the", "river", "runs", "under", "old", "stone", "bridges"]) for _ in range(n))
+    text = {i: good(40) if i % 2 else good(40).upper().replace(" ", "## ") for i in range(240)}
+    by_hash = [r[0] for r in spark.range(240).orderBy(F.xxhash64("id")).collect() if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    text[by_hash[0]] *= 300  # the first of all doesn't fit
+    labels = spark.createDataFrame([(i, i % 2) for i in text], "doc_id bigint, quality int")
+    docs = frame(spark, list(text.items()))
+    seen, train = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda texts, ys, **more: seen.append((texts, ys)) or train(texts, ys, **more))
+    got = quality.score(docs, quality.fit(docs, labels, sample_bytes=40_000)).collect()
+    texts, ys = seen.pop()
+    assert set(ys) == {0, 1} and sum(len(t.encode()) for t in texts) <= 40_000
+    assert sum((r["score"] >= 0.7) == r["doc_id"] % 2 for r in got) >= 0.95 * len(got)
+    # all texts of a label are longer than what there is for it
+    long = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 1, F.repeat("text", 200)).otherwise(F.col("text")))
+    quality.fit(long, labels, sample_bytes=40_000)
+    texts, ys = seen.pop()
+    assert set(ys) == {0, 1} and sum(len(t.encode()) for t in texts) <= 40_000
+
+
 def test_topk(spark):
     rng = random.Random(7)
     centre = [[rng.uniform(-1, 1) for _ in range(6)] for _ in range(3)]

@@ -233,11 +233,18 @@ def link(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE) -> DataFra
     Documents are linked if 100 * intersection >= share * union of their shingle sets. Without words (null and empty texts) the set is empty and linked with nothing. Rows with equal ids are rows of
     their own; kept is doc_id = component_id, and where no row of a component has an id, only its first row is kept.
     """
+    same = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    out = _linked(row_at(docs.select("doc_id", "text"), "row"), shingle, share)
+    return out.select("doc_id", "n_shingles", "component_id", F.when(F.col("component_id").isNull(), F.col("row") == F.col("first_row")).otherwise(same).alias("kept"))
+
+
+def _linked(docs: DataFrame, shingle: int, share: int) -> DataFrame:
+    """row, doc_id, n_shingles, component_id and first_row (of the component's rows with the smallest id, the one with the smallest row; null ids behind all others), for docs with a column row."""
     least = -(-share // (100 - share))
-    rows = row_at(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "row").select("row", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("row", F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = written(rows.mapInArrow(_scan(shingle, least), "row bigint, doc_id bigint, n_shingles bigint, key binary, bands array<bigint>, sketch binary"), "sketched")
     total = rows.count()
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes")
     sketch = classes.where("sketch is not null").select("node", "sketch")
     members = classes.where("bands is not null").select("node", F.explode("bands").alias("band"))
@@ -267,13 +274,12 @@ def link(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE) -> DataFra
             edges = edges.select("a", "b").unionByName(more)
             labels = components(edges)
 
-    named = classes.select("node", "key", "doc_id", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
-    names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min("node").alias("first_row"))
+    named = classes.select("node", "key", "doc_id", "best", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
+    names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min("best")["row"].alias("first_row"))
     named = named.join(names, "comp").select("key", "n", "component_id", "first_row")
     alone = rows.where("key is null").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias("first_row"))
     repeated = _hot_join(rows.where("key is not null").select("row", "doc_id", "n_shingles", "key"), named, "key", total)
-    out = repeated.select("row", "doc_id", "n_shingles", "component_id", "first_row").unionByName(alone)
-    return out.select("doc_id", "n_shingles", "component_id", F.when(F.col("component_id").isNull(), F.col("row") == F.col("first_row")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("kept"))
+    return repeated.select("row", "doc_id", "n_shingles", "component_id", "first_row").unionByName(alone)
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -282,12 +288,10 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, with the columns of docs.
-
-    Rows without id stay. An id that is repeated goes with all its rows if one of them is to go; rows that are repeated as they are stay together.
-    """
-    gone = written(link(docs, shingle, share).where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of docs of each component, with the columns of docs: the first of those with its smallest doc_id (null behind all others). Rows without words are linked with nothing, and stay."""
+    rows = written(row_at(docs, "__row"), "numbered")
+    gone = written(_linked(rows.select("doc_id", "text", F.col("__row").alias("row")), shingle, share).where("row <> first_row").select(F.col("row").alias("__row")), "gone")
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "__row", "left_anti").select(*docs.columns)
 
 
 ORACLE_SQL = r"""

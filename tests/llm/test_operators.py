@@ -367,6 +367,17 @@ def test_neardup(spark, monkeypatch, block):
     assert neardup.digest(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_neardup_keeps_one_row(spark):
+    rng = random.Random(21)
+    a, b, c, d = (prose(rng, 80, 10**6) for _ in range(4))
+    near = lambda t: t + " more"
+    rows = [(1, a), (1, a), (2, near(a)), (None, b), (None, near(b)), (None, b), (2, c), (3, d), (None, d), (4, ""), (4, None)]
+    got = neardup.keep_one(frame(spark, rows).withColumn("row", F.lit(0))).collect()
+    found = collections.Counter((r["doc_id"], r["text"]) for r in got)
+    left = {(None, b), (None, near(b))} & found.keys()
+    assert len(left) == 1 and found == collections.Counter([(1, a), *left, (2, c), (3, d), (4, ""), (4, None)])
+
+
 def test_sketches_fill_and_agree():
     import numpy as np
 

@@ -5,12 +5,11 @@ coordinate picked by a hash of its own for that round; in rounds T to 2T - 1 all
 it was given, and a set's rounds end when all its coordinates are full: sets of T log T elements and more take about one. Each coordinate agrees for two sets with their Jaccard similarity as probability, and the number
 that agree is concentrated as for independent ones.
 
-Candidates share a band of ROWS coordinates. First each class is tried against the smallest class of each of its bands, which joins groups of copies without forming their pairs. Then, within bands whose classes still lie
-in several components, classes of different components are compared by their sketches, in blocks of at most BLOCK classes where a band holds more. One link joins two components, so that rounds try the most similar pair of each two
-components first, then more of what is still apart, and the last round all that is left. Pairs whose agreeing coordinates are no more than SLACK below the wanted share are verified on
-the full sets; links are closed to components.
+Candidates share a band of ROWS coordinates. First each class is tried against the smallest class of each of its bands, which joins groups of copies without forming their pairs. Then the bands whose classes still lie
+in several components are dealt to tasks in pairs of blocks, with full sets. A task compares classes of different components by their sketches and then their sets, and gives only links that join two
+components: a forest, with fewer links than the group has rows. Links are closed to components.
 
-Chance: with T = 128 and ROWS = 4 a pair at similarity 0.8 shares no band with probability 5e-8, and agrees in fewer than 0.6 of T coordinates with about 1e-8. Sets of fewer than 4 elements can't reach 0.8 with a different set.
+Chance: with T = 128 and ROWS = 4 a pair at similarity 0.8 shares no band with probability 5e-8, and agrees in fewer than 0.6 of T coordinates with about 1e-8 (tasks know coordinates by 8 bits, so that with 1e-8 a pair is left to a band that it doesn't share). Sets of fewer than 4 elements can't reach 0.8 with a different set.
 """
 
 from __future__ import annotations
@@ -29,11 +28,11 @@ from skein.llm._shared import row_at, written
 from skein.llm._words import SPACED_LOWER, mix, signed, words_of
 
 SHINGLE, SHARE = 5, 80
-T, ROWS, BLOCK = 128, 4, 2048
+T, ROWS = 128, 4
+#: Classes, and elements of their sets, of a block: two of them meet in a task.
+BLOCK, ELEMENTS = 1024, 1_000_000
 #: Sketches of candidates agree in at least the wanted share of T coordinates, less this.
 SLACK = 0.2
-#: Pairs that a round tries for each two components of a band; the last tries all.
-TRIES = (1, None)
 BROADCAST_IDS = 500_000
 HOT = 10_000
 _FULL = np.uint64(2**64 - 1)
@@ -130,11 +129,8 @@ def _estimated(pairs: DataFrame, sketch: DataFrame, share: int) -> DataFrame:
     return both.mapInArrow(agreeing, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, share: int) -> DataFrame:
-    """The pairs with 100 * intersection >= share * union of their full sets."""
-    pairs = written(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = written(classes.join(needed, "node").select("node", "key", F.coalesce("doc_id", F.lit(-(2**63))).alias("__id")), "needed")
+def _full_sets(needed: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """node and elements, its whole set, of needed (node, key, __id: a document of that class), from the texts."""
     few = needed.count() <= BROADCAST_IDS
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,81 +140,106 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, sha
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signed(s) for s in made], pa.list_(pa.int64()))], names=["node", "elements"]).filter(pa.array(same, pa.bool_()))
 
     texts = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"), "text").join(F.broadcast(needed) if few else needed, "__id").select("node", "key", "text")
-    full = written(texts.mapInArrow(sets, "node bigint, elements array<bigint>").dropDuplicates(["node"]), "sets")
+    return texts.mapInArrow(sets, "node bigint, elements array<bigint>").dropDuplicates(["node"])
+
 
+def _verified(pairs: DataFrame, full: DataFrame, share: int) -> DataFrame:
+    """The pairs with 100 * intersection >= share * union of their full sets."""
     with_b = pairs.join(full.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b")
     both = with_b.join(full.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a")
     common = F.size(F.array_intersect("ea", "eb"))
     return both.withColumn("common", common).where(100 * F.col("common") >= share * (F.size("ea") + F.size("eb") - F.col("common"))).select("a", "b")
 
 
-def _crossing(batches: Iterator[pa.RecordBatch], share: int, most: int | None) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by group, the pairs of a group that lie in different components, of different blocks where there are two, and agree enough: the `most` that agree best for each two components.
+def _forest(rows: pa.RecordBatch, share: int) -> list[tuple[int, int]]:
+    """Links between the components of a group's rows: no more than join what can be joined within the group, fewer than there are rows.
 
-    A pair is given by the first band that it shares only.
+    Pairs of one component, also of one that the links found so far have made, need no look. Others are compared if no earlier band has both, if their sketches agree enough, and then on their full sets. Of a
+    group of two sides only pairs across are looked at.
     """
+    node, comp, size, side, band = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "n_shingles", "side", "band"))
+    if len(node) < 2 or comp.min() == comp.max():
+        return []
+    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, T)
+    earlier = np.ascontiguousarray(sketch[:, : int(band[0]) * ROWS]).view(np.uint32)  # a band is ROWS bytes here
+    lists = rows.column("elements")
+    values, at = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+    known, element = np.unique(values, return_inverse=True)
+    marked = np.zeros(len(known), bool)
+    root = np.unique(comp, return_inverse=True)[1]
+    links = []
+    two = side.min() != side.max()
+    for i in range(len(node)):
+        other = root != root[i]
+        if two:
+            if side[i]:
+                continue
+            other &= side != side[i]
+        else:
+            other[:i] = False
+        other = np.flatnonzero(other)
+        other = other[100 * np.minimum(size[other], size[i]) >= share * np.maximum(size[other], size[i])]
+        if len(other) and earlier.shape[1]:
+            other = other[~(earlier[other] == earlier[i]).any(axis=1)]
+        if len(other):
+            other = other[(sketch[other] == sketch[i]).sum(axis=1) >= (share / 100 - SLACK) * T]
+        marked[element[at[i] : at[i + 1]]] = True
+        for part in (other[k : k + 256] for k in range(0, len(other), 256)):
+            part = part[root[part] != root[i]]
+            for j in part.tolist():
+                if root[j] == root[i]:
+                    continue
+                common = int(np.count_nonzero(marked[element[at[j] : at[j + 1]]]))
+                if 100 * common >= share * (int(size[i]) + int(size[j]) - common):
+                    links.append((int(max(node[i], node[j])), int(min(node[i], node[j]))))
+                    root[root == root[j]] = root[i]
+        marked[element[at[i] : at[i + 1]]] = False
+    return links
+
+
+def _forests(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
+    """The links of each group of rows that are sorted by group."""
     held: list[pa.RecordBatch] = []
 
-    def best(found: list[np.ndarray]) -> np.ndarray:
-        """Rows of node, node, component, component, agreeing coordinates."""
-        all_pairs = np.concatenate(found)
-        if most is None:
-            return all_pairs
-        x = all_pairs[np.lexsort((-all_pairs[:, 4], all_pairs[:, 3], all_pairs[:, 2]))]
-        new = np.append(True, (x[1:, 2] != x[:-1, 2]) | (x[1:, 3] != x[:-1, 3]))
-        at = np.flatnonzero(new)
-        return x[np.arange(len(x)) - np.repeat(at, np.diff(np.append(at, len(x)))) < most] if len(x) else x
-
-    def pairs(rows: pa.RecordBatch):
-        node, comp, size, block, two = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "n_shingles", "block", "two"))
-        if len(node) < 2 or comp.min() == comp.max():
-            return
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, T)
-        own_bands = rows.column("bands").flatten().to_numpy().reshape(len(node), -1)
-        this = own_bands == rows.column("band").to_numpy()[:, None]
-        found, waiting = [np.empty((0, 5), np.int64)], 0
-        for i in range(len(node) - 1):
-            other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
-            if two[0]:
-                other = other[block[other] != block[i]]
-            small, large = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
-            other = other[100 * small >= share * large]
-            same = (sketch[other] == sketch[i]).sum(axis=1)
-            enough = same >= (share / 100 - SLACK) * T
-            other, same = other[enough], same[enough]
-            first = (own_bands[other] == own_bands[i]).argmax(axis=1)
-            once = this[i, first]
-            other, same = other[once], same[once]
-            found.append(np.column_stack([np.maximum(node[other], node[i]), np.minimum(node[other], node[i]), np.minimum(comp[other], comp[i]), np.maximum(comp[other], comp[i]), same]))
-            waiting += len(other)
-            if waiting > 200_000:
-                kept = best(found)
-                if most is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1])], names=["a", "b"])
-                found, waiting = [kept[:0] if most is None else kept], 0
-        kept = best(found)
-        if len(kept):
-            yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1])], names=["a", "b"])
-
-    def groups(rows: pa.RecordBatch, last: bool):
+    def groups(last: bool):
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        held.clear()
         group = rows.column("group").to_numpy()
-        cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        ends = np.append(cuts[1:], len(group))
-        for x, y in zip(cuts.tolist(), ends.tolist(), strict=True):
+        cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1])).tolist()
+        for x, y in zip(cuts, [*cuts[1:], len(group)], strict=True):
             if y < len(group) or last:
-                yield from pairs(rows.slice(x, y - x))
+                if links := _forest(rows.slice(x, y - x), share):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
             else:
                 held.append(rows.slice(x))
 
     for batch in batches:
         if len(batch):
-            rows = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
-            held.clear()
-            yield from groups(rows, False)
+            held.append(batch)
+            if batch.column("group")[len(batch) - 1] != held[0].column("group")[0]:
+                yield from groups(False)
     if held:
-        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        held.clear()
-        yield from groups(rows, True)
+        yield from groups(True)
+
+
+def _apart(in_bands: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+    """Rows of bands that hold several components, dealt to groups such that each pair of components' rows of a band meets in one.
+
+    The band's largest component is cut into blocks of its own, of at most about BLOCK rows and ELEMENTS elements, and so is the rest. A group is a block of the rest (all pairs), two of them, or one of them and a
+    block of the largest component: blocks of this one never meet each other, so that a large group of joined copies costs its size times the number of the few blocks that aren't part of it.
+    """
+    placed = in_bands.drop("n").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+    counts = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("e"))
+    mixed = counts.groupBy("band").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"), F.sum("e").alias("e"), F.max(F.struct("n", "comp", "e")).alias("main")).where("comps > 1 and n > 2")
+    parts = lambda n, e: F.ceil(F.greatest(n / BLOCK, e / ELEMENTS, F.lit(1))).cast("int")
+    mixed = mixed.select("band", "n", F.col("main.comp").alias("main"), parts(F.col("main.n"), F.col("main.e")).alias("mains"), parts(F.col("n") - F.col("main.n"), F.col("e") - F.col("main.e")).alias("rests"))
+    rows = _hot_join(placed, mixed, "band", total).withColumn("in_main", F.col("comp") == F.col("main"))
+    block = F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    rows = rows.withColumn("block", block).withColumn("block", F.when(F.col("in_main"), -1 - F.col("block")).otherwise(F.col("block")))
+    met = F.sequence(F.when(F.col("in_main"), F.lit(0)).otherwise(-F.col("mains")), F.col("rests") - 1)  # blocks of the largest component are -1, -2, ...
+    rows = rows.withColumn("other", F.explode(met))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    return rows.select("node", "comp", "n_shingles", F.col("place").alias("band"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), F.xxhash64("band", low, high).alias("group"))
 
 
 def _hot_join(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
@@ -247,32 +268,22 @@ def _linked(docs: DataFrame, shingle: int, share: int) -> DataFrame:
     classes = rows.where("key is not null").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes")
     sketch = classes.where("sketch is not null").select("node", "sketch")
-    members = classes.where("bands is not null").select("node", F.explode("bands").alias("band"))
+    members = classes.where("bands is not null").select("node", "n_shingles", F.posexplode("bands").alias("place", "band"))
     heads = written(members.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"), "heads")
     in_bands = written(_hot_join(members, heads, "band", total), "in-bands")
-    stars = in_bands.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    stars = written(stars, "stars")
-    edges = written(_verified(_estimated(stars, sketch, share), classes, docs, shingle, share), "edges")
+    stars = written(_estimated(in_bands.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), sketch, share), "stars")
+    keys = classes.select("node", "key", F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"))
+    needed = written(keys.join(stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct(), "node"), "needed")
+    edges = written(_verified(stars, written(_full_sets(needed, docs, shingle), "sets"), share), "edges")
     labels = components(edges)
 
-    tested = stars.select("a", "b")
-    for most in TRIES:
-        placed = in_bands.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-        mixed = placed.groupBy("band").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count(F.lit(1)).alias("n")).where("c <> d and n > 2").select("band", "n")
-        open_ = _hot_join(placed.drop("n"), mixed, "band", total).join(classes.select("node", "n_shingles", "sketch", "bands"), "node")
-        open_ = open_.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        open_ = open_.select("node", "comp", "n_shingles", "sketch", "bands", "band", "block", (F.col("block") != F.col("other")).alias("two"), F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("group"))
-        # a group of two blocks has both rows that look from one to the other and back
-        crossing = open_.repartition("group").sortWithinPartitions("group").mapInArrow(lambda batches, most=most: _crossing(batches, share, most), "a bigint, b bigint").distinct()
-        crossing = written(crossing.join(tested, ["a", "b"], "left_anti"), "crossing")
-        if crossing.isEmpty():
-            continue
-        more = written(_verified(crossing, classes, docs, shingle, share), "edges")
-        tested = tested.unionByName(crossing)
-        if not more.isEmpty():
-            edges = edges.select("a", "b").unionByName(more)
-            labels = components(edges)
+    apart = written(_apart(in_bands.drop("head"), labels, total), "apart")
+    needed = written(keys.join(apart.select("node").distinct(), "node"), "needed")
+    full = written(_full_sets(needed, docs, shingle).join(sketch, "node"), "sets")
+    more = apart.join(full, "node").repartition("group").sortWithinPartitions("group").mapInArrow(lambda batches: _forests(batches, share), "a bigint, b bigint")
+    more = written(more.distinct(), "edges")
+    if not more.isEmpty():
+        labels = components(edges.unionByName(more))
 
     named = classes.select("node", "key", "doc_id", "best", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
     names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min("best")["row"].alias("first_row"))

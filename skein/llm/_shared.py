@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of its own is set only where there is none, as in tests."""
+    """The folder of spark.checkpoint.dir. Where it is unset, local mode, whose tasks share the driver's disk, gets one of its own; on a cluster that is an error."""
     context = spark.sparkContext
     place = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not place:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="skein-checkpoint-")
         context.setCheckpointDir(place)
         place = context.getCheckpointDir() or place
@@ -21,14 +28,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it from there: what follows doesn't recompute df, and lost executors lose none of it."""
+    """Write df as a table in the shared folder and read it from there: what follows doesn't recompute df, and lost executors lose none of it.
+
+    Nothing asks for the shuffle files behind the table again, so Spark is told to drop them when the table is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # Spark drops the shuffle files behind the table once the driver's JVM has collected their handles
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, for mapInArrow; when a task ends, its worker, which others use after it, gives the memory that it doesn't need back to the system."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            _trim()
+
+    return run
+
+
 def row_at(df: DataFrame, column: str) -> DataFrame:
     """df with a number of its own for each row."""
     return df.withColumn(column, F.monotonically_increasing_id())

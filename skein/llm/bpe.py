@@ -2,48 +2,57 @@
 
 Each task cuts its texts with the tokenizer's pattern and keeps the distinct pieces that its worker hasn't met yet. Their bytes become token-position rows;
 a recursive query joins neighbouring tokens to the merge table, contracts each piece's leftmost pair of least rank, and ends at the fixpoint. A piece that is a token itself is that token, as in the
-tiktoken library. An ordered aggregation over the ids decodes them. Pieces don't depend on what stands around them, so that each worker encodes a piece once and
-looks it up after that. Where every space of a text stands alone between two characters that aren't white, no piece reaches over a space but at its own start: such texts are cut at their spaces, and the
-worker keeps the ids of what stands between two of them, too. The pattern must have this property (`spaced`; that of public_tokenizers does). The tables are emptied when they hold CACHED and CACHED_PARTS entries, and dropped by a worker that
-hasn't used them for IDLE seconds.
+tiktoken library. Pieces don't depend on what stands around them, so that a worker looks up those it knows; its tables hold PIECE_BYTES and PART_BYTES of what was used last. Decoding takes each document's own
+ids: rows of document, position and id join the vocabulary, and an ordered aggregation gives their bytes.
 
-Pieces of more than LONG bytes go through a second query, a few rounds at a time. There all non-overlapping places of the least pair are contracted at once, where the merged token can't start a
-pair of lower rank (`_Vocabulary.calm`); elsewhere only the leftmost is. The ids are the same.
+Where `spaced` holds for a pattern, texts are cut before spaces first, and the worker keeps the ids of these parts. It holds if no piece reaches over the place before a space, but may begin there, wherever the character
+before this place or the one behind the space isn't white: so for public_tokenizers.PATTERN. Texts with other spaces, and all texts of a pattern for which it doesn't hold, are cut by the pattern alone.
+
+Pieces of more than LONG bytes are cut into spans of SPAN bytes that are encoded each for itself and then joined two by two: the last WINDOW tokens of the one and the first WINDOW of the other are encoded anew
+as one string. If that string's first and last tokens are the old ones, the joined tokens are what the whole would have given; if not, the window is widened. This is exact: tokens are the encoding of their bytes if, and only if, any two
+neighbours are the encoding of theirs. (The first contraction that reached over a token's end would come up in the encoding of the two tokens there, too.) So time grows with the length, not its square. Windows that
+become longer than LONG bytes, such as runs of one character, go through a second query, a few rounds at a time: all non-overlapping places of the least pair are contracted at once where the merged token can't
+start a pair of lower rank (`calm`); elsewhere only the leftmost is.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
-import os
 import threading
 import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LONG = 48
-CACHED, CACHED_PARTS = 1_000_000, 150_000
+from skein.llm._shared import lean
+
+LONG, SPAN, WINDOW = 48, 32, 4
+#: Bytes that a worker's tables of pieces and of parts may take, keys, values and what Python adds.
+PIECE_BYTES, PART_BYTES = 96 << 20, 64 << 20
 #: Seconds after which a worker that does something else drops its tables.
 IDLE = 20
-CHUNK_CHARS = 2_000_000
+#: Bytes of text that are encoded at once, and ids that are decoded at once; longer texts go through in parts.
+CHUNK_BYTES, DECODED_IDS = 4 << 20, 500_000
 _ROUNDS = 16
+_ENTRY = 200  # what Python adds to a table's entry
 
-#: Rows of a piece (w) with the byte place (pos) of each token. new is the id, which is the rank, of the pair that starts there, size the bytes of its left token: the row at pos + size goes.
+#: Rows of a piece (w) with the byte place (pos) of each token and the place behind it (stop). best packs the rank of a piece's least pair, its place and the place where its right token starts, whose row goes.
 _ENCODE = """
 WITH RECURSIVE s AS (
   SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt, false AS done FROM start_rows
   UNION ALL
   SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos), done FROM (
-    SELECT s.w, s.pos, CASE WHEN s.pos = best & 4294967295 THEN CAST(best >> 32 AS INTEGER) ELSE s.tok END AS tok, best IS NULL AS done
+    SELECT s.w, s.pos, CASE WHEN s.pos = (best >> 16) & 65535 THEN CAST(best >> 32 AS INTEGER) ELSE s.tok END AS tok, best IS NULL AS done
     FROM s JOIN (
-      SELECT w, min((CAST(m.new AS BIGINT) << 32) + pos) AS best, min_by(m.size, (CAST(m.new AS BIGINT) << 32) + pos) AS size
+      SELECT w, min((CAST(m.new AS BIGINT) << 32) + (s.pos << 16) + s.pos + m.size) AS best
       FROM s LEFT JOIN merges m ON m.l = s.tok AND m.r = s.nxt WHERE NOT done GROUP BY w
     ) b ON b.w = s.w
-    WHERE best IS NULL OR s.pos <> (best & 4294967295) + size
+    WHERE best IS NULL OR s.pos <> best & 65535
   )
 )
 SELECT w, pos, tok FROM s WHERE done
@@ -74,14 +83,45 @@ SELECT w, pos, tok FROM s QUALIFY it = max(it) OVER (PARTITION BY w)
 """
 
 _DECODE = """
-SELECT r.w, string_agg(v.hex, '' ORDER BY r.pos) AS hex FROM token_rows r JOIN vocabulary v ON v.id = r.tok GROUP BY r.w
+SELECT r.w, list(v.bytes ORDER BY r.pos) AS parts FROM token_rows r JOIN vocabulary v ON v.id = r.tok GROUP BY r.w ORDER BY r.w
 """
 
 
+class _Recent:
+    """A table of what was used last, of about so many bytes at most: two generations, the older of which is dropped when the newer has half of them."""
+
+    def __init__(self, most: int):
+        self.most, self.size = most, 0
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def put(self, key: str, value: bytes) -> None:
+        if self.size > self.most // 2:
+            self.old, self.new, self.size = self.new, {}, 0
+        self.new[key] = value
+        self.size += len(key) + len(value) + _ENTRY
+
+    def get(self, keys: list[str]) -> list[bytes | None]:
+        """The values of distinct keys, None for those it doesn't have."""
+        out = list(map(self.new.get, keys))
+        if self.old:
+            for i, v in enumerate(out):
+                if v is None and (v := self.old.get(keys[i])) is not None:
+                    out[i] = v
+                    self.put(keys[i], v)
+        return out
+
+
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places starts[i] to starts[i] + lengths[i], one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
 class Codec:
     """A rank file and a pattern, in one worker."""
 
-    def __init__(self, ranks_path: str, pattern: str, spaced: bool = True):
+    def __init__(self, ranks_path: str, pattern: str, spaced: bool):
         import duckdb
         import regex
 
@@ -101,15 +141,16 @@ class Codec:
                     new.append(rank)
                     size.append(cut)
                     restless.update(x for x in (a, b) if x > rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        # what a query holds is bounded by the chunks, so that it needs no folder to spill to
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self._table("merges", l=np.array(left, np.int32), r=np.array(right, np.int32), new=np.array(new, np.int32), size=np.array(size, np.int32))
-        self._table("vocabulary", id=np.array(list(self.ranks.values()), np.int32), hex=[t.hex() for t in self.ranks])
+        self._table("vocabulary", id=np.array(list(self.ranks.values()), np.int32), bytes=pa.array(list(self.ranks), pa.binary()))
         self._table("calm", id=np.array([r for r in self.ranks.values() if r not in restless], np.int32))
+        self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int32)  # of each id, in bytes
+        for token, rank in self.ranks.items():
+            self.sizes[rank] = len(token)
         self.spaced = spaced
-        self.ids: dict[str, str] = {}  # of pieces
-        self.first: dict[str, str | None] = {}  # of what stands before a text's first space; None if it is empty, or white at an end
-        self.later: dict[str, str | None] = {}  # of what stands behind a space, with that space; likewise
-        self.unlike: dict[str, bytes] = {}  # what pieces decode to, where that isn't the piece (nowhere, with a sound rank file)
+        self.pieces, self.parts = _Recent(PIECE_BYTES), _Recent(PART_BYTES)
 
     def _table(self, name: str, **columns) -> None:
         self.db.register("given", pa.table({k: pa.array(v) for k, v in columns.items()}))
@@ -129,105 +170,203 @@ class Codec:
         finally:
             self.db.unregister(name)
 
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each piece."""
-        out: list[list[int]] = [[self.ranks[p]] if p in self.ranks else [] for p in pieces]
+    def _merged(self, strings: list[bytes]) -> list[np.ndarray]:
+        """The ids that merges give for each string, which isn't empty."""
+        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(strings)
         for long in (False, True):
-            todo = [i for i, p in enumerate(pieces) if p and not out[i] and (len(p) > LONG) == long]
+            todo = [i for i, p in enumerate(strings) if (len(p) > LONG) == long]
             while todo:
                 taken, size = 0, 0
-                while taken < len(todo) and (not taken or size + len(pieces[todo[taken]]) <= 400_000):
-                    size += len(pieces[todo[taken]])
+                while taken < len(todo) and (not taken or size + len(strings[todo[taken]]) <= 250_000):
+                    size += len(strings[todo[taken]])
                     taken += 1
                 some, todo = todo[:taken], todo[taken:]
-                w, pos, tok = self._rows([pieces[i] for i in some])
+                w, pos, tok = self._rows([strings[i] for i in some])
                 while True:
                     before = len(tok)
-                    got = self._ask(_ENCODE_LONG if long else _ENCODE, "start_rows", w, pos, tok).sort_by([("w", "ascending"), ("pos", "ascending")])
+                    got = self._ask(_ENCODE_LONG if long else _ENCODE, "start_rows", w, pos, tok)
                     w, pos, tok = (got[c].to_numpy() for c in ("w", "pos", "tok"))
+                    order = np.argsort((w.astype(np.int64) << 32) + pos)
+                    w, pos, tok = w[order], pos[order], tok[order]
                     if not long or len(tok) == before:
                         break
                 ends = np.cumsum(np.bincount(w, minlength=len(some)))
-                ids = tok.tolist()
-                for k, i in enumerate(some):
-                    out[i] = ids[(int(ends[k - 1]) if k else 0) : int(ends[k])]
+                for i, ids in zip(some, np.split(tok.astype(np.int32, copy=False), ends[:-1]), strict=True):
+                    out[i] = ids
         return out
 
-    def decode(self, ids: list[list[int]]) -> list[bytes]:
-        """The bytes of each list of ids."""
-        out = [b""] * len(ids)
-        lengths = np.array([len(x) for x in ids], np.int64)
-        if not lengths.sum():
-            return out
-        tok = np.fromiter((t for x in ids for t in x), np.int32, int(lengths.sum()))
-        pos = np.arange(len(tok)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        got = self._ask(_DECODE, "token_rows", np.repeat(np.arange(len(ids), dtype=np.int32), lengths), pos, tok)
-        for w, text in zip(got["w"].to_pylist(), got["hex"].to_pylist(), strict=True):
-            out[w] = bytes.fromhex(text)
+    def encode(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """The ids of each piece."""
+        out = [np.array([self.ranks[p]] if p in self.ranks else [], np.int32) for p in pieces]
+        todo = [i for i, p in enumerate(pieces) if p and not len(out[i])]
+        short = [i for i in todo if len(pieces[i]) <= LONG]
+        for i, ids in zip(short, self._merged([pieces[i] for i in short]), strict=True):
+            out[i] = ids
+        long = [i for i in todo if len(pieces[i]) > LONG]
+        for k in range(0, len(long), 1000):
+            for i, ids in zip(long[k : k + 1000], self._joined([pieces[i] for i in long[k : k + 1000]]), strict=True):
+                out[i] = ids
         return out
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode and decode what isn't in the worker's table yet."""
-        new = list(pieces - self.ids.keys())
-        if len(new) + len(self.ids) > CACHED:
-            self.ids.clear()
-            new = list(pieces)
+    def _joined(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """The ids of long pieces, from those of their spans."""
+        cut = [[p[k : k + SPAN] for k in range(0, len(p), SPAN)] for p in pieces]
+        flat = iter(self._merged([x for c in cut for x in c]))
+        spans = [[(x, next(flat)) for x in c] for c in cut]
+        while any(len(s) > 1 for s in spans):
+            pairs = [(i, k) for i, s in enumerate(spans) for k in range(0, len(s) - 1, 2)]
+            done: dict[tuple[int, int], np.ndarray] = {}
+            width = WINDOW
+            while len(done) < len(pairs):
+                tried = []
+                for i, k in pairs:
+                    if (i, k) not in done:
+                        (raw, a), (more, b) = spans[i][k], spans[i][k + 1]
+                        x, y = min(width, len(a)), min(width, len(b))
+                        tried.append((i, k, a, b, x, y, raw[len(raw) - int(self.sizes[a[len(a) - x :]].sum()) :] + more[: int(self.sizes[b[:y]].sum())]))
+                for (i, k, a, b, x, y, _), ids in zip(tried, self._merged([t[-1] for t in tried]), strict=True):
+                    if (x == len(a) or ids[0] == a[len(a) - x]) and (y == len(b) or ids[-1] == b[y - 1]):
+                        done[i, k] = np.concatenate([a[: len(a) - x], ids, b[y:]])
+                width *= 4
+            spans = [[(s[k][0] + s[k + 1][0], done[i, k]) if k + 1 < len(s) else s[k] for k in range(0, len(s), 2)] for i, s in enumerate(spans)]
+        return [s[0][1] for s in spans]
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> Iterator[bytes]:
+        """The bytes of each of the lists ids[bounds[i]:bounds[i + 1]]."""
+        lengths = np.diff(bounds)
+        lo = 0
+        while lo < len(lengths):
+            hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + DECODED_IDS, "right")) - 1)
+            out = [b""] * (hi - lo)
+            for a in range(int(bounds[lo]), int(bounds[hi]), DECODED_IDS):  # more than once for a long list only, whose parts follow each other
+                b = min(a + DECODED_IDS, int(bounds[hi]))
+                w = np.repeat(np.arange(hi - lo, dtype=np.int32), lengths[lo:hi])[a - int(bounds[lo]) : b - int(bounds[lo])]
+                got = self._ask(_DECODE, "token_rows", w, np.arange(b - a, dtype=np.int32), ids[a:b])
+                for part in got.to_batches():
+                    lists = part.column(1)
+                    tokens = lists.flatten()
+                    ends = np.cumsum(lists.value_lengths().to_numpy())
+                    _, at, data = tokens.buffers()
+                    at = np.frombuffer(at, np.int32)[tokens.offset : tokens.offset + len(tokens) + 1]
+                    view, first = memoryview(data), 0
+                    for doc, end in zip(part.column(0).to_pylist(), ends.tolist(), strict=True):
+                        out[doc] += bytes(view[at[first] : at[end]])
+                        first = end
+            yield from out
+            lo = hi
+
+    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids, as int32 bytes, of distinct pieces."""
+        out = self.pieces.get(pieces)
+        new = [i for i, v in enumerate(out) if v is None]
         for k in range(0, len(new), 50_000):
             some = new[k : k + 50_000]
-            raw = [p.encode() for p in some]
-            ids = self.encode(raw)
-            self.ids.update(zip(some, (",".join(map(str, x)) for x in ids), strict=True))
-            self.unlike.update((p, back) for p, r, back in zip(some, raw, self.decode(ids), strict=True) if r != back)
-
-    def _learn_spaced(self, known: dict[str, str | None], parts: set[str], before: str) -> None:
-        """Ids of parts of texts that were cut at spaces."""
-        new = list(parts - known.keys())
-        if len(new) + len(known) > CACHED_PARTS:
-            known.clear()
-            new = list(parts)
+            for i, ids in zip(some, self.encode([pieces[i].encode() for i in some]), strict=True):
+                out[i] = ids.tobytes()
+                self.pieces.put(pieces[i], out[i])
+        return out
+
+    def _of_parts(self, parts: list[str]) -> list[bytes]:
+        """The ids, as int32 bytes, of distinct parts of texts that were cut before spaces."""
+        out = self.parts.get(parts)
+        new = [i for i, v in enumerate(out) if v is None]
         for k in range(0, len(new), 100_000):
-            some = [x for x in new[k : k + 100_000] if x and not x[0].isspace() and not x[-1].isspace()]
-            pieces = [self.pattern.findall(before + x) for x in some]
-            self.learn({p for x in pieces for p in x})
-            known.update(dict.fromkeys(new[k : k + 100_000]))
-            known.update(zip(some, (",".join(map(self.ids.__getitem__, x)) for x in pieces), strict=True))
-
-    def _whole(self, text: str) -> str:
-        """The ids of a text without cutting it at spaces."""
-        pieces = self.pattern.findall(text)
-        self.learn(set(pieces))
-        return ",".join(map(self.ids.__getitem__, pieces))
-
-    def texts(self, texts: list[str | None]) -> Iterator[tuple[str, bytes]]:
-        """For each text, null as empty, its ids joined by commas and the bytes that they decode to."""
-        at = 0
-        while at < len(texts):
-            chunk, size = [], 0
-            while at < len(texts) and (not chunk or size + len(texts[at] or "") <= CHUNK_CHARS):
-                size += len(texts[at] or "")
-                chunk.append(texts[at] or "")
-                at += 1
-            cut = [t.split(" ") if self.spaced else [] for t in chunk]
-            self._learn_spaced(self.first, {c[0] for c in cut if c}, "")
-            self._learn_spaced(self.later, {x for c in cut for x in c[1:]}, " ")
-            for text, parts in zip(chunk, cut, strict=True):
-                try:
-                    ids = ",".join([self.first[parts[0]], *map(self.later.__getitem__, parts[1:])]) if parts else self._whole(text)
-                except TypeError:  # a part is None: some space doesn't stand alone
-                    ids = self._whole(text)
-                yield ids, self._bytes(text)
-
-    def _bytes(self, text: str) -> bytes:
-        """What the text's pieces decode to, as learn() has found."""
-        if not self.unlike:
-            return text.encode()
-        return b"".join(self.unlike.get(p, p.encode()) for p in self.pattern.findall(text))
-
-
-_codecs: dict[tuple[str, str], Codec] = {}
-_used: dict[tuple[str, str], float] = {}
+            some = new[k : k + 100_000]
+            cut = [self.pattern.findall(parts[i]) for i in some]
+            pieces = list({p for c in cut for p in c})
+            known = dict(zip(pieces, self._of_pieces(pieces), strict=True))
+            for i, c in zip(some, cut, strict=True):
+                out[i] = known[c[0]] if len(c) == 1 else b"".join(map(known.__getitem__, c))
+                self.parts.put(parts[i], out[i])
+        return out
+
+    def _by_pattern(self, text: str) -> np.ndarray:
+        """The ids of a text that isn't cut before."""
+        out, waiting = [], []
+
+        def flush():
+            pieces = list(set(waiting))
+            known = dict(zip(pieces, self._of_pieces(pieces), strict=True))
+            out.append(b"".join(map(known.__getitem__, waiting)))
+            waiting.clear()
+
+        for found in self.pattern.finditer(text):
+            waiting.append(found[0])
+            if len(waiting) == 200_000:
+                flush()
+        flush()
+        return np.frombuffer(b"".join(out), np.int32)
+
+    def _by_spaces(self, texts: pa.Array) -> list[np.ndarray | None]:
+        """The ids of each text; None for those with spaces at which it can't be cut."""
+        lists = pc.split_pattern(texts, " ")
+        flat = lists.flatten()
+        coded = flat.dictionary_encode()
+        parts, which = coded.dictionary, coded.indices.to_numpy()
+        ends = np.cumsum(lists.value_lengths().to_numpy())
+        starts = ends - lists.value_lengths().to_numpy()
+        filled = pc.greater(pc.binary_length(parts), 0)
+        solid_start, solid_end = (pc.and_not(filled, pc.utf8_is_space(pc.utf8_slice_codeunits(parts, *ends_at))).to_numpy(zero_copy_only=False)[which] for ends_at in ((0, 1), (-1,)))
+        can = solid_start
+        can[1:] |= solid_end[:-1]
+        can[starts] = True
+        sound = np.logical_and.reduceat(can, starts)
+        first = np.zeros(len(which), bool)
+        first[starts] = True
+        # the part behind a space has that space; a text's first part has none
+        used = np.repeat(sound, ends - starts)
+        key = (which * 2 + first)[used]
+        asked = np.zeros(2 * len(parts), bool)
+        asked[key] = True
+        distinct = np.flatnonzero(asked)
+        place = (np.cumsum(asked) - 1)[key]
+        behind = pc.take(parts, pa.array(distinct >> 1))
+        ids = self._of_parts(pc.if_else(pa.array(distinct % 2 == 1), behind, pc.binary_join_element_wise("", behind, " ")).to_pylist())
+        lengths = np.array([len(x) for x in ids], np.int64) // 4
+        all_ids = np.frombuffer(b"".join(ids), np.int32)
+        of_part = lengths[place]
+        out = all_ids[_ragged((np.cumsum(lengths) - lengths)[place], of_part)]
+        sums = np.zeros(len(which), np.int64)
+        sums[used] = of_part
+        each = iter(np.split(out, np.cumsum(np.add.reduceat(sums, starts)[sound])[:-1])) if sound.any() else iter(())
+        return [next(each) if s else None for s in sound.tolist()]
+
+    def _pieces_of_long(self, text: str) -> list[str]:
+        """A text of many bytes, cut before spaces that have no white neighbour."""
+        out, at, step = [], 0, CHUNK_BYTES // 4
+        while len(text) - at > step:
+            cut = at + step
+            while (cut := text.find(" ", cut)) >= 0 and (text[cut - 1].isspace() or cut + 1 == len(text) or text[cut + 1].isspace()):
+                cut += 1
+            if cut < 0:
+                break
+            out.append(text[at:cut])
+            at = cut
+        return [*out, text[at:]]
+
+    def ids(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For runs of texts, null as empty, their ids and the places in them where each text's begin, and the last one's end."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        before = np.append(0, np.cumsum(sizes))
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(before, before[lo] + CHUNK_BYTES, "right")) - 1)
+            some = texts.slice(lo, hi - lo).fill_null("")
+            if not self.spaced:
+                found = [self._by_pattern(t) for t in some.to_pylist()]
+            elif before[hi] - before[lo] > CHUNK_BYTES:
+                parts = [self._by_spaces(pa.array([p]))[0] for p in self._pieces_of_long(some[0].as_py())]
+                found = [np.concatenate(parts) if all(p is not None for p in parts) else self._by_pattern(some[0].as_py())]
+            else:
+                found = [self._by_pattern(some[i].as_py()) if x is None else x for i, x in enumerate(self._by_spaces(some))]
+            yield np.concatenate(found), np.append(0, np.cumsum([len(x) for x in found]))
+            lo = hi
+
+
+_codecs: dict[tuple[str, str, bool], Codec] = {}
+_used: dict[tuple[str, str, bool], float] = {}
 _lock = threading.Lock()
-_watched_by: list[int] = []
+_watching: list[threading.Thread] = []
 
 
 def _drop_idle() -> None:
@@ -240,82 +379,88 @@ def _drop_idle() -> None:
                 _used.pop(key, None)
 
 
-def codec(ranks_path: str, pattern: str) -> Codec:
+def codec(ranks_path: str, pattern: str, spaced: bool) -> Codec:
     """One for each worker."""
+    key = ranks_path, pattern, spaced
     with _lock:
-        if os.getpid() not in _watched_by:
-            _watched_by[:] = [os.getpid()]
-            threading.Thread(target=_drop_idle, daemon=True).start()
-        if (ranks_path, pattern) not in _codecs:
-            _codecs[ranks_path, pattern] = Codec(ranks_path, pattern)
-        _used[ranks_path, pattern] = time.monotonic()
-        return _codecs[ranks_path, pattern]
+        if not any(t.is_alive() for t in _watching):
+            _watching[:] = [threading.Thread(target=_drop_idle, daemon=True)]
+            _watching[0].start()
+        if key not in _codecs:
+            _codecs[key] = Codec(*key)
+        _used[key] = time.monotonic()
+        return _codecs[key]
 
 
-def _mapped(df: DataFrame, column: str, ranks_path: str, pattern: str, added: list[tuple[str, pa.DataType, T.DataType]], values) -> DataFrame:
-    """df with columns added; values(codec, list of the column's values) gives them."""
+def _mapped(df: DataFrame, column: str, setting: tuple[str, str, bool], added: list[tuple[str, pa.DataType, T.DataType]], values) -> DataFrame:
+    """df with columns added; values(codec, slice of the column) gives arrays of them, for runs of its rows."""
     names = [n for n, _, _ in added]
     df = df.drop(*names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern)
         for batch in batches:
-            codec(ranks_path, pattern)  # still in use
-            new = values(own, batch.column(batch.schema.get_field_index(column)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, t) for v, (_, t, _) in zip(new, added, strict=True))], names=[*batch.schema.names, *names])
+            own, at = codec(*setting), 0
+            for new in values(own, batch.column(batch.schema.get_field_index(column))):
+                n = len(new[0])
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, n).columns, *(pa.array(v, t) for v, (_, t, _) in zip(new, added, strict=True))], names=[*batch.schema.names, *names])
+                at += n
+                codec(*setting)  # still in use
 
-    return df.mapInArrow(work, T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, _, t in added)]))
+    return df.mapInArrow(lean(work), T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, _, t in added)]))
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
-    """df with token_ids (array<int>). Null texts are empty and have no ids; a column token_ids of df is replaced."""
+def _lists(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
 
-    def ids(own: Codec, texts):
-        return [[[int(i) for i in s.split(",")] if s else [] for s, _ in own.texts(texts)]]
 
-    return _mapped(df, text, ranks_path, pattern, [("token_ids", pa.list_(pa.int32()), T.ArrayType(T.IntegerType()))], ids)
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", spaced: bool = True) -> DataFrame:
+    """df with token_ids (array<int>). Null texts are empty and have no ids; a column token_ids of df is replaced. spaced: see above; false is right for any pattern, and slower."""
 
+    def ids(own: Codec, texts: pa.Array):
+        for got in own.ids(texts):
+            yield [_lists(*got)]
 
-def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids") -> DataFrame:
-    """df with decoded (binary), the bytes that the ids stand for. Null is no ids. An id that isn't in the rank file is an error."""
+    return _mapped(df, text, (ranks_path, pattern, spaced), [("token_ids", pa.list_(pa.int32()), T.ArrayType(T.IntegerType()))], ids)
 
-    def back(own: Codec, lists):
-        known = own.of_byte.size and set(own.ranks.values())
-        for x in lists:
-            if not known.issuperset(x or ()):
+
+def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids") -> DataFrame:
+    """df with decoded (binary), the bytes that the ids stand for; a column decoded of df is replaced. Null is no ids. An id that isn't in the rank file, or null, is an error."""
+
+    def back(own: Codec, lists: pa.Array):
+        known = np.zeros(len(own.sizes), bool)
+        known[list(own.ranks.values())] = True
+        for k in range(0, len(lists), 500):
+            some = lists.slice(k, 500)
+            if some.flatten().null_count:
+                raise ValueError("an id is null")
+            given = some.flatten().to_numpy()
+            if len(given) and (given.min() < 0 or given.max() >= len(known) or not known[given].all()):
                 raise ValueError("an id isn't in the rank file")
-        out: list[bytes] = []
-        for k in range(0, len(lists), 200):
-            out += own.decode([x or [] for x in lists[k : k + 200]])
-        return [out]
+            yield [list(own.decode(given, np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(some), 0).to_numpy(zero_copy_only=False)))))]
 
-    return _mapped(df, ids, ranks_path, pattern, [("decoded", pa.binary(), T.BinaryType())], back)
+    return _mapped(df, ids, (ranks_path, pattern, True), [("decoded", pa.binary(), T.BinaryType())], back)
 
 
-def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", spaced: bool = True) -> DataFrame:
     """df with token_ids (array<int>), n_tokens and decoded, the text that the ids decode to. Null texts are empty; columns of df with these names are replaced."""
 
-    def both(own: Codec, texts):
-        ids, decoded = [], []
-        for s, raw in own.texts(texts):
-            ids.append(np.fromstring(s, np.int32, sep=",") if s else np.empty(0, np.int32))
-            decoded.append(raw.decode())
-        return [ids, [len(x) for x in ids], decoded]
+    def both(own: Codec, texts: pa.Array):
+        for ids, bounds in own.ids(texts):
+            yield [_lists(ids, bounds), np.diff(bounds), [raw.decode() for raw in own.decode(ids, bounds)]]
 
     added = [("token_ids", pa.list_(pa.int32()), T.ArrayType(T.IntegerType())), ("n_tokens", pa.int64(), T.LongType()), ("decoded", pa.string(), T.StringType())]
-    return _mapped(df, text, ranks_path, pattern, added, both)
+    return _mapped(df, text, (ranks_path, pattern, spaced), added, both)
 
 
 def digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """One row per document: n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the decoded bytes)."""
 
-    def digests(own: Codec, texts):
-        n, ids, decoded = [], [], []
-        for s, raw in own.texts(texts):
-            n.append(s.count(",") + 1 if s else 0)
-            ids.append(hashlib.sha256(s.encode()).hexdigest())
-            decoded.append(hashlib.sha256(raw).hexdigest())
-        return [n, ids, decoded]
+    def digests(own: Codec, texts: pa.Array):
+        for ids, bounds in own.ids(texts):
+            names = pa.array(ids).cast(pa.string())
+            written = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), names), ",")
+            yield [np.diff(bounds), written, list(own.decode(ids, bounds))]
 
-    added = [("n_tokens", pa.int64(), T.LongType()), ("ids_sha256", pa.string(), T.StringType()), ("decoded_sha256", pa.string(), T.StringType())]
-    return _mapped(docs.select("doc_id", "text"), "text", ranks_path, pattern, added, digests).drop("text")
+    added = [("n_tokens", pa.int64(), T.LongType()), ("ids", pa.string(), T.StringType()), ("decoded", pa.binary(), T.BinaryType())]
+    out = _mapped(docs.select("doc_id", "text"), "text", (ranks_path, pattern, True), added, digests)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm._shared import row_at, written
+from skein.llm._shared import lean, row_at, written
 from skein.llm._words import ALNUM, signed, words_of
 
 WINDOW = 13
@@ -129,13 +129,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     out = T._parse_datatype_string(_SPANS)
     if parts == 1:
         grams = spark.sparkContext.broadcast(_NGrams([tuple(r) for r in tests.collect()], window))
-        return docs.mapInArrow(_scan(grams, text, docs.columns), T.StructType([*docs.schema.fields, *out.fields]))
+        return docs.mapInArrow(lean(_scan(grams, text, docs.columns)), T.StructType([*docs.schema.fields, *out.fields]))
     rows, found = written(row_at(docs, "__row"), "rows"), None
     texts = rows.select("__row", text)
     for part in range(parts):
         some = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         grams = spark.sparkContext.broadcast(_NGrams([tuple(r) for r in some.collect()], window))
-        hits = texts.mapInArrow(_scan(grams, text, ["__row"]), T.StructType([texts.schema["__row"], *out.fields]))
+        hits = texts.mapInArrow(lean(_scan(grams, text, ["__row"])), T.StructType([texts.schema["__row"], *out.fields]))
         hits = hits.where(F.size("spans") > 0) if part else hits
         found = hits if found is None else found.unionByName(hits)
     found = found.groupBy("__row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
@@ -165,7 +165,7 @@ def _cut(column: str):
 
 def remove_spans(found: DataFrame, text: str = "text") -> DataFrame:
     """Rows of contamination() with the hit words cut from their texts; what stood between words stays."""
-    return found.mapInArrow(_cut(text), found.schema)
+    return found.mapInArrow(lean(_cut(text)), found.schema)
 
 
 def contaminated(share: int = 20):

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from skein.llm._graph import components
-from skein.llm._shared import row_at, written
+from skein.llm._shared import lean, row_at, written
 from skein.llm._words import SPACED_LOWER, mix, signed, words_of
 
 SHINGLE, SHARE = 5, 80
@@ -126,7 +126,7 @@ def _estimated(pairs: DataFrame, sketch: DataFrame, share: int) -> DataFrame:
 
     with_b = pairs.join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
     both = with_b.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").select("a", "b", "sa", "sb")
-    return both.mapInArrow(agreeing, "a bigint, b bigint")
+    return both.mapInArrow(lean(agreeing), "a bigint, b bigint")
 
 
 def _full_sets(needed: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -140,7 +140,7 @@ def _full_sets(needed: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signed(s) for s in made], pa.list_(pa.int64()))], names=["node", "elements"]).filter(pa.array(same, pa.bool_()))
 
     texts = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"), "text").join(F.broadcast(needed) if few else needed, "__id").select("node", "key", "text")
-    return texts.mapInArrow(sets, "node bigint, elements array<bigint>").dropDuplicates(["node"])
+    return texts.mapInArrow(lean(sets), "node bigint, elements array<bigint>").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, full: DataFrame, share: int) -> DataFrame:
@@ -263,7 +263,7 @@ def _linked(docs: DataFrame, shingle: int, share: int) -> DataFrame:
     """row, doc_id, n_shingles, component_id and first_row (of the component's rows with the smallest id, the one with the smallest row; null ids behind all others), for docs with a column row."""
     least = -(-share // (100 - share))
     rows = docs.select("row", F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = written(rows.mapInArrow(_scan(shingle, least), "row bigint, doc_id bigint, n_shingles bigint, key binary, bands array<bigint>, sketch binary"), "sketched")
+    rows = written(rows.mapInArrow(lean(_scan(shingle, least)), "row bigint, doc_id bigint, n_shingles bigint, key binary, bands array<bigint>, sketch binary"), "sketched")
     total = rows.count()
     classes = rows.where("key is not null").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes")
@@ -280,7 +280,7 @@ def _linked(docs: DataFrame, shingle: int, share: int) -> DataFrame:
     apart = written(_apart(in_bands.drop("head"), labels, total), "apart")
     needed = written(keys.join(apart.select("node").distinct(), "node"), "needed")
     full = written(_full_sets(needed, docs, shingle).join(sketch, "node"), "sets")
-    more = apart.join(full, "node").repartition("group").sortWithinPartitions("group").mapInArrow(lambda batches: _forests(batches, share), "a bigint, b bigint")
+    more = apart.join(full, "node").repartition("group").sortWithinPartitions("group").mapInArrow(lean(lambda batches: _forests(batches, share)), "a bigint, b bigint")
     more = written(more.distinct(), "edges")
     if not more.isEmpty():
         labels = components(edges.unionByName(more))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm._shared import row_at, written
+from skein.llm._shared import lean, row_at, written
 from skein.llm._words import CHUNK_BYTES, texts_as_bytes
 
 DIMS, FILTERS, KERNEL, STEP, CHUNK = 4, 24, 8, 4, 256
@@ -213,7 +213,7 @@ def score(docs: DataFrame, weights: Weights, text: str = "text", out: str = "sco
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(weights, batch.column(batch.schema.get_field_index(text))))], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return docs.mapInArrow(lean(work), T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm._shared import hot_join, written
+from skein.llm._shared import hot_join, lean, written
 from skein.llm._words import SPACED, Words, mix, signed, words_of
 
 WINDOW, GRAM = 13, 7
@@ -284,18 +284,18 @@ def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = written(texts.mapInArrow(_described, "doc_id bigint, n_words bigint, all_words binary, class bigint").withColumn("ord", F.coalesce("doc_id", F.lit(_LAST))), "described")
+    rows = written(texts.mapInArrow(lean(_described), "doc_id bigint, n_words bigint, all_words binary, class bigint").withColumn("ord", F.coalesce("doc_id", F.lit(_LAST))), "described")
     classes = written(rows.groupBy("class").agg(F.min("ord").alias("least"), F.count(F.lit(1)).alias("n"), F.max("n_words").alias("n_words")), "classes")
     empty = np.empty(0, np.int64)
 
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_anchored(window, None), "key bigint, class bigint").distinct()
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(lean(_anchored(window, None)), "key bigint, class bigint").distinct()
     some = written(some, "sample")
     least = max(HOT, some.count() // HOT_KEYS)
     hot = some.groupBy("key").count().where(F.col("count") >= least).select("key").toPandas()["key"].to_numpy(np.int64)  # no more than HOT_KEYS
     hot = spark.sparkContext.broadcast(np.sort(hot) if len(hot) else empty)
 
-    keyed = texts.select("text").mapInArrow(_anchored(window, hot), "key bigint, class bigint")
-    shared = keyed.repartition("key").sortWithinPartitions("key", "class").mapInArrow(_shared, "class bigint, anchor bigint")
+    keyed = texts.select("text").mapInArrow(lean(_anchored(window, hot)), "key bigint, class bigint")
+    shared = keyed.repartition("key").sortWithinPartitions("key", "class").mapInArrow(lean(_shared), "class bigint, anchor bigint")
     shared = shared.groupBy("class").agg(F.collect_set("anchor").alias("anchors"))  # a document's at most
     needed = written(classes.select("class", F.col("least").alias("ord")).join(shared, "class"), "shared")
 
@@ -312,17 +312,17 @@ def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
 
     found = texts.select(F.coalesce("doc_id", F.lit(_LAST)).alias("ord"), "text").repartition("ord")
     found = found.join(needed.repartition("ord").hint("shuffle_hash"), "ord").select("class", "ord", "text", "anchors")
-    found = written(found.mapInArrow(own, found.schema), "involved")
+    found = written(found.mapInArrow(lean(own), found.schema), "involved")
 
-    segments = found.mapInArrow(_emitted(window, hot, False), "key bigint, seg bigint, words binary, ord bigint, n bigint").groupBy("key", "seg").agg(F.first("words").alias("words"), F.min("ord").alias("least"), F.sum("n").alias("n"))
-    matched = segments.repartition("key").sortWithinPartitions("key", "least").mapInArrow(_streamed(window), "key bigint, seg bigint, least bigint, n bigint, found binary")
+    segments = found.mapInArrow(lean(_emitted(window, hot, False)), "key bigint, seg bigint, words binary, ord bigint, n bigint").groupBy("key", "seg").agg(F.first("words").alias("words"), F.min("ord").alias("least"), F.sum("n").alias("n"))
+    matched = segments.repartition("key").sortWithinPartitions("key", "least").mapInArrow(lean(_streamed(window)), "key bigint, seg bigint, least bigint, n bigint, found binary")
     matched = written(matched, "matched")
     total = matched.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    places = written(found.mapInArrow(_emitted(window, hot, True), "class bigint, ord bigint, key bigint, seg bigint, first bigint, n_windows bigint"), "places")
+    places = written(found.mapInArrow(lean(_emitted(window, hot, True)), "class bigint, ord bigint, key bigint, seg bigint, first bigint, n_windows bigint"), "places")
     covers = hot_join(places, matched, ["key", "seg"], total)
     covers = covers.withColumn("found", F.when(F.col("ord") <= F.col("least"), F.col("found"))).where(F.col("found").isNull() | (F.regexp_replace(F.hex("found"), "0", "") != ""))
     covers = covers.groupBy("class").agg(F.collect_list(F.struct("first", "n_windows", "found")).alias("covers"))  # a document's
-    changed = found.select("class", "text").join(covers, "class").mapInArrow(_spanned(window), "class bigint, n_removed bigint, kept_words binary, kept_text string")
+    changed = found.select("class", "text").join(covers, "class").mapInArrow(lean(_spanned(window)), "class bigint, n_removed bigint, kept_words binary, kept_text string")
     return rows, classes.join(written(changed, "changed"), "class", "left")
 
 
@@ -352,7 +352,7 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             own = [_number(_class(w, d)) for w in words_of(batch.column(at), SPACED) for d in range(w.hi - w.lo)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=[*batch.schema.names, "__class"])
 
-    marked = docs.mapInArrow(named, T.StructType([*docs.schema.fields, T.StructField("__class", T.LongType())]))
+    marked = docs.mapInArrow(lean(named), T.StructType([*docs.schema.fields, T.StructField("__class", T.LongType())]))
     hot = F.broadcast(classes.where("__n > 10000"))
     cold = marked.join(hot.select("__class"), "__class", "left_anti").join(classes.where("__n <= 10000"), "__class", "left")
     both = marked.join(hot, "__class").unionByName(cold)

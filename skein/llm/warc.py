@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm._shared import salted_left_join, shared_dir
+from skein.llm._shared import lean, salted_left_join, shared_dir
 
 SPLIT_BYTES = 8 << 20
 FILE_BYTES = 64 << 20
@@ -92,7 +92,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, file_byt
         if out is not None:
             yield done()
 
-    files = rows.mapInArrow(write, "path string, bytes bigint, records bigint")
+    files = rows.mapInArrow(lean(write), "path string, bytes bigint, records bigint")
     files.write.mode("errorifexists").parquet(f"{folder.rstrip('/')}/_files")
     return pages.sparkSession.read.schema("path string, bytes bigint, records bigint").parquet(f"{folder.rstrip('/')}/_files")
 
@@ -226,7 +226,7 @@ def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame
                     for k in range(0, len(chain), 200):
                         yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in chain[k : k + 200]], kinds.get(n, pa.string())) for n in names], names=names)
 
-    return ranges.repartition("path", "first").mapInArrow(read, _SCHEMA)
+    return ranges.repartition("path", "first").mapInArrow(lean(read), _SCHEMA)
 
 
 def digest(pages: DataFrame) -> DataFrame:

@@ -399,8 +399,10 @@ def test_bpe(spark):
     rng = random.Random(4)
     texts = [None, "", " lead", "trail ", "a  b", "a \n b", "x\x1c y", "don't  we 'll", "  a b", "<|endoftext|>", "a" * 3000, " " * 700, "日本語 " * 40, "ab" * 400 + "c", "it's 12ab ...! c", "\x00\x01 é́"]
     texts += ["".join(rng.choice(a) for _ in range(rng.randrange(1, 120))) for a in ("ab ", "the ", "0123 ", "éèa\n ", "-=*# ") for _ in range(12)]
+    texts += ["foo bar\n baz  ", "\n\nfoo bar", "x\n ", "a   b", "".join(rng.choice("etaoinshrdlu") for _ in range(20_000)), "ab" * 30_000, "x y " * 4000, "x" * 70 + " " + "=" * 300, texts[0], "a b"]
     docs = frame(spark, list(enumerate(texts)))
-    got = {r["doc_id"]: r for r in bpe.digest(docs, path, pattern).collect()}
+    got = {r["doc_id"]: r for r in bpe.digest(docs.withColumn("n_tokens", F.lit("x")), path, pattern).collect()}
+    assert len(got) == len(texts)
     for i, t in enumerate(texts):
         ids = own.encode_ordinary(t or "")
         want = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
@@ -408,11 +410,51 @@ def test_bpe(spark):
     trip = bpe.decode(bpe.encode(docs.withColumn("token_ids", F.lit(0)), path, pattern), path, pattern)
     assert all(bytes(r["decoded"]).decode() == (r["text"] or "") for r in trip.collect())
     assert all(r["decoded"] == (r["text"] or "") and r["n_tokens"] == len(r["token_ids"]) for r in bpe.round_trip(docs, path, pattern).collect())
+    slow = {r["doc_id"]: list(r["token_ids"]) for r in bpe.encode(docs, path, pattern, spaced=False).collect()}
+    assert all(slow[i] == own.encode_ordinary(t or "") for i, t in enumerate(texts))
+    twice = bpe.round_trip(docs.unionAll(docs).withColumn("decoded", F.lit(1)), path, pattern).collect()
+    assert len(twice) == 2 * len(texts) and all(r["token_ids"] == slow[r["doc_id"]] for r in twice)
     with pytest.raises(Exception, match="isn't in the rank file"):
         bpe.decode(spark.createDataFrame([([10**6],)], "token_ids array<int>"), path, pattern).collect()
     assert bpe.digest(docs.limit(0), path, pattern).count() == 0
 
 
+def test_bpe_in_parts(monkeypatch):
+    """Chunks, tables and windows so small that everything is cut, emptied and widened."""
+    import pyarrow as pa
+    import public_tokenizers
+    import tiktoken
+
+    for name, value in (("CHUNK_BYTES", 400), ("DECODED_IDS", 7), ("PIECE_BYTES", 3000), ("PART_BYTES", 3000), ("WINDOW", 1), ("SPAN", 5), ("LONG", 9)):
+        monkeypatch.setattr(bpe, name, value)
+    own = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, True)
+    right = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    rng = random.Random(14)
+    texts = ["".join(rng.choice(a) for _ in range(rng.randrange(1, 900))) for a in ("ab", "a b", "etaoinshr", "etaoin ", "é日 \n", "  a", "aaab", "-= ") for _ in range(12)]
+    texts += ["e" * 500 + " " + "to the " * 300]
+    at = 0
+    for ids, bounds in own.ids(pa.array(texts)):
+        back = list(own.decode(ids, bounds))
+        for i in range(len(bounds) - 1):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == right.encode_ordinary(texts[at]) and back[i] == texts[at].encode()
+            at += 1
+    assert at == len(texts)
+
+
+def test_bpe_of_a_very_long_word():
+    import time
+
+    import numpy as np
+    import public_tokenizers
+
+    own = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, True)
+    rng = random.Random(15)
+    word = "".join(rng.choice("etaoinshrdluETA") for _ in range(200_000))
+    began = time.perf_counter()
+    ids = own.encode([word.encode()])[0]
+    assert next(own.decode(ids, np.array([0, len(ids)]))) == word.encode() and time.perf_counter() - began < 60
+
+
 def test_sharding(spark):
     rows = [(i, f"text {i % 90}" if i % 3 else f"alone {i}") for i in range(600)] + [(1000 + i, "hot") for i in range(300)] + [(5000, None), (5001, None), (5002, ""), (None, "x"), (5, "text 5")]
     docs = frame(spark, rows).withColumn("shard", F.lit("other"))

@@ -224,18 +224,22 @@ def test_topk(spark):
     centre = [[rng.uniform(-1, 1) for _ in range(6)] for _ in range(3)]
     rows = [(i, [x + rng.gauss(0, 0.2) for x in centre[i % 3]]) for i in range(0, 300)] + [(1000 + i, [0.5] * 6) for i in range(60)]
     rows += [(2000, None), (2001, []), (2002, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (2003, [float("nan")] * 6), (2004, [float("inf")] * 6), (2005, [1.0]), (None, [0.1] * 6), (300, [9.0] * 6), (300, [8.0] * 6), rows[4]]
-    best = {}
+    rows += [(400, [1e300, -1e300, 1.0, 0.0, 0.0, 0.0]), (402, [4e6] * 6), (404, [4e6, 4e6, -4e6, 0.0, 0.0, 0.0]), (420, [1.7e308] + [0.0] * 5), (440, [3e7, -3e7, 0.5, 0.5, 0.5, 0.5])]
+    sound = []
     for i, v in rows:
-        if i is not None and v and len(v) == 6 and all(x is not None and math.isfinite(x) for x in v):
-            whole = [math.floor(1024 * x) for x in v]
-            best[i] = min(best.get(i, whole), whole)
-    want = set()
-    for q in (i for i in best if i % 20 == 0):
-        scored = sorted(((-sum(a * b for a, b in zip(best[q], v, strict=True)), i) for i, v in best.items() if i != q))[:10]
-        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)}
-    vectors = frame(spark, rows, "vec_id bigint, embedding array<double>")
-    got = [tuple(r) for r in topk.search(vectors, every=20, pivots=5).collect()]
-    assert len(got) == len(want) and set(got) == want
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            whole = [math.floor(min(1024.0 * x, 1.7976931348623157e308)) for x in v]
+            sound.append((i, whole + [0] * (6 - len(v))))
+    cut = lambda s: max(-(2**63), min(2**63 - 1, s))
+    want = collections.Counter()
+    for n, (q, a) in enumerate(sound):
+        if q % 20 == 0:
+            scored = sorted((-cut(sum(x * y for x, y in zip(a, v, strict=True))), i) for m, (i, v) in enumerate(sound) if m != n)[:10]
+            want.update((q, r + 1, i, -s) for r, (s, i) in enumerate(scored))
+    vectors = frame(spark, rows, "vec_id bigint, embedding array<double>").withColumn("row", F.lit(1)).withColumn("query_id", F.lit("x"))
+    for pivots in (5, None):
+        got = collections.Counter(tuple(r) for r in topk.search(vectors, every=20, pivots=pivots).collect())
+        assert (got - want, want - got) == (collections.Counter(), collections.Counter())
     assert topk.search(vectors.limit(0)).count() == 0
     assert topk.search(vectors.where("vec_id in (0, 1, 2)"), every=100).count() == 2
 

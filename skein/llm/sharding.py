@@ -1,20 +1,20 @@
 """Sharding by balanced label propagation.
 
-Rows with equal texts are linked. All rows start on shards dealt in turn. In each round a Spark aggregation counts, for each linked group, its rows
+Rows with equal texts are linked. Heavy groups, of more than 1/HEAVY of all rows, of which there are fewer than HEAVY whatever the input, start whole on a shard each: the largest first, where most room is; only those larger
+than the room of any shard are cut, to as few parts as there can be. All other rows start on the shards in turn. In each round a Spark aggregation counts, for each linked group, its rows
 on each shard, and a join lets its other rows ask for the shard where most of the group is. What is asked for is summed into a table of
 shards x shards x 64 hash buckets; from it the driver (whose table has that size for any input) fixes which buckets may move, so that no shard gets more linked
 rows than its quota: exchanges between two shards first, then moves into free room. Rows without links fill each shard up to its quota at the end,
 so that shards have the same number of rows, give or take one.
 
-A group of more than half a shard's rows is dealt to parts of at most about that size, each of them moved as a group of its own. There are fewer than 2 * shards such groups, so that their list can be
-broadcast; joins broadcast what belongs to hot groups and parts, of which there are few, too.
+Joins broadcast what belongs to hot groups, of which there are few, too.
 """
 
 from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm._shared import hot_join, row_at, written
@@ -22,6 +22,7 @@ from skein.llm._shared import hot_join, row_at, written
 SHARDS = 16
 ROUNDS = 4
 _BUCKETS = 64
+HEAVY = 1024
 
 
 def _numbered(rows: DataFrame, by: list[str], out: str) -> DataFrame:
@@ -68,6 +69,29 @@ def _allowed(asked: dict[tuple[int, int], dict[int, int]], held: list[int], quot
     return moves
 
 
+def _by_room(room: list[int]) -> Column:
+    """The shard of the row with number __rank, if each shard takes the next so many rows."""
+    ends = list(itertools.accumulate(room))
+    shard = F.lit(len(room) - 1)
+    for j in reversed(range(len(room) - 1)):
+        shard = F.when(F.col("__rank") < ends[j], F.lit(j)).otherwise(shard)
+    return shard
+
+
+def _packed(groups: list[tuple[bytes, int]], room: list[int]) -> list[tuple[bytes, int, int, int]]:
+    """(group, first, end, shard): where rows first to end of each group go; room is lessened by them."""
+    out = []
+    for group, n in sorted(groups, key=lambda x: (-x[1], x[0])):
+        first = 0
+        while first < n:
+            j = max(range(len(room)), key=lambda j: (room[j], -j))
+            taken = min(n - first, room[j])
+            out.append((group, first, first + taken, j))
+            room[j] -= taken
+            first += taken
+    return out
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, text: str = "text") -> DataFrame:
     """The columns of docs but the text, with size, text_crc32, shard (from 0) and slot (gapless from 0 within the shard).
 
@@ -87,16 +111,16 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, text: st
     if not total:
         return rows.select(*others, "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("slot"))
     quota = [total // shards + (j < total % shards) for j in range(shards)]
-    most = max(1, total // (2 * shards))
-    heavy = rows.where("__group is not null").groupBy("__group").count().where(F.col("count") > most)
-    heavy = heavy.select("__group", F.ceil(F.col("count") / most).cast("bigint").alias("__parts"))  # fewer than 2 * shards + 1
-    state = _numbered(rows.select("__row", "__group"), [], "__rank").join(F.broadcast(heavy), "__group", "left")
-    state = state.select(
-        "__row",
-        F.when(F.col("__group").isNotNull(), F.xxhash64("__group", F.pmod("__rank", F.coalesce("__parts", F.lit(1))))).alias("__link"),
-        F.pmod("__rank", F.lit(shards)).cast("int").alias("shard"),
-    )
-    state = written(state, "shard-state")
+    counts = rows.where("__group is not null").groupBy("__group").agg(F.count(F.lit(1)).alias("n"))
+    heavy = [(bytes(g), n) for g, n in counts.where((F.col("n") > 1) & (F.col("n") * HEAVY > total)).collect()]  # fewer than HEAVY
+    packed = spark.createDataFrame(_packed(heavy, quota), "__group binary, __first bigint, __end bigint, shard int")  # quota: what is left for others
+    whole = rows.select("__row", "__group").join(F.broadcast(packed.select("__group").distinct()), "__group")
+    whole = _numbered(whole, ["__group"], "__at").join(F.broadcast(packed), "__group").where("__at >= __first AND __at < __end")
+    whole = written(whole.select("__row", "shard"), "shard-whole")
+    others_ = rows.select("__row", "__group").join(F.broadcast(packed.select("__group").distinct()), "__group", "left_anti")
+    state = _numbered(others_, [], "__rank")
+    state = written(state.select("__row", F.xxhash64("__group").alias("__link"), _by_room(quota).alias("shard"), F.col("__group").isNotNull().alias("__has")), "shard-state")
+    state = state.select("__row", F.when(F.col("__has"), F.col("__link")).alias("__link"), "shard")
     sizes = state.where("__link is not null").groupBy("__link").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     linked = written(hot_join(state, sizes, ["__link"], total).drop("n"), "shard-linked")
     full: list[int] = []  # shards without room after the last round; a group that isn't whole then tries for another
@@ -124,12 +148,9 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, text: st
     held = [0] * shards
     for j, n in linked.groupBy("shard").count().collect():
         held[j] = n
-    ends = list(itertools.accumulate(q - h for q, h in zip(quota, held, strict=True)))
     free = _numbered(state.join(linked, "__row", "left_anti").select("__row"), [], "__rank")
-    shard = F.lit(shards - 1)
-    for j in reversed(range(shards - 1)):
-        shard = F.when(F.col("__rank") < ends[j], F.lit(j)).otherwise(shard)
-    placed = linked.select("__row", "shard").unionByName(free.select("__row", shard.alias("shard")))
+    free = free.select("__row", _by_room([q - h for q, h in zip(quota, held, strict=True)]).alias("shard"))
+    placed = whole.unionByName(linked.select("__row", "shard")).unionByName(free)
     placed = _numbered(placed, ["shard"], "slot")
     return rows.join(placed, "__row").select(*others, "size", "text_crc32", "shard", "slot")
 

@@ -475,6 +475,42 @@ def test_sharding(spark):
     dealt = placed.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
     small = F.col("group") != F.md5(F.lit("hot"))
     assert sharding.cut_edges(placed.where(small), "group") < 0.2 * sharding.cut_edges(dealt.where(small), "group")
-    assert sharding.cut_edges(placed, "group") < 0.95 * sharding.cut_edges(dealt, "group")
+    unavoidable = (300**2 - 5 * 57**2 - 15**2) // 2  # five whole shards and the rest
+    assert sharding.cut_edges(placed.where(~small), "group") == unavoidable
     assert sharding.digest(docs.limit(0)).count() == 0
     assert sharding.digest(docs.limit(3)).count() == 3
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sharding_against_brute_force(spark, seed):
+    """Law, slots, sizes and whole groups; cut edges no more than those of a greedy placement of all groups on one machine allow for."""
+    rng = random.Random(seed)
+    sizes = [300, 62, 50, 50, 44, 30, 20, 12, *(rng.randrange(1, 9) for _ in range(60))]
+    texts = [f"group {g} " + "é" * rng.randrange(40) for g in range(len(sizes))]
+    rows = [t for t, n in zip(texts, sizes, strict=True) for _ in range(n)]
+    rows += [f"alone {i}" for i in range(1000 - len(rows) - 3)] + [None, None, "x" * 1_000_000]
+    rng.shuffle(rows)
+    rows = [(rng.randrange(900) if rng.random() < 0.98 else None, t) for t in rows]
+    docs = frame(spark, rows, parts=7).withColumn("slot", F.lit("s")).withColumn("size", F.lit("s"))
+    got = sharding.assign(docs.withColumn("group", F.md5("text"))).collect()
+    assert sharding.assign(docs).columns == ["doc_id", "size", "text_crc32", "shard", "slot"]
+    described = collections.Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == described
+    by_shard = collections.defaultdict(list)
+    for r in got:
+        by_shard[r["shard"]].append(r["slot"])
+    assert sorted(by_shard) == list(range(16)) and all(sorted(v) == list(range(len(v))) for v in by_shard.values())
+    assert {len(v) for v in by_shard.values()} <= {62, 63}
+    on = collections.defaultdict(collections.Counter)
+    for r in got:
+        if r["group"]:
+            on[r["group"]][r["shard"]] += 1
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert [len(on[digest(texts[g])]) for g in range(1, 8)] == [1] * 7  # no larger than a shard: whole
+    assert len(on[digest(texts[0])]) == 5  # 300 rows of 62 or 63
+    cut = sum((sum(c.values()) ** 2 - sum(n * n for n in c.values())) // 2 for c in on.values())
+    placed = spark.createDataFrame([(r["group"], r["shard"]) for r in got], "group string, shard int")
+    assert sharding.cut_edges(placed, "group") == cut
+    unavoidable = (300**2 - 4 * 63**2 - 48**2) // 2
+    small = sum(n * (n - 1) // 2 for n in sizes[8:])
+    assert cut <= unavoidable + 0.2 * small

@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from skein.llm._shared import lean, salted_left_join, shared_dir
 
-SPLIT_BYTES = 8 << 20
+SPLIT_BYTES = 4 << 20
 FILE_BYTES = 64 << 20
 CONFIRM_BYTES = 64 << 10
+BATCH_BYTES, TASKS = 4 << 20, 100_000
 _MAGIC = b"\x1f\x8b\x08"
 _BLOCK = 1 << 18
 _REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -61,7 +62,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, file_byt
 
     Of the rows whose payload (html in UTF-8, null: empty) is equal and has at least least_bytes bytes, that with the smallest page_id is a response and others are revisits of it; rows with that same page_id are
     responses too. Smaller payloads, and payloads whose rows have no page_id at all, are responses. A row without page_id that repeats another's payload is a revisit. A null url is empty.
-    A task that is run again writes files of new names; only those of the attempt that counts are in the table, which is stored in `folder` too.
+    Other columns have no part in it, whatever their names. A task that is run again writes files of new names; only those of the attempt that counts are in the table, which is stored in `folder` too.
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("__same", F.unhex(F.sha2("html", 256)))
@@ -178,55 +179,80 @@ def _parsed(raw: bytes) -> dict | None:
     }
 
 
-def _owned(path: str, size: int, start: int, end: int) -> Iterator[list[dict]]:
-    """The records that start in start to end, in lists for each chain of members."""
-    file, pos = _File(path, size), start
+def _start(file: _File, start: int, end: int) -> int | None:
+    """Where the first record that starts in start to end does; None if none does."""
+    if not start:
+        return 0 if file.member(0) else _start(file, 1, end)
+    pos = start
     while pos < end:
         view = file.at(pos, 3)
         if len(view) < 3:
-            return
+            return None
         hit = bytes(view).find(_MAGIC)
         if hit < 0:
             pos += max(1, len(view) - 2)
             continue
         pos += hit
         if pos >= end:
-            return
-        chain, p, sound = [], pos, True
-        while p < size:
+            return None
+        p = pos
+        while p < min(file.size, end + CONFIRM_BYTES):  # what starts behind the end are other ranges' records; they confirm the chain
             got = file.member(p)
-            fields = got and _parsed(got[0])
-            if not fields:
-                sound = False
+            if not got or not _parsed(got[0]):
                 break
-            if p < end:
-                chain.append({"path": path, "offset": p, **fields})
             p = got[1]
-            if p >= end + CONFIRM_BYTES:  # what starts behind the end are other ranges' records; they confirm the chain
-                break
-        if sound:
-            yield chain
-            return
+        else:
+            return pos
         pos += 1
+    return None
+
+
+def _owned(path: str, size: int, start: int, end: int) -> Iterator[dict]:
+    """The records that start in start to end, one after the other."""
+    file = _File(path, size)
+    pos = _start(file, start, end)
+    while pos is not None and pos < end:
+        got = file.member(pos)
+        fields = got and _parsed(got[0])
+        if not fields:  # of a damaged file: what follows is looked for anew
+            pos = _start(file, pos + 1, end)
+            continue
+        yield {"path": path, "offset": pos, **fields}
+        pos = got[1]
 
 
 def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """One row per record of the files (path, bytes): path, offset, record_type, record_id, target_uri, refers_to, payload_digest, payload_bytes, payload and digest_ok.
 
-    payload and digest_ok are null for revisits; payload_bytes is then what the kept HTTP header says. Memory: a task holds one range's records, decoded.
+    payload and digest_ok are null for revisits; payload_bytes is then what the kept HTTP header says. Null and negative sizes are no files. Other columns of files are left out, whatever their names. Tasks hold BATCH_BYTES
+    of decoded records, or one record that is larger. There are as many tasks as ranges, up to TASKS; then each reads several.
     """
     ranges = files.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bytes") - 1, F.lit(split_bytes).cast("bigint"))).alias("first"))
+    tasks = files.where("bytes > 0").agg(F.coalesce(F.sum(F.ceil(F.col("bytes") / split_bytes)), F.lit(1))).first()[0]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"offset": pa.int64(), "payload_bytes": pa.int64(), "payload": pa.binary(), "digest_ok": pa.bool_()}
         names = [x.split()[0] for x in _SCHEMA.split(", ")]
+        held: list[dict] = []
+
+        def flush():
+            rows = [pa.array([r[n] for r in held], kinds.get(n, pa.string())) for n in names]
+            held.clear()
+            return pa.RecordBatch.from_arrays(rows, names=names)
+
         for batch in batches:
             for path, size, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for chain in _owned(path, size, first, min(size, first + split_bytes)):
-                    for k in range(0, len(chain), 200):
-                        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in chain[k : k + 200]], kinds.get(n, pa.string())) for n in names], names=names)
-
-    return ranges.repartition("path", "first").mapInArrow(lean(read), _SCHEMA)
+                waiting = 0
+                for record in _owned(path, size, first, min(size, first + split_bytes)):
+                    held.append(record)
+                    waiting += len(record["payload"] or b"") + 500
+                    if waiting > BATCH_BYTES:
+                        yield flush()
+                        waiting = 0
+                if held:
+                    yield flush()
+
+    return ranges.repartition(int(min(TASKS, tasks)), "path", "first").mapInArrow(lean(read), _SCHEMA)
 
 
 def digest(pages: DataFrame) -> DataFrame:

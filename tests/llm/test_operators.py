@@ -165,13 +165,16 @@ def test_warc(spark, tmp_path):
         raw = (h or "").encode()
         again = page != first[h or ""]
         want[page, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if again else "response", first[h or ""] if again else None] += 1
-    assert collections.Counter(tuple(r) for r in warc.digest(pages).collect()) == want
+    assert collections.Counter(tuple(r) for r in warc.digest(pages.withColumn("first_id", F.lit(1)).withColumn("path", F.lit("p")).withColumn("bytes", F.lit(0))).collect()) == want
     assert warc.digest(pages.limit(0)).count() == 0
     files = warc.write_archives(pages, str(tmp_path / "a"), least_bytes=10, file_bytes=2000)
     whole = warc.read_archives(files)
     assert whole.where("record_type = 'revisit'").count() == 1 and whole.where("not digest_ok").count() == 0
     for split in (97, 1000):
         assert whole.exceptAll(warc.read_archives(files, split)).isEmpty() and warc.read_archives(files, split).count() == len(rows)
+    assert warc.read_archives(files, 1000).rdd.getNumPartitions() > 5
+    long = spark.createDataFrame([(1, None, "<p>word " * 2_000_000), (1, None, "<p>word " * 2_000_000), (2, "u", "short")], "page_id bigint, url string, html string")
+    assert sorted(r["payload_bytes"] for r in warc.digest(long).collect()) == [5, 16_000_000, 16_000_000]
     listed = warc.files_in(spark, str(tmp_path / "a" / "*.gz"))
     assert warc.read_archives(listed).count() == len(rows)
     # a payload that holds an archive, stored as it is

@@ -93,14 +93,20 @@ def test_licenses(spark):
             if -x[1] > reach:
                 kept.append(x)
                 reach = -x[1]
-        beaten = lambda k: (k and -kept[k - 1][1] >= kept[k][0] and kept[k - 1][2] < kept[k][2]) or (k + 1 < len(kept) and kept[k + 1][0] <= -kept[k][1] and kept[k + 1][2] < kept[k][2])
-        left = [x for k, x in enumerate(kept) if not beaten(k)]
+        left = []
+        for x in sorted(kept, key=lambda x: x[2]):
+            if not any(y[2] < x[2] and y[0] <= -x[1] and x[0] <= -y[1] for y in left):
+                left.append(x)
         starts, names = [x[0] for x in base], {x[4]["label"] for x in base}
         want[doc_id, len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(names)), ",".join(sorted(names | {x[4]["label"] for x in left})), max((x[4]["weight"] for x in base + left), default=0.0)] += 1
     docs = spark.createDataFrame(rows, DOCS)
     assert collections.Counter(tuple(r) for r in licenses.digest(docs).collect()) == want
     assert licenses.digest(docs.limit(0)).count() == 0
-    assert "label" in licenses.detections(docs.withColumn("url", F.lit("u"))).columns
+    clash = docs.withColumn("url", F.lit("u")).withColumn("label", F.lit(1)).withColumn("__row", F.lit("r")).withColumn("__doc", F.lit("d")).withColumn("first", F.lit("f"))
+    got = licenses.detections(clash)
+    assert got.columns == ["doc_id", "url", "__row", "__doc", "first", "label", "priority", "weight", "first_word", "last_word"]
+    assert {(r["url"], r["__row"], r["__doc"], r["first"]) for r in got.collect()} == {("u", "r", "d", "f")}
+    assert licenses.detections(docs.select("text")).count() == got.count()
     plan = licenses.digest(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
@@ -147,7 +153,7 @@ def test_licenses_each_rule_alone(spark):
             want[i] = ",".join(sorted({r["label"] for r in [best, *base]})), max(r["weight"] for r in [best, *base])
     assert len(rows) > 0.9 * len(texts)
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.digest(spark.createDataFrame(rows, DOCS)).collect()}
-    assert {i: (texts[i], got[i], w) for i, w in want.items() if got[i] != w} == {}
+    assert sorted({(texts[i], got[i], w) for i, w in want.items() if got[i] != w}) == []
 
 
 def test_warc(spark, tmp_path):

@@ -49,62 +49,55 @@ def neighbor_links(chunks: DataFrame, document: str, order: str, chunk: str) ->
     return chunks.withColumn("previous_id", F.lag(chunk).over(w)).withColumn("next_id", F.lead(chunk).over(w))
 
 
-def _boundaries(body: str) -> list[int]:
-    """Where a chunk may end: behind words and the spaces after them, paragraphs and sentences; behind any character if there is but one word."""
-    out = {0, len(body)}
-    out.update(m.end() for m in re.finditer(r"\S+(?:[ \t]+|\n*)", body))
-    out.update(m.end() for m in re.finditer(r"(?:\r?\n){2,}|(?<=[.!?。！？])(?:[ \t]+|\r?\n)", body))
-    return sorted(out) if len(out) > 2 else list(range(len(body) + 1))
-
-
-def _last_that_fits(fits: Callable[[int], bool], low: int, high: int) -> int | None:
-    """The largest number from low to high that fits; what is smaller than one that fits does so, too."""
-    if low > high or not fits(low):
-        return None
-    step = 1
-    while low + step <= high and fits(low + step):
-        low += step
-        step *= 2
-    high = min(high, low + step - 1)
-    while low < high:
-        middle = (low + high + 1) // 2
-        low, high = (middle, high) if fits(middle) else (low, middle - 1)
-    return low
+# Where a chunk may end, besides the ends of the body. Behind a word and what follows it on its line, or the line ends after it; behind blank lines; behind a sentence.
+WORD_END = r"\S+(?:[ \t]+|\n*)"
+PARAGRAPH_END = r"(?:\r?\n){2,}"
+SENTENCE_END = r"(?<=[.!?。！？])(?:[ \t]+|\r?\n)"
+
+
+class _Body:
+    """A document's text with the places where chunks may end, in order."""
+
+    def __init__(self, text: str):
+        self.text = text
+        inner = {found.end() for pattern in (WORD_END, PARAGRAPH_END, SENTENCE_END) for found in re.finditer(pattern, text)} - {0, len(text)}
+        self.places = sorted({0, len(text)} | inner) if inner else range(len(text) + 1)  # one word: behind any character
+
+    def trimmed(self, start: int, end: int) -> tuple[int, int]:
+        """The span without white space at its ends; empty, at its end, if there is nothing else."""
+        part = self.text[start:end]
+        first = start + len(part) - len(part.lstrip())
+        return first, max(first, start + len(part.rstrip()))
 
 
 def chunk_spans(body: str, prefix: str, count: Callable[[str], int], max_tokens: int = 768, overlap: int = 96) -> list[tuple[int, int]]:
-    """Greedy spans of a body: each as long as prefix and text stay within max_tokens; the next begins at the earliest boundary from which no more than `overlap` tokens are repeated."""
+    """Spans of a body in order, each as long as prefix and text hold max_tokens; the next begins at the earliest place from which no more than `overlap` tokens are repeated.
+
+    What is cut off by a nearer end, or begins later, has no more tokens, so that both places are found by bisection.
+    """
     if count(prefix) >= max_tokens:
         raise ValueError("the prefix leaves no room for text")
-    at, spans, start = _boundaries(body), [], 0
-    trim = lambda a, b: (a + len(body[a:b]) - len(body[a:b].lstrip()), a + len(body[a:b].rstrip()))
+    own, spans = _Body(body), []
+    start = own.trimmed(0, len(body))[0]
+    while start < len(body):
 
-    def fits(a: int, b: int) -> bool:
-        s, e = trim(a, b)
-        return e <= s or count(f"{prefix}\n{body[s:e]}") <= max_tokens
+        def too_long(end: int, start: int = start) -> bool:
+            s, e = own.trimmed(start, end)
+            return s < e and count(f"{prefix}\n{body[s:e]}") > max_tokens
 
-    while start < len(body):
-        start += len(body[start:]) - len(body[start:].lstrip())
-        if start >= len(body):
-            break
-        first = bisect_right(at, start)
-        best = _last_that_fits(lambda i, s=start: fits(s, at[i]), first, len(at) - 1)
-        if best is None:  # a word of its own that is too long
-            end = _last_that_fits(lambda e, s=start: fits(s, e), start + 1, len(body))
-            if end is None:
-                raise ValueError("the budget can't hold the text")
+        for ends in (own.places[bisect_right(own.places, start) :], range(start + 1, len(body) + 1)):  # the latter for a word that is too long
+            fitting = bisect_left(ends, True, key=too_long)
+            if fitting:
+                break
         else:
-            end = at[best]
-        s, e = trim(start, end)
+            raise ValueError("the budget can't hold the text")
+        s, e = own.trimmed(start, ends[fitting - 1])
         spans.append((s, e))
         if e >= len(body):
             break
-        next_start, low, high = e, bisect_left(at, s), bisect_left(at, e) - 1
-        if overlap:
-            back = _last_that_fits(lambda k, s=s, e=e, high=high: count(body[slice(*trim(at[high - k], e))]) <= overlap, 0, high - low)
-            if back is not None and at[high - back] > s:
-                next_start = at[high - back]
-        start = next_start if next_start > s else e
+        again = own.places[bisect_right(own.places, s) : bisect_left(own.places, e)] if overlap else []
+        kept = bisect_left(again, True, key=lambda a, e=e: count(body[slice(*own.trimmed(a, e))]) <= overlap)
+        start = own.trimmed(again[kept] if kept < len(again) else e, len(body))[0]
     return spans
 
 

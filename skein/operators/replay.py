@@ -1,6 +1,6 @@
 """Replay of append-only event logs through keyed state machines.
 
-The step functions are plain Python over dicts, shared by the batch form (one group of a key's events at a time) and the streaming form (skein.streaming). An event that breaks a rule stops its key: the row says so, or the job fails in strict mode.
+The step functions are plain Python over dicts, shared by the batch form (one group of a key's events at a time) and the streaming form (skein.streaming). An event that breaks a rule stops its key: the row has the rule's code, or the job fails in strict mode.
 """
 
 from __future__ import annotations
@@ -71,13 +71,13 @@ def _response_ok(response: dict) -> bool:
 
 def start_task(event: dict) -> dict:
     p = event["payload"]
-    _need(event["sequence"] == 1, "first event sequence must be one")
-    _need(event["event_type"] == "task_started", "first event must start the task")
-    _need(bool(re.fullmatch(r"task-[0-9a-f]{32}", event["task_id"])), "invalid task id")
-    _need(all(v > 0 for v in p["budgets"].values()), "budgets must be positive")
+    _need(event["sequence"] == 1, "bad_sequence")
+    _need(event["event_type"] == "task_started", "not_started")
+    _need(bool(re.fullmatch(r"task-[0-9a-f]{32}", event["task_id"])), "bad_task_id")
+    _need(all(v > 0 for v in p["budgets"].values()), "bad_budget")
     past = p.get("initial_messages", [])
-    _need(history_valid(past), "initial history is invalid")
-    _need(not past or p.get("session_link") is not None, "initial history requires a session link")
+    _need(history_valid(past), "bad_history")
+    _need(not past or p.get("session_link") is not None, "unlinked_history")
     return {
         "task_id": event["task_id"], "status": "created", "budgets": p["budgets"], "messages": [*past, {"role": "user", "content": [{"type": "text", "text": p["issue"]}]}],
         "evidence": {"items": []}, "in_flight": False, "stop": None, "calls": [], "results": [], "done": 0, "dispatched": 0, "active": None, "rounds": 0, "tool_calls": 0, "system": None,
@@ -87,7 +87,7 @@ def start_task(event: dict) -> dict:
 
 def _context_started(s: dict, p: dict) -> None:
     finished = s["status"] == "awaiting_tool" and s["calls"] and s["active"] is None and s["done"] == len(s["calls"]) == len(s["results"])
-    _need(s["status"] == "created" or finished, "context preparation requires created or fully processed tools")
+    _need(s["status"] == "created" or finished, "context_not_due")
     if finished:
         s["messages"].append({"role": "user", "content": [{"type": "tool_result", **r} for r in s["results"]]})
         s.update(calls=[], results=[], done=0, dispatched=0, active=None)
@@ -95,39 +95,39 @@ def _context_started(s: dict, p: dict) -> None:
 
 
 def _context_prepared(s: dict, p: dict) -> None:
-    _need(s["status"] == "preparing_context", "context prepared requires preparing context")
-    _need(_evidence_ok(p["evidence"]), "evidence is invalid")
+    _need(s["status"] == "preparing_context", "context_not_open")
+    _need(_evidence_ok(p["evidence"]), "bad_evidence")
     s.update(evidence=p["evidence"], status="awaiting_model", evidence_rounds=s["evidence_rounds"] + 1, evidence_items=s["evidence_items"] + len(p["evidence"].get("items", [])))
 
 
 def _no_match(s: dict, p: dict) -> None:
     done = [*s["messages"], {"role": "assistant", "content": [{"type": "text", "text": p["final_text"]}]}]
-    _need(s["status"] == "awaiting_model" and not s["in_flight"] and s["evidence"].get("authoritative_no_match", False) and p["final_text"] and history_valid(done), "no match requires authoritative empty evidence")
+    _need(s["status"] == "awaiting_model" and not s["in_flight"] and s["evidence"].get("authoritative_no_match", False) and p["final_text"] and history_valid(done), "no_match_not_due")
     s.update(messages=done, final_text=p["final_text"], status="completed")
 
 
 def _context_failed(s: dict, p: dict) -> None:
-    _need(s["status"] == "preparing_context", "context failure requires preparing context")
+    _need(s["status"] == "preparing_context", "context_not_open")
     s.update(error=p["error"], status="failed")
 
 
 def _model_started(s: dict, p: dict) -> None:
     r = p["request"]
-    _need(s["status"] == "awaiting_model" and not s["in_flight"] and s["stop"] is None, "model call requires an idle state")
-    _need(r["messages"] == s["messages"], "request messages differ from the state")
-    _need(_evidence_ok(r["evidence"]) and r["evidence"] == s["evidence"], "request evidence differs from the context")
-    _need(not (s["evidence"].get("tool_use_forbidden") and r.get("tools")), "retrieval-backed request can't expose tools")
-    _need(r["timeout_ms"] == s["budgets"]["model_timeout_ms"], "request timeout differs from the budget")
-    _need(s["system"] is None or r["system_prompt"] == s["system"], "system prompt changed")
+    _need(s["status"] == "awaiting_model" and not s["in_flight"] and s["stop"] is None, "model_not_due")
+    _need(r["messages"] == s["messages"], "request_messages")
+    _need(_evidence_ok(r["evidence"]) and r["evidence"] == s["evidence"], "request_evidence")
+    _need(not (s["evidence"].get("tool_use_forbidden") and r.get("tools")), "tools_forbidden")
+    _need(r["timeout_ms"] == s["budgets"]["model_timeout_ms"], "request_timeout")
+    _need(s["system"] is None or r["system_prompt"] == s["system"], "request_system")
     s.update(in_flight=True, system=r["system_prompt"], rounds=s["rounds"] + 1, requests_with_evidence=s["requests_with_evidence"] + bool(r["evidence"].get("items")))
 
 
 def _model_succeeded(s: dict, p: dict) -> None:
     r = p["response"]
-    _need(s["status"] == "awaiting_model" and s["in_flight"], "model success requires a call in flight")
-    _need(_response_ok(r), "model response is invalid")
+    _need(s["status"] == "awaiting_model" and s["in_flight"], "no_model_call")
+    _need(_response_ok(r), "bad_response")
     calls = [{k: b[k] for k in ("id", "name", "arguments")} for b in r["content"] if b["type"] == "tool_use"]
-    _need(not (s["evidence"].get("tool_use_forbidden") and calls), "retrieval evidence can't authorize tool calls")
+    _need(not (s["evidence"].get("tool_use_forbidden") and calls), "tools_forbidden")
     s["messages"].append({"role": "assistant", "content": r["content"]})
     s.update(in_flight=False, stop=r["stop_reason"])
     if calls:
@@ -135,12 +135,12 @@ def _model_succeeded(s: dict, p: dict) -> None:
 
 
 def _model_failed(s: dict, p: dict) -> None:
-    _need(s["status"] == "awaiting_model" and s["in_flight"], "model failure requires a call in flight")
+    _need(s["status"] == "awaiting_model" and s["in_flight"], "no_model_call")
     s.update(in_flight=False, stop=None, error=p["error"], status="failed")
 
 
 def _tool_started(s: dict, p: dict) -> None:
-    _need(s["status"] == "awaiting_tool" and s["dispatched"] < len(s["calls"]) and p["call"] == s["calls"][s["dispatched"]], "tool start isn't the next pending call")
+    _need(s["status"] == "awaiting_tool" and s["dispatched"] < len(s["calls"]) and p["call"] == s["calls"][s["dispatched"]], "tool_order")
     if s["dispatched"] == s["done"]:
         s["active"] = p["call"]["id"]
     s.update(dispatched=s["dispatched"] + 1, tool_calls=s["tool_calls"] + 1)
@@ -151,7 +151,7 @@ def _head(s: dict, call_id: str) -> bool:
 
 
 def _tool_succeeded(s: dict, p: dict) -> None:
-    _need(_head(s, p["result"]["tool_call_id"]), "tool result isn't the next pending call's")
+    _need(_head(s, p["result"]["tool_call_id"]), "tool_order")
     s["results"].append(p["result"])
     s.update(done=s["done"] + 1, tool_errors=s["tool_errors"] + bool(p["result"].get("is_error")))
     more = s["dispatched"] > s["done"] and s["tool_calls"] < s["budgets"]["max_tool_calls"]
@@ -159,14 +159,14 @@ def _tool_succeeded(s: dict, p: dict) -> None:
 
 
 def _tool_failed(s: dict, p: dict) -> None:
-    _need(_head(s, p["tool_call_id"]), "tool failure isn't the next pending call's")
+    _need(_head(s, p["tool_call_id"]), "tool_order")
     s.update(active=None, error=p["error"], status="failed")
 
 
 def _completed(s: dict, p: dict) -> None:
     last = s["messages"][-1]
     ok = s["status"] == "awaiting_model" and not s["in_flight"] and not s["calls"] and last["role"] == "assistant" and s["stop"] in ("end_turn", "stop_sequence")
-    _need(ok and not any(b["type"] == "tool_use" for b in last["content"]) and p["final_text"] == text_of(last["content"]), "completion must match the accepted response")
+    _need(ok and not any(b["type"] == "tool_use" for b in last["content"]) and p["final_text"] == text_of(last["content"]), "completion_differs")
     s.update(final_text=p["final_text"], status="completed")
 
 
@@ -182,16 +182,16 @@ def _budget_exceeded(s: dict, p: dict) -> None:
     if name == "max_tokens":
         last = s["messages"][-1]
         ok = s["status"] == "awaiting_model" and idle and s["stop"] == "max_tokens" and last["role"] == "assistant" and not any(b["type"] == "tool_use" for b in last["content"])
-        _need(ok and p["error"]["message"] == "model output token budget exceeded", "budget end doesn't match the response")
+        _need(ok and p["error"]["message"] == "model output token budget exceeded", "budget_not_spent")
     else:
-        _need(p["error"]["message"] == f"{name} budget exceeded" and s["stop"] not in ("max_tokens", "end_turn", "stop_sequence"), "budget end isn't a guard")
+        _need(p["error"]["message"] == f"{name} budget exceeded" and s["stop"] not in ("max_tokens", "end_turn", "stop_sequence"), "budget_not_spent")
         left = s["done"] < len(s["calls"])
         guards = {
             "max_task_time_ms": s["status"] in ("preparing_context", "awaiting_model") or (s["status"] == "awaiting_tool" and left),
             "max_model_rounds": idle and s["active"] is None and s["status"] == "awaiting_model" and s["stop"] is None and s["rounds"] >= s["budgets"]["max_model_rounds"],
             "max_tool_calls": idle and s["active"] is None and s["status"] == "awaiting_tool" and s["stop"] == "tool_use" and left and s["tool_calls"] >= s["budgets"]["max_tool_calls"],
         }
-        _need(guards.get(name, False), "budget isn't exhausted")
+        _need(guards.get(name, False), "budget_not_spent")
     s.update(error=p["error"], status="budget_exceeded")
 
 
@@ -204,14 +204,14 @@ STEPS: dict[str, Callable[[dict, dict], None]] = {
 
 def task_step(state: dict | None, event: dict) -> dict:
     """The next state of a task. The state given isn't used any more after an error."""
-    _need(event["schema_version"] == 1, "unsupported schema version")
+    _need(event["schema_version"] == 1, "schema_version")
     if state is None:
         return start_task(event)
-    _need(event["task_id"] == state["task_id"], "event of another task")
-    _need(event["sequence"] == state["last_sequence"] + 1, "sequence is not contiguous")
-    _need(state["status"] not in TERMINAL, "terminal state rejects further events")
+    _need(event["task_id"] == state["task_id"], "other_task")
+    _need(event["sequence"] == state["last_sequence"] + 1, "bad_sequence")
+    _need(state["status"] not in TERMINAL, "already_ended")
     step = STEPS.get(event["event_type"])
-    _need(step is not None, "task has already started" if event["event_type"] == "task_started" else "unknown event")
+    _need(step is not None, "already_started" if event["event_type"] == "task_started" else "unknown_event")
     step(state, event["payload"])
     state["last_sequence"] = event["sequence"]
     return state
@@ -225,22 +225,22 @@ def memory_step(state: dict, event: dict) -> dict:
     """The next state of the memory log, {} at first: active entries, used ids, checkpoints of sessions."""
     state = state or {"active": {}, "used": [], "checkpoints": {}, "last_sequence": 0, "last_timestamp": ""}
     normal = lambda t: t[:19] + ".000Z" if len(t) == 20 else t
-    _need(event["sequence"] == state["last_sequence"] + 1 and normal(event["timestamp"]) >= normal(state["last_timestamp"] or ""), "out of order")
+    _need(event["sequence"] == state["last_sequence"] + 1 and normal(event["timestamp"]) >= normal(state["last_timestamp"] or ""), "bad_sequence")
     p, kind = event["payload"], event["event_type"]
     if kind == "memory_upserted":
         e = p["entry"]
         old = state["active"].get(e["memory_id"])
         if old is None:
-            _need(e["memory_id"] not in state["used"] and normal(e["created_at"]) == normal(e["updated_at"]), "id was used before")
+            _need(e["memory_id"] not in state["used"] and normal(e["created_at"]) == normal(e["updated_at"]), "id_reused")
             state["used"].append(e["memory_id"])
         else:
             fixed = ("category", "scope", "source_session_id", "source_turn_start", "source_turn_end", "created_at", "origin")
-            _need(all(old[k] == e[k] for k in fixed) and old["content"] != e["content"] and normal(e["updated_at"]) > normal(old["updated_at"]), "entry changes what is fixed")
+            _need(all(old[k] == e[k] for k in fixed) and old["content"] != e["content"] and normal(e["updated_at"]) > normal(old["updated_at"]), "fixed_field")
         state["active"][e["memory_id"]] = e
     elif kind == "memory_forgotten":
-        _need(state["active"].pop(p["memory_id"], None) is not None, "nothing to forget")
+        _need(state["active"].pop(p["memory_id"], None) is not None, "not_active")
     else:
-        _need(p["through_turn"] > state["checkpoints"].get(p["session_id"], -1), "checkpoint goes back")
+        _need(p["through_turn"] > state["checkpoints"].get(p["session_id"], -1), "checkpoint_back")
         state["checkpoints"][p["session_id"]] = p["through_turn"]
     state.update(last_sequence=event["sequence"], last_timestamp=event["timestamp"])
     return state
@@ -250,23 +250,23 @@ def session_step(state: dict | None, event: dict) -> dict:
     """The next state of a session: turns start, and are committed or fail; compaction keeps the turns behind it."""
     p, kind = event["payload"], event["event_type"]
     if state is None:
-        _need(event["sequence"] == 1 and kind == "session_started", "first event must start the session")
+        _need(event["sequence"] == 1 and kind == "session_started", "not_started")
         return {"session_id": event["session_id"], "turns": [], "pending": None, "last_turn": 0, "compacted_through": 0, "summary": None, "last_sequence": 1, "last_timestamp": event["timestamp"]}
-    _need(event["session_id"] == state["session_id"] and event["sequence"] == state["last_sequence"] + 1, "sequence is not contiguous")
+    _need(event["session_id"] == state["session_id"] and event["sequence"] == state["last_sequence"] + 1, "bad_sequence")
     if kind == "session_turn_started":
-        _need(state["pending"] is None and p["turn_index"] > state["last_turn"], "a turn is pending, or the index goes back")
+        _need(state["pending"] is None and p["turn_index"] > state["last_turn"], "turn_order")
         state.update(pending=p, last_turn=p["turn_index"])
     elif kind in ("session_turn_committed", "session_turn_failed"):
-        _need(state["pending"] is not None and state["pending"]["turn_index"] == p["turn_index"] and state["pending"]["task_id"] == p["task_id"], "no such turn is pending")
+        _need(state["pending"] is not None and state["pending"]["turn_index"] == p["turn_index"] and state["pending"]["task_id"] == p["task_id"], "no_pending_turn")
         if kind == "session_turn_committed":
-            _need(history_valid(p["messages"]), "committed history is invalid")
+            _need(history_valid(p["messages"]), "bad_history")
             state["turns"].append({"turn_index": p["turn_index"], "messages": p["messages"]})
         state["pending"] = None
     elif kind == "session_compacted":
-        _need(state["pending"] is None and state["compacted_through"] < p["through_turn"] and any(t["turn_index"] == p["through_turn"] for t in state["turns"]), "nothing to compact")
+        _need(state["pending"] is None and state["compacted_through"] < p["through_turn"] and any(t["turn_index"] == p["through_turn"] for t in state["turns"]), "nothing_to_compact")
         state.update(summary=p["summary"], compacted_through=p["through_turn"], turns=[t for t in state["turns"] if t["turn_index"] > p["through_turn"]])
     else:
-        raise Rejected("session has already started")
+        raise Rejected("already_started")
     state.update(last_sequence=event["sequence"], last_timestamp=event["timestamp"])
     return state
 

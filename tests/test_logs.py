@@ -79,7 +79,7 @@ def test_replay_modes(spark):
     events = spark.createDataFrame(pd.DataFrame(rows))
     got = {r["task_id"][-1]: r for r in replay.replay_tasks(events, strict=False).collect()}
     assert [got[str(k)]["status"] for k in range(4)] == ["completed", "failed", "cancelled", "awaiting_model"] and got["3"]["error"]
-    with pytest.raises(Exception, match="completion must match"):
+    with pytest.raises(Exception, match="completion_differs"):
         replay.replay_tasks(events).collect()
 
 

@@ -25,14 +25,24 @@ def test_rrf(spark):
     assert [r["d"] for r in got] == ["shared", "dense", "lexical"] and got[0]["score"] == pytest.approx(4 / 62)
 
 
-def test_selection():
+def selected(spark, hits, top_k, room, required=()):
+    schema = "q int, chunk_id string, document_id string, sha256 string, bytes bigint, neighbor_of string, rank int, required int"
+    rows = [(1, h["chunk_id"], h["document_id"], h["sha256"], h["bytes"], h["neighbor_of"], i, required.index(h["document_id"]) if h["document_id"] in required else None) for i, h in enumerate(hits)]
+    return [r["chunk_id"] for r in search.select_evidence(spark.createDataFrame(rows, schema), "q", top_k, room).orderBy("place").collect()]
+
+
+def test_selection(spark):
     hits = [hit("p1", "d1", "x"), hit("p2", "d2", "x"), hit("p3", "d1", "y"), hit("p4", "d1", "z"), hit("p5", "d2", "w")]
-    assert search.select_rows(hits, 5, 100, []) == ["p1", "p3", "p5"]
-    assert search.select_rows([hit("long", size=30), hit("short", size=4)], 5, 10, []) == ["short"]
-    assert search.select_rows([], 5, 10, []) == []
+    assert selected(spark, hits, 5, 100) == ["p1", "p3", "p5"]
+    assert selected(spark, [hit("long", size=30), hit("short", size=4)], 5, 10) == ["short"]
+    assert selected(spark, [], 5, 10) == []
     around = [hit("a", "d1"), hit("b", "d2"), hit("n", "d1", neighbor_of="a")]
-    assert search.select_rows(around, 2, 100, []) == ["a", "n"]
-    assert search.select_rows(around, 2, 100, ["d2", "d1"]) == ["b", "a"]
+    assert selected(spark, around, 2, 100) == ["a", "n"]
+    assert selected(spark, around, 2, 100, ["d2", "d1"]) == ["b", "a"]
+    assert selected(spark, around, 3, 100, ["d2"]) == ["b", "a", "n"]  # b has no neighbour; n comes when a is there
+    capped = [*hits[:1], hits[2], hit("p4", "d1", "z"), hit("p6", "d3", "z")]
+    assert selected(spark, capped, 5, 100) == ["p1", "p3", "p6"]  # p4 is a document's third, so that its content is free
+    assert selected(spark, [hit("a", "d1", size=6), hit("n", "d1", size=6, neighbor_of="a"), hit("b", "d2", size=4)], 3, 10) == ["a", "b"]
 
 
 def test_greedy_budget_skips_and_goes_on(spark):

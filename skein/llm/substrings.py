@@ -7,8 +7,8 @@ cut by content instead. Each window picks the least-hashed of its GRAM-word gram
 anchors that occur in different documents matter. Their segments, copies summed up, meet by anchor; in each shard they are streamed in the order of their smallest document: each gets its
 matching statistics against the automaton of the segments of smaller documents, whose matches of at least `window` words are the maximal spans to remove, and is then added to it.
 
-Documents with equal word sequences are one class, of which only the smallest is looked at: all words of the others go (if they have a window at all). An anchor that occurs in a large share of
-a sample of the documents is split: its windows are segments of their own, keyed by all their words. The sample decides on the way only, and not on results.
+Documents with equal word sequences are one class, of which only the smallest is looked at: all words of the others go (if they have a window at all). Grams that occur in a large share of
+a sample of the documents are hot: they become anchors only of windows all of whose grams are hot, and such windows are segments of their own, keyed by all their words. The sample decides on the way only, and not on results.
 """
 
 from __future__ import annotations
@@ -83,16 +83,24 @@ class Automaton:
         return out
 
 
-def _segments(w: Words, k: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _among(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which keys are in hot, which is sorted."""
+    if not len(hot) or not len(keys):
+        return np.zeros(len(keys), bool)
+    return hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
+
+
+def _segments(w: Words, k: int, h: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The anchor, the first and the last window of each segment, for words with hashes h."""
     gram = min(GRAM, k)
     grams = w.window_hashes(h, gram)
     n = len(h)
     if n < k:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    rank = grams >> np.uint64(1)
+    rank = grams >> np.uint64(2)
+    rank |= _among(signed(grams), hot).astype(np.uint64) << np.uint64(63)
     letters = np.concatenate(([0], np.cumsum(w.ends - w.starts)))
-    rank[: n - gram + 1] |= (letters[gram:] - letters[: n - gram + 1] + gram - 1 < LONG_GRAM).astype(np.uint64) << np.uint64(63)
+    rank[: n - gram + 1] |= (letters[gram:] - letters[: n - gram + 1] + gram - 1 < LONG_GRAM).astype(np.uint64) << np.uint64(62)
     windows = n - k + 1
     best, at = rank[:windows].copy(), np.arange(windows)
     for j in range(1, k - gram + 1):
@@ -127,19 +135,35 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n) if n else np.empty(0, np.int64), pa.int64()), pa.array(digest, pa.binary()), pa.array([_number(x) for x in digest], pa.int64())], names=["doc_id", "n_words", "all_words", "class"])
 
 
+def _grams(k: int):
+    """key and class of each gram of the texts that have a window."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in words_of(batch.column(0), SPACED):
+                gram = min(GRAM, k)
+                grams, doc, inside = w.window_hashes(w.hashes(), gram), w.doc_of_word(), w.inside(gram)
+                long = w.counts >= k
+                keep = inside & long[doc] if len(doc) else inside
+                classes = np.array([_number(_class(w, d)) if long[d] else 0 for d in range(w.hi - w.lo)], np.int64)
+                pairs = np.unique(np.column_stack([signed(grams[keep]), classes[doc[keep]]]), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["key", "class"])
+
+    return work
+
+
 def _anchored(k: int, hot):
     """key and class of each segment of each text. Segments with a hot anchor are marked in the class' lowest bit, and spread over keys."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in words_of(batch.column(0), SPACED):
-                anchor, first, _ = _segments(w, k, w.hashes())
+                anchor, first, _ = _segments(w, k, w.hashes(), hot.value)
                 classes = np.array([_number(_class(w, d)) if w.bounds[d + 1] - w.bounds[d] >= k else 0 for d in range(w.hi - w.lo)], np.int64)
                 key, own = signed(anchor), classes[w.doc_of_word()[first]]
-                if hot is not None:
-                    mark = np.isin(key, hot.value)
-                    key = np.where(mark, key ^ own, key)
-                    own = own | mark
+                mark = _among(key, hot.value)
+                key = np.where(mark, key ^ own, key)
+                own = own | mark
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own)], names=["key", "class"])
 
     return work
@@ -176,13 +200,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _picked(w: Words, k: int, anchors: list[list[int] | None], hot: np.ndarray):
     """The text, key, hash, first word and end of each segment whose anchor is shared (by text) or hot; of hot anchors each window is a segment of its own, keyed by its words."""
     h = w.hashes()
-    anchor, first, last = _segments(w, k, h)
+    anchor, first, last = _segments(w, k, h, hot)
     doc = w.doc_of_word()[first]
     key = signed(anchor)
     owner = np.repeat(np.arange(len(anchors)), [len(a or ()) for a in anchors])
     own = np.array([x for a in anchors for x in a or ()], np.int64)
     paired = lambda d, x: mix(x.astype(np.int64).view(np.uint64) ^ mix(d.astype(np.uint64)))
-    is_hot = np.isin(key, hot)
+    is_hot = _among(key, hot)
     is_shared = np.isin(paired(doc, key), paired(owner, own)) & ~is_hot
     sizes = (last - first + 1)[is_hot]
     window = np.repeat(first[is_hot] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
@@ -288,7 +312,7 @@ def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     classes = written(rows.groupBy("class").agg(F.min("ord").alias("least"), F.count(F.lit(1)).alias("n"), F.max("n_words").alias("n_words")), "classes")
     empty = np.empty(0, np.int64)
 
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(lean(_anchored(window, None)), "key bigint, class bigint").distinct()
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(lean(_grams(window)), "key bigint, class bigint").distinct()
     some = written(some, "sample")
     least = max(HOT, some.count() // HOT_KEYS)
     hot = some.groupBy("key").count().where(F.col("count") >= least).select("key").toPandas()["key"].to_numpy(np.int64)  # no more than HOT_KEYS
@@ -342,7 +366,8 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with the words that are to go cut from the texts; texts that lose all their words are empty. Null texts stay."""
-    _, classes = removals(docs, window)
+    rows, classes = removals(docs, window)
+    total = rows.count()
     names = {"class": "__class", "least": "__least", "n": "__n", "n_words": "__n_words", "kept_text": "__kept_text"}
     classes = classes.where("n_removed is not null or n > 1").select(*(F.col(c).alias(x) for c, x in names.items()))
 
@@ -353,8 +378,8 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=[*batch.schema.names, "__class"])
 
     marked = docs.mapInArrow(lean(named), T.StructType([*docs.schema.fields, T.StructField("__class", T.LongType())]))
-    hot = F.broadcast(classes.where("__n > 10000"))
-    cold = marked.join(hot.select("__class"), "__class", "left_anti").join(classes.where("__n <= 10000"), "__class", "left")
+    hot = F.broadcast(classes.where(F.col("__n") * 10_000 > total))  # fewer than 10,000
+    cold = marked.join(hot.select("__class"), "__class", "left_anti").join(classes.where(F.col("__n") * 10_000 <= total), "__class", "left")
     both = marked.join(hot, "__class").unionByName(cold)
     copy = (F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)) > F.col("__least")) & (F.col("__n_words") >= window)
     text = F.when(F.col("text").isNotNull() & F.col("__least").isNotNull(), F.when(copy, F.lit("")).otherwise(F.coalesce("__kept_text", "text"))).otherwise(F.col("text"))

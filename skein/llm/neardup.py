@@ -286,8 +286,9 @@ def _linked(docs: DataFrame, shingle: int, share: int) -> DataFrame:
         labels = components(edges.unionByName(more))
 
     named = classes.select("node", "key", "doc_id", "best", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
-    names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min("best")["row"].alias("first_row"))
-    named = named.join(names, "comp").select("key", "n", "component_id", "first_row")
+    named = written(named, "named")
+    names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min("best")["row"].alias("first_row"), F.count(F.lit(1)).alias("n"))
+    named = _hot_join(named.select("comp", "key", F.col("n").alias("rows")), names, "comp", total).select("key", F.col("rows").alias("n"), "component_id", "first_row")
     alone = rows.where("key is null").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias("first_row"))
     repeated = _hot_join(rows.where("key is not null").select("row", "doc_id", "n_shingles", "key"), named, "key", total)
     return repeated.select("row", "doc_id", "n_shingles", "component_id", "first_row").unionByName(alone)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,10 +37,6 @@ ARTIFACT_WORDS = ("function", "class", "method", "compile", "build", "test", "de
 OPT_OUTS = ("不要使用记忆", "不要参考记忆", "别参考历史", "忽略之前的记忆", "do not use memory", "don't use memory", "ignore previous memory", "ignore memories")
 
 
-def _any(conditions) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z only."""
     return F.translate(c, UPPER, LOWER)
@@ -81,16 +77,20 @@ def tokens(c: Column) -> Column:
     Text should be in NFKC form; folding is lower case with ß as ss.
     """
     fold = lambda x: F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
-    words = F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9_]+"), 0)
+    none = F.array().cast("array<string>")
+    found = F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9_]+"), 0)
+    words = F.transform(found, F.lower)
+    # what follows is looked for only in texts that have it
+    compound = "_|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"
     parts = lambda w: F.flatten(F.transform(F.split(w, "_"), lambda p: F.split(p, r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")))
-    compound = F.filter(words, lambda w: w.rlike("_|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"))
-    inner = F.flatten(F.transform(compound, lambda w: F.filter(F.transform(parts(w), F.lower), lambda p: (p != "") & (p != F.lower(w)))))
-    rest = F.regexp_replace(c, r"[A-Za-z0-9_]+", " ")
-    runs = F.regexp_extract_all(rest, F.lit(f"[{CJK}]+"), 0)
-    cjk = F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit("(?s)."), 0)))
-    pairs = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) > 1, F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))))
-    others = F.transform(F.regexp_extract_all(F.regexp_replace(rest, f"[{CJK}]", " "), F.lit(r"[\p{L}\p{N}]+"), 0), fold)
-    return F.concat(F.transform(words, F.lower), inner, cjk, pairs, others)
+    inner = F.flatten(F.transform(F.filter(found, lambda w: w.rlike(compound)), lambda w: F.filter(F.transform(parts(w), F.lower), lambda p: (p != "") & (p != F.lower(w)))))
+    inner = F.when(c.rlike(compound), inner).otherwise(none)
+    runs = F.regexp_extract_all(c, F.lit(f"[{CJK}]+"), 0)
+    single = F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit("(?s)."), 0)))
+    pairs = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) > 1, F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))).otherwise(none)))
+    cjk = F.when(has_cjk(c), F.concat(single, pairs)).otherwise(none)
+    others = F.transform(F.regexp_extract_all(c, F.lit(rf"[\p{{L}}\p{{N}}&&[^A-Za-z0-9{CJK}]]+"), 0), fold)
+    return F.concat(words, inner, cjk, others)
 
 
 def memory_tokens(c: Column) -> Column:
@@ -108,35 +108,49 @@ def citations(c: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.concat(F.regexp_extract(x, "^0*([0-9]+)", 1), F.lit(" cfr "), F.regexp_substr(x, section))))
 
 
-def _citation_marker(low: Column) -> Column:
-    return low.rlike(r"(^|[^0-9])cfr([^0-9]|$)") | _any(contains_word(low, w) for w in CITATION_WORDS)
+def holds_any(c: Column, phrases) -> Column:
+    """Whether any phrase stands in the text, whatever the case of A-Z: one pass, which looks no further where none of their first characters is."""
+    firsts = "".join(sorted({re.escape(p[0]) for p in phrases}))
+    return c.rlike(f"(?i)(?=[{firsts}])(?:" + "|".join(re.escape(p) for p in phrases) + ")")
 
 
-def _marker(low: Column, cjk: Column, chinese, english) -> Column:
-    return F.when(cjk, _any(low.contains(x) for x in chinese)).otherwise(_any(low.contains(x) for x in english))
+def holds_word(c: Column, words) -> Column:
+    """The same for words, or phrases, without an ASCII letter or digit at either end."""
+    firsts = "".join(sorted({w[0] for w in words}))
+    return c.rlike(f"(?i)(?=[{firsts}])(?<![A-Za-z0-9])(?:" + "|".join(re.escape(w) for w in words) + ")(?![A-Za-z0-9])")
 
 
 def retrieval_need(c: Column, policy: Column | None = None, carried: Column | None = None) -> Column:
     """struct(need, reason). policy is off, auto or always; carried: the session has needed retrieval before."""
     policy, carried = F.lit("auto") if policy is None else policy, F.lit(False) if carried is None else carried
-    low, cjk = ascii_lower(c), c.rlike(r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}]")
-    cites, omits, follows = _citation_marker(low), _marker(low, cjk, OMISSIONS_CJK, OMISSIONS), _marker(low, cjk, FOLLOW_UPS_CJK, FOLLOW_UPS)
-    words = F.when(cjk, _any(low.contains(x) for x in REGULATORY_CJK)).otherwise(_any(contains_word(low, x) for x in REGULATORY))
-    code = _any(low.contains(x) for x in ARTIFACTS) | _any(contains_word(low, x) for x in ARTIFACT_WORDS)
-    out = lambda need, reason: F.struct(F.lit(need).alias("need"), (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"))
-    ordinary = F.when(cjk, F.lit("no_regulatory_signal_cjk")).otherwise(F.lit("no_regulatory_signal_en"))
-    return (
-        F.when(policy == "off", out("none", "user_opted_out"))
-        .when((policy == "always") & cites, out("exact", "user_explicit_always"))
-        .when(policy == "always", out("semantic", "user_explicit_always"))
-        .when(carried & ~(cites | omits | follows | words), out("semantic", "session_always_required"))
-        .when(cites, out("exact", "regulatory_citation"))
-        .when(follows, out("semantic", "regulatory_followup"))
-        .when(omits, out("semantic", "regulatory_omission"))
-        .when(words & code, out("semantic", "regulatory_code_mixed_question"))
-        .when(words, out("semantic", ordinary))
-        .otherwise(out("none", ordinary))
+    chinese = c.rlike(r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}]")
+    either = lambda in_chinese, in_english: F.when(chinese, in_chinese).otherwise(in_english)
+    flags = F.struct(
+        chinese.alias("cjk"),
+        (c.rlike(r"(?i)(?<![0-9])cfr(?![0-9])") | holds_word(c, CITATION_WORDS)).alias("cites"),
+        either(holds_any(c, OMISSIONS_CJK), holds_any(c, OMISSIONS)).alias("omits"),
+        either(holds_any(c, FOLLOW_UPS_CJK), holds_any(c, FOLLOW_UPS)).alias("follows"),
+        either(holds_any(c, REGULATORY_CJK), holds_word(c, REGULATORY)).alias("words"),
     )
+    code = holds_any(c, ARTIFACTS) | holds_word(c, ARTIFACT_WORDS)
+    out = lambda need, reason: F.struct(F.lit(need).alias("need"), (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"))
+
+    def decided(f: Column) -> Column:
+        ordinary = F.when(f["cjk"], F.lit("no_regulatory_signal_cjk")).otherwise(F.lit("no_regulatory_signal_en"))
+        return (
+            F.when(policy == "off", out("none", "user_opted_out"))
+            .when((policy == "always") & f["cites"], out("exact", "user_explicit_always"))
+            .when(policy == "always", out("semantic", "user_explicit_always"))
+            .when(carried & ~(f["cites"] | f["omits"] | f["follows"] | f["words"]), out("semantic", "session_always_required"))
+            .when(f["cites"], out("exact", "regulatory_citation"))
+            .when(f["follows"], out("semantic", "regulatory_followup"))
+            .when(f["omits"], out("semantic", "regulatory_omission"))
+            .when(f["words"] & code, out("semantic", "regulatory_code_mixed_question"))
+            .when(f["words"], out("semantic", ordinary))
+            .otherwise(out("none", ordinary))
+        )
+
+    return F.transform(F.array(flags), decided)[0]  # the flags are found once for each text, not once for each branch
 
 
 def looks_sensitive(c: Column) -> Column:
@@ -162,7 +176,7 @@ def dangerous(tool: Column, payload: Column) -> Column:
 
 
 def memory_opted_out(c: Column) -> Column:
-    return _any(ascii_lower(c).contains(x) for x in OPT_OUTS)
+    return holds_any(c, OPT_OUTS)
 
 
 def strip_front_matter(c: Column) -> Column:

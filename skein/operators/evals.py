@@ -7,6 +7,8 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.order import running
+
 
 def hash_slices(rows: DataFrame, key: str, salt: str, slices: list[tuple[str, int]]) -> DataFrame:
     """The first rows by sha256(salt + key), in slices of the given names and sizes. Only as many rows as asked for reach the numbering."""
@@ -62,11 +64,11 @@ def mean_metrics(scores: DataFrame, split: str = "split") -> DataFrame:
 def fit_threshold(scored: DataFrame, most_false: float = 0.05) -> DataFrame:
     """threshold, recall, false_positive_rate over rows (score, positive): of the scores at which the rate of others accepted is no more than most_false, that with the largest recall, then the largest score."""
     by_score = scored.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("q"))
-    so_far, all_rows = Window.orderBy(F.desc("score")), Window.partitionBy()
-    rates = by_score.select(
+    sums = running(by_score, [F.desc("score")], {"p_so_far": F.col("p"), "q_so_far": F.col("q")})
+    rates = sums.join(F.broadcast(by_score.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q")))).select(
         F.col("score").alias("threshold"),
-        F.coalesce(F.try_divide(F.sum("p").over(so_far), F.sum("p").over(all_rows)), F.lit(0.0)).alias("recall"),
-        F.coalesce(F.try_divide(F.sum("q").over(so_far), F.sum("q").over(all_rows)), F.lit(0.0)).alias("false_positive_rate"),
+        F.coalesce(F.try_divide("p_so_far", "all_p"), F.lit(0.0)).alias("recall"),
+        F.coalesce(F.try_divide("q_so_far", "all_q"), F.lit(0.0)).alias("false_positive_rate"),
     )
     return rates.where(F.col("false_positive_rate") <= most_false).orderBy(F.desc("recall"), F.desc("threshold")).limit(1)
 
@@ -85,3 +87,65 @@ def quality_gate(modes: DataFrame, least_recall: float = 0.5, least_rr: float =
 def split_parity(order: Column) -> Column:
     """Odd serials are for development, even ones held out."""
     return F.when(order % 2 == 1, "development").otherwise("holdout")
+
+
+def best_mode(modes: DataFrame, least_recall: float = 0.5, least_rr: float = 0.45, most_false: float = 0.05) -> DataFrame:
+    """One row with the mode chosen on development, or none: of dense and hybrid those that hold the floors, the best by recall_at_5, reciprocal_rank, ndcg_at_10, the smaller false-positive rate, and then hybrid before dense."""
+    floors = (F.col("recall_at_5") >= least_recall) & (F.col("reciprocal_rank") >= least_rr) & (F.col("false_positive_rate") <= most_false)
+    key = F.struct("recall_at_5", "reciprocal_rank", "ndcg_at_10", (-F.col("false_positive_rate")).alias("f"), (F.col("mode") == "hybrid").alias("h"))
+    return modes.where(F.col("mode").isin("dense", "hybrid") & floors).agg(F.max_by("mode", key).alias("mode")).where("mode is not null")
+
+
+def holds_against_lexical(chosen: DataFrame, holdout: DataFrame) -> DataFrame:
+    """mode and accepted: whether the chosen mode is no worse than lexical on the rows held out, in recall_at_5 and reciprocal_rank."""
+    lexical = holdout.where("mode = 'lexical'").select(F.col("recall_at_5").alias("lr"), F.col("reciprocal_rank").alias("lm"))
+    own = chosen.join(holdout, "mode")
+    return own.join(F.broadcast(lexical)).select("mode", ((F.col("recall_at_5") >= F.col("lr")) & (F.col("reciprocal_rank") >= F.col("lm"))).alias("accepted"))
+
+
+def evaluate_cases(results: DataFrame, cases: DataFrame, relevant: DataFrame, most_false: float = 0.05) -> DataFrame:
+    """Means by split of ranked results (case_id, item_id, rank, score) of cases (case_id, split, exact) under the threshold that is fitted on development: split, positives, recall_at_5, recall_at_10, reciprocal_rank, ndcg_at_10, false_positive_rate, threshold.
+
+    A case's best score counts as positive in the fit if it has relevant items. Cases with exact citations pass the threshold whatever their score, and don't take part in the fit. relevant: (case_id, item_id), null items for cases without any.
+    """
+    best = results.groupBy("case_id").agg(F.max("score").alias("score"))
+    positive = relevant.groupBy("case_id").agg((F.count("item_id") > 0).alias("positive"))
+    fitting = cases.where("split = 'development' and not exact").join(best, "case_id").join(positive, "case_id").select("score", "positive")
+    limit = fit_threshold(fitting, most_false).select("threshold")  # one row, or none
+    limit = cases.sparkSession.range(1).select(F.lit(1).alias("one")).join(F.broadcast(limit), F.lit(True), "left").select("threshold")
+    kept = cases.select("case_id", "exact").join(best, "case_id").join(F.broadcast(limit)).where(F.col("exact") | F.col("threshold").isNull() | (F.col("score") >= F.col("threshold"))).select("case_id")
+    scores = score_cases(results.join(kept, "case_id", "left_semi"), relevant).join(cases.select("case_id", "split"), "case_id")
+    return mean_metrics(scores).join(F.broadcast(limit))
+
+
+def case_errors(cases: DataFrame) -> DataFrame:
+    """case_id and error of cases (case_id, split, language, kind, query, relevant_document_ids): repeated ids, unknown splits, blank or long queries, labels on cases without an answer, or none on others."""
+    empty = F.coalesce(F.size("relevant_document_ids"), F.lit(0)) <= 0
+    negative = F.col("kind").isin("no_answer", "hostile_query")
+    own = F.when(~F.coalesce(F.col("split").isin("development", "holdout"), F.lit(False)), "split").when((F.coalesce(F.trim("query"), F.lit("")) == "") | (F.octet_length("query") > 16_384), "query").when(negative & ~empty, "labelled").when(~negative & empty, "unlabelled")
+    twice = cases.groupBy("case_id").count().where("count > 1").select("case_id", F.lit("repeated").alias("error"))
+    return cases.select("case_id", own.alias("error")).where("error is not null").unionByName(twice)
+
+
+def negative_composition(cases: DataFrame, each: int = 25) -> DataFrame:
+    """kind, n, unlabelled and ok for the two kinds of cases without an answer: each has so many, none of them labelled. A kind without cases has no row, and isn't ok."""
+    rows = cases.where(F.col("kind").isin("no_answer", "hostile_query")).groupBy("kind")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.size("relevant_document_ids"), F.lit(0)) <= 0).alias("unlabelled")).select("kind", "n", "unlabelled", ((F.col("n") == each) & (F.col("unlabelled") == each)).alias("ok"))
+
+
+def resolve_curated(curated: DataFrame, documents: DataFrame, most: int = 4) -> DataFrame:
+    """case_id, documents (of its citations, in order) and error: no citation or more than `most`, one twice, or one that no document has. curated: (case_id, citations)."""
+    named = curated.select("case_id", F.posexplode_outer(F.transform("citations", lambda c: F.lower(F.trim(c)))).alias("place", "citation"))
+    known = documents.groupBy(F.lower(F.trim("citation")).alias("citation")).agg(F.min("document_id").alias("document_id"))
+    rows = named.join(known, "citation", "left").groupBy("case_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "document_id"))), lambda x: x["document_id"]).alias("documents"),
+        F.count("citation").alias("n"), F.countDistinct("citation").alias("different"), F.count("document_id").alias("found"),
+    )
+    error = F.when(~F.col("n").between(1, most), "count").when(F.col("different") < F.col("n"), "repeated").when(F.col("found") < F.col("n"), "missing")
+    return rows.select("case_id", F.when(error.isNull(), F.col("documents")).alias("documents"), error.alias("error"))
+
+
+def label_inventory(chunks: DataFrame) -> DataFrame:
+    """One row: documents, chunks, and whether both are there and each chunk belongs to one document only."""
+    owners = chunks.groupBy("chunk_id").agg(F.countDistinct("document_id").alias("owners"))
+    return chunks.agg(F.countDistinct("document_id").alias("documents")).join(F.broadcast(owners.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.max("owners"), F.lit(0)).alias("most")))).select("documents", "chunks", ((F.col("documents") > 0) & (F.col("most") == 1)).alias("sound"))

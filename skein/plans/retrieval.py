@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from skein.operators import search
+from skein.operators import corpus, hybrid, index, search
 from skein.plans.registry import query
+from skein.sources.shared import shared_dir
 
 #: Terms of a text without `_` and CJK characters; RE2 has no lookaround, so that camel parts are cut at spaces put between them.
 _WORDS = "regexp_extract_all({c}, '[A-Za-z0-9_]+')"
@@ -17,10 +20,10 @@ TERMS = (
 )
 _TERMS = TERMS
 _INDEX = f"""
-terms AS (SELECT doc_id, unnest({_TERMS.format(c='text')}) AS term FROM documents),
+terms AS (SELECT doc_id, unnest({_TERMS.format(c='text')}) AS term FROM documents WHERE regexp_matches(text, '\\S')),
 tf AS (SELECT term, doc_id, count(*) AS tf FROM terms GROUP BY term, doc_id),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-size AS (SELECT doc_id, sum(tf) AS length FROM tf GROUP BY doc_id),
+size AS (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS length FROM documents WHERE regexp_matches(text, '\\S')),
 stats AS (SELECT count(*) AS n, avg(length) AS average FROM size)"""
 _ASKED = f"""
 words AS (SELECT item_id, unnest({_TERMS.format(c='text')}) AS term, generate_subscripts({_TERMS.format(c='text')}, 1) AS i FROM benchmark),
@@ -31,62 +34,106 @@ scored AS (SELECT item_id, doc_id, round(sum({_BM25}), 9) AS score FROM asked JO
 lexical AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 100)"""
 
 
-def _index(read):
-    return search.postings(read("documents"), "doc_id", "text").persist()  # statistics, lengths and hits all read it
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def chunks_of(read):
+    """Documents as an index's chunks: four in a row make one cited document, whose chunks are neighbours. Blank texts have none. Tokens are white-space words."""
+    docs = read("documents").where(F.col("text").rlike(r"\S"))
+    whole = (F.col("doc_id") / 4).cast("bigint")
+    name = lambda letter, c: F.concat(F.lit(letter), F.lpad(c.cast("string"), 12, "0"))
+    rows = docs.select(
+        name("c", F.col("doc_id")).alias("chunk_id"),
+        name("d", whole).alias("document_id"),
+        F.concat(whole % 50 + 1, F.lit(" CFR "), whole).alias("citation"),
+        F.col("text").alias("content"),
+        F.sha2("text", 256).alias("sha256"),
+        F.size(F.regexp_extract_all("text", F.lit(r"\S+"), 0)).alias("token_count"),
+    )
+    return corpus.neighbor_links(rows, "document_id", "chunk_id", "chunk_id")
+
+
+def vectors_of(read):
+    """A vector for each chunk: that of the vec_id that is doc_id modulo their number."""
+    vectors = read("embeddings").select(F.col("vec_id").alias("__v"), "embedding")
+    n = vectors.count()
+    rows = read("documents").where(F.col("text").rlike(r"\S")).select(F.concat(F.lit("c"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("chunk_id"), F.sha2("text", 256).alias("embedding_sha256"), (F.col("doc_id") % n).alias("__v"))
+    return rows.join(vectors, "__v").select("chunk_id", "embedding", "embedding_sha256")
 
 
-def _lexical(read):
-    return search.lexical(_index(read), read("benchmark").select("item_id", "text"), "doc_id", "item_id", "text")
+def stored_index(read, spark) -> index.Index:
+    """The index of these tables, written by the first query of the application that needs it."""
+    key = spark.sparkContext.applicationId, read("documents").inputFiles()[0]
+    if key not in _BUILT:
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        index.write(chunks_of(read), vectors_of(read), path)
+        _BUILT[key] = path
+    return index.read(spark, _BUILT[key])
+
+
+def doc_id(c):
+    return F.substring(c, 2, 12).cast("bigint").alias("doc_id")
+
+
+def _lexical(read, spark, only=None):
+    own = stored_index(read, spark)
+    return search.lexical(own.postings, own.stats, read("benchmark").select("item_id", "text"), "chunk_id", "item_id", "text", only).withColumn("doc_id", doc_id("chunk_id")).drop("chunk_id")
+
+
+@query("write_index", f"WITH {_INDEX}, d AS (SELECT doc_id // 4 AS document FROM documents WHERE regexp_matches(text, '\\S')) SELECT (SELECT count(*) FROM size) AS chunks, (SELECT count(*) FROM tf) AS postings, (SELECT count(*) FROM size) AS vectors, (SELECT count(DISTINCT document) FROM d) AS documents, CAST((SELECT sum(length) FROM size) AS BIGINT) AS sum_token_count")
+def _(read, spark):
+    own = stored_index(read, spark)
+    rows = own.chunks.agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("document_id").alias("documents")).join(F.broadcast(own.postings.agg(F.count(F.lit(1)).alias("postings"))))
+    return rows.join(F.broadcast(own.vectors.agg(F.count(F.lit(1)).alias("vectors")))).join(F.broadcast(own.stats)).select("chunks", "postings", "vectors", "documents", "sum_token_count")
 
 
 @query("term_frequency", f"WITH {_INDEX} SELECT term, doc_id, tf FROM tf")
 def _(read, spark):
-    return _index(read)
+    return search.postings(read("documents").where(F.col("text").rlike(r"\S")), "doc_id", "text").select("term", "doc_id", "tf")
 
 
 @query("document_frequency", f"WITH {_INDEX} SELECT term, df FROM df")
 def _(read, spark):
-    return search.document_frequency(_index(read))
+    return search.document_frequency(stored_index(read, spark).postings)
 
 
 @query("avg_length", f"WITH {_INDEX} SELECT n AS row_count, CAST((SELECT sum(length) FROM size) AS BIGINT) AS sum_token_count, round(average, 6) AS average FROM stats")
 def _(read, spark):
-    return search.lengths(_index(read), "doc_id").agg(F.count(F.lit(1)).alias("row_count"), F.sum("length").alias("sum_token_count"), F.round(F.avg("length"), 6).alias("average"))
+    return stored_index(read, spark).stats.select(F.col("n").alias("row_count"), "sum_token_count", F.round("average", 6).alias("average"))
 
 
-@query("bm25_score", f"WITH {_INDEX} SELECT doc_id, term, round({_BM25}, 6) AS score FROM tf JOIN df USING (term) JOIN size USING (doc_id), stats WHERE term IN ('ther', 'heit', 'ción', 'then')")
+@query("bm25_score", f"WITH {_INDEX} SELECT doc_id, term, round({_BM25}, 6) AS score FROM tf JOIN df USING (term) JOIN size USING (doc_id), stats")
 def _(read, spark):
-    """Length is the number of search terms of the document."""
-    index = _index(read)
-    size = search.lengths(index, "doc_id")
-    stats = size.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
-    wanted = index.where(F.col("term").isin("ther", "heit", "ción", "then"))
-    rows = wanted.join(search.document_frequency(wanted), "term").join(size, "doc_id").join(F.broadcast(stats))
-    return rows.select("doc_id", "term", F.round(search.bm25(*(F.col(c) for c in ("tf", "df", "length", "n", "average"))), 6).alias("score"))
+    """Length is the number of white-space words of the document."""
+    own = stored_index(read, spark)
+    rows = own.postings.join(F.broadcast(own.stats))
+    return rows.select(doc_id("chunk_id"), "term", F.round(search.bm25(*(F.col(c) for c in ("tf", "df", "length", "n", "average"))), 6).alias("score"))
 
 
 @query("lexical_search", f"WITH {_LEXICAL} SELECT item_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM lexical")
 def _(read, spark):
-    return _lexical(read).withColumn("score", F.round("score", 6))
+    return _lexical(read, spark).withColumn("score", F.round("score", 6))
 
 
-@query("lexical_in_documents", f"WITH {_LEXICAL.replace('WHERE df < 8', 'WHERE doc_id % 4 = item_id % 4 AND (df < 8').replace('4 <= n GROUP', '4 <= n) GROUP')} SELECT item_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM lexical")
+@query("lexical_in_documents", f"WITH {_LEXICAL.replace('WHERE df < 8', 'WHERE doc_id // 4 % 16 = item_id % 16 AND (df < 8').replace('4 <= n GROUP', '4 <= n) GROUP')} SELECT item_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM lexical")
 def _(read, spark):
-    """Candidates kept to some documents, with the frequencies of all."""
-    items = read("benchmark").select("item_id", "text")
-    only = items.select("item_id", (F.col("item_id") % 4).alias("m")).join(read("documents").select("doc_id", (F.col("doc_id") % 4).alias("m")), "m").drop("m")
-    return search.lexical(_index(read), items, "doc_id", "item_id", "text", only).withColumn("score", F.round("score", 6))
+    """Candidates kept to a set of documents for each question, with the frequencies of all: the set is a semi join on the hits' documents, not a list of pairs."""
+    own = stored_index(read, spark)
+    items = read("benchmark").select("item_id", "text", (F.col("item_id") % 16).alias("set"))
+    sets = own.chunks.select("chunk_id", (F.substring("document_id", 2, 12).cast("bigint") % 16).alias("set"))
+    hits = search.lexical_hits(own.postings, own.stats, items, "item_id", "text").join(items.select("item_id", "set"), "item_id").join(sets, ["chunk_id", "set"], "left_semi")
+    return search.scored(hits, "chunk_id", "item_id").select("item_id", doc_id("chunk_id"), F.round("score", 6).alias("score"), "rank")
 
 
 _DENSE = """
-q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 5),
+q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
 scores AS (SELECT query_id, vec_id, round(list_inner_product(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 9) AS score FROM embeddings, q),
 dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores QUALIFY rank <= 100)"""
 
 
 def _dense(read):
     rows = read("embeddings")
-    return search.dense(rows, rows.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding"), "vec_id", "query_id", "embedding")
+    return search.dense(rows, rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), "vec_id", "query_id", "embedding")
 
 
 @query("dense_search", f"WITH {_DENSE} SELECT query_id, vec_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM dense")
@@ -94,10 +141,14 @@ def _(read, spark):
     return _dense(read).withColumn("score", F.round("score", 5))
 
 
-@query("dot_product", "SELECT a.vec_id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0")
+@query("dot_product", "SELECT a.vec_id, b.vec_id AS query_id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS score FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0")
 def _(read, spark):
+    """Each question's vector against all rows. The questions, one row in fifty, are laid out in blocks of a hash, each a task's broadcast side."""
     rows = read("embeddings")
-    return rows.join(F.broadcast(rows.where("vec_id = 0").limit(1).select(F.col("embedding").alias("q")))).select("vec_id", F.round(search.dot(F.col("embedding"), F.col("q")), 5).alias("score"))
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    every = F.sequence(F.lit(0), F.lit(3))
+    pairs = rows.withColumn("block", F.explode(every)).join(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(4)).cast("int")), "block")
+    return pairs.select("vec_id", "query_id", F.round(search.dot(F.col("embedding"), F.col("q")), 5).alias("score"))
 
 
 @query("normalize_rows", "SELECT vec_id, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)) / list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)), 5) AS square FROM embeddings")
@@ -118,25 +169,30 @@ def _(read, spark):
 
 
 def _legs(read):
-    hits = _dense(read)
-    return hits.where("query_id = 1").withColumn("query_id", F.lit(0)), hits.where("query_id = 2").withColumn("query_id", F.lit(0))
+    """Two neighbouring vectors as the legs of a question."""
+    rows = read("embeddings")
+    leg = lambda k: search.dense(rows, rows.where(f"vec_id % 50 = {k}").select((F.col("vec_id") - k).alias("query_id"), "embedding"), "vec_id", "query_id", "embedding")
+    return leg(0), leg(1)
+
+
+_LEG = """a AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id - {k} AS query_id, e.vec_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = {k}) QUALIFY rank <= 100)"""
+_LEGS = _LEG.format(k=0) + ", b" + _LEG.format(k=1)[1:]
 
 
 @query("rrf", f"""
-WITH {_DENSE}, f AS (SELECT coalesce(a.vec_id, b.vec_id) AS vec_id, a.rank AS lexical_rank, b.rank AS dense_rank, round(coalesce(1 / (60 + a.rank), 0) + coalesce(3 / (60 + b.rank), 0), 12) AS score
-  FROM (SELECT * FROM dense WHERE query_id = 1) a FULL JOIN (SELECT * FROM dense WHERE query_id = 2) b ON a.vec_id = b.vec_id)
-SELECT vec_id, CAST(lexical_rank AS INTEGER) AS lexical_rank, CAST(dense_rank AS INTEGER) AS dense_rank, round(score, 9) AS score, CAST(row_number() OVER (ORDER BY score DESC, least(lexical_rank, dense_rank), vec_id) AS INTEGER) AS rank FROM f
+WITH {_LEGS}, f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.vec_id, b.vec_id) AS vec_id, a.rank AS lexical_rank, b.rank AS dense_rank, round(coalesce(1 / (60 + a.rank), 0) + coalesce(3 / (60 + b.rank), 0), 12) AS score
+  FROM a FULL JOIN b ON a.vec_id = b.vec_id AND a.query_id = b.query_id)
+SELECT query_id, vec_id, CAST(lexical_rank AS INTEGER) AS lexical_rank, CAST(dense_rank AS INTEGER) AS dense_rank, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, least(lexical_rank, dense_rank), vec_id) AS INTEGER) AS rank FROM f
 """)
 def _(read, spark):
-    """Two query vectors as the two legs."""
     fused = search.fuse(*_legs(read), "query_id", "vec_id")
-    return fused.select("vec_id", "lexical_rank", "dense_rank", F.round("score", 9).alias("score"), "rank")
+    return fused.select("query_id", "vec_id", "lexical_rank", "dense_rank", F.round("score", 9).alias("score"), "rank")
 
 
-@query("union_keys", f"WITH {_DENSE} SELECT DISTINCT vec_id FROM dense WHERE query_id IN (1, 2)")
+@query("union_keys", f"WITH {_LEGS} SELECT query_id, vec_id FROM a UNION SELECT query_id, vec_id FROM b")
 def _(read, spark):
     a, b = _legs(read)
-    return a.select("vec_id").union(b.select("vec_id")).distinct()
+    return a.select("query_id", "vec_id").union(b.select("query_id", "vec_id")).distinct()
 
 
 @query("exact_route", "SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'authoritative_no_match' ELSE 'matched' END AS outcome, CASE WHEN item_id % 3 = 0 THEN '' || item_id ELSE '' || item_id || ',' || (item_id + 100) END AS documents FROM benchmark")
@@ -150,26 +206,90 @@ def _(read, spark):
 @query("document_coverage", f"WITH {_LEXICAL} SELECT item_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY doc_id <> most, rank) AS INTEGER) AS rank FROM (SELECT *, max(doc_id) OVER (PARTITION BY item_id) AS most FROM lexical)")
 def _(read, spark):
     """The hit with the largest id is required: it comes first."""
-    hits = _lexical(read).withColumn("chunk", F.col("doc_id"))
+    hits = _lexical(read, spark).withColumn("chunk", F.col("doc_id"))
     required = hits.groupBy("item_id").agg(F.max("doc_id").alias("doc_id")).withColumn("place", F.lit(1))
     return search.cover_documents(hits, required, "item_id", "doc_id", "chunk").select("item_id", "doc_id", "rank")
 
 
 @query("per_doc_cap", f"WITH {_LEXICAL}, x AS (SELECT item_id, doc_id, rank, doc_id % 10 AS parent, sha256(text) AS sha FROM lexical JOIN documents USING (doc_id)), o AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY item_id, sha ORDER BY rank) = 1) SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank FROM o QUALIFY row_number() OVER (PARTITION BY item_id, parent ORDER BY rank) <= 2")
 def _(read, spark):
-    hits = _lexical(read).join(read("documents").select("doc_id", F.sha2("text", 256).alias("sha")), "doc_id").withColumn("parent", F.col("doc_id") % 10)
+    hits = _lexical(read, spark).join(read("documents").select("doc_id", F.sha2("text", 256).alias("sha")), "doc_id").withColumn("parent", F.col("doc_id") % 10)
     return search.per_document_cap(hits, "item_id", "parent", "sha").select("item_id", "doc_id", "rank")
 
 
+def questions(read):
+    """Benchmark items as questions; every third names the document of its number, every ninth one that isn't there as well. The vector is that of vec_id = item_id modulo their number."""
+    vectors = read("embeddings").select(F.col("vec_id").alias("__v"), "embedding")
+    n, whole = vectors.count(), F.col("item_id") % 16
+    cite = F.when(F.col("item_id") % 9 == 0, F.concat(F.lit(" see 1 CFR 99999999 and "), whole % 50 + 1, F.lit(" cfr "), whole)).when(F.col("item_id") % 3 == 0, F.concat(F.lit(" see "), whole % 50 + 1, F.lit(" cfr "), whole)).otherwise("")
+    rows = read("benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", cite).alias("text"), (F.col("item_id") % n).alias("__v"))
+    return rows.join(vectors, "__v").drop("__v")
+
+
 @query("hybrid_query")
 def _(read, spark):
-    """Fused hits with evidence selected within 5 items and 32 KiB. The dense leg is that of the vector with the item's id."""
-    docs = read("documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("bytes"))
-    vectors = read("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    asked = vectors.join(read("benchmark").select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "item_id")
-    fused = search.fuse(_lexical(read), search.dense(vectors, asked, "doc_id", "item_id", "embedding"), "item_id", "doc_id").where("rank <= 100")
-    items = fused.join(docs, "doc_id").select("item_id", F.col("doc_id").cast("string").alias("chunk_id"), (F.col("doc_id") % 10).cast("string").alias("document_id"), "sha256", "bytes", F.lit(None).cast("string").alias("neighbor_of"), "rank", F.lit(None).cast("int").alias("required"))
-    return search.select_evidence(items, "item_id")
+    """Evidence of 5 items and 32 KiB for each question, over the stored index; questions that cite keep to what they cite."""
+    items, _outcomes = hybrid.query(stored_index(read, spark), questions(read), dense_min=0.1)
+    return items.select("query_id", "place", doc_id("chunk_id"), F.round("score", 6).alias("score"), "lexical_rank", "dense_rank", doc_id("neighbor_of").alias("neighbor_of"))
+
+
+@query("hybrid_outcomes", "SELECT item_id AS query_id, CASE WHEN item_id % 9 = 0 THEN 'authoritative_no_match' ELSE 'matched' END AS outcome FROM benchmark")
+def _(read, spark):
+    _items, outcomes = hybrid.query(stored_index(read, spark), questions(read), dense_min=0.1)
+    return outcomes
+
+
+@query("result_validate", "SELECT 0 AS errors, (SELECT count(*) FROM benchmark WHERE item_id % 9 <> 0) AS answered")
+def _(read, spark):
+    """Results in all three modes hold what readers rely on."""
+    own, asked, rows = stored_index(read, spark), questions(read), None
+    for mode in hybrid.MODES:
+        items, outcomes = hybrid.query(own, asked, mode=mode)
+        found = hybrid.result_errors(items, outcomes, 5, 32_768).select(F.lit(1).alias("error"), F.lit(None).cast("bigint").alias("query_id"))
+        found = found if mode != "hybrid" else found.unionByName(items.select(F.lit(0).alias("error"), "query_id").distinct())
+        rows = found if rows is None else rows.unionByName(found)
+    return rows.agg(F.coalesce(F.sum("error"), F.lit(0)).cast("int").alias("errors"), F.count("query_id").alias("answered"))
+
+
+@query("neighbor_lookup", f"WITH {_LEXICAL}, n AS (SELECT item_id, doc_id AS neighbor_of, rank, CASE WHEN s = 1 THEN doc_id - 1 ELSE doc_id + 1 END AS doc_id, s FROM lexical, unnest([1, 2]) AS u(s)), k AS (SELECT n.* FROM n JOIN documents d USING (doc_id) WHERE regexp_matches(text, '\\S') AND n.doc_id // 4 = neighbor_of // 4) SELECT item_id, doc_id, neighbor_of FROM k QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY rank, neighbor_of, s) = 1")
+def _(read, spark):
+    """The neighbours of the lexical hits, each with the best hit beside it. (No text of the tables is blank between others, so that neighbours' ids are neighbours.)"""
+    own = stored_index(read, spark)
+    hits = search.lexical(own.postings, own.stats, read("benchmark").select(F.col("item_id").alias("query_id"), "text"), "chunk_id", "query_id", "text")
+    return hybrid.neighbors(own, hits).select(F.col("query_id").alias("item_id"), doc_id("chunk_id"), doc_id("neighbor_of").alias("neighbor_of"))
+
+
+@query("dense_subset", "WITH v AS (SELECT count(*) AS n FROM embeddings), s AS (SELECT item_id, doc_id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS score FROM benchmark, v JOIN embeddings a ON a.vec_id = item_id % n JOIN documents d ON doc_id // 4 = item_id AND regexp_matches(text, '\\S') JOIN embeddings b ON b.vec_id = doc_id % n) SELECT item_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s")
+def _(read, spark):
+    """Scores of the chunks of one document for each question only."""
+    own = stored_index(read, spark)
+    only = read("benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("d"), F.lpad(F.col("item_id").cast("string"), 12, "0")).alias("document_id")).join(own.chunks.select("document_id", "chunk_id"), "document_id")
+    hits = search.dense_among(own.vectors, questions(read), only.select("query_id", "chunk_id"), "chunk_id", "query_id", "embedding")
+    return hits.select(F.col("query_id").alias("item_id"), doc_id("chunk_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query("index_order", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS vector_row FROM documents WHERE regexp_matches(text, '\\S')")
+def _(read, spark):
+    return index.row_numbers(stored_index(read, spark).chunks).select(doc_id("chunk_id"), "vector_row")
+
+
+@query("chunk_validate", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'empty' WHEN 1 THEN 'digest' WHEN 2 THEN 'tokens' END AS error FROM documents WHERE regexp_matches(text, '\\S') AND doc_id % 5 < 3")
+def _(read, spark):
+    """Chunks that were broken in three ways are found, and no others."""
+    m = F.substring("chunk_id", 2, 12).cast("bigint") % 5
+    rows = stored_index(read, spark).chunks.withColumns({"content": F.when(m == 0, "").otherwise(F.col("content")), "sha256": F.when(m == 1, F.lit("x")).otherwise(F.col("sha256")), "token_count": F.when(m == 2, F.lit(0)).otherwise(F.col("token_count"))})
+    return index.chunk_errors(rows).select(doc_id("chunk_id"), "error")
+
+
+@query("incremental_vectors", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'encode' ELSE 'keep' END AS action FROM documents WHERE regexp_matches(text, '\\S')")
+def _(read, spark):
+    """Vectors are kept where the text and the model are what they were; every third text has changed since."""
+    own = stored_index(read, spark)
+    mark = index.identity(F.lit("model"), F.lit("1"), F.lit("64"))
+    old = own.vectors.withColumn("identity", mark)
+    changed = F.when(F.substring("chunk_id", 2, 12).cast("bigint") % 3 == 0, F.sha2(F.concat("content", F.lit("!")), 256)).otherwise(F.col("sha256"))
+    kept, new = index.to_encode(own.chunks.withColumn("now", changed).withColumn("identity", mark), old, "now")
+    return kept.select(doc_id("chunk_id"), F.lit("keep").alias("action")).unionByName(new.select(doc_id("chunk_id"), F.lit("encode").alias("action")))
 
 
 @query("memory_search", """

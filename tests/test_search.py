@@ -54,7 +54,8 @@ def test_greedy_budget_skips_and_goes_on(spark):
 def test_common_term_is_dropped(spark):
     docs = spark.createDataFrame([(i, "common beta" + (" rare" if i == 3 else "")) for i in range(8)], "id int, text string")
     asked = spark.createDataFrame([(1, "common rare")], "q int, text string")
-    got = search.lexical(search.postings(docs, "id", "text"), asked, "id", "q", "text").collect()
+    index = search.postings(docs, "id", "text")
+    got = search.lexical(index, search.index_stats(docs, F.lit(2)), asked, "id", "q", "text").collect()
     assert [r["id"] for r in got] == [3]
 
 
@@ -64,8 +65,11 @@ def test_dense_and_gate(spark):
     hits = search.dense(rows, asked, "id", "q", "v")
     assert [r["id"] for r in hits.orderBy("rank").collect()] == [1, 2, 3]
     assert search.dense_gate(hits, "q", 1.5).count() == 0 and search.dense_gate(hits, "q", 0.9).count() == 3
-    with pytest.raises(ValueError):
-        search.dense(rows, asked.union(asked), "id", "q", "v", most_queries=1)
+    several = spark.createDataFrame([(k, [1.0, 0.1 * k]) for k in range(9)], "q int, v array<float>")
+    whole = search.dense(rows, several, "id", "q", "v")
+    assert whole.count() == 27 and whole.exceptAll(search.dense(rows, several, "id", "q", "v", block=2)).isEmpty()  # in blocks
+    among = search.dense_among(rows, asked, spark.createDataFrame([(9, 2), (9, 3)], "q int, id int"), "id", "q", "v")
+    assert [(r["id"], r["rank"]) for r in among.orderBy("rank").collect()] == [(2, 1), (3, 2)]
 
 
 def test_tokens(spark):

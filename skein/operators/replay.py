@@ -1,13 +1,13 @@
 """Replay of append-only event logs through keyed state machines.
 
-The step functions are plain Python over dicts, shared by the batch form (one group of a key's events at a time) and the streaming form (skein.streaming). An event that breaks a rule stops its key: the row has the rule's code, or the job fails in strict mode.
+The step functions are plain Python over dicts, shared by the batch form (events sorted by key stream through) and the streaming form (skein.streaming). An event that breaks a rule stops its key: the row has the rule's code, or the job fails in strict mode.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -281,21 +281,35 @@ def task_row(key: str, state: dict | None, error: str | None) -> dict:
 
 
 def replay_tasks(events: DataFrame, strict: bool = True) -> DataFrame:
-    """One row per task of events (schema_version, sequence, task_id, event_type, payload as JSON). A log that breaks a rule fails the job, or with strict=False gives a row with the error and the state before it."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, state, error = pdf["task_id"].iloc[0], None, None
-        for e in pdf.sort_values("sequence").to_dict("records"):
-            try:
-                state = task_step(state, e | {"payload": json.loads(e["payload"])})
-            except (Rejected, KeyError, ValueError) as why:
-                if strict:
-                    raise
-                error = str(why)
-                break
-        return pd.DataFrame([task_row(key, state, error)])
-
-    return events.groupBy("task_id").applyInPandas(run, TASK_ROW)
+    """One row per task of events (schema_version, sequence, task_id, event_type, payload as JSON). A log that breaks a rule fails the job, or with strict=False gives a row with the error and the state before it.
+
+    Events are sorted by task and sequence, and stream through: a worker holds one task's state, and no log as a whole.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state, error = None, None, None
+        for batch in batches:
+            out = []
+            for version, sequence, task, kind, payload in batch.itertuples(index=False):
+                if task != key:
+                    if key is not None:
+                        out.append(task_row(key, state, error))
+                    key, state, error = task, None, None
+                if error:
+                    continue
+                try:
+                    state = task_step(state, {"schema_version": version, "sequence": sequence, "task_id": task, "event_type": kind, "payload": json.loads(payload)})
+                except (Rejected, KeyError, ValueError) as why:
+                    if strict:
+                        raise
+                    error = str(why)
+            if out:
+                yield pd.DataFrame(out)
+        if key is not None:
+            yield pd.DataFrame([task_row(key, state, error)])
+
+    rows = events.select("schema_version", "sequence", "task_id", "event_type", "payload").repartition("task_id").sortWithinPartitions("task_id", "sequence")
+    return rows.mapInPandas(run, TASK_ROW)
 
 
 def latest_entries(events: DataFrame, key: str = "memory_id") -> DataFrame:

@@ -7,7 +7,8 @@ import json
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skein.operators import conversation, replay
+from skein.operators import conversation, histories, replay
+from skein.operators.order import numbered
 from skein.plans.registry import query
 
 _SEQ = "seq AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events)"
@@ -73,34 +74,89 @@ def _(read, spark):
     return rows.select(F.conv(F.substring("task_id", 6, 32), 16, 10).cast("bigint").alias("user_id"), "status", "model_rounds", "last_sequence", "passed")
 
 
-@query("session_replay", "SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS started, count(*) FILTER (WHERE role = 'assistant') AS committed, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
+def session_log(read):
+    """A session's log for each conversation: every second turn starts a turn of the session, which the answer commits. By conv_id modulo 7: 0 lacks its third event, 1 commits a turn that isn't open, 2 ends with an open turn, 3 is compacted through its first turn at the end, 4 has a history that doesn't alternate."""
+    turns = read("conversations").where("role <> 'system'").select("conv_id", "turn", "text")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    turns = turns.withColumn("place", place).withColumn("index", F.ceil(F.col("place") / 2)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("conv_id")))
+    m, starts = F.col("conv_id") % 7, F.col("place") % 2 == 1
+    cut = turns.where((F.col("n") >= 4) & (F.col("place") <= 4))  # two turns of each session
+    none, ok = F.lit(None), F.when(m == 4, F.lit(False)).otherwise(F.lit(True))
+    started = cut.groupBy("conv_id").agg(F.lit(1).alias("sequence"), F.lit("session_started").alias("kind"), none.cast("bigint").alias("turn_index"), none.cast("bigint").alias("through_turn"))
+    middle = cut.where(~((m == 2) & (F.col("place") == 4))).select("conv_id", (F.col("place") + 1).alias("sequence"), F.when(starts, "session_turn_started").otherwise("session_turn_committed").alias("kind"), F.when((m == 1) & (F.col("place") == 4), F.col("index") + 1).otherwise(F.col("index")).alias("turn_index"), none.cast("bigint").alias("through_turn"))
+    ends = cut.where(m == 3).groupBy("conv_id").agg(F.lit(6).alias("sequence"), F.lit("session_compacted").alias("kind"), none.cast("bigint").alias("turn_index"), F.lit(1).cast("bigint").alias("through_turn"))
+    rows = started.unionByName(middle).unionByName(ends).where(~((m == 0) & (F.col("sequence") == 3)))
+    return rows.select(F.col("conv_id").alias("session_id"), "sequence", F.format_string("2024-01-01T00:00:%02dZ", F.col("sequence") + F.col("conv_id") % 50).alias("timestamp"), "kind", "turn_index", F.concat(F.lit("task-"), F.col("turn_index")).alias("task_id"), "through_turn", ok.alias("history_ok"))
+
+
+_SESSIONS = """
+long AS (SELECT conv_id FROM conversations WHERE role <> 'system' GROUP BY conv_id HAVING count(*) >= 4),
+state AS (SELECT conv_id AS session_id, CASE conv_id % 7 WHEN 0 THEN 1 WHEN 4 THEN 1 ELSE 2 END AS last_turn, CASE conv_id % 7 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 4 THEN 1 END AS pending,
+  CASE conv_id % 7 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 0 ELSE 2 END AS turns, CASE conv_id % 7 WHEN 3 THEN 1 ELSE 0 END AS compacted_through,
+  CASE conv_id % 7 WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 4 WHEN 3 THEN 6 WHEN 4 THEN 2 ELSE 5 END AS last_sequence, CASE conv_id % 7 WHEN 0 THEN 'bad_sequence' WHEN 1 THEN 'no_pending_turn' WHEN 4 THEN 'bad_history' END AS error FROM long)"""
+
+
+@query("session_replay", f"WITH {_SESSIONS} SELECT * FROM state")
+def _(read, spark):
+    """Sessions' logs through the rules of turns; four of seven kinds break one, or end in the middle."""
+    return histories.replay_sessions(session_log(read)).drop("last_timestamp")
+
+
+@query("list_sessions", f"WITH {_SESSIONS} SELECT session_id, row_number() OVER (ORDER BY last_sequence + session_id % 50 DESC, session_id) AS place FROM state WHERE error IS NULL")
 def _(read, spark):
-    """Turn pairing; the state machine is covered by unit tests."""
-    return read("conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("started"), F.count_if(F.col("role") == "assistant").alias("committed"), F.max("turn").alias("last_turn"))
+    states = histories.replay_sessions(session_log(read).where("session_id % 7 not in (0, 1, 4)"))
+    return histories.list_sessions(states).select("session_id", "place")
 
 
-@query("memory_replay", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events) WHERE back = 1 AND event_type <> 'error'")
+@query("active_tasks", f"WITH {_SESSIONS} SELECT session_id, pending FROM state WHERE error IS NULL AND pending IS NOT NULL")
 def _(read, spark):
-    """The latest entry of each key, unless its last event forgets it."""
-    rows = read("events").select("user_id", "event_id", "value", F.when(F.col("event_type") == "error", "forget").otherwise("upsert").alias("kind"), F.col("event_id").alias("sequence"))
-    return replay.latest_entries(rows, "user_id").select("user_id", "event_id", "value")
+    """Sessions with an open turn, as replayed."""
+    return histories.replay_sessions(session_log(read)).where("error is null and pending is not null").select("session_id", "pending")
+
+
+@query("recover_pending", f"WITH {_SESSIONS} SELECT session_id, pending AS turn, CASE session_id % 5 WHEN 0 THEN 'rerun' WHEN 1 THEN 'mismatched' WHEN 2 THEN 'finalise' ELSE 'resume' END AS action FROM state WHERE error IS NULL AND pending IS NOT NULL")
+def _(read, spark):
+    """What to do about open turns, from the logs of their tasks, which are made by session_id modulo 5."""
+    states = histories.replay_sessions(session_log(read)).where("error is null")
+    m = F.col("session_id") % 5
+    tasks = states.where(m > 0).select("session_id", F.when(m == 1, F.lit(99)).otherwise(F.lit(2)).cast("bigint").alias("turn_index"), F.when(m == 2, "failed").otherwise("awaiting_model").alias("status"))
+    return histories.recover_pending(states, tasks)
+
+
+def memory_log(read):
+    """The one memory log: an entry for each user at its first event, whose content the second changes and the third forgets for every third user; each event further on is a checkpoint of that user's session."""
+    rows = read("events").select("event_id", "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("k")).where("k <= 6")
+    rows = numbered(rows, [F.col("event_id")], "sequence")
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("sequence")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    forgets = (F.col("k") == 3) & (F.col("user_id") % 3 == 0)
+    kind = F.when(F.col("k") <= 2, "memory_upserted").when(forgets, "memory_forgotten").otherwise("memory_checkpointed")
+    entry = F.col("k") <= 2
+    return rows.select(
+        "sequence", stamp.alias("timestamp"), kind.alias("kind"), F.when(entry | forgets, F.concat(F.lit("memory-"), "user_id")).alias("memory_id"), F.when(entry, F.concat(F.lit("v"), "k")).alias("content"), F.when(entry, F.lit("fact")).alias("fixed"),
+        F.when(entry, F.lit("2023-01-01T00:00:00Z")).alias("created_at"), F.when(entry, F.when(F.col("k") == 1, "2023-01-01T00:00:00.000Z").otherwise("2023-01-02T00:00:00Z")).alias("updated_at"),
+        F.when(~entry & ~forgets, F.col("user_id")).alias("session_id"), F.when(~entry & ~forgets, F.col("k")).cast("bigint").alias("through_turn"),
+    )
+
+
+_MEMORY = "k AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events QUALIFY k <= 6), l AS (SELECT *, row_number() OVER (ORDER BY event_id) AS sequence FROM k)"
 
 
-@query("active_tasks", "SELECT user_id FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) NOT IN ('purchase', 'error')")
+@query("memory_replay", f"WITH {_MEMORY} SELECT 'memory-' || user_id AS memory_id, 'v' || max(k) FILTER (WHERE k <= 2) AS content, max(sequence) FILTER (WHERE k <= 2) AS sequence FROM l GROUP BY user_id HAVING NOT (user_id % 3 = 0 AND max(k) >= 3)")
 def _(read, spark):
-    return read("events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last")).where(~F.col("last").isin("purchase", "error")).select("user_id")
+    """Entries that live at the log's end, each event held against the rules."""
+    live, _marks, _first = histories.replay_memory(memory_log(read))
+    return live.select("memory_id", "content", "sequence")
 
 
-@query("list_sessions", "SELECT user_id, CAST(row_number() OVER (ORDER BY max(ts) DESC, user_id) AS INTEGER) AS place, count(*) AS n FROM events GROUP BY user_id")
+@query("memory_checkpoints", f"WITH {_MEMORY} SELECT user_id AS session_id, max(k) AS through_turn FROM l WHERE k > 3 OR (k = 3 AND user_id % 3 <> 0) GROUP BY user_id")
 def _(read, spark):
-    rows = read("events").groupBy("user_id").agg(F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"))
-    return rows.select("user_id", F.row_number().over(Window.orderBy(F.desc("last"), "user_id")).alias("place"), "n")
+    return histories.replay_memory(memory_log(read))[1]
 
 
-@query("recover_pending", "SELECT user_id, CASE WHEN last IN ('purchase', 'error') THEN 'finalise' WHEN n < 3 THEN 'rerun' ELSE 'resume' END AS action FROM (SELECT user_id, arg_max(event_type, event_id) AS last, count(*) AS n FROM events GROUP BY user_id)")
+@query("memory_log_errors", f"WITH {_MEMORY} SELECT sequence + 1 AS sequence, 'bad_sequence' AS error FROM l WHERE sequence % 97 = 0 AND sequence < (SELECT max(sequence) FROM l)")
 def _(read, spark):
-    rows = read("events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last"), F.count(F.lit(1)).alias("n"))
-    return rows.select("user_id", F.when(F.col("last").isin("purchase", "error"), "finalise").when(F.col("n") < 3, "rerun").otherwise("resume").alias("action"))
+    """A log that lacks each 97th event: the events behind the gaps are wrong."""
+    return histories.memory_errors(memory_log(read).where("sequence % 97 <> 0")).where("error = 'bad_sequence'").select("sequence", "error")
 
 
 @query("budget_guard", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'cancelled' WHEN value > 50 THEN 'max_task_time_ms' WHEN CAST(json_extract(props, '$.k') AS INTEGER) >= 90 THEN 'max_tool_calls' END AS ended FROM events")

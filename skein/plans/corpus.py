@@ -63,10 +63,10 @@ def _count_words(text: str) -> int:
     return len(text.split())
 
 
-@query("line_range", "SELECT doc_id, 1 + length(text[1:200]) - length(replace(text[1:200], chr(10), '')) AS line FROM documents")
+@query("line_range", "SELECT doc_id, 1 + length(text) - length(replace(text, chr(10), '')) AS line FROM documents")
 def _(read, spark):
-    head = F.substring("text", 1, 200)
-    return read("documents").select("doc_id", (1 + F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))).cast("bigint").alias("line"))
+    """The line that a text's end is on."""
+    return read("documents").select("doc_id", (1 + F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("bigint").alias("line"))
 
 
 @query("token_count", r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n_tokens FROM documents")
@@ -143,5 +143,5 @@ def _(read, spark):
     """Sections of a nested document made from each row's text, read back by the parser that keeps ancestors."""
     from skein.sources.sections import parse_sections
 
-    title = F.concat(F.lit("<ROOT><DIV1 TYPE='TITLE' N='1'><HEAD>Title 1</HEAD><DIV5 TYPE='PART' N='"), F.col("doc_id"), F.lit("'><HEAD>Part</HEAD><DIV8 TYPE='SECTION' N='1.1'><HEAD>§ 1.1 First.</HEAD><P>"), F.regexp_replace(F.substring("text", 1, 300), "[<>&\\x00-\\x08]", " "), F.lit("</P></DIV8><DIV8 TYPE='SECTION' N='1.2'><HEAD>§ 1.2 [Reserved]</HEAD></DIV8></DIV5></DIV1></ROOT>"))
+    title = F.concat(F.lit("<ROOT><DIV1 TYPE='TITLE' N='1'><HEAD>Title 1</HEAD><DIV5 TYPE='PART' N='"), F.col("doc_id"), F.lit("'><HEAD>Part</HEAD><DIV8 TYPE='SECTION' N='1.1'><HEAD>§ 1.1 First.</HEAD><P>"), F.regexp_replace("text", "[<>&\\x00-\\x08]", " "), F.lit("</P></DIV8><DIV8 TYPE='SECTION' N='1.2'><HEAD>§ 1.2 [Reserved]</HEAD></DIV8></DIV5></DIV1></ROOT>"))
     return parse_sections(read("documents").select(F.col("doc_id").cast("string").alias("source"), title.cast("binary").alias("content")))

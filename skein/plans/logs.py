@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from skein.functions import policy as P
 from skein.operators import conversation, histories, replay
 from skein.operators.order import numbered
 from skein.plans.registry import query
@@ -159,11 +160,12 @@ def _(read, spark):
     return histories.memory_errors(memory_log(read).where("sequence % 97 <> 0")).where("error = 'bad_sequence'").select("sequence", "error")
 
 
-@query("budget_guard", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'cancelled' WHEN value > 50 THEN 'max_task_time_ms' WHEN CAST(json_extract(props, '$.k') AS INTEGER) >= 90 THEN 'max_tool_calls' END AS ended FROM events")
+@query("budget_guard", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'cancelled' WHEN value >= 50 THEN 'max_task_time_ms' WHEN CAST(json_extract(props, '$.k') AS INTEGER) >= 90 THEN 'max_tool_calls' END AS ended FROM events")
 def _(read, spark):
     """Cancelling comes before time, and time before counts."""
     k = F.get_json_object("props", "$.k").cast("int")
-    return read("events").select("event_id", F.when(F.col("event_type") == "error", "cancelled").when(F.col("value") > 50, "max_task_time_ms").when(k >= 90, "max_tool_calls").alias("ended"))
+    ended = P.budget_end(F.col("event_type") == "error", F.col("value"), F.lit(50), k, F.lit(90), "max_tool_calls")
+    return read("events").select("event_id", ended.alias("ended"))
 
 
 @query("dispatch_windows", f"""

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from skein.functions import policy as P
 from skein.functions import text as X
+from skein.operators.order import numbered
 from skein.plans.registry import query
 from skein.plans.retrieval import TERMS
 
@@ -32,16 +34,15 @@ def _(read, spark):
     return read("documents").select("doc_id", X.normalize_body(F.col("text")).alias("body"))
 
 
-@query("heading_strip", r"SELECT doc_id, regexp_replace(substr(text, 1, 40), '^\s+|\.\s*$', '', 'g') AS raw, rtrim(regexp_replace(' ' || substr(text, 1, 40) || '.', '^\s+|\.\s*$', '', 'g')) AS heading FROM documents")
+@query("heading_strip", r"SELECT doc_id, rtrim(regexp_replace(' ' || text || '.', '^\s+|\.\s*$', '', 'g')) AS heading FROM documents")
 def _(read, spark):
     number = F.col("doc_id").cast("string")
-    title = F.concat(F.lit("§ "), number, F.lit(" "), F.substring("text", 1, 40), F.lit("."))
-    return read("documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 40), r"^\s+|\.\s*$", "").alias("raw"), X.heading(title, number).alias("heading"))
+    return read("documents").select("doc_id", X.heading(F.concat(F.lit("§ "), number, F.lit(" "), F.col("text"), F.lit(".")), number).alias("heading"))
 
 
-@query("path_component", r"SELECT doc_id, printf('%03d', doc_id) || '/' || substr(regexp_replace(regexp_replace(substr(text, 1, 90), '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), 1, 48) AS path FROM documents")
+@query("path_component", r"SELECT doc_id, printf('%03d', doc_id) || '/' || substr(regexp_replace(regexp_replace(text, '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), 1, 48) AS path FROM documents")
 def _(read, spark):
-    return read("documents").select("doc_id", F.concat(F.format_string("%03d", "doc_id"), F.lit("/"), X.path_component(F.substring("text", 1, 90))).alias("path"))
+    return read("documents").select("doc_id", F.concat(F.format_string("%03d", "doc_id"), F.lit("/"), X.path_component(F.col("text"))).alias("path"))
 
 
 @query("content_ids", "SELECT doc_id, sha256(text) AS body_sha256, 'doc-' || substr(sha256('2024-01-01' || chr(0) || 'doc ' || doc_id || chr(0) || sha256(text)), 1, 32) AS document_id FROM documents")
@@ -83,7 +84,7 @@ def _(read, spark):
 
 @query("full_citation_match", r"SELECT doc_id, regexp_matches(trim(CASE WHEN doc_id % 2 = 0 THEN doc_id % 50 + 1 || ' CFR 60.' || doc_id ELSE text END), '(?i)^[0-9]{1,3}\s+cfr\s+[0-9]+\.[0-9]+$') AS exact FROM documents")
 def _(read, spark):
-    return read("documents").select("doc_id", F.trim(F.expr("CASE WHEN doc_id % 2 = 0 THEN concat(doc_id % 50 + 1, ' CFR 60.', doc_id) ELSE text END")).rlike(r"(?i)^[0-9]{1,3}\s+cfr\s+[0-9]+\.[0-9]+$").alias("exact"))
+    return read("documents").select("doc_id", P.full_citation(F.expr("CASE WHEN doc_id % 2 = 0 THEN concat(doc_id % 50 + 1, ' CFR 60.', doc_id) ELSE text END")).alias("exact"))
 
 
 _CJK_SQL = rf"regexp_matches(t, '[\x{{3400}}-\x{{4DBF}}\x{{4E00}}-\x{{9FFF}}\x{{F900}}-\x{{FAFF}}\x{{20000}}-\x{{323AF}}]')"
@@ -198,51 +199,55 @@ def _(read, spark):
     return read("pages").select("page_id", F.concat(F.lit("https://example.org/section-"), F.replace(F.replace(F.url_encode("url"), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))).alias("link"))
 
 
-@query("valid_timestamp", "SELECT event_id, true AS valid, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.000Z' AS normal, false AS bad FROM events")
+@query("valid_timestamp", "SELECT event_id, event_id % 4 <> 1 AND event_id % 4 <> 2 AS valid, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.000Z' WHEN 1 THEN strftime(ts, '%Y-%m') || '-32T00:00:00.000Z' WHEN 2 THEN strftime(ts, '%Y') || '-02-30T' || strftime(ts, '%H:%M:%S') || '.000Z' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.250Z' END AS normal FROM events")
 def _(read, spark):
-    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
-    return read("events").select("event_id", X.valid_timestamp(stamp).alias("valid"), X.normal_timestamp(stamp).alias("normal"), X.valid_timestamp(F.lit("2023-02-29T00:00:00Z")).alias("bad"))
+    """Each event's time as it is, with a day 32, on the 30th of February, and with milliseconds."""
+    m, f = F.col("event_id") % 4, lambda p: F.date_format("ts", p)
+    stamp = F.when(m == 0, F.concat(f("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).when(m == 1, F.concat(f("yyyy-MM"), F.lit("-32T00:00:00Z"))).when(m == 2, F.concat(f("yyyy"), F.lit("-02-30T"), f("HH:mm:ss"), F.lit("Z"))).otherwise(F.concat(f("yyyy-MM-dd'T'HH:mm:ss"), F.lit(".250Z")))
+    return read("events").select("event_id", X.valid_timestamp(stamp).alias("valid"), X.normal_timestamp(stamp).alias("normal"))
 
 
-@query("canonical_date", "SELECT event_id, true AS canonical, false AS other FROM events")
+@query("canonical_date", "SELECT event_id, event_id % 3 = 0 AND day(ts) < 29 AS canonical FROM events")
 def _(read, spark):
-    day = F.date_format("ts", "yyyy-MM-dd")
-    same = lambda c: F.coalesce(F.date_format(F.expr(f"try_cast({c} as date)"), "yyyy-MM-dd") == F.expr(c), F.lit(False))
-    return read("events").withColumn("d", day).select("event_id", same("d").alias("canonical"), same("'2024-1-05'").alias("other"))
+    """Days of the next February, as ISO writes them, without leading zeros, and with a time."""
+    day = F.date_format("ts", "dd")
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("2023-02-"), day)).when(F.col("event_id") % 3 == 1, F.concat(F.lit("2023-2-"), day)).otherwise(F.concat(F.lit("2023-02-"), day, F.lit(" 00:00")))
+    return read("events").select("event_id", P.canonical_date(text).alias("canonical"))
 
 
-@query("id_validators", "SELECT doc_id, true AS task_ok, false AS short_ok FROM documents")
+@query("id_validators", "WITH x AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'task-' || md5(text) WHEN 1 THEN 'session-' || md5(text) WHEN 2 THEN 'doc-' || md5(text) WHEN 3 THEN 'doc-' || md5(text) || '-chunk-' || substr(md5(text), 1, 16) ELSE upper('memory-' || md5(text)) END AS id FROM documents) SELECT doc_id, doc_id % 5 = 0 AS task, doc_id % 5 = 1 AS session, false AS memory, doc_id % 5 = 2 AS document, doc_id % 5 = 3 AS chunk FROM x")
 def _(read, spark):
-    made = F.concat(F.lit("task-"), F.md5("text"))
-    return read("documents").select("doc_id", made.rlike("^task-[0-9a-f]{32}$").alias("task_ok"), F.substring(made, 1, 30).rlike("^task-[0-9a-f]{32}$").alias("short_ok"))
+    made = F.expr("CASE doc_id % 5 WHEN 0 THEN 'task-' || md5(text) WHEN 1 THEN 'session-' || md5(text) WHEN 2 THEN 'doc-' || md5(text) WHEN 3 THEN 'doc-' || md5(text) || '-chunk-' || substr(md5(text), 1, 16) ELSE upper('memory-' || md5(text)) END")
+    return read("documents").select("doc_id", *(P.valid_id(made, k).alias(k) for k in P.ID_PATTERNS))
 
 
 @query("stop_reason_codec", "SELECT event_id, CASE event_type WHEN 'signup' THEN 'end_turn' WHEN 'view' THEN 'tool_use' WHEN 'click' THEN 'max_tokens' WHEN 'purchase' THEN 'stop_sequence' ELSE 'unknown' END AS reason FROM events")
 def _(read, spark):
     raw = F.when(F.col("event_type") == "signup", "end_turn").when(F.col("event_type") == "view", "tool_use").when(F.col("event_type") == "click", "max_tokens").when(F.col("event_type") == "purchase", "stop_sequence").otherwise(F.col("event_type"))
-    return read("events").select("event_id", F.when(raw.isin("end_turn", "tool_use", "max_tokens", "stop_sequence"), raw).otherwise("unknown").alias("reason"))
+    return read("events").select("event_id", P.stop_reason(raw).alias("reason"))
 
 
 @query("layered_setting", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'policy' WHEN doc_id % 3 = 0 THEN 'project' WHEN doc_id % 2 = 0 THEN 'user' ELSE 'default' END AS setting FROM documents")
 def _(read, spark):
     layer = lambda n, name: F.when(F.col("doc_id") % n == 0, F.lit(name))
-    return read("documents").select("doc_id", F.coalesce(layer(4, "policy"), layer(3, "project"), layer(2, "user"), F.lit("default")).alias("setting"))
+    return read("documents").select("doc_id", P.layered(layer(4, "policy"), layer(3, "project"), layer(2, "user"), F.lit("default")).alias("setting"))
 
 
 @query("backoff_delay", "SELECT event_id, CAST(least(100 * pow(2, event_id % 10), 8000) AS BIGINT) AS delay_ms FROM events")
 def _(read, spark):
-    return read("events").select("event_id", F.least(F.lit(100) * F.pow(F.lit(2), F.col("event_id") % 10), F.lit(8000)).cast("bigint").alias("delay_ms"))
+    return read("events").select("event_id", P.backoff_ms(F.col("event_id") % 10 + 1, 100, 8000).alias("delay_ms"))
 
 
-@query("no_match_text", f"SELECT doc_id, CASE WHEN regexp_matches({MARKED}, '[\\x{{4E00}}-\\x{{9FFF}}]') THEN 'zh' ELSE 'en' END AS answer FROM documents")
+@query("no_match_text", f"SELECT doc_id, CASE WHEN regexp_matches({MARKED}, '[\\x{{4E00}}-\\x{{9FFF}}]') THEN '{P.NO_MATCH_ZH}' ELSE '{P.NO_MATCH_EN}' END AS answer FROM documents")
 def _(read, spark):
-    return read("documents").select("doc_id", F.when(X.has_cjk(F.expr(MARKED)), "zh").otherwise("en").alias("answer"))
+    return read("documents").select("doc_id", P.no_match_text(F.expr(MARKED)).alias("answer"))
 
 
-@query("failure_summary", "SELECT event_id, CASE event_type WHEN 'error' THEN 'task failed' WHEN 'click' THEN 'task cancelled' WHEN 'view' THEN 'budget exceeded' ELSE 'task ended' END AS summary FROM events")
+@query("failure_summary", "SELECT event_id, CASE event_type WHEN 'error' THEN 'task failed' WHEN 'click' THEN 'task cancelled' WHEN 'view' THEN 'task budget exceeded' END AS summary FROM events")
 def _(read, spark):
     c = F.col("event_type")
-    return read("events").select("event_id", F.when(c == "error", "task failed").when(c == "click", "task cancelled").when(c == "view", "budget exceeded").otherwise("task ended").alias("summary"))
+    status = F.when(c == "error", "failed").when(c == "click", "cancelled").when(c == "view", "budget_exceeded").otherwise("completed")
+    return read("events").select("event_id", P.failure_summary(status).alias("summary"))
 
 
 @query("html_blocks", "SELECT page_id, CAST(len(x) AS BIGINT) AS items, coalesce(array_to_string(list_transform(x, lambda s: '- ' || trim(regexp_replace(regexp_replace(s, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'))), chr(10)), '') AS list FROM (SELECT page_id, regexp_extract_all(html, '(?s)<li>.*?</li>') AS x FROM pages)")
@@ -260,6 +265,60 @@ def _(read, spark):
     return docs.select("doc_id", F.sha2(markdown({"id": F.col("doc_id").cast("string"), "lang": F.concat(F.lit('"'), F.col("lang"), F.lit('"'))}, F.col("heading"), F.col("text")), 256).alias("file_sha256"))
 
 
-@query("prefix_order", "SELECT doc_id, CAST(rank() OVER (PARTITION BY lang ORDER BY source, doc_id) AS INTEGER) AS place FROM documents")
+@query("path_order", "SELECT lang, source || '/' || doc_id AS path, row_number() OVER (PARTITION BY lang ORDER BY source || '/' || doc_id COLLATE \"C\") AS place FROM documents QUALIFY place <= 200".replace(' COLLATE "C"', ""))
 def _(read, spark):
-    return read("documents").select("doc_id", F.row_number().over(Window.partitionBy("lang").orderBy("source", "doc_id")).alias("place"))
+    """Paths in the order of their bytes, 200 of each folder at most: a listing is cut there. Each task keeps its own first ones."""
+    rows = read("documents").select("lang", F.concat("source", F.lit("/"), "doc_id").alias("path"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("path")).cast("bigint")).where("place <= 200")
+
+
+@query("prefix_order", "SELECT doc_id, row_number() OVER (ORDER BY lang, source, doc_id) AS place FROM documents")
+def _(read, spark):
+    return numbered(read("documents").select("doc_id", "lang", "source"), [F.col("lang"), F.col("source"), F.col("doc_id")], "place").select("doc_id", "place")
+
+
+@query("zh_concepts", "WITH w AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Safety and RECORDS of safety' WHEN 1 THEN 'License, licensing; permit' WHEN 2 THEN 'General provisions' ELSE lang END AS t FROM documents) SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '安全,记录' WHEN 1 THEN '许可,许可证' WHEN 2 THEN '一般规定' ELSE '' END AS concepts FROM w")
+def _(read, spark):
+    m = F.col("doc_id") % 4
+    title = F.when(m == 0, "Safety and RECORDS of safety").when(m == 1, "License, licensing; permit").when(m == 2, "General provisions").otherwise(F.col("lang"))
+    return read("documents").select("doc_id", F.array_join(P.zh_concepts(title), ",").alias("concepts"))
+
+
+@query("line_fragment", "WITH x AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[^ -~]', 'e', 'g'), '\\s', ' ', 'g') AS s FROM documents), m AS (SELECT *, instr(s, 'the') - 1 AS o FROM x WHERE contains(s, 'the')), b AS (SELECT *, greatest(o - 341, 0) AS f FROM m) SELECT doc_id, CASE WHEN length(s) <= 1024 THEN s ELSE substr(s, CAST(f + 1 AS BIGINT), CAST(least(length(s), f + 1024) - f AS BIGINT)) END AS fragment FROM b")
+def _(read, spark):
+    """Each text as one line of ASCII, around its first match; the edges of characters are covered by unit tests."""
+    line = F.regexp_replace(F.regexp_replace("text", "[^ -~]", "e"), r"\s", " ")
+    rows = read("documents").select("doc_id", line.alias("s")).where(F.col("s").contains("the"))
+    return rows.select("doc_id", P.line_fragment(F.col("s"), F.instr("s", "the") - 1, 3).alias("fragment"))
+
+
+@query("metadata_budget", "SELECT event_id, event_id % 5 NOT IN (1, 2, 3) AS ok FROM events")
+def _(read, spark):
+    """Values that are too deep, have too many nodes or too long strings, next to those that are sound."""
+    m = F.col("event_id") % 5
+    deep = F.concat(F.repeat(F.lit("["), F.lit(18)), F.repeat(F.lit("]"), F.lit(18)))
+    wide = F.concat(F.lit("["), F.array_join(F.array_repeat(F.col("event_id").cast("string"), 300), ","), F.lit("]"))
+    value = F.when(m == 1, deep).when(m == 2, wide).when(m == 3, F.concat(F.lit('{"k": "'), F.repeat(F.lit("x"), F.lit(4100)), F.lit('"}'))).otherwise(F.col("props"))
+    return read("events").select("event_id", P.metadata_ok(value).alias("ok"))
+
+
+@query("flatten_value", "SELECT event_id, 'k tail ' || event_type || ' ' || CAST(json_extract(props, '$.k') AS VARCHAR) AS flat FROM events")
+def _(read, spark):
+    value = F.to_json(F.struct(F.get_json_object("props", "$.k").cast("int").alias("k"), F.array(F.col("event_type")).alias("tail")))
+    return read("events").select("event_id", P.flatten_value(value).alias("flat"))
+
+
+@query("evidence_pack_valid", "SELECT conv_id, count(*) <= 20 AND max(strlen(text)) <= 8192 AND sum(strlen(text)) <= 32768 AND conv_id % 5 <> 0 AS ok FROM conversations GROUP BY conv_id")
+def _(read, spark):
+    """A conversation's turns as evidence; every fifth one is said to have no match."""
+    rows = read("conversations").groupBy("conv_id").agg(F.collect_list(F.struct(F.col("turn").cast("string").alias("source_id"), F.col("text").alias("content"))).alias("items"))
+    return rows.select("conv_id", P.evidence_ok(F.col("items"), F.col("conv_id") % 5 == 0).alias("ok"))
+
+
+@query("response_valid", "SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN length(text) > 0 WHEN 1 THEN true WHEN 2 THEN false ELSE false END AS ok FROM conversations")
+def _(read, spark):
+    """Text alone, a call with its reason, a call without it, and one id twice."""
+    m = (F.col("conv_id") + F.col("turn")) % 4
+    block = lambda kind, id_: F.struct(F.lit(kind).alias("type"), F.lit(id_).cast("string").alias("id"), F.col("text").alias("text"))
+    content = F.when(m == 0, F.array(block("text", None))).when(m == 3, F.array(block("tool_use", "a"), block("tool_use", "a"))).otherwise(F.array(block("text", None), block("tool_use", "a")))
+    return read("conversations").select("conv_id", "turn", P.response_ok(content, F.when(m.isin(1, 3), "tool_use").otherwise("end_turn")).alias("ok"))

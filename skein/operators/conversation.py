@@ -35,6 +35,14 @@ def truncate_text(c, most: int, note: str = " [truncated]"):
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit(note))).otherwise(c)
 
 
+def snip_oldest(results: DataFrame, threshold: int, key: str = "conv_id", order: str = "turn", size: str = "bytes") -> DataFrame:
+    """results with kept: of a conversation's tool results the oldest go, one by one, until what is left is within the threshold; the last one stays in any case."""
+    w = Window.partitionBy(key)
+    before = F.coalesce(F.sum(size).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = F.max(order).over(w) == F.col(order)
+    return results.withColumn("kept", last | (F.sum(size).over(w) - before <= threshold))
+
+
 def batches(turns: DataFrame, most_bytes: int = 32_768, most_turns: int = 32, key: str = "conv_id", order: str = "turn") -> DataFrame:
     """key, batch, first, last, n, bytes: turns in order, a batch closed before it would pass a limit. A turn that is too large alone is a batch without turns, marked by n = 0."""
     schema = f"{key} bigint, batch int, first bigint, last bigint, n int, bytes bigint"

@@ -141,3 +141,11 @@ def recover_pending(states: DataFrame, tasks: DataFrame) -> DataFrame:
     rows = states.where("pending is not null").join(tasks.select("session_id", "turn_index", "status"), "session_id", "left")
     action = F.when(F.col("status").isNull(), "rerun").when(F.col("turn_index") != F.col("pending"), "mismatched").when(F.col("status").isin("completed", "failed", "budget_exceeded", "cancelled"), "finalise").otherwise("resume")
     return rows.select("session_id", F.col("pending").alias("turn"), action.alias("action"))
+
+
+def memory_files(live: DataFrame) -> DataFrame:
+    """path and text of the Markdown view of live entries, one file each, named by its id; an entry that was forgotten has none. Written whole each time, as a table that replaces the one before."""
+    from skein.operators.corpus import markdown
+
+    front = {"memory_id": F.col("memory_id"), "updated_at": normal_timestamp(F.col("updated_at"))}
+    return live.select(F.concat("memory_id", F.lit(".md")).alias("path"), markdown(front, F.col("memory_id"), F.col("content")).alias("text"))

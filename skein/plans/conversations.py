@@ -103,3 +103,10 @@ def _(read, spark):
 def _(read, spark):
     turns = read("conversations")
     return turns.select("conv_id", "turn").join(turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn")), ["conv_id", "turn"], "left_semi")
+
+
+@query("compaction_snip", "WITH r AS (SELECT conv_id, turn, strlen(text) AS bytes FROM conversations WHERE role = 'assistant'), x AS (SELECT *, sum(bytes) OVER (PARTITION BY conv_id) AS total, coalesce(sum(bytes) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, max(turn) OVER (PARTITION BY conv_id) AS last FROM r) SELECT conv_id, turn, turn = last OR total - before <= 600 AS kept FROM x")
+def _(read, spark):
+    """Answers stand for tool results: the oldest go until 600 bytes are left."""
+    rows = read("conversations").where("role = 'assistant'").select("conv_id", "turn", F.octet_length("text").cast("bigint").alias("bytes"))
+    return conversation.snip_oldest(rows, 600).select("conv_id", "turn", "kept")

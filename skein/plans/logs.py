@@ -154,6 +154,11 @@ def _(read, spark):
     return histories.replay_memory(memory_log(read))[1]
 
 
+@query("memory_files", f"WITH {_MEMORY} SELECT 'memory-' || user_id || '.md' AS path, '---' || chr(10) || 'memory_id: memory-' || user_id || chr(10) || 'updated_at: 2023-01-0' || max(k) FILTER (WHERE k <= 2) || 'T00:00:00.000Z' || chr(10) || '---' || chr(10) || chr(10) || '# memory-' || user_id || chr(10) || chr(10) || 'v' || max(k) FILTER (WHERE k <= 2) || chr(10) AS text FROM l GROUP BY user_id HAVING NOT (user_id % 3 = 0 AND max(k) >= 3)")
+def _(read, spark):
+    return histories.memory_files(histories.replay_memory(memory_log(read))[0])
+
+
 @query("memory_log_errors", f"WITH {_MEMORY} SELECT sequence + 1 AS sequence, 'bad_sequence' AS error FROM l WHERE sequence % 97 = 0 AND sequence < (SELECT max(sequence) FROM l)")
 def _(read, spark):
     """A log that lacks each 97th event: the events behind the gaps are wrong."""

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +26,36 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, blank_lines: bool =
     return rows.select(F.from_json(F.when(F.col("_error").isNull(), F.col("value")), schema).alias("r"), "_error").select("r.*", "_error")
 
 
+def truncated_files(spark: SparkSession, path: str) -> DataFrame:
+    """path of each file whose last byte isn't a line feed: its last line was not written whole. Spark lists the files, but for empty ones; a task reads one byte of each."""
+
+    def last_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            wrong = []
+            for name, size in batch.itertuples(index=False):
+                store, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                with store.open_input_file(place) as file:
+                    file.seek(size - 1)
+                    if file.read(1) != b"\n":
+                        wrong.append(name)
+            yield pd.DataFrame({"path": pd.Series(wrong, dtype=object)})
+
+    return spark.read.format("binaryFile").load(path).select("path", "length").mapInPandas(last_bytes, "path string")
+
+
+def read_log(spark: SparkSession, path: str, schema: str, kind: str) -> DataFrame:
+    """Events of logs by each kind's rules. Blank lines are left out of task logs, and are errors in session and memory logs, whose files also have to end with a line feed and to have a line (an empty file among others isn't seen). Lines that break the schema, or hold a key twice, are errors in all."""
+    if kind not in ("task", "session", "memory"):
+        raise ValueError("the kind is task, session or memory")
+    if kind != "task":
+        assert_none(truncated_files(spark, path), "a log is truncated")
+        if spark.read.text(path).isEmpty():
+            raise ValueError("a log is truncated: there is no event")
+    return read_jsonl(spark, path, schema, blank_lines=kind == "task")
+
+
 def sequence_errors(events: DataFrame, key: str, sequence: str = "sequence") -> DataFrame:
     """Events whose number isn't one more than the one before, from 1 on."""
     before = F.lag(sequence).over(Window.partitionBy(key).orderBy(sequence))

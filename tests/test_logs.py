@@ -152,3 +152,24 @@ def test_dispatch_and_batches(spark):
     assert got == [1, 1, 2, 3, 3, 4, 4, 5]
     turns = spark.createDataFrame([(1, 0, "x" * 10), (1, 1, "x" * 10), (1, 2, "x" * 50), (1, 3, "x")], "conv_id bigint, turn bigint, text string")
     assert [(r["first"], r["n"]) for r in conversation.batches(turns, 20, 5).orderBy("batch").collect()] == [(0, 2), (2, 0), (3, 1)]
+
+
+def test_each_log_has_its_own_rules(spark, tmp_path):
+    schema = "a int, b string"
+    folder = lambda name, raw: (tmp_path / name).mkdir() or (tmp_path / name / "x.jsonl").write_bytes(raw) and str(tmp_path / name)
+    line = b'{"a": 1, "b": "x"}\n'
+    whole, cut, blank, twice = folder("w", line * 3), folder("c", line + line[:-1]), folder("b", line + b"\n" + line), folder("t", line + b'{"a": 1, "a": 2, "b": "x"}\n')
+    assert [logs.read_log(spark, whole, schema, k).count() for k in ("task", "session", "memory")] == [3, 3, 3]
+    assert logs.read_log(spark, cut, schema, "task").count() == 2 and logs.read_log(spark, blank, schema, "task").count() == 2
+    for kind in ("session", "memory"):
+        with pytest.raises(ValueError, match="truncated"):
+            logs.read_log(spark, cut, schema, kind)
+        with pytest.raises(ValueError, match="schema"):
+            logs.read_log(spark, blank, schema, kind)
+    with pytest.raises(ValueError, match="schema"):
+        logs.read_log(spark, twice, schema, "task")
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "x.jsonl").write_bytes(b"")
+    with pytest.raises(ValueError, match="truncated"):
+        logs.read_log(spark, str(tmp_path / "e"), schema, "session")
+    assert logs.truncated_files(spark, cut).count() == 1 and logs.truncated_files(spark, whole).count() == 0

@@ -49,6 +49,7 @@ class _Laid:
     rows: np.ndarray
     chunk_at: np.ndarray
     chunks: np.ndarray  # by text
+    padding: np.ndarray  # the rows of padding
 
 
 def _laid(data: np.ndarray, at: np.ndarray) -> _Laid:
@@ -62,17 +63,19 @@ def _laid(data: np.ndarray, at: np.ndarray) -> _Laid:
         padded[p : p + n] = data[a : a + n]
     chunks = -(-blocks // _BLOCKS)
     within = np.arange(int(chunks.sum())) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-    return _Laid(padded.reshape(-1, STEP), np.repeat(first[:-1], chunks) + within * _BLOCKS, chunks)
+    padding = (first[1:, None] - np.arange(1, KERNEL // STEP)).ravel()
+    return _Laid(padded.reshape(-1, STEP), np.repeat(first[:-1], chunks) + within * _BLOCKS, chunks, padding)
 
 
 def _pooled(w: Weights, laid: _Laid) -> tuple[np.ndarray, np.ndarray]:
-    """The filters' values at each row, and their largest over each chunk. What starts in padding is left over for the last chunk; it is no more than the shift, cut at 0."""
+    """The filters' values at each row, and their largest over each chunk. What starts in padding, and may reach into the next text, counts as 0, the least value."""
     x = w.embed[laid.rows].reshape(len(laid.rows), STEP * DIMS)
     y = x @ w.filters[: STEP * DIMS]
     for k in range(1, KERNEL // STEP):
         y[:-k] += x[k:] @ w.filters[k * STEP * DIMS : (k + 1) * STEP * DIMS]
     y += w.shift
     np.maximum(y, 0, out=y)
+    y[laid.padding] = 0
     return y, np.maximum.reduceat(y, laid.chunk_at, axis=0)
 
 

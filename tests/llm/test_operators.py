@@ -207,6 +207,35 @@ def test_quality(spark):
     assert all((a == b).all() for a, b in zip(w.arrays(), quality.fit(docs.repartition(5), labels).arrays(), strict=True))
 
 
+def test_quality_forward_pass():
+    """Scores against the network written out in plain Python, each text by itself."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    w = quality._start(3)
+    w.shift[:] = np.linspace(-0.2, 0.2, quality.FILTERS)
+    w.out[:] *= 5
+    texts = ["", "a", "abcd", "abcde", "é日本", None, "x" * 255, "y" * 256, "z" * 257, *("".join(rng.choice("ab cdé\n") for _ in range(rng.randrange(1, 1500))) for _ in range(20)), "long " * 3000]
+
+    def plain(text):
+        raw = (text or "").encode()
+        rows = max(1, -(-len(raw) // quality.STEP))
+        raw = list(raw) + [0] * (rows * quality.STEP + quality.KERNEL - len(raw))
+        values = []
+        for r in range(rows):
+            flat = [float(v) for b in raw[r * quality.STEP : r * quality.STEP + quality.KERNEL] for v in w.embed[b]]
+            values.append([max(0.0, sum(x * float(f) for x, f in zip(flat, w.filters[:, j], strict=True)) + float(w.shift[j])) for j in range(quality.FILTERS)])
+        size = quality.CHUNK // quality.STEP
+        pooled = [[max(column) for column in zip(*values[a : a + size], strict=True)] for a in range(0, rows, size)]
+        features = [max(c) for c in zip(*pooled, strict=True)] + [sum(c) / len(pooled) for c in zip(*pooled, strict=True)]
+        return 1 / (1 + math.exp(-sum(f * float(o) for f, o in zip(features, w.out, strict=True)) - float(w.bias[0])))
+
+    got = quality.scores(w, pa.array(texts))
+    assert got == pytest.approx([plain(t) for t in texts], rel=1e-4)
+    assert quality.scores(w, pa.array(texts[::-1]))[::-1] == pytest.approx(got, rel=1e-5)  # neighbours make no difference
+
+
 def test_quality_of_long_samples(spark, monkeypatch):
     rng = random.Random(6)
     good = lambda n: " ".join(rng.choice(["the", "river", "runs", "under", "old", "stone", "bridges"]) for _ in range(n))

@@ -24,7 +24,7 @@ from skein.llm._words import ALNUM, signed, words_of
 
 WINDOW = 13
 BROADCAST_BYTES = 16 << 20
-_SPANS = "n_words bigint, spans array<struct<first:int,last:int>>, items array<bigint>"
+_SPANS = "n_words bigint, spans array<struct<first:int,last:int>>, items array<{}>"
 
 
 class _NGrams:
@@ -54,7 +54,7 @@ class _NGrams:
             self.lookup[k] = seen, hashes
 
 
-def _scan(ngrams, column: str, others: list[str]):
+def _scan(ngrams, column: str, others: list[str], ids_are_text: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = ngrams.value
         for batch in batches:
@@ -92,7 +92,7 @@ def _scan(ngrams, column: str, others: list[str]):
                     items.append(sorted(found[d][1]))
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in others]
             arrays += [pa.array(np.concatenate(counts) if counts else np.empty(0, np.int64), pa.int64())]
-            arrays += [pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(items, pa.list_(pa.int64()))]
+            arrays += [pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(items, pa.list_(pa.string() if ids_are_text else pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*others, "n_words", "spans", "items"])
 
     return scan
@@ -117,25 +117,26 @@ def _merged_spans(spans):
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES, text: str = "text") -> DataFrame:
     """All columns of docs, with n_words, spans (hit words as [first, last) from word 0) and items (sorted ids of items with a window in the text).
 
-    benchmark has item_id and text. A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window.
+    benchmark has item_id, a number or a string, and text. A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window.
     Null texts have no words, rows of the benchmark without an id or text are left out, and an item that is repeated counts once. A row of docs gives one row, also when
     rows are repeated. Columns of docs named n_words, spans or items are replaced.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_words", "spans", "items")
-    tests = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
+    kind = "string" if dict(benchmark.dtypes)["item_id"] == "string" else "bigint"
+    tests = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast(kind).alias("item_id"), "text").distinct()
     total = tests.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     parts = max(1, -(-total // (broadcast_bytes // 2)))
-    out = T._parse_datatype_string(_SPANS)
+    out = T._parse_datatype_string(_SPANS.format(kind))
     if parts == 1:
         grams = spark.sparkContext.broadcast(_NGrams([tuple(r) for r in tests.collect()], window))
-        return docs.mapInArrow(lean(_scan(grams, text, docs.columns)), T.StructType([*docs.schema.fields, *out.fields]))
+        return docs.mapInArrow(lean(_scan(grams, text, docs.columns, kind == "string")), T.StructType([*docs.schema.fields, *out.fields]))
     rows, found = written(row_at(docs, "__row"), "rows"), None
     texts = rows.select("__row", text)
     for part in range(parts):
         some = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         grams = spark.sparkContext.broadcast(_NGrams([tuple(r) for r in some.collect()], window))
-        hits = texts.mapInArrow(lean(_scan(grams, text, ["__row"])), T.StructType([texts.schema["__row"], *out.fields]))
+        hits = texts.mapInArrow(lean(_scan(grams, text, ["__row"], kind == "string")), T.StructType([texts.schema["__row"], *out.fields]))
         hits = hits.where(F.size("spans") > 0) if part else hits
         found = hits if found is None else found.unionByName(hits)
     found = found.groupBy("__row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
@@ -175,8 +176,10 @@ def contaminated(share: int = 20):
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are not contaminated, with the columns of docs."""
-    return contamination(docs, benchmark, **options).where(~contaminated()).select(*docs.columns)
+    """The rows of docs that are not contaminated, with the columns of docs, whatever their names."""
+    names = {c: f"__own_{c}" if c in ("n_words", "spans", "items") else c for c in docs.columns}
+    kept = contamination(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), benchmark, **options).where(~contaminated())
+    return kept.select(*(F.col(f"`{n}`").alias(c) for c, n in names.items()))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -69,6 +69,11 @@ def test_decontamination(spark):
     clash = docs.withColumn("spans", F.lit(1)).withColumn("items", F.lit("x"))
     few = decontamination.contamination(clash, bench, broadcast_bytes=300)  # several parts
     assert few.exceptAll(decontamination.contamination(docs, bench).select(*few.columns)).isEmpty() and few.count() == len(rows)
+    clean = decontamination.remove_documents(clash, bench)
+    assert clean.columns == clash.columns and {(r["spans"], r["items"]) for r in clean.collect()} == {(1, "x")} and clean.count() == sum(n for w, n in want.items() if not w[-1])
+    named = bench.withColumn("item_id", F.concat(F.lit("item "), "item_id"))
+    got = {tuple(r["items"]) for r in decontamination.contamination(docs, named).collect()}
+    assert () in got and any(i.startswith("item ") for x in got for i in x)
     cut = decontamination.remove_spans(decontamination.contamination(docs, bench))
     assert not any(" ".join(shared[:14]) in (r["text"] or "") for r in cut.collect())
     assert decontamination.digest(docs.limit(0), bench).count() == 0

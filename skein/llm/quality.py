@@ -24,6 +24,8 @@ from skein.llm._words import CHUNK_BYTES, texts_as_bytes
 
 DIMS, FILTERS, KERNEL, STEP, CHUNK = 4, 24, 8, 4, 256
 PER_CLASS, SAMPLE_BYTES, EPOCHS, SEED = 1200, 24 << 20, 12, 7
+#: Steps of training at least; few texts are gone over more often.
+STEPS = 600
 #: Bytes of the longest text that is trained on whole.
 LONGEST = 1 << 18
 THRESHOLD = 0.7
@@ -159,6 +161,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     raw = [t.encode() for t in texts]
     means, squares, step = [np.zeros_like(a) for a in w.arrays()], [np.zeros_like(a) for a in w.arrays()], 0
+    epochs = max(epochs, -(-STEPS // -(-len(raw) // 48)))
     for epoch in range(epochs):
         rate = 0.01 * (1 - epoch / epochs) + 0.0005
         order = rng.permutation(len(raw))

@@ -33,11 +33,11 @@ from skein.llm._shared import lean
 
 LONG, SPAN, WINDOW = 48, 32, 4
 #: Bytes that a worker's tables of pieces and of parts may take, keys, values and what Python adds.
-PIECE_BYTES, PART_BYTES = 64 << 20, 32 << 20
+PIECE_BYTES, PART_BYTES = 96 << 20, 64 << 20
 #: Seconds after which a worker that does something else drops its tables.
 IDLE = 20
 #: Bytes of text that are encoded at once, and ids that are decoded at once; longer texts go through in parts.
-CHUNK_BYTES, DECODED_IDS = 2 << 20, 200_000
+CHUNK_BYTES, DECODED_IDS = 3 << 20, 200_000
 _ROUNDS = 16
 _ENTRY = 200  # what Python adds to a table's entry
 
@@ -177,7 +177,7 @@ class Codec:
             todo = [i for i, p in enumerate(strings) if (len(p) > LONG) == long]
             while todo:
                 taken, size = 0, 0
-                while taken < len(todo) and (not taken or size + len(strings[todo[taken]]) <= 150_000):
+                while taken < len(todo) and (not taken or size + len(strings[todo[taken]]) <= 250_000):
                     size += len(strings[todo[taken]])
                     taken += 1
                 some, todo = todo[:taken], todo[taken:]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, decontamination, licenses, lm, neardup, quality, sharding, substrings, topk, warc
+from skein.llm import audit, bpe, curriculum, decontamination, licenses, lm, neardup, quality, sharding, substrings, topk, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -67,6 +79,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash": op8_minhash,
         "op9_bpe": op9_bpe,
         "op10_sharding": op10_sharding,
+        "op11_curriculum": op11_curriculum,
+        "op12_whitening": op12_whitening,
+        "op13_audit": op13_audit,
     }
 
 
@@ -77,4 +92,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_topk": topk.ORACLE_SQL,
         "op7_substrings": substrings.ORACLE_SQL,
         "op8_minhash": neardup.ORACLE_SQL,
+        "op11_curriculum": curriculum.ORACLE_SQL,
+        "op13_audit": audit.ORACLE_SQL,
     }

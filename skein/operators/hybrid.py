@@ -54,7 +54,7 @@ def ranked_hits(index: Index, questions: DataFrame, mode: str, dense_min: float
     empty = asked.sparkSession.createDataFrame([], f"query_id {dict(questions.dtypes)['query_id']}, chunk_id string, score double, rank int")
     lex = den = empty
     if mode != "dense":
-        of = lambda some, chunks=None: search.lexical(index.postings, index.stats, some, "chunk_id", "query_id", "text", chunks)
+        of = lambda some, chunks=None: search.lexical(index.postings, index.stats, some, "chunk_id", "query_id", "text", chunks, index.terms)
         lex = of(free).unionByName(of(bound, only))
     gated = empty.select("query_id")
     if mode != "lexical":

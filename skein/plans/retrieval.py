@@ -34,9 +34,20 @@ scored AS (SELECT item_id, doc_id, round(sum({_BM25}), 9) AS score FROM asked JO
 lexical AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 100)"""
 
 
+#: Indexes that this application has written, by what their tables' files were then.
 _BUILT: dict[tuple[str, str], str] = {}
 
 
+def _files(read, *tables: str) -> str:
+    """A digest of the tables' files: their names, sizes and times."""
+    each = [read(t).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().select(F.xxhash64(F.lit(t), "file_path", "file_size", "file_modification_time").alias("h")) for t in tables]
+    rows = each[0]
+    for more in each[1:]:
+        rows = rows.union(more)
+    found = rows.agg(F.sum(F.col("h").cast("decimal(38,0)")).alias("a"), F.bit_xor("h").alias("b"), F.count(F.lit(1)).alias("c")).first()
+    return ":".join(map(str, found))
+
+
 def chunks_of(read):
     """Documents as an index's chunks: four in a row make one cited document, whose chunks are neighbours. Blank texts have none. Tokens are white-space words."""
     docs = read("documents").where(F.col("text").rlike(r"\S"))
@@ -62,8 +73,8 @@ def vectors_of(read):
 
 
 def stored_index(read, spark) -> index.Index:
-    """The index of these tables, written by the first query of the application that needs it."""
-    key = spark.sparkContext.applicationId, read("documents").inputFiles()[0]
+    """The index of these tables, written by the first query of the application that needs it, and again if a file has changed."""
+    key = spark.sparkContext.applicationId, _files(read, "documents", "embeddings")
     if key not in _BUILT:
         path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
         index.write(chunks_of(read), vectors_of(read), path)
@@ -77,7 +88,7 @@ def doc_id(c):
 
 def _lexical(read, spark, only=None):
     own = stored_index(read, spark)
-    return search.lexical(own.postings, own.stats, read("benchmark").select("item_id", "text"), "chunk_id", "item_id", "text", only).withColumn("doc_id", doc_id("chunk_id")).drop("chunk_id")
+    return search.lexical(own.postings, own.stats, read("benchmark").select("item_id", "text"), "chunk_id", "item_id", "text", only, own.terms).withColumn("doc_id", doc_id("chunk_id")).drop("chunk_id")
 
 
 @query("write_index", f"WITH {_INDEX}, d AS (SELECT doc_id // 4 AS document FROM documents WHERE regexp_matches(text, '\\S')) SELECT (SELECT count(*) FROM size) AS chunks, (SELECT count(*) FROM tf) AS postings, (SELECT count(*) FROM size) AS vectors, (SELECT count(DISTINCT document) FROM d) AS documents, CAST((SELECT sum(length) FROM size) AS BIGINT) AS sum_token_count")
@@ -94,7 +105,7 @@ def _(read, spark):
 
 @query("document_frequency", f"WITH {_INDEX} SELECT term, df FROM df")
 def _(read, spark):
-    return search.document_frequency(stored_index(read, spark).postings)
+    return stored_index(read, spark).terms.select("term", "df")
 
 
 @query("avg_length", f"WITH {_INDEX} SELECT n AS row_count, CAST((SELECT sum(length) FROM size) AS BIGINT) AS sum_token_count, round(average, 6) AS average FROM stats")
@@ -106,7 +117,7 @@ def _(read, spark):
 def _(read, spark):
     """Length is the number of white-space words of the document."""
     own = stored_index(read, spark)
-    rows = own.postings.join(F.broadcast(own.stats))
+    rows = own.postings.join(own.terms, "term").join(F.broadcast(own.stats))
     return rows.select(doc_id("chunk_id"), "term", F.round(search.bm25(*(F.col(c) for c in ("tf", "df", "length", "n", "average"))), 6).alias("score"))
 
 
@@ -121,7 +132,7 @@ def _(read, spark):
     own = stored_index(read, spark)
     items = read("benchmark").select("item_id", "text", (F.col("item_id") % 16).alias("set"))
     sets = own.chunks.select("chunk_id", (F.substring("document_id", 2, 12).cast("bigint") % 16).alias("set"))
-    hits = search.lexical_hits(own.postings, own.stats, items, "item_id", "text").join(items.select("item_id", "set"), "item_id").join(sets, ["chunk_id", "set"], "left_semi")
+    hits = search.lexical_hits(own.postings, own.stats, items, "item_id", "text", own.terms).join(items.select("item_id", "set"), "item_id").join(sets, ["chunk_id", "set"], "left_semi")
     return search.scored(hits, "chunk_id", "item_id").select("item_id", doc_id("chunk_id"), F.round("score", 6).alias("score"), "rank")
 
 
@@ -255,7 +266,7 @@ def _(read, spark):
 def _(read, spark):
     """The neighbours of the lexical hits, each with the best hit beside it. (No text of the tables is blank between others, so that neighbours' ids are neighbours.)"""
     own = stored_index(read, spark)
-    hits = search.lexical(own.postings, own.stats, read("benchmark").select(F.col("item_id").alias("query_id"), "text"), "chunk_id", "query_id", "text")
+    hits = search.lexical(own.postings, own.stats, read("benchmark").select(F.col("item_id").alias("query_id"), "text"), "chunk_id", "query_id", "text", None, own.terms)
     return hybrid.neighbors(own, hits).select(F.col("query_id").alias("item_id"), doc_id("chunk_id"), doc_id("neighbor_of").alias("neighbor_of"))
 
 

@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.operators.checks import assert_none
+from skein.sources import versions
 
 
 def publish(tables: dict[str, DataFrame], path: str, checks: dict[str, DataFrame] | None = None) -> str:
-    """Write tables as Parquet to a new folder under path, check, and only then point to it; readers keep the old one until that and after any failure.
+    """Write tables as Parquet to a new folder under path, check, and only then make them the last version; readers keep the old one until that and after any failure. Gives the folder.
 
     checks: rows that must not be there, by what they mean; they may read the staged tables through staged().
     """
     spark = next(iter(tables.values())).sparkSession
-    version = f"{path.rstrip('/')}/v-{uuid.uuid4().hex}"
+    number = versions.latest(spark, path) + 1
+    place = versions.folder(path, number)
     for name, table in tables.items():
-        table.write.mode("errorifexists").parquet(f"{version}/{name}")
+        table.write.mode("errorifexists").parquet(f"{place}/{name}")
     for what, rows in (checks or {}).items():
         assert_none(rows, what)
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/_current")
-    return version
+    versions.publish(spark, path, number, [versions.Piece(name, -1, number, -1, None, f"{place}/{name}") for name in tables])
+    return place
 
 
 def staged(spark: SparkSession, version: str, name: str) -> DataFrame:
@@ -30,8 +30,8 @@ def staged(spark: SparkSession, version: str, name: str) -> DataFrame:
 
 def published(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A table of the version that was published last."""
-    version = spark.read.schema("version string").json(f"{path.rstrip('/')}/_current").first()[0]
-    return spark.read.parquet(f"{version}/{name}")
+    _, found = versions.pieces(spark, path)
+    return spark.read.parquet(*(p.path for p in found if p.name == name))
 
 
 def write_report(rows: DataFrame, path: str) -> None:

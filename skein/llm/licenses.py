@@ -25,7 +25,9 @@ BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 
 #: Substrings one of which is in every text that a rule can match: within one word each, since any white space or punctuation may stand between words. The first is a regular expression over the text as it is, for words that common ones contain.
 _GATE_PATTERN = r"(?i)cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
-_GATES = ("licen", "spdx", "copyright", "reserved", "domain", "redistribution", "permission", "warrant", "reproduced", "prohibited", "proprietary", "misrepresent", "endorse", "acknowledgement", "exception", "evil", "perl", "osl", "mulan", "attribution", "agreement")
+_GATES = ("licen", "spdx", "copyright", "reserved", "domain", "redistribution", "permission", "warrant", "reproduced", "prohibited", "proprietary", "misrepresent", "endorse", "acknowledgement", "exception", "osl", "mulan")
+#: Pairs of words one of which is in all other texts that a rule can match. The second word is looked for first.
+_GATE_PAIRS = (("general", "public"), ("not", "evil"), ("as", "perl"), ("no", "attribution"), ("source", "agreement"))
 
 #: What stands before "under" in a grant. Grants need not hold one of _GATES, and pass by these two words in a row.
 _GRANTS = "(?:licensed|released|distributed|published|available|provided)"
@@ -229,7 +231,8 @@ def _words(text):
     gate = text.rlike(_GATE_PATTERN)
     for part in _GATES:
         gate = gate | low.contains(part)
-    gate = gate | low.rlike(r"general[\x00-\x2F\x3A-\x60\x7B-\x7F]+public")
+    for first, second in _GATE_PAIRS:
+        gate = gate | (low.contains(second) & low.rlike(rf"{first}[\x00-\x2F\x3A-\x60\x7B-\x7F]+{second}"))
     gate = gate | (low.contains("under") & low.rlike(rf"{_GRANTS}[\x00-\x2F\x3A-\x60\x7B-\x7F]+under"))
     return F.when(gate, F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" ")))
 

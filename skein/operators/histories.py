@@ -29,7 +29,7 @@ def history_ok(messages: Column) -> Column:
     return F.coalesce((F.size(messages) % 2 == 0) & ((F.size(messages) == 0) | (F.forall(place, sound) & ~last_open)), F.lit(False))
 
 
-def _until_error(events: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+def until_error(events: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Events before each key's first error, and that error."""
     first = events.where("error is not null").groupBy(key).agg(F.min_by(F.struct("sequence", "error"), "sequence").alias("e")).select(key, F.col("e.sequence").alias("at"), F.col("e.error").alias("error"))
     return events.drop("error").join(first.select(key, "at"), key, "left").where("at is null or sequence < at").drop("at"), first
@@ -38,40 +38,39 @@ def _until_error(events: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 def session_errors(events: DataFrame) -> DataFrame:
     """events (session_id, sequence, timestamp, kind, turn_index, task_id, through_turn, history_ok) with error, null for one that may follow those before it.
 
-    kind: session_started, session_turn_started, session_turn_committed, session_turn_failed, session_compacted. An event is judged as if those before it were sound; only the first error of a session has a meaning.
+    kind: session_started, session_turn_started, session_turn_committed, session_turn_failed, session_compacted. Turns are numbered without a gap; compaction goes through a committed turn that isn't the last one. An event is judged as if those before it were sound; only the first error of a session has a meaning.
     """
     order = Window.partitionBy("session_id").orderBy("sequence")
     so_far = order.rowsBetween(Window.unboundedPreceding, -1)
     kind, turn = F.col("kind"), F.col("kind").isin("session_turn_started", "session_turn_committed", "session_turn_failed")
     last = F.last(F.when(turn, F.struct("kind", "turn_index", "task_id")), ignorenulls=True).over(so_far)
-    rows = events.withColumns({
+    committed = events.where("kind = 'session_turn_committed'").groupBy("session_id", F.col("turn_index").alias("through_turn")).agg(F.min("sequence").alias("__done"))
+    rows = events.join(committed, ["session_id", "through_turn"], "left").withColumns({
         "__place": F.row_number().over(order),
-        "__before": F.lag(normal_timestamp(F.col("timestamp"))).over(order),
         "__last": last,
         "__most": F.max(F.when(kind == "session_turn_started", F.col("turn_index"))).over(so_far),
         "__compacted": F.max(F.when(kind == "session_compacted", F.col("through_turn"))).over(so_far),
-        "__done": F.collect_set(F.when(kind == "session_turn_committed", F.col("turn_index"))).over(so_far),
+        "__last_committed": F.max(F.when(kind == "session_turn_committed", F.col("turn_index"))).over(so_far),
     })
     pending = F.coalesce(F.col("__last.kind") == "session_turn_started", F.lit(False))
     same = (F.col("__last.turn_index") == F.col("turn_index")) & F.col("__last.task_id").eqNullSafe(F.col("task_id"))
-    compacts = ~pending & F.array_contains("__done", F.col("through_turn")) & (F.col("through_turn") > F.coalesce("__compacted", F.lit(-1)))
+    compacts = ~pending & (F.col("__done") < F.col("sequence")) & (F.col("through_turn") < F.col("__last_committed")) & (F.col("through_turn") > F.coalesce("__compacted", F.lit(0)))
     error = (
         F.when(F.col("sequence") != F.col("__place"), "bad_sequence")
         .when((F.col("__place") == 1) & (kind != "session_started"), "not_started")
         .when((F.col("__place") > 1) & (kind == "session_started"), "already_started")
-        .when(normal_timestamp(F.col("timestamp")) < F.col("__before"), "bad_sequence")
-        .when((kind == "session_turn_started") & (pending | ~(F.col("turn_index") > F.coalesce("__most", F.lit(0)))), "turn_order")
+        .when((kind == "session_turn_started") & (pending | ~F.coalesce(F.col("turn_index") == F.coalesce("__most", F.lit(0)) + 1, F.lit(False))), "turn_order")
         .when(kind.isin("session_turn_committed", "session_turn_failed") & ~F.coalesce(pending & same, F.lit(False)), "no_pending_turn")
         .when((kind == "session_turn_committed") & ~F.coalesce("history_ok", F.lit(False)), "bad_history")
         .when((kind == "session_compacted") & ~F.coalesce(compacts, F.lit(False)), "nothing_to_compact")
         .when(~turn & ~kind.isin("session_started", "session_compacted"), "unknown_event")
     )
-    return rows.withColumn("error", error).drop("__place", "__before", "__last", "__most", "__compacted", "__done")
+    return rows.withColumn("error", error).drop("__place", "__last", "__most", "__compacted", "__done", "__last_committed")
 
 
 def replay_sessions(events: DataFrame) -> DataFrame:
     """A row for each session: last_turn, pending (the turn that is open), turns (committed and not compacted), compacted_through, last_sequence, last_timestamp and error. With an error, the state is that before it."""
-    held, errors = _until_error(session_errors(events), "session_id")
+    held, errors = until_error(session_errors(events), "session_id")
     kind = F.col("kind")
     last = F.max_by(F.when(kind.isin("session_turn_started", "session_turn_committed", "session_turn_failed"), F.struct("kind", "turn_index")), F.when(kind != "session_started", F.when(kind != "session_compacted", F.col("sequence"))))
     state = held.groupBy("session_id").agg(

@@ -77,7 +77,9 @@ def start_task(event: dict) -> dict:
     _need(all(v > 0 for v in p["budgets"].values()), "bad_budget")
     past = p.get("initial_messages", [])
     _need(history_valid(past), "bad_history")
-    _need(not past or p.get("session_link") is not None, "unlinked_history")
+    link = p.get("session_link")
+    _need(not past or link is not None, "unlinked_history")
+    _need(link is None or (bool(re.fullmatch(r"session-[0-9a-f]{32}", link["session_id"])) and link["turn_index"] > 0), "bad_link")
     return {
         "task_id": event["task_id"], "status": "created", "budgets": p["budgets"], "messages": [*past, {"role": "user", "content": [{"type": "text", "text": p["issue"]}]}],
         "evidence": {"items": []}, "in_flight": False, "stop": None, "calls": [], "results": [], "done": 0, "dispatched": 0, "active": None, "rounds": 0, "tool_calls": 0, "system": None,
@@ -177,14 +179,18 @@ def _ended(status: str) -> Callable[[dict, dict], None]:
     return apply
 
 
+def _spent(message: str) -> dict:
+    return {"code": "budget_exceeded", "message": message, "retryable": False}
+
+
 def _budget_exceeded(s: dict, p: dict) -> None:
     name, idle = p["budget_name"], not s["in_flight"]
     if name == "max_tokens":
         last = s["messages"][-1]
         ok = s["status"] == "awaiting_model" and idle and s["stop"] == "max_tokens" and last["role"] == "assistant" and not any(b["type"] == "tool_use" for b in last["content"])
-        _need(ok and p["error"]["message"] == "model output token budget exceeded", "budget_not_spent")
+        _need(ok and p["error"] == _spent("model output token budget exceeded"), "budget_not_spent")
     else:
-        _need(p["error"]["message"] == f"{name} budget exceeded" and s["stop"] not in ("max_tokens", "end_turn", "stop_sequence"), "budget_not_spent")
+        _need(p["error"] == _spent(f"{name} budget exceeded") and s["stop"] not in ("max_tokens", "end_turn", "stop_sequence"), "budget_not_spent")
         left = s["done"] < len(s["calls"])
         guards = {
             "max_task_time_ms": s["status"] in ("preparing_context", "awaiting_model") or (s["status"] == "awaiting_tool" and left),
@@ -254,7 +260,7 @@ def session_step(state: dict | None, event: dict) -> dict:
         return {"session_id": event["session_id"], "turns": [], "pending": None, "last_turn": 0, "compacted_through": 0, "summary": None, "last_sequence": 1, "last_timestamp": event["timestamp"]}
     _need(event["session_id"] == state["session_id"] and event["sequence"] == state["last_sequence"] + 1, "bad_sequence")
     if kind == "session_turn_started":
-        _need(state["pending"] is None and p["turn_index"] > state["last_turn"], "turn_order")
+        _need(state["pending"] is None and p["turn_index"] == state["last_turn"] + 1, "turn_order")
         state.update(pending=p, last_turn=p["turn_index"])
     elif kind in ("session_turn_committed", "session_turn_failed"):
         _need(state["pending"] is not None and state["pending"]["turn_index"] == p["turn_index"] and state["pending"]["task_id"] == p["task_id"], "no_pending_turn")
@@ -263,7 +269,7 @@ def session_step(state: dict | None, event: dict) -> dict:
             state["turns"].append({"turn_index": p["turn_index"], "messages": p["messages"]})
         state["pending"] = None
     elif kind == "session_compacted":
-        _need(state["pending"] is None and state["compacted_through"] < p["through_turn"] and any(t["turn_index"] == p["through_turn"] for t in state["turns"]), "nothing_to_compact")
+        _need(state["pending"] is None and state["compacted_through"] < p["through_turn"] and any(t["turn_index"] == p["through_turn"] for t in state["turns"][:-1]), "nothing_to_compact")
         state.update(summary=p["summary"], compacted_through=p["through_turn"], turns=[t for t in state["turns"] if t["turn_index"] > p["through_turn"]])
     else:
         raise Rejected("already_started")
@@ -312,6 +318,17 @@ def replay_tasks(events: DataFrame, strict: bool = True) -> DataFrame:
     return rows.mapInPandas(run, TASK_ROW)
 
 
+def evaluate_logs(events: DataFrame) -> DataFrame:
+    """A row for each task log: its verdict (pass or fail; null for a broken log), status, metrics and error."""
+    return replay_tasks(events, strict=False).withColumn("verdict", F.when(F.col("error").isNull(), F.when(F.col("passed"), "pass").otherwise("fail")))
+
+
+def verify_logs(events: DataFrame) -> DataFrame:
+    """task_id, status and last_sequence of each sound log, or its error."""
+    sound = F.col("error").isNull()
+    return replay_tasks(events, strict=False).select("task_id", F.when(sound, F.col("status")).alias("status"), F.when(sound, F.col("last_sequence")).alias("last_sequence"), "error")
+
+
 def latest_entries(events: DataFrame, key: str = "memory_id") -> DataFrame:
     """The live rows of an upsert-and-forget log (sequence, kind, key and content): each key's last event, unless that forgets it."""
     last = events.groupBy(key).agg(F.max_by(F.struct("*"), "sequence").alias("e")).select("e.*")

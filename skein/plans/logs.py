@@ -1,15 +1,14 @@
-"""Event logs. `events` stands for the logs: user_id is the task, the order of (ts, event_id) gives its sequence; what the reducers check of payloads is covered by unit tests."""
+"""Event logs, made from the tables: tasks from events (skein.plans.traces), sessions from conversations, the memory log from events."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein.functions import policy as P
 from skein.operators import conversation, histories, replay
 from skein.operators.order import numbered
+from skein.plans import traces
 from skein.plans.registry import query
 
 _SEQ = "seq AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events)"
@@ -33,79 +32,64 @@ def _(read, spark):
     return read("events").withColumn("ok", ok).groupBy("user_id").agg(F.bool_and("ok").alias("monotone"))
 
 
-@query("task_evaluation", "SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS model_rounds, count(*) FILTER (WHERE event_type = 'click') AS tool_calls, count(*) FILTER (WHERE event_type = 'error') AS tool_errors, arg_max(event_type, event_id) AS last_type, arg_max(event_type, event_id) = 'purchase' AS passed FROM events GROUP BY user_id")
-def _(read, spark):
-    """Counts by kind and the last event; the state machine itself is in task_replay."""
-    kind = F.col("event_type")
-    last = F.max_by("event_type", "event_id")
-    return read("events").groupBy("user_id").agg(F.count_if(kind == "view").alias("model_rounds"), F.count_if(kind == "click").alias("tool_calls"), F.count_if(kind == "error").alias("tool_errors"), last.alias("last_type"), (last == "purchase").alias("passed"))
+_METRICS = "model_rounds, tool_calls, evidence_rounds, evidence_items, model_requests_with_evidence, tool_error_results"
 
 
-def task_trace(task: str, issue: str, kind: int) -> list[dict]:
-    """A short log: completed, failed or cancelled by kind, or one with a gap in its sequence."""
-    user, answer = {"role": "user", "content": [{"type": "text", "text": issue}]}, {"type": "text", "text": "done"}
-    request = {"messages": [user], "evidence": {"items": []}, "tools": [], "timeout_ms": 1000, "system_prompt": "s"}
-    ends = [("task_completed", {"final_text": "done"}), ("task_failed", {"error": {"message": "x"}}), ("task_cancelled", {"error": {"message": "y"}}), ("task_completed", {"final_text": "other"})]
-    steps = [
-        ("task_started", {"issue": issue, "budgets": {"model_timeout_ms": 1000, "max_model_rounds": 4, "max_tool_calls": 4, "max_task_time_ms": 9000}}),
-        ("context_preparation_started", {}),
-        ("context_prepared", {"evidence": {"items": []}}),
-        ("model_call_started", {"request": request}),
-        ("model_call_succeeded", {"response": {"content": [answer], "stop_reason": "end_turn"}}),
-        ends[kind % 4],
-    ]
-    return [{"schema_version": 1, "task_id": task, "sequence": i + 1, "event_type": name, "payload": json.dumps(p)} for i, (name, p) in enumerate(steps)]
+@query("task_replay", f"WITH {traces.ROUND_SQL} SELECT user_id, task, status, CAST(model_rounds AS BIGINT) AS model_rounds, CAST(tool_calls AS BIGINT) AS tool_calls, CAST(last_sequence AS BIGINT) AS last_sequence, ends IS NOT DISTINCT FROM 'completed' AND error IS NULL AS passed, error FROM o")
+def _(read, spark):
+    """All tasks' logs through the state machine: where each one stands, and the rule that a broken one broke."""
+    rows = traces.task_keys(replay.replay_tasks(traces.task_events(read, spark), strict=False))
+    return rows.select("user_id", "task", "status", "model_rounds", "tool_calls", "last_sequence", "passed", "error")
 
 
-@query("task_replay", """
-SELECT user_id, CASE user_id % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' WHEN 2 THEN 'cancelled' ELSE 'awaiting_model' END AS status, CAST(1 AS BIGINT) AS model_rounds, CAST(CASE WHEN user_id % 4 = 3 THEN 5 ELSE 6 END AS BIGINT) AS last_sequence, user_id % 4 = 0 AS passed
-FROM (SELECT DISTINCT user_id FROM events)
-""")
+@query("task_evaluation", f"WITH {traces.ROUND_SQL} SELECT user_id, task, CASE WHEN ends = 'completed' THEN 'pass' ELSE 'fail' END AS verdict, status, " + ", ".join(f"CAST({m} AS BIGINT) AS {m}" for m in _METRICS.split(", ")) + ", CAST(last_sequence AS BIGINT) AS last_sequence FROM o WHERE error IS NULL")
 def _(read, spark):
-    """A log made for each user runs through the task's state machine."""
-    import pandas as pd
+    """What became of each task with a sound log, and what it took."""
+    sound = replay.evaluate_logs(traces.task_events(read, spark)).where("error is null")
+    return traces.task_keys(sound).select("user_id", "task", "verdict", "status", *_METRICS.split(", "), "last_sequence")
 
-    def logs(batches):
-        for batch in batches:
-            rows = [e for u in batch["user_id"].tolist() for e in task_trace(f"task-{u:032x}", f"issue {u}", u)]
-            yield pd.DataFrame(rows, columns=["schema_version", "task_id", "sequence", "event_type", "payload"])
 
-    events = read("events").select("user_id").distinct().mapInPandas(logs, "schema_version int, task_id string, sequence bigint, event_type string, payload string")
-    rows = replay.replay_tasks(events, strict=False)
-    return rows.select(F.conv(F.substring("task_id", 6, 32), 16, 10).cast("bigint").alias("user_id"), "status", "model_rounds", "last_sequence", "passed")
+@query("verify_log", f"WITH {traces.ROUND_SQL} SELECT user_id, task, error IS NULL AS sound, CASE WHEN error IS NULL THEN status END AS status, CASE WHEN error IS NULL THEN CAST(last_sequence AS BIGINT) END AS last_sequence FROM o")
+def _(read, spark):
+    rows = replay.verify_logs(traces.task_events(read, spark))
+    return traces.task_keys(rows).select("user_id", "task", F.col("error").isNull().alias("sound"), "status", "last_sequence")
 
 
 def session_log(read):
-    """A session's log for each conversation: every second turn starts a turn of the session, which the answer commits. By conv_id modulo 7: 0 lacks its third event, 1 commits a turn that isn't open, 2 ends with an open turn, 3 is compacted through its first turn at the end, 4 has a history that doesn't alternate."""
+    """A session's log for each conversation: every second turn starts a turn of the session, which the answer commits. By conv_id modulo 7: 0 lacks its second turn, 1 commits a turn that isn't open at its end, 2 doesn't commit its last turn, 3 is compacted at the end through the last turn but one, 4 has a history that doesn't alternate where an answer's length divides by five."""
     turns = read("conversations").where("role <> 'system'").select("conv_id", "turn", "text")
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    turns = turns.withColumn("place", place).withColumn("index", F.ceil(F.col("place") / 2)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("conv_id")))
-    m, starts = F.col("conv_id") % 7, F.col("place") % 2 == 1
-    cut = turns.where((F.col("n") >= 4) & (F.col("place") <= 4))  # two turns of each session
-    none, ok = F.lit(None), F.when(m == 4, F.lit(False)).otherwise(F.lit(True))
-    started = cut.groupBy("conv_id").agg(F.lit(1).alias("sequence"), F.lit("session_started").alias("kind"), none.cast("bigint").alias("turn_index"), none.cast("bigint").alias("through_turn"))
-    middle = cut.where(~((m == 2) & (F.col("place") == 4))).select("conv_id", (F.col("place") + 1).alias("sequence"), F.when(starts, "session_turn_started").otherwise("session_turn_committed").alias("kind"), F.when((m == 1) & (F.col("place") == 4), F.col("index") + 1).otherwise(F.col("index")).alias("turn_index"), none.cast("bigint").alias("through_turn"))
-    ends = cut.where(m == 3).groupBy("conv_id").agg(F.lit(6).alias("sequence"), F.lit("session_compacted").alias("kind"), none.cast("bigint").alias("turn_index"), F.lit(1).cast("bigint").alias("through_turn"))
-    rows = started.unionByName(middle).unionByName(ends).where(~((m == 0) & (F.col("sequence") == 3)))
-    return rows.select(F.col("conv_id").alias("session_id"), "sequence", F.format_string("2024-01-01T00:00:%02dZ", F.col("sequence") + F.col("conv_id") % 50).alias("timestamp"), "kind", "turn_index", F.concat(F.lit("task-"), F.col("turn_index")).alias("task_id"), "through_turn", ok.alias("history_ok"))
+    own = Window.partitionBy("conv_id")
+    turns = turns.withColumn("place", F.row_number().over(own.orderBy("turn"))).withColumn("n", F.count(F.lit(1)).over(own)).withColumn("index", F.ceil(F.col("place") / 2))
+    m, starts, last = F.col("conv_id") % 7, F.col("place") % 2 == 1, F.col("place") == F.col("n") - F.col("n") % 2
+    none = F.lit(None).cast("bigint")
+    row = lambda sequence, kind, turn_index=none, through=none, ok=F.lit(True): [F.col("conv_id").alias("session_id"), sequence.cast("bigint").alias("sequence"), kind.alias("kind"), turn_index.cast("bigint").alias("turn_index"), through.cast("bigint").alias("through_turn"), ok.alias("history_ok")]
+    index = F.when((m == 1) & last, F.col("index") + 1).otherwise(F.col("index"))
+    middle = turns.where(~((m == 0) & (F.col("place") == 2)) & ~((m == 2) & last)).select(*row(F.col("place") + 1, F.when(starts, "session_turn_started").otherwise("session_turn_committed"), index, ok=~((m == 4) & (F.octet_length("text") % 5 == 0))))
+    ends = turns.where(F.col("place") == 1)
+    rows = ends.select(*row(F.lit(1), F.lit("session_started"))).unionByName(middle).unionByName(ends.where(m == 3).select(*row(F.col("n") + 2, F.lit("session_compacted"), through=F.floor(F.col("n") / 2) - 1)))
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("sequence") + F.col("session_id") % 50), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return rows.withColumns({"timestamp": stamp, "task_id": F.concat(F.lit("task-"), F.col("turn_index"))})
 
 
 _SESSIONS = """
-long AS (SELECT conv_id FROM conversations WHERE role <> 'system' GROUP BY conv_id HAVING count(*) >= 4),
-state AS (SELECT conv_id AS session_id, CASE conv_id % 7 WHEN 0 THEN 1 WHEN 4 THEN 1 ELSE 2 END AS last_turn, CASE conv_id % 7 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 4 THEN 1 END AS pending,
-  CASE conv_id % 7 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 0 ELSE 2 END AS turns, CASE conv_id % 7 WHEN 3 THEN 1 ELSE 0 END AS compacted_through,
-  CASE conv_id % 7 WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 4 WHEN 3 THEN 6 WHEN 4 THEN 2 ELSE 5 END AS last_sequence, CASE conv_id % 7 WHEN 0 THEN 'bad_sequence' WHEN 1 THEN 'no_pending_turn' WHEN 4 THEN 'bad_history' END AS error FROM long)"""
+p AS (SELECT conv_id, strlen(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, count(*) OVER (PARTITION BY conv_id) AS n, conv_id % 7 AS m FROM conversations WHERE role <> 'system'),
+f AS (SELECT *, min(CASE WHEN (m = 0 AND place = 3) OR (m = 1 AND place = n - n % 2) OR (m = 2 AND place = n AND n % 2 = 1 AND n > 1) OR (m = 4 AND place % 2 = 0 AND size % 5 = 0) THEN place END) OVER (PARTITION BY conv_id) AS bad FROM p),
+a AS (SELECT * FROM f WHERE place < coalesce(bad, n + 1) AND NOT (m = 0 AND place = 2) AND NOT (m = 2 AND place = n - n % 2)),
+h AS (SELECT conv_id, any_value(m) AS m, any_value(n) AS n, any_value(bad) AS bad, count(*) AS held, max(place) AS last, max((place + 1) // 2) AS last_turn, count(*) FILTER (place % 2 = 0) AS committed FROM a GROUP BY conv_id),
+g AS (SELECT *, m = 3 AND last % 2 = 0 AND committed >= 2 AS compacts FROM h),
+state AS (SELECT conv_id AS session_id, last_turn, CASE WHEN last % 2 = 1 THEN last_turn END AS pending, CASE WHEN compacts THEN 1 ELSE committed END AS turns, CASE WHEN compacts THEN committed - 1 ELSE 0 END AS compacted_through, 1 + held + compacts::INTEGER AS last_sequence,
+  CASE WHEN bad IS NOT NULL THEN CASE m WHEN 0 THEN 'bad_sequence' WHEN 2 THEN 'bad_sequence' WHEN 1 THEN 'no_pending_turn' ELSE 'bad_history' END WHEN m = 3 AND NOT compacts THEN 'nothing_to_compact' END AS error FROM g)"""
 
 
 @query("session_replay", f"WITH {_SESSIONS} SELECT * FROM state")
 def _(read, spark):
-    """Sessions' logs through the rules of turns; four of seven kinds break one, or end in the middle."""
+    """Sessions' logs through the rules of turns; five of seven kinds break one, or end in the middle."""
     return histories.replay_sessions(session_log(read)).drop("last_timestamp")
 
 
 @query("list_sessions", f"WITH {_SESSIONS} SELECT session_id, row_number() OVER (ORDER BY last_sequence + session_id % 50 DESC, session_id) AS place FROM state WHERE error IS NULL")
 def _(read, spark):
-    states = histories.replay_sessions(session_log(read).where("session_id % 7 not in (0, 1, 4)"))
+    states = histories.replay_sessions(session_log(read)).where("error is null")
     return histories.list_sessions(states).select("session_id", "place")
 
 
@@ -120,13 +104,13 @@ def _(read, spark):
     """What to do about open turns, from the logs of their tasks, which are made by session_id modulo 5."""
     states = histories.replay_sessions(session_log(read)).where("error is null")
     m = F.col("session_id") % 5
-    tasks = states.where(m > 0).select("session_id", F.when(m == 1, F.lit(99)).otherwise(F.lit(2)).cast("bigint").alias("turn_index"), F.when(m == 2, "failed").otherwise("awaiting_model").alias("status"))
+    tasks = states.where(m > 0).select("session_id", F.when(m == 1, F.col("pending") + 97).otherwise(F.col("pending")).alias("turn_index"), F.when(m == 2, "failed").otherwise("awaiting_model").alias("status"))
     return histories.recover_pending(states, tasks)
 
 
 def memory_log(read):
     """The one memory log: an entry for each user at its first event, whose content the second changes and the third forgets for every third user; each event further on is a checkpoint of that user's session."""
-    rows = read("events").select("event_id", "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("k")).where("k <= 6")
+    rows = read("events").select("event_id", "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("k"))
     rows = numbered(rows, [F.col("event_id")], "sequence")
     stamp = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("sequence")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     forgets = (F.col("k") == 3) & (F.col("user_id") % 3 == 0)
@@ -139,7 +123,7 @@ def memory_log(read):
     )
 
 
-_MEMORY = "k AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events QUALIFY k <= 6), l AS (SELECT *, row_number() OVER (ORDER BY event_id) AS sequence FROM k)"
+_MEMORY = "k AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), l AS (SELECT *, row_number() OVER (ORDER BY event_id) AS sequence FROM k)"
 
 
 @query("memory_replay", f"WITH {_MEMORY} SELECT 'memory-' || user_id AS memory_id, 'v' || max(k) FILTER (WHERE k <= 2) AS content, max(sequence) FILTER (WHERE k <= 2) AS sequence FROM l GROUP BY user_id HAVING NOT (user_id % 3 = 0 AND max(k) >= 3)")

@@ -23,7 +23,7 @@ def session_logs(seed, n=60):
         for _ in range(rng.randrange(12)):
             roll = rng.random()
             if open_ is None and roll < 0.75:
-                turn += rng.choice([1, 1, 2]) if rng.random() < 0.95 else 0
+                turn += rng.choice([1] * 20 + [0, 2])
                 rows.append(("session_turn_started", turn, f"t{turn}", None, None))
                 open_ = turn
             elif open_ is not None and roll < 0.9:
@@ -66,27 +66,32 @@ def test_broken_session_fails_the_list(spark):
         histories.list_sessions(states)
 
 
+def memory_log(seed, n=40):
+    rng, rows = random.Random(seed), []
+    alive, used = {}, []
+    for i in range(n):
+        roll = rng.random()
+        if roll < 0.4 or not alive:
+            name = f"m{len(used)}" if rng.random() < 0.98 or not used else rng.choice(used)
+            rows.append([i + 1, stamp(i), "memory_upserted", name, "c0", "f", stamp(i), stamp(i), None, None])
+            alive[name] = 0
+            used.append(name)
+        elif roll < 0.7:
+            name = rng.choice(list(alive))
+            alive[name] += rng.random() < 0.97
+            rows.append([i + 1, stamp(i), "memory_upserted", name, f"c{alive[name]}", "f" if rng.random() < 0.98 else "g", stamp(0), stamp(i), None, None])
+        elif roll < 0.85:
+            name = rng.choice(list(alive)) if rng.random() < 0.97 else "nobody"
+            alive.pop(name, None)
+            rows.append([i + 1, stamp(i), "memory_forgotten", name, None, None, None, None, None, None])
+        else:
+            rows.append([i + 1, stamp(i), "memory_checkpointed", None, None, None, None, None, "s", i if rng.random() < 0.97 else 0])
+    return rows
+
+
 def test_memory_step_by_step(spark):
     for seed in range(4):
-        rng, rows = random.Random(seed), []
-        alive, used = {}, []
-        for i in range(40):
-            roll = rng.random()
-            if roll < 0.4 or not alive:
-                name = f"m{len(used)}" if rng.random() < 0.98 or not used else rng.choice(used)
-                rows.append([i + 1, stamp(i), "memory_upserted", name, "c0", "f", stamp(i), stamp(i), None, None])
-                alive[name] = 0
-                used.append(name)
-            elif roll < 0.7:
-                name = rng.choice(list(alive))
-                alive[name] += rng.random() < 0.97
-                rows.append([i + 1, stamp(i), "memory_upserted", name, f"c{alive[name]}", "f" if rng.random() < 0.98 else "g", stamp(0), stamp(i), None, None])
-            elif roll < 0.85:
-                name = rng.choice(list(alive)) if rng.random() < 0.97 else "nobody"
-                alive.pop(name, None)
-                rows.append([i + 1, stamp(i), "memory_forgotten", name, None, None, None, None, None, None])
-            else:
-                rows.append([i + 1, stamp(i), "memory_checkpointed", None, None, None, None, None, "s", i if rng.random() < 0.97 else 0])
+        rows = memory_log(seed)
         state, error = {}, None
         for sequence, at, kind, name, content, fixed, created, updated, session, through in rows:
             entry = {"memory_id": name, "content": content, "created_at": created, "updated_at": updated, **dict.fromkeys(("category", "scope", "source_session_id", "source_turn_start", "source_turn_end", "origin"), fixed)}

@@ -6,9 +6,9 @@ import os
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from traces import task_trace
 
 from skein.operators import analytics, conversation, corpus, replay
-from skein.plans.logs import task_trace
 from skein.sources import logs, sections, sinks
 
 TASK = "task-" + "0" * 32

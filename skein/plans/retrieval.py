@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from skein.operators import corpus, hybrid, index, search
+from skein.operators import corpus, encoder, hybrid, index, search
 from skein.plans.registry import query
+from skein.sources import versions
 from skein.sources.shared import shared_dir
 
 #: Terms of a text without `_` and CJK characters; RE2 has no lookaround, so that camel parts are cut at spaces put between them.
@@ -75,11 +76,34 @@ def vectors_of(read):
 def stored_index(read, spark) -> index.Index:
     """The index of these tables, written by the first query of the application that needs it, and again if a file has changed."""
     key = spark.sparkContext.applicationId, _files(read, "documents", "embeddings")
+    return index.read(spark, _stored_path(read, spark, key))
+
+
+def _stored_path(read, spark, key=None) -> str:
+    key = key or (spark.sparkContext.applicationId, _files(read, "documents", "embeddings"))
     if key not in _BUILT:
         path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
         index.write(chunks_of(read), vectors_of(read), path)
         _BUILT[key] = path
-    return index.read(spark, _BUILT[key])
+    return _BUILT[key]
+
+
+def letters(dimensions: int = 64) -> encoder.Encoder:
+    """A model that needs no files: how often each of a text's characters is there, by code point modulo the dimensions."""
+
+    def load():
+        import numpy as np
+
+        return lambda texts: np.array([np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) % dimensions, minlength=dimensions) for t in texts], float)
+
+    return encoder.Encoder(load, dimensions, "letters", "1")
+
+
+def changed_documents(read):
+    """The tables with every tenth text longer, and every tenth gone."""
+    m = F.col("doc_id") % 10
+    docs = read("documents").where(m != 7).withColumn("text", F.when((m == 3) & F.col("text").rlike(r"\S"), F.concat("text", F.lit(" Revised revised wording"))).otherwise(F.col("text")))
+    return lambda table: docs if table == "documents" else read(table)
 
 
 def doc_id(c):
@@ -98,6 +122,27 @@ def _(read, spark):
     return rows.join(F.broadcast(own.vectors.agg(F.count(F.lit(1)).alias("vectors")))).join(F.broadcast(own.stats)).select("chunks", "postings", "vectors", "documents", "sum_token_count")
 
 
+_CHANGED = _INDEX.replace("FROM documents", "FROM changed")
+
+
+@query("index_upgrade", f"WITH changed AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 AND regexp_matches(text, '\\S') THEN text || ' Revised revised wording' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 7), {_CHANGED} SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS tf, CAST(sum(length) AS BIGINT) AS lengths, (SELECT n FROM stats) AS n FROM tf JOIN size USING (doc_id) GROUP BY term")
+def _(read, spark):
+    """The stored index brought to a corpus of which a tenth has changed and a tenth is gone: its merged postings by term, with the frequencies that the upgrade kept."""
+    path = f"{shared_dir(spark)}/upgraded-{uuid.uuid4().hex}"
+    versions.branch(spark, _stored_path(read, spark), path)
+    index.upgrade(spark, path, chunks_of(changed_documents(read)), encoder.strict(letters()))
+    own = index.read(spark, path)
+    sums = own.postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("length").alias("lengths"))
+    return sums.join(own.terms, "term").join(F.broadcast(own.stats.select("n"))).select("term", "df", "tf", "lengths", "n")
+
+
+@query("encode", "WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents), v AS (SELECT doc_id, CAST(sum(n * n) AS DOUBLE) AS square, coalesce(max(n) FILTER (d = 37), 0) AS e FROM (SELECT doc_id, unicode(c) % 64 AS d, count(*) AS n FROM c WHERE c <> '' GROUP BY 1, 2) GROUP BY doc_id) SELECT doc_id, 64 AS dimensions, round(e / sqrt(square), 6) AS e, CASE WHEN square IS NULL THEN 'empty' END AS error FROM documents LEFT JOIN v USING (doc_id)")
+def _(read, spark):
+    """Every text through a model; e is the vector's entry of the letter e."""
+    rows = encoder.encode(read("documents").select("doc_id", "text"), letters())
+    return rows.select("doc_id", F.lit(64).alias("dimensions"), F.round(F.get("embedding", F.lit(ord("e") % 64)), 6).alias("e"), "error")
+
+
 @query("term_frequency", f"WITH {_INDEX} SELECT term, doc_id, tf FROM tf")
 def _(read, spark):
     return search.postings(read("documents").where(F.col("text").rlike(r"\S")), "doc_id", "text").select("term", "doc_id", "tf")

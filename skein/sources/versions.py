@@ -77,6 +77,12 @@ def folder(root: str, number: int) -> str:
     return f"{root.rstrip('/')}/v{number}-{uuid.uuid4().hex[:12]}"
 
 
+def branch(spark: SparkSession, root: str, other: str) -> None:
+    """Make the last version of root the first one of other, which shares its folders and goes its own way from there."""
+    _, found = pieces(spark, root)
+    publish(spark, other, 1, found)
+
+
 def unused(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
     """Folders that only versions before the last `keep` consist of. Delete them when nobody reads those any more."""
     log = _log(spark, root)

@@ -1,6 +1,6 @@
 """Sharding by balanced label propagation.
 
-Rows with equal texts are linked. Heavy groups, of more than 1/HEAVY of all rows, of which there are fewer than HEAVY whatever the input, start whole on a shard each: the largest first, where most room is; only those larger
+Rows with equal texts are linked. Heavy groups, of more than 1/HEAVY of all rows (a quarter of a shard), of which there are fewer than HEAVY whatever the input, start whole on a shard each: the largest first, where most room is; only those larger
 than the room of any shard are cut, to as few parts as there can be. All other rows start on the shards in turn. In each round a Spark aggregation counts, for each linked group, its rows
 on each shard, and a join lets its other rows ask for the shard where most of the group is. What is asked for is summed into a table of
 shards x shards x 64 hash buckets; from it the driver (whose table has that size for any input) fixes which buckets may move, so that no shard gets more linked
@@ -22,7 +22,7 @@ from skein.llm._shared import hot_join, row_at, written
 SHARDS = 16
 ROUNDS = 4
 _BUCKETS = 64
-HEAVY = 1024
+HEAVY = 64
 
 
 def _numbered(rows: DataFrame, by: list[str], out: str) -> DataFrame:
@@ -92,11 +92,11 @@ def _packed(groups: list[tuple[bytes, int]], room: list[int]) -> list[tuple[byte
     return out
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, text: str = "text") -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, text: str = "text", heavy_share: int = HEAVY) -> DataFrame:
     """The columns of docs but the text, with size, text_crc32, shard (from 0) and slot (gapless from 0 within the shard).
 
     size is the text's UTF-8 bytes plus 1; null texts have none, and are linked with nothing. Empty texts are equal texts. Repeated rows are rows like others: each gets its place.
-    An empty table gives no rows. Columns of docs with one of these names are replaced.
+    An empty table gives no rows. Columns of docs with one of these names are replaced. heavy_share: groups of more than one in so many rows are packed whole; all others propagate.
     """
     spark = docs.sparkSession
     others = [c for c in docs.columns if c not in (text, "size", "text_crc32", "shard", "slot")]
@@ -112,7 +112,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, text: st
         return rows.select(*others, "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("slot"))
     quota = [total // shards + (j < total % shards) for j in range(shards)]
     counts = rows.where("__group is not null").groupBy("__group").agg(F.count(F.lit(1)).alias("n"))
-    heavy = [(bytes(g), n) for g, n in counts.where((F.col("n") > 1) & (F.col("n") * HEAVY > total)).collect()]  # fewer than HEAVY
+    heavy = [(bytes(g), n) for g, n in counts.where((F.col("n") > 1) & (F.col("n") * heavy_share > total)).collect()]  # fewer than heavy_share
     packed = spark.createDataFrame(_packed(heavy, quota), "__group binary, __first bigint, __end bigint, shard int")  # quota: what is left for others
     whole = rows.select("__row", "__group").join(F.broadcast(packed.select("__group").distinct()), "__group")
     whole = _numbered(whole, ["__group"], "__at").join(F.broadcast(packed), "__group").where("__at >= __first AND __at < __end")

@@ -94,7 +94,7 @@ def bands(sketch: np.ndarray) -> np.ndarray:
 def _scan(k: int, least: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, doc_id, texts = batch.columns
+            row, doc_id, digest, texts = batch.columns
             for a in range(0, len(batch), 500):
                 part = texts.slice(a, 500)
                 sets = list(shingle_sets(part, k))
@@ -108,8 +108,8 @@ def _scan(k: int, least: int):
                     band_lists[i] = signed(own_bands[j])
                     shorts[i] = short[j].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [row.slice(a, 500), doc_id.slice(a, 500), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(band_lists, pa.list_(pa.int64())), pa.array(shorts, pa.binary())],
-                    names=["row", "doc_id", "n_shingles", "key", "bands", "sketch"],
+                    [row.slice(a, 500), doc_id.slice(a, 500), digest.slice(a, 500), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(band_lists, pa.list_(pa.int64())), pa.array(shorts, pa.binary())],
+                    names=["row", "doc_id", "text_hash", "n_shingles", "key", "bands", "sketch"],
                 )
 
     return scan
@@ -130,7 +130,7 @@ def _estimated(pairs: DataFrame, sketch: DataFrame, share: int) -> DataFrame:
 
 
 def _full_sets(needed: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """node and elements, its whole set, of needed (node, key, __id: a document of that class), from the texts."""
+    """node and elements, its whole set, of needed (node, key, __id, __hash: a document of that class and its text's hash), from the texts. Rows without an id, or with one that is repeated, are told apart by their texts."""
     few = needed.count() <= BROADCAST_IDS
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +139,7 @@ def _full_sets(needed: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == key for s, key in zip(made, batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signed(s) for s in made], pa.list_(pa.int64()))], names=["node", "elements"]).filter(pa.array(same, pa.bool_()))
 
-    texts = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"), "text").join(F.broadcast(needed) if few else needed, "__id").select("node", "key", "text")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__hash"), "text").join(F.broadcast(needed) if few else needed, ["__id", "__hash"]).select("node", "key", "text")
     return texts.mapInArrow(lean(sets), "node bigint, elements array<bigint>").dropDuplicates(["node"])
 
 
@@ -262,17 +262,17 @@ def link(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE) -> DataFra
 def _linked(docs: DataFrame, shingle: int, share: int) -> DataFrame:
     """row, doc_id, n_shingles, component_id and first_row (of the component's rows with the smallest id, the one with the smallest row; null ids behind all others), for docs with a column row."""
     least = -(-share // (100 - share))
-    rows = docs.select("row", F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = written(rows.mapInArrow(lean(_scan(shingle, least)), "row bigint, doc_id bigint, n_shingles bigint, key binary, bands array<bigint>, sketch binary"), "sketched")
+    rows = docs.select("row", F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = written(rows.mapInArrow(lean(_scan(shingle, least)), "row bigint, doc_id bigint, text_hash bigint, n_shingles bigint, key binary, bands array<bigint>, sketch binary"), "sketched")
     total = rows.count()
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "text_hash")).alias("best"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes")
     sketch = classes.where("sketch is not null").select("node", "sketch")
     members = classes.where("bands is not null").select("node", "n_shingles", F.posexplode("bands").alias("place", "band"))
     heads = written(members.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"), "heads")
     in_bands = written(_hot_join(members, heads, "band", total), "in-bands")
     stars = written(_estimated(in_bands.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), sketch, share), "stars")
-    keys = classes.select("node", "key", F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"))
+    keys = classes.select("node", "key", F.coalesce("best.doc_id", F.lit(-(2**63))).alias("__id"), F.col("best.text_hash").alias("__hash"))
     needed = written(keys.join(stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct(), "node"), "needed")
     edges = written(_verified(stars, written(_full_sets(needed, docs, shingle), "sets"), share), "edges")
     labels = components(edges)

@@ -129,10 +129,10 @@ def _number(digest: bytes) -> int:
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, digest = [], []
-        for w in words_of(batch.column(1), SPACED):
+        for w in words_of(batch.column(2), SPACED):
             n.append(w.counts)
             digest += [_class(w, d) for d in range(w.hi - w.lo)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n) if n else np.empty(0, np.int64), pa.int64()), pa.array(digest, pa.binary()), pa.array([_number(x) for x in digest], pa.int64())], names=["doc_id", "n_words", "all_words", "class"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(n) if n else np.empty(0, np.int64), pa.int64()), pa.array(digest, pa.binary()), pa.array([_number(x) for x in digest], pa.int64())], names=["doc_id", "text_hash", "n_words", "all_words", "class"])
 
 
 def _grams(k: int):
@@ -307,9 +307,12 @@ def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     least is the smallest ord of a class, that is doc_id with null behind all others. Rows with a larger ord lose all words if they have a window; for the others n_removed and kept_* are null if nothing goes.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = written(texts.mapInArrow(lean(_described), "doc_id bigint, n_words bigint, all_words binary, class bigint").withColumn("ord", F.coalesce("doc_id", F.lit(_LAST))), "described")
-    classes = written(rows.groupBy("class").agg(F.min("ord").alias("least"), F.count(F.lit(1)).alias("n"), F.max("n_words").alias("n_words")), "classes")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = written(texts.mapInArrow(lean(_described), "doc_id bigint, text_hash bigint, n_words bigint, all_words binary, class bigint").withColumn("ord", F.coalesce("doc_id", F.lit(_LAST))), "described")
+    first = F.min(F.struct("ord", "text_hash"))
+    classes = rows.groupBy("class").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.max("n_words").alias("n_words"))
+    classes = written(classes.select("class", F.col("first.ord").alias("least"), F.col("first.text_hash").alias("text_hash"), "n", "n_words"), "classes")
+    rows = rows.drop("text_hash")
     empty = np.empty(0, np.int64)
 
     some = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(lean(_grams(window)), "key bigint, class bigint").distinct()
@@ -321,10 +324,10 @@ def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     keyed = texts.select("text").mapInArrow(lean(_anchored(window, hot)), "key bigint, class bigint")
     shared = keyed.repartition("key").sortWithinPartitions("key", "class").mapInArrow(lean(_shared), "class bigint, anchor bigint")
     shared = shared.groupBy("class").agg(F.collect_set("anchor").alias("anchors"))  # a document's at most
-    needed = written(classes.select("class", F.col("least").alias("ord")).join(shared, "class"), "shared")
+    needed = written(classes.select("class", F.col("least").alias("ord"), "text_hash").join(shared, "class"), "shared")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The texts that are of the class they were joined to, each class once: all rows of an ord are in one task."""
+        """The texts that are of the class they were joined to, each class once: all rows of an ord and text are in one task."""
         done: set[int] = set()
         for batch in batches:
             same = [_number(_class(w, d)) for w in words_of(batch.column(batch.schema.get_field_index("text")), SPACED) for d in range(w.hi - w.lo)]
@@ -334,8 +337,8 @@ def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
                 done.update([b] if keep[-1] else [])
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    found = texts.select(F.coalesce("doc_id", F.lit(_LAST)).alias("ord"), "text").repartition("ord")
-    found = found.join(needed.repartition("ord").hint("shuffle_hash"), "ord").select("class", "ord", "text", "anchors")
+    found = texts.select(F.coalesce("doc_id", F.lit(_LAST)).alias("ord"), "text_hash", "text").repartition("ord", "text_hash")  # rows without an id, or with a repeated one, are told apart by their texts
+    found = found.join(needed.repartition("ord", "text_hash").hint("shuffle_hash"), ["ord", "text_hash"]).select("class", "ord", "text", "anchors")
     found = written(found.mapInArrow(lean(own), found.schema), "involved")
 
     segments = found.mapInArrow(lean(_emitted(window, hot, False)), "key bigint, seg bigint, words binary, ord bigint, n bigint").groupBy("key", "seg").agg(F.first("words").alias("words"), F.min("ord").alias("least"), F.sum("n").alias("n"))
@@ -347,7 +350,7 @@ def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     covers = covers.withColumn("found", F.when(F.col("ord") <= F.col("least"), F.col("found"))).where(F.col("found").isNull() | (F.regexp_replace(F.hex("found"), "0", "") != ""))
     covers = covers.groupBy("class").agg(F.collect_list(F.struct("first", "n_windows", "found")).alias("covers"))  # a document's
     changed = found.select("class", "text").join(covers, "class").mapInArrow(lean(_spanned(window)), "class bigint, n_removed bigint, kept_words binary, kept_text string")
-    return rows, classes.join(written(changed, "changed"), "class", "left")
+    return rows, classes.drop("text_hash").join(written(changed, "changed"), "class", "left")
 
 
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -526,6 +526,43 @@ def test_sharding(spark):
     assert sharding.digest(docs.limit(3)).count() == 3
 
 
+def test_sharding_by_propagation_alone(spark):
+    """No group is packed (heavy_share 1): what is linked comes together by moving towards its neighbours, as far as quotas let it."""
+    rng = random.Random(5)
+    groups = [rng.randrange(2, 9) for _ in range(60)]
+    rows = [(None, f"group {g}") for g, n in enumerate(groups) for _ in range(n)] + [(i, f"alone {i}") for i in range(1500)]
+    rng.shuffle(rows)
+    docs = frame(spark, rows, parts=5).withColumn("group", F.md5("text"))
+    placed = sharding.assign(docs, heavy_share=1)
+    assert {r["count"] for r in placed.groupBy("shard").count().collect()} <= {len(rows) // 16, len(rows) // 16 + 1}
+    start = sharding.cut_edges(sharding.assign(docs, rounds=0, heavy_share=1), "group")
+    assert sharding.cut_edges(placed, "group") <= 0.1 * start and start > 200
+    # one group of more than a shard's quota: it fills shards, and no shard takes more than its quota
+    hot = frame(spark, [(i, "hot") for i in range(130)] + [(200 + i, f"alone {i}") for i in range(190)], parts=5)
+    got = sharding.assign(hot.withColumn("group", F.md5("text")), heavy_share=1)
+    assert {r["count"] for r in got.groupBy("shard").count().collect()} == {20} and got.count() == 320
+    largest = got.where(F.col("group") == F.md5(F.lit("hot"))).groupBy("shard").count().agg(F.max("count")).first()[0]
+    assert 10 <= largest <= 20
+
+
+@pytest.mark.parametrize("rows", [300])
+def test_many_rows_without_ids(spark, rows):
+    """Pairs of near copies, and shared passages, all without ids or all with one: each row is itself, and the work grows with the rows."""
+    rng = random.Random(6)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(rows // 2)]
+    near = [" ".join([*words[:59], "other"]) for words in base]
+    texts = [" ".join(words) for words in base] + near
+    for doc_id in (None, 7):
+        docs = frame(spark, [(doc_id, t) for t in texts])
+        out = neardup.keep_one(docs, shingle=2)
+        assert out.count() == rows // 2
+        kept = substrings.remove(docs, 13)  # no row has a smaller id than another
+        assert sorted(r["text"] for r in kept.collect()) == sorted(texts)
+    docs = frame(spark, [(1, near[0]), *((None, t) for t in texts)])
+    gone = {r["n_removed"]: r["n"] for r in substrings.digest(docs, 13).groupBy("n_removed").agg(F.count("*").alias("n")).collect()}
+    assert gone == {0: rows - 1, 59: 1, 60: 1}  # the copy of the first row, and the words that its near copy shares with it
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_sharding_against_brute_force(spark, seed):
     """Law, slots, sizes and whole groups; cut edges no more than those of a greedy placement of all groups on one machine allow for."""

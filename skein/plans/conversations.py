@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skein.operators import conversation
+from skein.operators import conversation, messages
 from skein.plans.registry import query
 
 
@@ -45,11 +45,45 @@ def _(read, spark):
     return read("conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(parts, lambda x: x["text"]), ""), 256).alias("text_sha256"))
 
 
-@query("stream_assemble", "SELECT conv_id, sha256(string_agg(text, '' ORDER BY turn)) AS text_sha256, CAST(max(turn) AS BIGINT) AS last_turn, CAST(sum(length(text)) AS BIGINT) AS characters FROM conversations GROUP BY conv_id")
+def message_parts(read):
+    """Each turn as a streamed message: a text in deltas of forty characters, a tool's input in two for user turns, and usage. Every seventh conversation's turn 1 has no stop, turn 2 a delta of another block; turn 3 of all comes twice."""
+    turns = read("conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.concat_ws("-", "conv_id", "turn").alias("message_id"))
+    odd = F.col("conv_id") % 7 == 0
+    pieces = F.expr("transform(sequence(0, cast((length(text) - 1) / 40 as int)), i -> substring(text, i * 40 + 1, 40))")
+    whole = lambda c: F.to_json(F.struct(c.alias("t")))
+    quoted = lambda c: F.substr(whole(c), F.lit(6), F.length(whole(c)) - 6)
+    said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    index = F.when(odd & (F.col("turn") == 2), "5").otherwise("0")
+    deltas = F.transform(pieces, lambda x: said('{"type": "content_block_delta", "index": ', index, ', "delta": {"type": "text_delta", "text": ', quoted(x), "}}"))
+    tool = F.when(F.col("role") == "user", F.array(
+        F.lit('{"type": "content_block_start", "index": 1, "content_block": {"type": "tool_use", "id": "c", "name": "find", "input": {}}}'), F.lit('{"type": "content_block_delta", "index": 1, "delta": {"type": "input_json_delta", "partial_json": "{\\"n\\": "}}'),
+        said('{"type": "content_block_delta", "index": 1, "delta": {"type": "input_json_delta", "partial_json": "', F.length("text").cast("string"), '}"}}'), F.lit('{"type": "content_block_stop", "index": 1}'),
+    )).otherwise(F.array().cast("array<string>"))
+    reason = F.when(F.col("role") == "user", "tool_use").otherwise("end_turn")
+    first = F.array(
+        F.lit('{"type": "message_start", "message": {"id": "m", "type": "message", "role": "assistant", "content": [], "stop_reason": null, "usage": {"input_tokens": 3, "output_tokens": 1}}}'), F.lit('{"type": "ping"}'),
+        F.lit('{"type": "content_block_start", "index": 0, "content_block": {"type": "text", "text": ""}}'),
+    )
+    ends = F.array(said('{"type": "message_delta", "delta": {"stop_reason": "', reason, '"}, "usage": {"output_tokens": ', (F.length("text") + 1).cast("string"), "}}"))
+    stop = F.when(odd & (F.col("turn") == 1), F.array().cast("array<string>")).otherwise(F.array(F.lit('{"type": "message_stop"}')))
+    rows = turns.select("message_id", "turn", F.posexplode(F.concat(first, deltas, F.array(F.lit('{"type": "content_block_stop", "index": 0}')), tool, ends, stop)).alias("sequence", "data"))
+    rows = rows.withColumn("sequence", (F.col("sequence") + 1).cast("bigint"))
+    return rows.unionByName(rows.where("turn = 3")).select("message_id", "sequence", "data")
+
+
+_WRONG = "conv_id % 7 = 0 AND turn = 2"
+
+
+@query("stream_assemble", f"""
+SELECT conv_id || '-' || turn AS message_id, CASE WHEN error IS NULL THEN sha256(text) END AS text_sha256, CASE WHEN error IS NULL THEN CASE WHEN role = 'user' THEN 2 ELSE 1 END END AS blocks, CASE WHEN error IS NULL OR error = 'incomplete' THEN CASE WHEN role = 'user' THEN 'tool_use' ELSE 'end_turn' END END AS stop_reason,
+  CAST(CASE WHEN error = 'bad_part' THEN 1 ELSE length(text) + 1 END AS BIGINT) AS output_tokens, CAST(CASE WHEN error = 'bad_part' THEN 3 ELSE 6 + greatest(1, ceil(length(text) / 40)) + CASE WHEN role = 'user' THEN 4 ELSE 0 END - CASE WHEN error = 'incomplete' THEN 1 ELSE 0 END END AS BIGINT) AS parts, error
+FROM (SELECT *, CASE WHEN conv_id % 7 = 0 AND turn = 1 THEN 'incomplete' WHEN {_WRONG} THEN 'bad_part' END AS error FROM conversations)
+""")
 def _(read, spark):
-    """Deltas of a message put together in order, with the usage summed up."""
-    parts = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    return read("conversations").groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(parts, lambda x: x["text"]), ""), 256).alias("text_sha256"), F.max("turn").alias("last_turn"), F.sum(F.length("text")).alias("characters"))
+    """Every turn put together from its parts, with its usage and stop reason; parts that are wrong or missing are errors, repeated ones are not."""
+    rows = messages.assemble(message_parts(read))
+    blocks = F.size(F.from_json("blocks", "array<struct<type: string>>"))
+    return rows.select("message_id", F.when(F.col("error").isNull(), F.sha2("text", 256)).alias("text_sha256"), F.when(F.col("error").isNull(), blocks).alias("blocks"), "stop_reason", "output_tokens", "parts", "error")
 
 
 @query("turn_index_gap", "SELECT conv_id, turn, turn - coalesce(lag(turn) OVER (PARTITION BY conv_id ORDER BY turn), -1) > 1 AS gap FROM conversations WHERE turn % 4 <> 2")

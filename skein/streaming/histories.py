@@ -23,6 +23,8 @@ class _Ordered(StatefulProcessor):
     """Events of a key in the order of their numbers. A subclass says what state an event makes (apply gives an error's code or None) and what a batch puts out."""
 
     event, head = "", ""
+    #: Whether an event that comes again is passed over, and not an error.
+    repeats = False
 
     def __init__(self, patience_ms: int | None) -> None:
         self.patience_ms = patience_ms
@@ -43,18 +45,28 @@ class _Ordered(StatefulProcessor):
     def summary(self, key: str, head: dict, fault: tuple[int, str] | None) -> Iterator[Row]:
         raise NotImplementedError
 
+    def unfinished(self, head: dict) -> bool:
+        """Whether the key waits for more, so that its patience runs."""
+        return bool(head["waiting"])
+
+    def late(self, head: dict) -> str:
+        """The error of a key whose patience has ended while it waits."""
+        return "bad_sequence"
+
     def _run(self, key: str, head: dict, events: list[dict], late: bool) -> Iterator[Row]:
         out: list[Row] = []
         fault, held, began = None, [], bool(head["waiting"])
         for e in sorted(events, key=lambda e: e["sequence"]):
             if head["error"]:
                 break
+            if self.repeats and e["sequence"] <= head["last_sequence"]:
+                continue
             if e["sequence"] > head["last_sequence"] + 1 and not late:
                 held.append(e)
                 continue
-            head["error"] = "bad_sequence" if e["sequence"] != head["last_sequence"] + 1 else self.apply(head, e, out, key)
-            if head["error"]:
-                fault, held = (e["sequence"], head["error"]), []
+            error = "bad_sequence" if e["sequence"] != head["last_sequence"] + 1 else self.apply(head, e, out, key)
+            if error:
+                head["error"], fault, held = error, (e["sequence"], error), []
             else:
                 head["last_sequence"], head["last_timestamp"] = e["sequence"], e["timestamp"]
         if held:
@@ -69,20 +81,28 @@ class _Ordered(StatefulProcessor):
     def _head(self) -> dict:
         return dict(zip(self.heads, self.first.get(), strict=True)) if self.first.exists() else self.start()
 
-    def _held(self, head: dict) -> list[dict]:
+    def ended(self, key: str, head: dict, fault: tuple[int, str]) -> Iterator[Row]:
+        yield from self.summary(key, head, fault)
+
+    def _early(self, head: dict) -> list[dict]:
         return [dict(zip(self.names, x, strict=True)) for x in self.waiting.get()] if head["waiting"] else []
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         head = self._head()
-        before = head["waiting"]
-        yield from self._run(key[0], head, [*self._held(head), *({n: r[n] for n in self.names} for r in rows)], self.patience_ms == 0)
-        if self.patience_ms and head["waiting"] and not before:
+        before = self.first.exists() and self.unfinished(head)
+        yield from self._run(key[0], head, [*self._early(head), *({n: r[n] for n in self.names} for r in rows)], self.patience_ms == 0)
+        if self.patience_ms and self.unfinished(head) and not before:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         head = self._head()
-        if head["waiting"]:
-            yield from self._run(key[0], head, self._held(head), True)
+        if self.unfinished(head):
+            early = self._early(head)
+            error = (min((e["sequence"] for e in early), default=head["last_sequence"] + 1), self.late(head))
+            head.update(error=error[1], waiting=0)
+            self.waiting.clear()
+            self.first.update(tuple(head[h] for h in self.heads))
+            yield from self.ended(key[0], head, error)
 
     def close(self) -> None:
         pass
@@ -206,7 +226,7 @@ class _Memories(_Ordered):
             self.first.update(tuple(head[h] for h in self.heads))
 
 
-def _stream(events: DataFrame, key: str, columns: str, processor: _Ordered, out: str, snapshot: DataFrame | None) -> DataFrame:
+def keyed_stream(events: DataFrame, key: str, columns: str, processor: _Ordered, out: str, snapshot: DataFrame | None) -> DataFrame:
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
     rows = events.select(F.col(key).cast("string").alias(key), *(F.col(c.split()[0]).cast(c.split()[1]) for c in columns.split(", "))).groupBy(key)
     mode = "ProcessingTime" if processor.patience_ms else "None"
@@ -218,12 +238,12 @@ def replay_sessions(events: DataFrame, patience_ms: int | None = None, snapshot:
 
     patience_ms: how long an early event may wait; for ever unless given, and not at all with 0.
     """
-    return _stream(events, "session_id", SESSION_EVENT, _Sessions(patience_ms), SESSION_OUT, snapshot)
+    return keyed_stream(events, "session_id", SESSION_EVENT, _Sessions(patience_ms), SESSION_OUT, snapshot)
 
 
 def replay_memory(events: DataFrame, patience_ms: int | None = None, snapshot: DataFrame | None = None) -> DataFrame:
     """The same for memory logs, with a log_id: rows with output "entry", "forgotten" and "checkpoint" for what changes, "state" for each log and batch, and "error"."""
-    return _stream(events, "log_id", MEMORY_EVENT, _Memories(patience_ms), MEMORY_OUT, snapshot)
+    return keyed_stream(events, "log_id", MEMORY_EVENT, _Memories(patience_ms), MEMORY_OUT, snapshot)
 
 
 def session_snapshot(events: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skein.operators import checks, corpus
 from skein.plans.registry import query
+from skein.sources import corpus_files
+from skein.sources.shared import shared_dir
 
 
 @query("select_documents", "SELECT doc_id, strlen(text) AS body_bytes FROM documents ORDER BY strlen(text) DESC, doc_id LIMIT 100")
@@ -145,3 +149,32 @@ def _(read, spark):
 
     title = F.concat(F.lit("<ROOT><DIV1 TYPE='TITLE' N='1'><HEAD>Title 1</HEAD><DIV5 TYPE='PART' N='"), F.col("doc_id"), F.lit("'><HEAD>Part</HEAD><DIV8 TYPE='SECTION' N='1.1'><HEAD>§ 1.1 First.</HEAD><P>"), F.regexp_replace("text", "[<>&\\x00-\\x08]", " "), F.lit("</P></DIV8><DIV8 TYPE='SECTION' N='1.2'><HEAD>§ 1.2 [Reserved]</HEAD></DIV8></DIV5></DIV1></ROOT>"))
     return parse_sections(read("documents").select(F.col("doc_id").cast("string").alias("source"), title.cast("binary").alias("content")))
+
+
+def corpus_documents(read):
+    """Each text as a Markdown document, by language and source."""
+    docs = read("documents").where("text is not null")
+    number = F.col("doc_id").cast("string")
+    return docs.select(
+        number.alias("citation"), F.concat_ws("/", "lang", "source", F.concat(number, F.lit(".md"))).alias("path"), corpus.markdown({"doc_id": number}, F.concat(F.lit("Document "), number), F.col("text")).alias("text"),
+        F.octet_length("text").cast("bigint").alias("body_bytes"), F.sha2("text", 256).alias("body_sha256"),
+    )
+
+
+@query("write_corpus", "WITH f AS (SELECT concat_ws('/', lang, source, doc_id || '.md') AS path, '---' || chr(10) || 'doc_id: ' || doc_id || chr(10) || '---' || chr(10) || chr(10) || '# Document ' || doc_id || chr(10) || chr(10) || text || chr(10) AS file FROM documents WHERE text IS NOT NULL) SELECT path, CAST(strlen(file) AS BIGINT) AS bytes, sha256(file) AS sha256, 'ok' AS state FROM f")
+def _(read, spark):
+    """All documents written as files, published, and read back: what the manifest says of each file, and whether the file is so."""
+    root = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    corpus_files.write_corpus(corpus_documents(read), root)
+    return corpus_files.read_manifest(spark, root).select("path", "bytes", "sha256").join(corpus_files.verify_corpus(spark, root), "path")
+
+
+@query("title_download_join", "SELECT s_suppkey AS number, CASE WHEN s_nationkey = 3 THEN 'missing' WHEN s_acctbal < 0 THEN 'url' WHEN s_acctbal < 500 THEN 'digest' END AS error, CASE WHEN s_nationkey <> 3 THEN 'https://host/title-' || s_suppkey || CASE WHEN s_acctbal < 0 THEN '.txt' ELSE '.xml' END END AS url FROM supplier")
+def _(read, spark):
+    """Suppliers as titles: those of a nation have no download, those in debt one of another address, those with little a cut digest."""
+    rows = read("supplier")
+    titles = rows.select(F.col("s_suppkey").cast("bigint").alias("number"), F.col("s_name").alias("name"), F.lit(False).alias("reserved"))
+    url = F.concat(F.lit("https://host/title-"), "s_suppkey", F.when(F.col("s_acctbal") < 0, ".txt").otherwise(".xml"))
+    digest = F.when(F.col("s_acctbal") < 500, F.substring(F.sha2("s_name", 256), 1, 63)).otherwise(F.sha2("s_name", 256))
+    downloads = rows.where("s_nationkey <> 3").select(url.alias("url"), F.format_string("raw/title-%03d.xml", F.col("s_suppkey")).alias("relative_path"), digest.alias("sha256"), F.lit("2024-01-01T00:00:00Z").alias("retrieved_utc"))
+    return corpus_files.title_downloads(titles, downloads, "https://host/title-%d.xml").select("number", "error", "url")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skein.operators import conversation, messages
+from skein.operators import compaction, conversation, messages
 from skein.plans.registry import query
 
 
@@ -28,6 +28,33 @@ def _(read, spark):
     return conversation.compaction_plan(read("conversations"), 4000, 4)
 
 
+def conversation_blocks(read):
+    """Conversations as blocks: what a system says is a tool's result, what a user says a text and a call with it as its argument, an answer a text with its first sentence marked."""
+    turns = read("conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    null, said = F.lit(None).cast("string"), F.col("text")
+    marked = F.when(F.instr(said, ".") > 0, F.concat(F.lit("<think>"), F.regexp_replace(said, r"(?s)\A([^.]*)\.", "$1<think>"))).otherwise(said)
+    block = lambda kind, at=0, text=null, arguments=null, content=null: F.struct(F.lit(kind).alias("type"), F.lit(at).alias("block"), text.alias("text"), arguments.alias("arguments"), content.alias("content"))
+    blocks = F.when(F.col("role") == "system", F.array(block("tool_result", content=said))).when(F.col("role") == "user", F.array(block("text", text=said), block("tool_use", 1, arguments=F.to_json(F.struct(said.alias("q")))))).otherwise(F.array(block("text", text=marked)))
+    rows = turns.select("conv_id", F.col("turn").alias("message"), "role", F.explode(blocks).alias("b")).select("conv_id", "message", "role", "b.*")
+    return rows.withColumns({"id": F.when(F.col("type") == "tool_use", "c"), "name": F.when(F.col("type") == "tool_use", "find"), "tool_call_id": F.when(F.col("type") == "tool_result", "c")})
+
+
+@query("context_bytes", """
+WITH t AS (SELECT conv_id, role, strlen(text) AS size, contains(text, '.') AS dot, length(regexp_replace(text, '[^"\\\\]', '', 'g')) + 5 * length(regexp_replace(text, '[^\x01-\x1F]', '', 'g')) AS escapes FROM conversations)
+SELECT conv_id, CAST(9 + sum(CASE role WHEN 'system' THEN 1 + size WHEN 'user' THEN size + 5 + 2 + 2 + 3 + 2 + size + escapes ELSE size + CASE WHEN dot THEN 13 ELSE 0 END END) AS BIGINT) AS bytes FROM t GROUP BY conv_id
+""")
+def _(read, spark):
+    """What each conversation takes in a request, with a prompt and a new text."""
+    return compaction.context_bytes(conversation_blocks(read), system_prompt="system", user_text="new")
+
+
+@query("compaction_chain")
+def _(read, spark):
+    """Conversations through the stages that they need: how many, and the blocks and bytes that are left."""
+    rows = compaction.compact(conversation_blocks(read).withColumn("message", F.col("message").cast("int")), 2000, 300)
+    return rows.groupBy("conv_id").agg(F.max("stage").alias("stage"), F.count(F.lit(1)).alias("blocks"), F.countDistinct("message").alias("messages"), F.sum(compaction.block_bytes()).alias("bytes"))
+
+
 @query("compaction_stages", """
 WITH x AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'user' ELSE role END AS role, text FROM conversations), f AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS DISTINCT FROM role THEN 1 ELSE 0 END AS new FROM x),
 r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM f)

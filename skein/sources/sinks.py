@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skein.operators.checks import assert_none
 from skein.sources import versions
@@ -35,5 +36,8 @@ def published(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def write_report(rows: DataFrame, path: str) -> None:
-    """JSON lines with the columns in order of their names."""
+    """JSON lines with the columns in order of their names. Numbers that JSON doesn't have are refused."""
+    numbers = [F.isnan(c) | (F.abs(c) == float("inf")) for c, kind in rows.dtypes if kind in ("double", "float")]
+    for wrong in numbers:
+        assert_none(rows.where(wrong), "a report has a number that isn't finite")
     rows.select(*sorted(rows.columns)).write.mode("errorifexists").json(path)

@@ -140,6 +140,15 @@ def test_jsonl_and_publish(spark, tmp_path):
     assert sinks.published(spark, place, "t").count() == 1
 
 
+def test_report(spark, tmp_path):
+    good = spark.createDataFrame([(1.5, "x"), (None, None)], "b double, a string")
+    sinks.write_report(good, str(tmp_path / "r"))
+    assert sorted(spark.read.text(str(tmp_path / "r")).toPandas()["value"]) == ['{"a":"x","b":1.5}', "{}"]
+    for bad in ("nan", "inf"):
+        with pytest.raises(ValueError, match="finite"):
+            sinks.write_report(spark.createDataFrame([(float(bad),)], "b double"), str(tmp_path / bad))
+
+
 def test_markdown_source(spark, tmp_path):
     (tmp_path / "d.md").write_text("---\nid: 1\n---\n\n# Title\n\nbody one\nbody two\n")
     row = logs.read_markdown(spark, str(tmp_path / "d.md")).first()

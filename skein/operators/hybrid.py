@@ -19,8 +19,8 @@ def check_bounds(top_k: int, most_bytes: int, mode: str) -> None:
 
 
 def question_ok(text: Column) -> Column:
-    """Not blank, and no longer than 16 KiB."""
-    return F.coalesce((F.trim(text) != "") & (F.octet_length(text) <= 16_384), F.lit(False))
+    """Not blank, no longer than 16 KiB, and with no more than eight citations."""
+    return F.coalesce((F.trim(text) != "") & (F.octet_length(text) <= 16_384) & (F.size(citations(text)) <= 8), F.lit(False))
 
 
 def cited_documents(index: Index, questions: DataFrame) -> DataFrame:

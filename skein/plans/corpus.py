@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import checks, corpus
 from skein.plans.registry import query
-from skein.sources import corpus_files
+from skein.sources import corpus_files, listing
 from skein.sources.shared import shared_dir
 
 
@@ -169,6 +169,15 @@ def _(read, spark):
     return corpus_files.read_manifest(spark, root).select("path", "bytes", "sha256").join(corpus_files.verify_corpus(spark, root), "path")
 
 
+@query("list_files", "WITH f AS (SELECT doc_id, lang, source, strlen('---' || chr(10) || 'doc_id: ' || doc_id || chr(10) || '---' || chr(10) || chr(10) || '# Document ' || doc_id || chr(10) || chr(10) || text || chr(10)) AS bytes FROM documents WHERE text IS NOT NULL) SELECT concat_ws('/', lang, source, doc_id || '.md') AS path, false AS directory, CAST(bytes AS BIGINT) AS bytes FROM f UNION ALL SELECT DISTINCT concat_ws('/', lang, source), true, CAST(0 AS BIGINT) FROM f UNION ALL SELECT DISTINCT lang, true, CAST(0 AS BIGINT) FROM f")
+def _(read, spark):
+    """All files and folders of the published corpus, listed by tasks from its root on."""
+    root = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    corpus_files.write_corpus(corpus_documents(read), root)
+    rows, _ = listing.walk(spark, corpus_files.files_folder(spark, root))
+    return rows.where("not omitted").select("path", "directory", "bytes")
+
+
 @query("title_download_join", "SELECT s_suppkey AS number, CASE WHEN s_nationkey = 3 THEN 'missing' WHEN s_acctbal < 0 THEN 'url' WHEN s_acctbal < 500 THEN 'digest' END AS error, CASE WHEN s_nationkey <> 3 THEN 'https://host/title-' || s_suppkey || CASE WHEN s_acctbal < 0 THEN '.txt' ELSE '.xml' END END AS url FROM supplier")
 def _(read, spark):
     """Suppliers as titles: those of a nation have no download, those in debt one of another address, those with little a cut digest."""

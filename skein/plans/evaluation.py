@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skein.operators import evals, search
+from skein.operators import cases, corpus, evals, search
 from skein.operators.order import numbered
+from skein.plans.corpus import _CHUNKS
 from skein.plans.registry import query
 from skein.plans.retrieval import chunks_of
 
@@ -199,3 +200,42 @@ def _(read, spark):
     picked = evals.hash_slices(read("documents").select("doc_id"), "doc_id", "eval-v2:", [("citation", 40), ("paraphrase_en", 40), ("multi_concept", 40)])
     rows = read("documents").join(F.broadcast(picked), "doc_id")
     return rows.select("doc_id", "kind", evals.split_parity(F.col("place")).alias("split"), F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0), 1, 10), " ").alias("query"))
+
+
+_CASE_SIZES = {"citation": 30, "paraphrase_en": 30, "cross_language_zh": 20, "multi_concept": 15, "adjacent_context": 10}
+_WORDS = "array_to_string(list_slice(regexp_extract_all(content, '[A-Za-z][A-Za-z0-9''-]+'), 1, {}), ' ')"
+_CASES_SQL = f"""
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, 'doc:' || doc_id AS citation, concat_ws('/', lang, source, doc_id || '.md') AS path, concat_ws(' ', source, lang, CASE WHEN lang = 'en' THEN 'Safety records' END) AS title, coalesce(text, '') AS content FROM documents),
+o AS (SELECT *, row_number() OVER (ORDER BY sha256('eval-v2:' || id)) - 1 AS rn FROM d),
+z AS (SELECT *, row_number() OVER (ORDER BY sha256('eval-v2:' || id)) - 1 AS rn FROM d WHERE title LIKE '%Safety records'),
+p AS (SELECT (rn - 60) // 2 AS pair, min_by(title, rn) AS lt, max_by(title, rn) AS rt, min_by(id, rn) AS li, max_by(id, rn) AS ri, min_by(citation || ' (' || path || ')', rn) AS lc, max_by(citation || ' (' || path || ')', rn) AS rc FROM o WHERE rn BETWEEN 60 AND 89 GROUP BY 1),
+{_CHUNKS.strip().rstrip()},
+n AS (SELECT *, doc_id || ':' || start AS chunk_id, doc_id || ':' || lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS next_id FROM chunks),
+a AS (SELECT n.*, d.id, d.citation, d.path, d.title, row_number() OVER (ORDER BY sha256('eval-v2:' || chunk_id)) - 1 AS rn FROM n JOIN d ON d.id = CAST(n.doc_id AS VARCHAR) WHERE next_id IS NOT NULL),
+c AS (
+SELECT 'citation' AS kind, rn, rn AS serial, citation AS query, id AS documents, '' AS chunk_ids, 'Exact citation audited against ' || path || ' in the locked document manifest.' AS rationale FROM o WHERE rn < 30
+UNION ALL SELECT 'paraphrase_en', rn - 30, rn, 'What federal requirements apply to ' || title || '? ' || {_WORDS.format(8)}, id, '', 'English paraphrase audited against ' || citation || ' at ' || path || '.' FROM o WHERE rn BETWEEN 30 AND 59
+UNION ALL SELECT 'cross_language_zh', rn, rn + 60, '关于安全、记录，这条美国联邦法规规定了什么？', id, '', 'Chinese cross-language query audited against ' || citation || ' at ' || path || '; source title is ' || title || '.' FROM z WHERE rn < 20
+UNION ALL SELECT 'multi_concept', pair, pair + 80, 'Compare the federal requirements for ' || lt || ' and ' || rt || '.', li || ',' || ri, '', 'Two-source case audited against ' || lc || ' and ' || rc || '.' FROM p
+UNION ALL SELECT 'adjacent_context', rn, rn + 95, 'What context immediately follows the rule about ' || title || '? ' || {_WORDS.format(10)}, id, next_id, 'Adjacent-chunk label ' || next_id || ' follows primary ' || chunk_id || ' in ' || citation || ' at ' || path || '.' FROM a WHERE rn < 10)
+SELECT 'pos-' || replace(kind, '_', '-') || '-' || printf('%03d', rn + 1) AS case_id, CASE WHEN serial % 2 = 0 THEN 'development' ELSE 'holdout' END AS split, CASE WHEN kind = 'cross_language_zh' THEN 'zh' ELSE 'en' END AS language, query, documents, chunk_ids, kind, rationale FROM c
+UNION ALL SELECT 'neg-' || item_id, CASE WHEN item_id % 4 < 2 THEN 'development' ELSE 'holdout' END, 'en', text, '', '', CASE WHEN item_id % 2 = 0 THEN 'no_answer' ELSE 'hostile_query' END, 'no document' FROM benchmark"""
+
+
+@query("evaluation_cases", _CASES_SQL)
+def _(read, spark):
+    """Cases of all seven kinds: from all documents and their chunks, and all benchmark items as ones without an answer. English documents have the words of two known concepts in their titles."""
+    docs = read("documents")
+    number = F.col("doc_id").cast("string")
+    names = docs.select(number.alias("document_id"), F.concat(F.lit("doc:"), number).alias("citation"), F.concat_ws("/", "lang", "source", F.concat(number, F.lit(".md"))).alias("path"), F.concat_ws(" ", "source", "lang", F.when(F.col("lang") == "en", "Safety records")).alias("title"), F.col("text").alias("content"))
+    parts = corpus.chunk_fixed(docs, "doc_id", "text").withColumn("chunk_id", F.concat_ws(":", "doc_id", "start"))
+    parts = corpus.neighbor_links(parts, "doc_id", "start", "chunk_id").select(number.alias("document_id"), "chunk_id", "next_id", "content").join(names.drop("content"), "document_id")
+    items = read("benchmark")
+    negatives = items.select(
+        F.concat(F.lit("neg-"), "item_id").alias("case_id"), F.when(F.col("item_id") % 4 < 2, "development").otherwise("holdout").alias("split"), F.lit("en").alias("language"), F.col("text").alias("query"), F.array().cast("array<string>").alias("relevant_document_ids"),
+        F.array().cast("array<string>").alias("relevant_chunk_ids"), F.when(F.col("item_id") % 2 == 0, "no_answer").otherwise("hostile_query").alias("kind"), F.lit("no document").alias("rationale"),
+    )
+    sizes = _CASE_SIZES | {kind: negatives.where(F.col("kind") == kind).count() for kind in cases.NEGATIVES}
+    made = cases.generate(names, parts, negatives, sizes=sizes, least=100)
+    joined = lambda c: F.array_join(c, ",")
+    return made.select("case_id", "split", "language", "query", joined("relevant_document_ids").alias("documents"), joined("relevant_chunk_ids").alias("chunk_ids"), "kind", "rationale")

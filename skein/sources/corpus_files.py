@@ -100,6 +100,11 @@ def _paths(spark: SparkSession, root: str, version: int | None) -> dict[str, str
     return {p.name: p.path for p in versions.pieces(spark, root, version)[1]}
 
 
+def files_folder(spark: SparkSession, root: str, version: int | None = None) -> str:
+    """The folder of the published files."""
+    return _paths(spark, root, version)["files"]
+
+
 def read_manifest(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     """The published documents' rows, with the whole path of each file."""
     where = _paths(spark, root, version)

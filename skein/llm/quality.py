@@ -3,8 +3,8 @@
 A text's UTF-8 bytes are embedded in DIMS numbers each. FILTERS learned filters of KERNEL bytes move over them in steps of STEP bytes. Chunks of CHUNK bytes (each reaches KERNEL - STEP bytes into the
 next one, so that they overlap and cover the whole text) are max-pooled; the largest and the mean value of each filter over the chunks go into one logistic unit.
 
-Training runs on the driver, on a bounded sample: at most `per_class` texts of each label, those with the smallest hash of their id, and of these, in that order, all that
-fit half of `sample_bytes` for their label; what doesn't fit is passed over. A text of more than LONGEST bytes is trained on with its first LONGEST / 4 characters, so that each label that occurs is in the sample. Scoring runs in Spark's tasks with
+Training runs on the driver, on a bounded sample: of the labelled documents that are there, at most `per_class` texts of each label, those with the smallest hash of their id, and of these, in that order, all that
+fit half of `sample_bytes` for their label; what doesn't fit is passed over. A text of more than LONGEST bytes is trained on with SPANS spans at even distances over the whole of it, LONGEST / 4 characters together, so that each label that occurs is in the sample. Scoring runs in Spark's tasks with
 the weights (about 16 KB) in the closure and reads whole texts.
 """
 
@@ -28,6 +28,8 @@ PER_CLASS, SAMPLE_BYTES, EPOCHS, SEED = 1200, 24 << 20, 12, 7
 STEPS = 600
 #: Bytes of the longest text that is trained on whole.
 LONGEST = 1 << 18
+#: Spans of a longer one.
+SPANS = 64
 THRESHOLD = 0.7
 _BLOCKS = CHUNK // STEP
 
@@ -184,20 +186,25 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null"))) % folds
 
 
+def _spans(text: Column, characters: int) -> Column:
+    """At most so many characters, of which the text has as many, in SPANS spans that begin at even distances from its start on."""
+    each = max(1, characters // SPANS)
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(min(SPANS, characters) - 1)), lambda i: F.substring(text, F.floor(i * F.length(text) / min(SPANS, characters)).cast("int") + 1, F.lit(each))), "")
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES, **options) -> Weights:
-    """Train on labelled rows whose fold (of 4) isn't 2. labels has doc_id and quality; labels other than 0 and 1, and ids with both, are left out."""
+    """Train on labelled rows whose fold (of 4) isn't 2. labels has doc_id and quality; labels other than 0 and 1, and ids with both, are left out, as are those of documents that docs lacks. Ids may be of any type that compares with docs'."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
     known = known.where(F.col("quality") == F.col("other")).where(fold(F.col("doc_id"), 4) != 2).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     picked = None
     for label in (0, 1):
         part = known.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    ids = picked.collect()  # at most 2 * per_class
-    spark = docs.sparkSession
-    some = F.broadcast(spark.createDataFrame([tuple(r) for r in ids], "__id bigint, quality int"))
+    some = F.broadcast(picked.select(F.col("doc_id").alias("__id"), "quality"))  # at most 2 * per_class
     longest = min(LONGEST, sample_bytes // 2)
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").alias("__id"), F.when(F.octet_length(text) > longest, F.substring(text, 1, longest // 4)).otherwise(text).alias("text")).join(some, "__id")
+    rows = docs.select(F.col("doc_id").alias("__id"), F.when(F.octet_length(text) > longest, _spans(text, longest // 4)).otherwise(text).alias("text")).join(some, "__id")
     rows = written(row_at(rows.select("quality", "text", F.xxhash64("__id").alias("h"), F.xxhash64("text").alias("t"), F.octet_length("text").alias("size")), "row"), "sample")
     picks = []
     for label in (0, 1):

@@ -263,6 +263,24 @@ def test_quality_of_long_samples(spark, monkeypatch):
     assert set(ys) == {0, 1} and sum(len(t.encode()) for t in texts) <= 40_000
 
 
+def test_quality_sample_is_of_documents_that_are_there(spark, monkeypatch):
+    """Labels of other documents take nobody's place; ids may be strings; a long text is sampled from its start to its end."""
+    seen, train = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda texts, ys, **more: seen.append((texts, ys)) or train(texts, ys, **more))
+    ids = [f"d{i}" for i in range(60)]
+    docs = spark.createDataFrame([(d, f"{d} words of it") for d in ids] + [(None, "none"), ("d1", None)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"gone{i}", i % 2) for i in range(400)] + [(d, i % 2) for i, d in enumerate(ids)], "doc_id string, quality int")
+    scored = quality.score(docs, quality.fit(docs, labels, per_class=10)).count()
+    assert scored == 62 and sorted(seen[-1][1]) == [0] * 10 + [1] * 10 and all(t.split()[0] in ids or t == "" for t in seen[-1][0])
+    wide = "".join(chr(0x4E00 + i) for i in range(20_000))  # 60,000 bytes
+    docs = spark.createDataFrame([("a", wide), ("b", "short"), ("c", "x" * 50_000), ("e", "y")], "doc_id string, text string")
+    labels = spark.createDataFrame([("a", 1), ("b", 1), ("c", 0), ("e", 0)], "doc_id string, quality int")
+    quality.fit(docs, labels, sample_bytes=40_000)
+    cut = next(t for t in seen[-1][0] if t[:1] == wide[0])
+    each = 5000 // quality.SPANS
+    assert cut == "".join(wide[i * 20_000 // quality.SPANS :][:each] for i in range(quality.SPANS)) and len(cut.encode()) <= 20_000
+
+
 def test_topk(spark):
     rng = random.Random(7)
     centre = [[rng.uniform(-1, 1) for _ in range(6)] for _ in range(3)]

@@ -35,6 +35,8 @@ ARTIFACTS = (
 )
 ARTIFACT_WORDS = ("function", "class", "method", "compile", "build", "test", "debug")
 OPT_OUTS = ("不要使用记忆", "不要参考记忆", "别参考历史", "忽略之前的记忆", "do not use memory", "don't use memory", "ignore previous memory", "ignore memories")
+RETRIEVAL_OPT_OUTS = ("do not use rag", "don't use rag", "do not use the knowledge base", "don't use the knowledge base")
+RETRIEVAL_OPT_OUTS_CJK = ("不要查询知识库", "不要使用知识库", "不要用知识库", "不要用 rag", "不要用rag", "不使用 rag", "不使用rag")
 
 
 def ascii_lower(c: Column) -> Column:
@@ -179,6 +181,11 @@ def memory_opted_out(c: Column) -> Column:
     return holds_any(c, OPT_OUTS)
 
 
+def retrieval_opted_out(c: Column) -> Column:
+    """Whether nothing is looked up for a text: a command, whose first character but for white space is a slash, or one that says so. Null for null."""
+    return c.rlike(r"\A[ \t\r\n]*/") | holds_any(c, (*RETRIEVAL_OPT_OUTS, *RETRIEVAL_OPT_OUTS_CJK))
+
+
 def strip_front_matter(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\A---\n(?:.*\n)*?---\n", ""))
 

@@ -322,3 +322,13 @@ def _(read, spark):
     block = lambda kind, id_: F.struct(F.lit(kind).alias("type"), F.lit(id_).cast("string").alias("id"), F.col("text").alias("text"))
     content = F.when(m == 0, F.array(block("text", None))).when(m == 3, F.array(block("tool_use", "a"), block("tool_use", "a"))).otherwise(F.array(block("text", None), block("tool_use", "a")))
     return read("conversations").select("conv_id", "turn", P.response_ok(content, F.when(m.isin(1, 3), "tool_use").otherwise("end_turn")).alias("ok"))
+
+
+_ASKED = "CASE (conv_id + turn) % 5 WHEN 0 THEN chr(10) || ' /' || text WHEN 1 THEN text || ' Don''t use RAG' WHEN 2 THEN text || ' 不要用知识库' WHEN 3 THEN 'a/' || text ELSE text END"
+
+
+@query("retrieval_opted_out", f"WITH t AS (SELECT conv_id, turn, {_ASKED} AS t FROM conversations) SELECT conv_id, turn, starts_with(ltrim(t, ' ' || chr(9) || chr(10) || chr(13)), '/') OR {_holds(_LOW.format('t'), (*X.RETRIEVAL_OPT_OUTS, *X.RETRIEVAL_OPT_OUTS_CJK))} AS skipped FROM t")
+def _(read, spark):
+    """Turns for which nothing is looked up; of five, one is made a command and two say so."""
+    asked = F.expr(_ASKED.replace("Don''t", "Don\\'t").replace("chr(10)", "'\\n'"))
+    return read("conversations").select("conv_id", "turn", X.retrieval_opted_out(asked).alias("skipped"))

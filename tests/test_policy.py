@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from skein.functions import policy as P
+from skein.functions import text as X
 
 
 def fragment(line, at, n, most):
@@ -54,3 +55,12 @@ def test_codes(spark):
     items = lambda *x: F.lit(None).cast("array<struct<source_id:string,content:string>>") if not x else F.array(*(F.struct(F.lit(i).alias("source_id"), F.lit(c).alias("content")) for i, c in x))
     ok = lambda n, *x: one(P.evidence_ok(items(*x), F.lit(n)))
     assert ok(True) and ok(False, ("a", "x")) and not ok(True, ("a", "x")) and not ok(False, ("a", "x"), ("a", "y")) and not ok(False, ("a", "x" * 8193))
+
+
+def test_retrieval_opted_out(spark):
+    want = {
+        "/help": True, " \t\r\n/x": True, "a /x": False, "\n\nb\n/x": False, "": False, " ": False, "\u00a0/x": False, None: None, "Please DO NOT use Rag here": True, "don't use the Knowledge Base": True, "do not use ragged": True,
+        "do  not use rag": False, "请不要查询知识库": True, "不使用RAG": True, "不使用 Rag 吗": True, "知识库": False, "x" * 100_000 + "don't use rag": True,
+    }
+    rows = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r[0]: r[1] for r in rows.select("t", X.retrieval_opted_out(F.col("t"))).collect()} == want

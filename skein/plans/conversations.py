@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skein.operators import compaction, conversation, messages
+from skein.operators import compaction, conversation, memories, messages
 from skein.plans.registry import query
 
 
@@ -171,3 +171,23 @@ def _(read, spark):
     """Answers stand for tool results: the oldest go until 600 bytes are left."""
     rows = read("conversations").where("role = 'assistant'").select("conv_id", "turn", F.octet_length("text").cast("bigint").alias("bytes"))
     return conversation.snip_oldest(rows, 600).select("conv_id", "turn", "kept")
+
+
+_COMMIT_SQL = """
+WITH c AS (SELECT conv_id AS session_id, conv_id * 1000 + turn AS place, CASE WHEN turn % 7 = 6 THEN 'other' WHEN turn % 2 = 0 THEN 'fact' ELSE 'decision' END AS category, CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN '/w' ELSE '/v' END AS scope, text AS content, turn AS turn_end FROM conversations WHERE role = 'user'),
+s AS (SELECT conv_id AS session_id, min(turn) - 1 + max(turn) // 4 AS through, CASE WHEN conv_id % 2 = 0 THEN '/w' END AS workspace FROM conversations GROUP BY conv_id),
+e AS (SELECT DISTINCT text FROM conversations WHERE role = 'assistant'), g AS (SELECT DISTINCT text FROM conversations WHERE role NOT IN ('user', 'assistant')),
+r AS (SELECT c.*, CASE WHEN turn_end <= through THEN 'done' WHEN trim(coalesce(content, '')) = '' OR strlen(content) > 4096 THEN 'unsafe' WHEN category = 'other' THEN 'category' WHEN scope <> '' AND workspace IS NOT NULL AND scope <> workspace THEN 'scope'
+  WHEN content IN (SELECT text FROM g WHERE text IS NOT NULL) THEN 'forgotten' WHEN category = 'fact' AND scope = '' AND content IN (SELECT text FROM e WHERE text IS NOT NULL) THEN 'duplicate' END AS reason FROM c JOIN s USING (session_id))
+SELECT session_id, place, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY reason IS NULL, category, scope, content ORDER BY place) = 1 THEN 'append' ELSE 'duplicate' END) AS outcome FROM r"""
+
+
+@query("commit_outcomes", _COMMIT_SQL)
+def _(read, spark):
+    """All turns of users as candidates, the assistants' texts as entries, other roles' texts as forgotten ones. The test tables have no case of unsafe, forgotten or duplicate (the SQL has no rule for secrets); tests/test_memories.py has them."""
+    turns = read("conversations")
+    users = turns.where("role = 'user'").selectExpr("conv_id AS session_id", "conv_id * 1000 + turn AS place", "CASE WHEN turn % 7 = 6 THEN 'other' WHEN turn % 2 = 0 THEN 'fact' ELSE 'decision' END AS category", "CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN '/w' ELSE '/v' END AS scope", "text AS content", "turn AS turn_end")
+    sessions = turns.groupBy(F.col("conv_id").alias("session_id")).agg(F.expr("min(turn) - 1 + max(turn) div 4").alias("checkpoint")).withColumn("workspace", F.when(F.col("session_id") % 2 == 0, "/w"))
+    entries = turns.where("role = 'assistant'").selectExpr("'fact' AS category", "'' AS scope", "text AS content")
+    forgotten = turns.where("role NOT IN ('user', 'assistant')").selectExpr("text AS content")
+    return memories.commit_outcomes(users, entries, sessions, forgotten).select("session_id", "place", "outcome")

@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding by DuckDB recursive queries within Spark's tasks.
 
-Each task cuts its texts with the tokenizer's pattern and keeps the distinct pieces that its worker hasn't met yet. Their bytes become token-position rows;
+Each task cuts its texts with the tokenizer's pattern and keeps the distinct pieces that its worker hasn't met yet. Their bytes become lists of tokens;
 a recursive query joins neighbouring tokens to the merge table, contracts each piece's leftmost pair of least rank, and ends at the fixpoint. A piece that is a token itself is that token, as in the
-tiktoken library. Pieces don't depend on what stands around them, so that a worker looks up those it knows; its tables hold PIECE_BYTES and PART_BYTES of what was used last. Decoding takes each document's own
+tiktoken library. Pieces don't depend on what stands around them, so that a worker looks up those it knows; its table holds PIECE_BYTES of what was used last. Decoding takes each document's own
 ids: rows of document, position and id join the vocabulary, and an ordered aggregation gives their bytes.
 
-Where `spaced` holds for a pattern, texts are cut before spaces first, and the worker keeps the ids of these parts. It holds if no piece reaches over the place before a space, but may begin there, wherever the character
+Where `spaced` holds for a pattern, texts are cut before spaces first, and each distinct part of a chunk is cut by the pattern once, many of them as one text. It holds if no piece reaches over the place before a space, but may begin there, wherever the character
 before this place or the one behind the space isn't white: so for public_tokenizers.PATTERN. Texts with other spaces, and all texts of a pattern for which it doesn't hold, are cut by the pattern alone.
 
 Pieces of more than LONG bytes are cut into spans of SPAN bytes that are encoded each for itself and then joined two by two: the last WINDOW tokens of the one and the first WINDOW of the other are encoded anew
@@ -18,6 +18,7 @@ start a pair of lower rank (`calm`); elsewhere only the leftmost is.
 from __future__ import annotations
 
 import base64
+import sys
 import threading
 import time
 from collections.abc import Iterator
@@ -29,35 +30,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm._shared import lean
+from skein.llm._shared import lean, trim
 
 LONG, SPAN, WINDOW = 48, 32, 4
-#: Bytes that a worker's tables of pieces and of parts may take, keys, values and what Python adds.
-PIECE_BYTES, PART_BYTES = 96 << 20, 64 << 20
+#: Bytes that a worker's table of pieces may take, keys, values and what Python adds; characters of parts that the pattern cuts as one text.
+PIECE_BYTES, PART_BYTES = 64 << 20, 1 << 20
 #: Seconds after which a worker that does something else drops its tables.
 IDLE = 20
 #: Bytes of text that are encoded at once, and ids that are decoded at once; longer texts go through in parts.
 CHUNK_BYTES, DECODED_IDS = 3 << 20, 200_000
+#: Bytes of pieces, and so rows to begin with, of a query.
+QUERY_BYTES = 100_000
 _ROUNDS = 16
 _ENTRY = 200  # what Python adds to a table's entry
 
-#: Rows of a piece (w) with the byte place (pos) of each token and the place behind it (stop). best packs the rank of a piece's least pair, its place and the place where its right token starts, whose row goes.
+#: A row for each piece (w) with its tokens. best packs the rank of its least pair and the place of that pair's left token in the list; it is null once there is none.
 _ENCODE = """
 WITH RECURSIVE s AS (
-  SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt, false AS done FROM start_rows
+  SELECT w, toks, CAST(0 AS BIGINT) AS best FROM start_lists
   UNION ALL
-  SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos), done FROM (
-    SELECT s.w, s.pos, CASE WHEN s.pos = (best >> 16) & 65535 THEN CAST(best >> 32 AS INTEGER) ELSE s.tok END AS tok, best IS NULL AS done
-    FROM s JOIN (
-      SELECT w, min((CAST(m.new AS BIGINT) << 32) + (s.pos << 16) + s.pos + m.size) AS best
-      FROM s LEFT JOIN merges m ON m.l = s.tok AND m.r = s.nxt WHERE NOT done GROUP BY w
-    ) b ON b.w = s.w
-    WHERE best IS NULL OR s.pos <> best & 65535
-  )
+  SELECT s.w, CASE WHEN b.best IS NULL THEN s.toks ELSE list_concat(s.toks[:(b.best & 4294967295) - 1], [CAST(b.best >> 32 AS INTEGER)], s.toks[(b.best & 4294967295) + 2:]) END, b.best
+  FROM s LEFT JOIN (
+    SELECT w, min((CAST(m.new AS BIGINT) << 32) + place) AS best FROM (
+      SELECT w, unnest(toks[:-2]) AS l, unnest(toks[2:]) AS r, generate_subscripts(toks[2:], 1) AS place FROM s WHERE best IS NOT NULL
+    ) p JOIN merges m ON m.pair = (CAST(p.l AS BIGINT) << 32) + p.r GROUP BY w
+  ) b ON b.w = s.w WHERE s.best IS NOT NULL
 )
-SELECT w, pos, tok FROM s WHERE done
+SELECT w, toks FROM s WHERE best IS NULL
 """
 
+#: Rows of a piece (w) with the byte place (pos) of each token; best packs the rank of the least pair and its place.
 _ENCODE_LONG = f"""
 WITH RECURSIVE s AS (
   SELECT 0 AS it, w, pos, tok, false AS done FROM start_rows
@@ -72,7 +74,7 @@ WITH RECURSIVE s AS (
         FROM (
           SELECT p.*, m.new, min((CAST(m.new AS BIGINT) << 32) + p.pos) OVER (PARTITION BY p.w) AS best
           FROM (SELECT it, w, pos, tok, lead(tok) OVER o AS nxt, row_number() OVER o AS place FROM s WINDOW o AS (PARTITION BY w ORDER BY pos)) p
-          LEFT JOIN merges m ON m.l = p.tok AND m.r = p.nxt
+          LEFT JOIN merges m ON m.pair = (CAST(p.tok AS BIGINT) << 32) + p.nxt
         ) q LEFT JOIN calm c ON c.id = q.best >> 32
         WHERE best IS NOT NULL
       )
@@ -131,40 +133,32 @@ class Codec:
         self.of_byte = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         if (self.of_byte < 0).any():
             raise ValueError("the rank file lacks some single bytes")
-        left, right, new, size, restless = [], [], [], [], set()
+        pair, new, restless = [], [], set()
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if a is not None and b is not None:
-                    left.append(a)
-                    right.append(b)
+                    pair.append((a << 32) + b)
                     new.append(rank)
-                    size.append(cut)
                     restless.update(x for x in (a, b) if x > rank)
         # what a query holds is bounded by the chunks, so that it needs no folder to spill to
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
-        self._table("merges", l=np.array(left, np.int32), r=np.array(right, np.int32), new=np.array(new, np.int32), size=np.array(size, np.int32))
+        self._table("merges", pair=np.array(pair, np.int64), new=np.array(new, np.int32))
         self._table("vocabulary", id=np.array(list(self.ranks.values()), np.int32), bytes=pa.array(list(self.ranks), pa.binary()))
         self._table("calm", id=np.array([r for r in self.ranks.values() if r not in restless], np.int32))
         self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int32)  # of each id, in bytes
         for token, rank in self.ranks.items():
             self.sizes[rank] = len(token)
         self.spaced = spaced
-        self.pieces, self.parts = _Recent(PIECE_BYTES), _Recent(PART_BYTES)
+        self.pieces = _Recent(PIECE_BYTES)
 
     def _table(self, name: str, **columns) -> None:
         self.db.register("given", pa.table({k: pa.array(v) for k, v in columns.items()}))
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _rows(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        lengths = np.array([len(p) for p in pieces], np.int64)
-        tok = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
-        pos = np.arange(len(tok)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        return np.repeat(np.arange(len(pieces), dtype=np.int32), lengths), pos.astype(np.int32), tok
-
-    def _ask(self, query: str, name: str, w, pos, tok) -> pa.Table:
-        self.db.register(name, pa.table({"w": w, "pos": pos, "tok": tok}))
+    def _ask(self, query: str, name: str, **columns) -> pa.Table:
+        self.db.register(name, pa.table(columns))
         try:
             return self.db.sql(query).to_arrow_table()
         finally:
@@ -172,40 +166,66 @@ class Codec:
 
     def _merged(self, strings: list[bytes]) -> list[np.ndarray]:
         """The ids that merges give for each string, which isn't empty."""
-        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(strings)
+        return [np.frombuffer(x, np.int32) for x in self._merged_bytes(strings)]
+
+    def _merged_bytes(self, strings: list[bytes]) -> list[bytes]:
+        """The same as int32 bytes."""
+        out = [b""] * len(strings)
         for long in (False, True):
             todo = [i for i, p in enumerate(strings) if (len(p) > LONG) == long]
             while todo:
                 taken, size = 0, 0
-                while taken < len(todo) and (not taken or size + len(strings[todo[taken]]) <= 250_000):
+                while taken < len(todo) and (not taken or size + len(strings[todo[taken]]) <= QUERY_BYTES):
                     size += len(strings[todo[taken]])
                     taken += 1
                 some, todo = todo[:taken], todo[taken:]
-                w, pos, tok = self._rows([strings[i] for i in some])
-                while True:
-                    before = len(tok)
-                    got = self._ask(_ENCODE_LONG if long else _ENCODE, "start_rows", w, pos, tok)
-                    w, pos, tok = (got[c].to_numpy() for c in ("w", "pos", "tok"))
-                    order = np.argsort((w.astype(np.int64) << 32) + pos)
-                    w, pos, tok = w[order], pos[order], tok[order]
-                    if not long or len(tok) == before:
-                        break
-                ends = np.cumsum(np.bincount(w, minlength=len(some)))
-                for i, ids in zip(some, np.split(tok.astype(np.int32, copy=False), ends[:-1]), strict=True):
-                    out[i] = ids
+                got, sizes = (self._long if long else self._short)([strings[i] for i in some])
+                data, at = got.tobytes(), 0
+                for i, end in zip(some, (4 * np.cumsum(sizes)).tolist(), strict=True):
+                    out[i] = data[at:end]
+                    at = end
         return out
 
+    def _short(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after the other, and each one's number of them."""
+        ends = np.cumsum([len(p) for p in pieces])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]))
+        got = self._ask(_ENCODE, "start_lists", w=np.arange(len(pieces), dtype=np.int32), toks=lists).combine_chunks()
+        by = np.argsort(got["w"].to_numpy())
+        toks = got["toks"].take(pa.array(by)).combine_chunks()
+        return toks.flatten().to_numpy().astype(np.int32, copy=False), toks.value_lengths().to_numpy()
+
+    def _long(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, some rounds at a time."""
+        lengths = np.array([len(p) for p in pieces], np.int64)
+        tok = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        pos = (np.arange(len(tok)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+        w = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
+        before = len(tok) + 1
+        while len(tok) < before:
+            before = len(tok)
+            got = self._ask(_ENCODE_LONG, "start_rows", w=w, pos=pos, tok=tok)
+            w, pos, tok = (got[c].to_numpy() for c in ("w", "pos", "tok"))
+            order = np.argsort((w.astype(np.int64) << 32) + pos)
+            w, pos, tok = w[order], pos[order], tok[order]
+        return tok.astype(np.int32, copy=False), np.bincount(w, minlength=len(pieces))
+
     def encode(self, pieces: list[bytes]) -> list[np.ndarray]:
         """The ids of each piece."""
-        out = [np.array([self.ranks[p]] if p in self.ranks else [], np.int32) for p in pieces]
-        todo = [i for i, p in enumerate(pieces) if p and not len(out[i])]
+        return [np.frombuffer(x, np.int32) for x in self._encoded(pieces)]
+
+    def _encoded(self, pieces: list[bytes]) -> list[bytes]:
+        """The same as int32 bytes."""
+        ranks = map(self.ranks.get, pieces)
+        out = [b"" if r is None else r.to_bytes(4, sys.byteorder) for r in ranks]
+        todo = [i for i, p in enumerate(pieces) if p and not out[i]]
         short = [i for i in todo if len(pieces[i]) <= LONG]
-        for i, ids in zip(short, self._merged([pieces[i] for i in short]), strict=True):
+        for i, ids in zip(short, self._merged_bytes([pieces[i] for i in short]), strict=True):
             out[i] = ids
         long = [i for i in todo if len(pieces[i]) > LONG]
         for k in range(0, len(long), 1000):
             for i, ids in zip(long[k : k + 1000], self._joined([pieces[i] for i in long[k : k + 1000]]), strict=True):
-                out[i] = ids
+                out[i] = ids.tobytes()
         return out
 
     def _joined(self, pieces: list[bytes]) -> list[np.ndarray]:
@@ -241,7 +261,7 @@ class Codec:
             for a in range(int(bounds[lo]), int(bounds[hi]), DECODED_IDS):  # more than once for a long list only, whose parts follow each other
                 b = min(a + DECODED_IDS, int(bounds[hi]))
                 w = np.repeat(np.arange(hi - lo, dtype=np.int32), lengths[lo:hi])[a - int(bounds[lo]) : b - int(bounds[lo])]
-                got = self._ask(_DECODE, "token_rows", w, np.arange(b - a, dtype=np.int32), ids[a:b])
+                got = self._ask(_DECODE, "token_rows", w=w, pos=np.arange(b - a, dtype=np.int32), tok=ids[a:b])
                 for part in got.to_batches():
                     lists = part.column(1)
                     tokens = lists.flatten()
@@ -261,24 +281,50 @@ class Codec:
         new = [i for i, v in enumerate(out) if v is None]
         for k in range(0, len(new), 50_000):
             some = new[k : k + 50_000]
-            for i, ids in zip(some, self.encode([pieces[i].encode() for i in some]), strict=True):
-                out[i] = ids.tobytes()
-                self.pieces.put(pieces[i], out[i])
+            for i, ids in zip(some, self._encoded([pieces[i].encode() for i in some]), strict=True):
+                out[i] = ids
+                self.pieces.put(pieces[i], ids)
         return out
 
-    def _of_parts(self, parts: list[str]) -> list[bytes]:
-        """The ids, as int32 bytes, of distinct parts of texts that were cut before spaces."""
-        out = self.parts.get(parts)
-        new = [i for i, v in enumerate(out) if v is None]
-        for k in range(0, len(new), 100_000):
-            some = new[k : k + 100_000]
-            cut = [self.pattern.findall(parts[i]) for i in some]
-            pieces = list({p for c in cut for p in c})
-            known = dict(zip(pieces, self._of_pieces(pieces), strict=True))
-            for i, c in zip(some, cut, strict=True):
-                out[i] = known[c[0]] if len(c) == 1 else b"".join(map(known.__getitem__, c))
-                self.parts.put(parts[i], out[i])
-        return out
+    def _cut(self, parts: pa.Array, alone: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """The pieces of all parts, one after the other, and each part's number of them. Parts that aren't alone begin with a space behind which, and end where, there is nothing white, so that they are cut as one text."""
+        texts = parts.to_pylist()
+        pieces, counts = [], np.zeros(len(texts), np.int64)
+        sizes = pc.utf8_length(parts).to_numpy().astype(np.int64)
+        # runs of parts of one kind, of about PART_BYTES
+        run = np.cumsum(np.append(False, alone[1:] | alone[:-1])) if len(texts) else np.empty(0, np.int64)
+        run = run * (1 << 32) + np.cumsum(sizes) // PART_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            found = self.pattern.findall("".join(texts[lo:hi]))
+            if hi - lo == 1:
+                counts[lo] = len(found)
+            elif hi > lo:
+                ends = np.cumsum(pc.utf8_length(pa.array(found, pa.string())).to_numpy().astype(np.int64))
+                due = np.cumsum(sizes[lo:hi])
+                upto = np.searchsorted(ends, due, "right")
+                if upto[-1] != len(found) or not np.array_equal(ends[upto - 1], due):  # the pattern leaves something out
+                    each = [self.pattern.findall(t) for t in texts[lo:hi]]
+                    found, upto = [p for e in each for p in e], np.cumsum([len(e) for e in each])
+                counts[lo:hi] = np.diff(upto, prepend=0)
+            pieces += found
+        return pieces, counts
+
+    def _of_parts(self, parts: pa.Array, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct parts of texts that were cut before spaces, one after the other, and each part's number of them."""
+        pieces, counts = self._cut(parts, alone)
+        coded = pa.array(pieces, pa.string()).dictionary_encode()
+        del pieces
+        trim()
+        known = self._of_pieces(coded.dictionary.to_pylist())
+        trim()
+        lengths = np.array([len(x) for x in known], np.int64) // 4
+        which = coded.indices.to_numpy()
+        of_piece = lengths[which]
+        ids = np.frombuffer(b"".join(known), np.int32)[_ragged((np.cumsum(lengths) - lengths)[which], of_piece)]
+        sums = np.append(0, np.cumsum(of_piece))
+        ends = np.cumsum(counts)
+        return ids, sums[ends] - sums[ends - counts]
 
     def _by_pattern(self, text: str) -> np.ndarray:
         """The ids of a text that isn't cut before."""
@@ -306,8 +352,8 @@ class Codec:
         ends = np.cumsum(lists.value_lengths().to_numpy())
         starts = ends - lists.value_lengths().to_numpy()
         filled = pc.greater(pc.binary_length(parts), 0)
-        solid_start, solid_end = (pc.and_not(filled, pc.utf8_is_space(pc.utf8_slice_codeunits(parts, *ends_at))).to_numpy(zero_copy_only=False)[which] for ends_at in ((0, 1), (-1,)))
-        can = solid_start
+        solid_start, solid_of_part = (pc.and_not(filled, pc.utf8_is_space(pc.utf8_slice_codeunits(parts, *ends_at))).to_numpy(zero_copy_only=False) for ends_at in ((0, 1), (-1,)))
+        can, solid_end = solid_start[which], solid_of_part[which]
         can[1:] |= solid_end[:-1]
         can[starts] = True
         sound = np.logical_and.reduceat(can, starts)
@@ -320,10 +366,8 @@ class Codec:
         asked[key] = True
         distinct = np.flatnonzero(asked)
         place = (np.cumsum(asked) - 1)[key]
-        behind = pc.take(parts, pa.array(distinct >> 1))
-        ids = self._of_parts(pc.if_else(pa.array(distinct % 2 == 1), behind, pc.binary_join_element_wise("", behind, " ")).to_pylist())
-        lengths = np.array([len(x) for x in ids], np.int64) // 4
-        all_ids = np.frombuffer(b"".join(ids), np.int32)
+        behind, heads = pc.take(parts, pa.array(distinct >> 1)), distinct % 2 == 1
+        all_ids, lengths = self._of_parts(pc.if_else(pa.array(heads), behind, pc.binary_join_element_wise("", behind, " ")), heads | ~(solid_start & solid_of_part)[distinct >> 1])
         of_part = lengths[place]
         out = all_ids[_ragged((np.cumsum(lengths) - lengths)[place], of_part)]
         sums = np.zeros(len(which), np.int64)
@@ -359,7 +403,9 @@ class Codec:
                 found = [np.concatenate(parts) if all(p is not None for p in parts) else self._by_pattern(some[0].as_py())]
             else:
                 found = [self._by_pattern(some[i].as_py()) if x is None else x for i, x in enumerate(self._by_spaces(some))]
-            yield np.concatenate(found), np.append(0, np.cumsum([len(x) for x in found]))
+            found, bounds = np.concatenate(found), np.append(0, np.cumsum([len(x) for x in found]))
+            trim()
+            yield found, bounds
             lo = hi
 
 

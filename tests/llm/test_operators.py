@@ -508,6 +508,40 @@ def test_bpe_in_parts(monkeypatch):
     assert at == len(texts)
 
 
+def test_bpe_cuts_many_parts_as_one_text(monkeypatch):
+    """New words cost neither a call of the pattern nor a row of each round's result; memory goes back between chunks."""
+    import pyarrow as pa
+    import public_tokenizers
+    import tiktoken
+
+    own = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, True)
+    right = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    pattern, calls, trims, rows = own.pattern, [], [], []
+
+    class Counted:
+        def findall(self, text):
+            calls.append(text)
+            return pattern.findall(text)
+
+        def finditer(self, text):
+            calls.append(text)
+            return pattern.finditer(text)
+
+    def ask(query, *a, had=own._ask, **b):
+        rows.append((query, (got := had(query, *a, **b)).num_rows))
+        return got
+
+    own.pattern, own._ask = Counted(), ask
+    monkeypatch.setattr(bpe, "trim", lambda: trims.append(1), raising=False)
+    rng = random.Random(16)
+    texts = [" ".join("".join(rng.choice("etaoinshrdlu.\n,") for _ in range(rng.randrange(1, 14))).strip() or "a" for _ in range(400)) for _ in range(20)]
+    texts += ["a  b", "", " x", "x\n y", "it's\nhis 12\n"]
+    ids, bounds = next(own.ids(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [right.encode_ordinary(t) for t in texts]
+    assert len(calls) < 200 and trims
+    assert 0 < sum(n for q, n in rows if q == bpe._ENCODE) <= len({p for t in texts for p in pattern.findall(t)})
+
+
 def test_bpe_of_a_very_long_word():
     import time
 

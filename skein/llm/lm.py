@@ -1,9 +1,14 @@
 """Language-model scoring by prediction by partial matching (PPM), with the counts of words beside it.
 
-The byte trie has contexts of 2, 1 and 0 bytes. Tasks count the byte triples of the training texts, each text begun by two BEGIN bytes and ended by an END byte (neither occurs in UTF-8); Spark sums the
-counts. Counts of shorter contexts are sums of them. The order is fixed: the trie has at most 2**24 leaves whatever the corpus' size, so that it can be brought to the driver and broadcast. A task turns it into a table with the code length of each symbol
-in each context: the symbol's share at the longest context that has seen it, times the escapes from the longer ones (method C: as many escapes as distinct symbols), where symbols
-already seen in a longer context are excluded from the shorter ones; a symbol that was never seen has its share of the equally likely rest. A text's score is the sum over its bytes and the end.
+A text is begun by BEGIN bytes and ended by an END byte (neither occurs in UTF-8). The model of a given order has contexts of that many bytes down to none. A symbol's code length is its share at the longest context that has
+seen it, times the escapes from the longer ones (method C: as many escapes as distinct symbols), where symbols already seen in a longer context are excluded from the shorter ones; a symbol that was never seen has its share of the
+equally likely rest. A text's score is the sum over its bytes and the end.
+
+Contexts of 2, 1 and 0 bytes: tasks count the byte triples of the training texts; Spark sums the counts. Counts of shorter contexts are sums of them. There are at most 2**24 triples whatever the corpus' size, so that they can be
+brought to the driver and broadcast. Order 2 is these alone: a task turns them into a table of code lengths.
+
+Longer contexts, whose number grows with the corpus, stay in Spark: texts travel in groups, and each group's distinct byte strings (context and symbol) with their training counts go to parts by the 3 bytes before the symbol. So a
+part has all longer contexts that end with these 3 bytes: it sums the counts up, builds the tries of orders 3 and more, and gives each group the code lengths of its own strings, which meet the group's texts in another shuffle.
 
 `adaptive` scores a text by a trie that starts empty and learns each byte after it is coded, with the same escapes and exclusions.
 
@@ -31,33 +36,142 @@ PART_WORDS = 1_000_000
 #: Texts whose sums travel together.
 _GROUP = 2000
 _LEAVES = 1 << 24
+#: Contexts of op6: five bytes.
+ORDER = 5
+#: Bytes of text whose strings travel together; bytes of text of which a part has the strings, on average.
+GROUP_BYTES, GRAM_PART_BYTES = 8 << 20, 64 << 20
+#: Strings that a part's task adds to its sums at once.
+_SUMMED = 2_000_000
 
 
-def _codes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The byte triples of texts, ends included, as numbers below 2**24; where each text's triples begin."""
+def _codes(data: np.ndarray, at: np.ndarray, order: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte of texts, ends included, with the bytes before it, as one number; where each text's begin. At order 2 the triples are numbers in the order of the text; at others the bytes before the symbol stand reversed, the nearest one first."""
     n, sizes = len(at) - 1, np.diff(at)
-    first = at[:-1] + 3 * np.arange(n)
-    out = np.empty(len(data) + 3 * n, np.uint8)
-    out[(np.arange(len(data)) + np.repeat(3 * np.arange(n) + 2, sizes))] = data
-    out[first] = out[first + 1] = BEGIN
-    out[first + 2 + sizes] = END
-    wide = out.astype(np.uint32)
-    codes = (wide[:-2] << np.uint32(16)) | (wide[1:-1] << np.uint32(8)) | wide[2:] if len(out) > 2 else np.empty(0, np.uint32)
+    first = at[:-1] + (order + 1) * np.arange(n)
+    out = np.empty(len(data) + (order + 1) * n, np.uint8)
+    out[(np.arange(len(data)) + np.repeat((order + 1) * np.arange(n) + order, sizes))] = data
+    for k in range(order):
+        out[first + k] = BEGIN
+    out[first + order + sizes] = END
+    many = max(0, len(out) - order)
+    if order == 2:
+        wide = out.astype(np.uint32)
+        codes = (wide[:-2] << np.uint32(16)) | (wide[1:-1] << np.uint32(8)) | wide[2:] if many else np.empty(0, np.uint32)
+    else:
+        codes = out[order:].astype(np.uint64)
+        for j in range(1, order + 1):
+            codes |= out[order - j : order - j + many].astype(np.uint64) << np.uint64(8 * (order + 1 - j))
     keep = np.ones(len(codes), bool)
-    for k in (1, 2):  # triples that reach over to the next text
+    for k in range(1, order + 1):  # those that reach over to the next text
         keep[(first[1:] - k)] = False
     return codes[keep], at[:-1] + np.arange(n)
 
 
-def _chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _chunks(column: pa.Array, most: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, at = texts_as_bytes(column)
+    yield from _pieces(data, at, most or CHUNK_BYTES)
+
+
+def _pieces(data: np.ndarray, at: np.ndarray, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs lo to hi of texts of about so many bytes, with their bytes and places."""
     lo, n = 0, len(at) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CHUNK_BYTES, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
         yield lo, hi, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
 
 
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with the sums of n."""
+    if not len(keys):
+        return keys, n
+    by = np.argsort(keys)
+    keys, n = keys[by], n[by]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(n, first)
+
+
+def _strings(data: np.ndarray, at: np.ndarray, order: int, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes of texts, sorted, with their counts in those of them that train marks."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for lo, hi, part, ends in _pieces(data, at, CHUNK_BYTES):
+        codes, first = _codes(part, ends, order)
+        counted = np.repeat(train[lo:hi], np.diff(np.append(first, len(codes))))
+        for some, w in ((codes[counted], 1), (codes[~counted], 0)):
+            if len(some):
+                key, n = np.unique(some, return_counts=True)
+                held.append((key, n.astype(np.int64) * w))
+        if sum(len(k) for k, _ in held) > _SUMMED:
+            held = [_summed(*map(np.concatenate, zip(*held, strict=True)))]
+    return _summed(*map(np.concatenate, zip(*held, strict=True)))
+
+
+def _part_of(keys: np.ndarray, order: int, parts: int) -> np.ndarray:
+    """By the three bytes before the symbol."""
+    near = (keys >> np.uint64(8 * (order - 2))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((near >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers of 64 bits, byte by byte of all, compressed."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _find(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of wanted in sorted values, and which of them are there."""
+    if not len(values):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.searchsorted(values, wanted)
+    at[at == len(values)] = 0
+    return at, values[at] == wanted
+
+
+def _tries(keys: np.ndarray, n: np.ndarray, order: int, least: int, below: dict[int, tuple]) -> dict[int, tuple]:
+    """By order: keys of context and symbol with their counts; contexts with their totals, their numbers of symbols, and the counts that these symbols have in the context that is one byte shorter. keys are of the highest order; below has the orders under least."""
+    keys, n = keys[n > 0], n[n > 0]
+    out = dict(below)
+    for o in range(least, order + 1):
+        near = keys >> np.uint64(8 * (order + 1 - o)) if o else np.zeros(len(keys), np.uint64)
+        key, count = _summed(near << np.uint64(8) | keys & np.uint64(255), n)
+        context, first = np.unique(key >> np.uint64(8), return_index=True)
+        total = np.add.reduceat(count, first) if len(first) else np.empty(0, np.int64)
+        symbols = np.diff(np.append(first, len(key)))
+        lower = np.zeros(len(context), np.int64)
+        if o and len(first):
+            at, _ = _find(out[o - 1][0], key >> np.uint64(16) << np.uint64(8) | key & np.uint64(255))
+            lower = np.add.reduceat(out[o - 1][1][at], first)
+        out[o] = key, count, context, total, symbols, lower
+    return out
+
+
+def _rated(keys: np.ndarray, order: int, tries: dict[int, tuple]) -> np.ndarray:
+    """log10 of the probability of each key's symbol after its context."""
+    out, waiting = np.zeros(len(keys)), np.arange(len(keys))
+    gone, gone_symbols = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)  # counts and number of the excluded symbols
+    for o in range(order, -1, -1):
+        key, count, context, total, symbols, lower = tries[o]
+        some = keys[waiting]
+        near = some >> np.uint64(8 * (order + 1 - o)) if o else np.zeros(len(some), np.uint64)
+        at, there = _find(context, near)
+        place, seen = _find(key, near << np.uint64(8) | some & np.uint64(255))
+        pick = lambda x: x[at] * there if len(x) else np.zeros(len(at), np.int64)  # noqa: B023, E731
+        all_symbols = pick(symbols)
+        rest, fresh = pick(total) - gone, all_symbols - gone_symbols
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if len(count):
+                out[waiting[seen]] += np.log10(count[place[seen]]) - np.log10((rest + fresh * (all_symbols < 256))[seen])
+            out[waiting] += np.where(~seen & (fresh > 0), np.log10(fresh / (rest + fresh)), 0.0)
+        gone, gone_symbols, waiting = pick(lower)[~seen], all_symbols[~seen], waiting[~seen]
+    out[waiting] -= np.log10(256 - gone_symbols)
+    return out.astype(np.float32)
+
+
 def count_triples(texts: DataFrame, text: str = "text") -> DataFrame:
     """code and n: the byte triples of all texts with their counts."""
 
@@ -179,12 +293,93 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null"))) % folds
 
 
-def score(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs.
+_lowest: dict[str, dict[int, tuple]] = {}
+
+
+def _lowest_of(shared, key: str) -> dict[int, tuple]:
+    """The tries of orders 0 to 2, made once in each worker for each trie, which key names."""
+    if key not in _lowest:
+        _lowest.clear()
+        code, n = shared.value
+        code = code.astype(np.uint64)
+        turned = (code & np.uint64(0xFF00)) << np.uint64(8) | code >> np.uint64(16) << np.uint64(8) | code & np.uint64(255)
+        _lowest[key] = _tries(*_summed(turned, n), 2, 0, {})
+    return _lowest[key]
+
+
+def _longer(scanned: DataFrame, order: int, parts: int, trie, name: str) -> DataFrame:
+    """row and score, by contexts of up to order bytes: the strings of each group of texts meet their counts in parts, and their code lengths meet the texts."""
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of groups come sorted by part; a part's strings stay packed but for those at hand."""
+
+        def done(part: int, blobs: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            for _, data, counts in blobs:
+                held.append((np.cumsum(_unpacked(data), dtype=np.uint64), _unpacked(counts).astype(np.int64)))
+                if sum(len(k) for k, _ in held) > 2 * _SUMMED:
+                    held = [_summed(*map(np.concatenate, zip(*held, strict=True)))]
+            keys, n = _summed(*map(np.concatenate, zip(*held, strict=True)))
+            held.clear()
+            tries = _tries(keys, n, order, 3, _lowest_of(trie, name))
+            lengths = np.concatenate([_rated(keys[k : k + _SUMMED // 4], order, tries) for k in range(0, len(keys), _SUMMED // 4)])
+            for group, data, _ in blobs:
+                own = lengths[np.searchsorted(keys, np.cumsum(_unpacked(data), dtype=np.uint64))]
+                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([part], pa.int32()), pa.array([own.astype("<f4").tobytes()], pa.binary())], names=["row", "gram_part", "data"])
+
+        part, blobs = None, []
+        for batch in batches:
+            for p, group, data, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if p != part:
+                    if blobs:
+                        yield from done(part, blobs)
+                    part, blobs = p, []
+                blobs.append((group, data, counts))
+        if blobs:
+            yield from done(part, blobs)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group and part: a group's texts, then its code lengths part by part."""
+
+        def done(group: int, data: np.ndarray, at: np.ndarray, lengths: list[bytes]) -> pa.RecordBatch:
+            keys, _ = _strings(data, at, order, np.ones(len(at) - 1, bool))
+            rated = np.empty(len(keys), np.float32)
+            rated[np.argsort(_part_of(keys, order, parts), kind="stable")] = np.frombuffer(b"".join(lengths), "<f4")
+            sums = []
+            for _, _, part, ends in _pieces(data, at, CHUNK_BYTES):
+                codes, first = _codes(part, ends, order)
+                sums.append(np.add.reduceat(rated[np.searchsorted(keys, codes)].astype(np.float64), first))
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(at) - 1) + group), pa.array(np.concatenate(sums))], names=["row", "score"])
+
+        group, data, at, lengths = None, None, None, []
+        for batch in batches:
+            for row, part, blob, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part < 0:
+                    if group is not None:
+                        yield done(group, data, at, lengths)
+                    group, lengths = row, []
+                    size = int.from_bytes(blob[:8], "little")
+                    data, at = np.frombuffer(pa.decompress(blob[8:], size, codec="zstd") if size else b"", np.uint8), _unpacked(places).astype(np.int64)
+                else:
+                    lengths.append(blob)
+        if group is not None:
+            yield done(group, data, at, lengths)
+
+    strings = scanned.where("gram_part >= 0").select("gram_part", "row", "data", "at").repartition(parts, "gram_part").sortWithinPartitions("gram_part")
+    rated = strings.mapInArrow(lean(rate), "row bigint, gram_part int, data binary").withColumn("at", F.lit(None).cast("binary"))
+    texts = scanned.where("gram_part = -1").select("row", "gram_part", "data", "at")
+    met = texts.unionByName(rated).repartition("row").sortWithinPartitions("row", "gram_part").mapInArrow(lean(meet), "row bigint, score double")
+    return written(met, "scores")
+
+
+def score(docs: DataFrame, folds: int = 7, held_out: int = 2, order: int = 2) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs. order: bytes of the longest contexts, 2 to 7.
 
     Learns from rows whose fold isn't held_out. Null texts are empty: one token, the end. Repeated rows count as often as they occur. Without training rows all counts are 0 and the trie is
     empty: each byte is one of 256. Other columns of docs have no part in it, whatever their names.
     """
+    if not 2 <= order <= 7:
+        raise ValueError("order must be 2 to 7")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     train = rows.where(fold(F.col("doc_id"), folds) != held_out)
@@ -194,26 +389,46 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
     name = uuid.uuid4().hex
     words = written(_word_counts(train.select("text")), "word-counts")
     texts = train.count()
+    gram_parts = 0
+    if order > 2:
+        bytes_ = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        gram_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // GRAM_PART_BYTES))
     size = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     v, n = size[0] + (texts > 0), size[1] + texts  # the end is a token of every text
     heavy = words.where(F.col("c") * F.lit(HEAVY) > n).toPandas()  # fewer than HEAVY rows
-    order = np.argsort(heavy["word"].to_numpy(np.int64))
-    known = spark.sparkContext.broadcast((heavy["word"].to_numpy(np.int64)[order], heavy["c"].to_numpy(np.int64)[order]))
+    by_word = np.argsort(heavy["word"].to_numpy(np.int64))
+    known = spark.sparkContext.broadcast((heavy["word"].to_numpy(np.int64)[by_word], heavy["c"].to_numpy(np.int64)[by_word]))
     end = float(np.log10(texts + 1))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size[0] // PART_WORDS))
-    rows = row_at(rows, "__row")
+    rows = row_at(rows.withColumn("__train", fold(F.col("doc_id"), folds) != held_out), "__row")
+
+    names = ["part", "row", "tokens", "known", "base", "score", "words", "texts", "times", "doc_id", "gram_part", "data", "at"]
+
+    def strings(group: int, data: np.ndarray, at: np.ndarray, train_: np.ndarray, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        """A group's texts (gram_part -1), and for each part its strings with their training counts."""
+        raw = data.tobytes()
+        keys, n = _strings(data, at, order, train_)
+        part = _part_of(keys, order, gram_parts)
+        by = np.argsort(part, kind="stable")
+        keys, n, edges = keys[by], n[by], np.searchsorted(part[by], np.arange(gram_parts + 1))
+        some = [p for p in range(gram_parts) if edges[p] < edges[p + 1]]
+        cut = [slice(edges[p], edges[p + 1]) for p in some]
+        blobs = [len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b""), *(_packed(np.diff(keys[c], prepend=np.uint64(0))) for c in cut)]
+        counts = [_packed(at.astype(np.uint64)), *(_packed(n[c]) for c in cut)]
+        none = [pa.nulls(len(blobs), kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), id_type)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(blobs), pa.int32()), pa.array([group] * len(blobs), pa.int64()), *none, pa.array([-1, *some], pa.int32()), pa.array(blobs, pa.binary()), pa.array(counts, pa.binary())], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each text (part -1) the score, the tokens and the sums over heavy words; for each part the other words, as arrays of text, word and count."""
-        table, (heavy_words, heavy_counts) = _table_of(trie, name), known.value
+        table, (heavy_words, heavy_counts) = _table_of(trie, name) if order == 2 else None, known.value
         logs = np.log10(heavy_counts + 1.0)
         for batch in (b.slice(k, _GROUP) for b in batches for k in range(0, len(b), _GROUP)):
             ids, docs_ = batch.column(batch.schema.get_field_index("__row")).to_numpy(), batch.column(batch.schema.get_field_index("doc_id"))
             texts = batch.column(batch.schema.get_field_index("text"))
             lengths = []
-            for _, _, data, at in _chunks(texts):
+            for _, _, data, at in _chunks(texts) if order == 2 else ():
                 codes, first = _codes(data, at)
-                lengths.append(np.add.reduceat(table[codes].astype(np.float64), first))
+                lengths += np.add.reduceat(table[codes].astype(np.float64), first).tolist()
             tokens, hits, sums, rest = [], [], [], []
             for w in words_of(texts, SPACED_LOWER):
                 h, doc = signed(w.hashes()), w.doc_of_word()
@@ -233,6 +448,10 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
                 rest.append((h[at], doc[at], np.diff(np.append(at, len(h)))))
             if not len(ids):
                 continue
+            if order > 2:
+                train_ = batch.column(batch.schema.get_field_index("__train")).to_numpy(zero_copy_only=False)
+                for lo, hi, data, at in _chunks(texts, GROUP_BYTES):
+                    yield from strings(int(ids[lo]), data, at, train_[lo:hi], docs_.type)
             h, doc, times = (np.concatenate([r[i] for r in rest]) for i in range(3))
             part = (h.view(np.uint64) >> np.uint64(32)).astype(np.int64) % parts
             by = np.argsort(part, kind="stable")
@@ -247,16 +466,18 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
                     pa.array(np.concatenate(tokens).tolist() + [None] * len(some), pa.int64()),
                     pa.array(np.concatenate(hits).tolist() + [None] * len(some), pa.int64()),
                     pa.array(np.concatenate(sums).tolist() + [None] * len(some), pa.float64()),
-                    pa.array(np.concatenate(lengths).tolist() + [None] * len(some), pa.float64()),
+                    pa.array((lengths or none) + [None] * len(some), pa.float64()),
                     pa.array(none + blob(h, "<i8"), pa.binary()),
                     pa.array(none + blob(ids[doc] - ids[0], "<i4"), pa.binary()),
                     pa.array(none + blob(times, "<i4"), pa.binary()),
                     pa.concat_arrays([docs_, pa.nulls(len(some), docs_.type)]),
+                    *(pa.nulls(len(ids) + len(some), kind) for kind in (pa.int32(), pa.binary(), pa.binary())),
                 ],
-                names=["part", "row", "tokens", "known", "base", "score", "words", "texts", "times", "doc_id"],
+                names=names,
             )
 
-    scanned = written(rows.mapInArrow(lean(scan), f"part int, row bigint, tokens bigint, known bigint, base double, score double, words binary, texts binary, times binary, doc_id {dict(rows.dtypes)['doc_id']}"), "scanned")
+    scanned = written(rows.mapInArrow(lean(scan), f"part int, row bigint, tokens bigint, known bigint, base double, score double, words binary, texts binary, times binary, doc_id {dict(rows.dtypes)['doc_id']}, gram_part int, data binary, at binary"), "scanned")
+    scores = _longer(scanned, order, gram_parts, trie, name) if order > 2 else None
     counts = words.where(F.col("c") * F.lit(HEAVY) <= n).select((F.shiftright(F.col("word"), 32).bitwiseAND(F.lit(0xFFFFFFFF)) % parts).cast("int").alias("part"), "word", "c")
 
     def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,6 +543,8 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
     met = texts_side.unionByName(counts_side).repartition(parts, "part").sortWithinPartitions("part", F.col("counted").isNull()).mapInArrow(lean(lookup), "row bigint, texts binary, known binary, base binary")
     met = met.repartition("row").sortWithinPartitions("row").mapInArrow(lean(added), "row bigint, known bigint, base double")
     both = scanned.where("part = -1").select("row", "doc_id", "tokens", "known", "base", "score").unionByName(met, allowMissingColumns=True)
+    if scores is not None:
+        both = both.unionByName(scores, allowMissingColumns=True)
     out = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("tokens").alias("tokens"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.max("score").alias("score"))
     tokens = F.col("tokens") + 1
     return out.select(

@@ -353,6 +353,50 @@ def test_ppm(spark, monkeypatch):
     assert lm.adaptive(b"abababababab") > lm.adaptive(b"axbycvdufwez") and lm.adaptive(b"") == pytest.approx(-math.log10(256))
 
 
+def test_ppm_of_longer_contexts(spark, monkeypatch):
+    """Contexts of five bytes against brute force, in many groups and parts, with texts that only the longer ones tell apart."""
+    monkeypatch.setattr(lm, "GROUP_BYTES", 300, raising=False)
+    monkeypatch.setattr(lm, "GRAM_PART_BYTES", 500, raising=False)
+    monkeypatch.setattr(lm, "_SUMMED", 200, raising=False)
+    rows = corpus(9) + [(7000, "".join(map(chr, range(1, 128)))), (7001, "x" * 3000), (7002, None), (7003, ""), (None, "gamma gamma")]
+    held = lambda i: zlib.crc32(("null" if i is None else str(i)).encode()) % 7 == 2
+    for order in (lm.ORDER, 3):
+        trie = collections.defaultdict(collections.Counter)
+        raw_of = lambda t: b"\xfe" * order + (t or "").encode() + b"\xff"  # noqa: B023, E731
+        for i, t in rows:
+            if not held(i):
+                raw = raw_of(t)
+                for k in range(order, len(raw)):
+                    for o in range(order + 1):
+                        trie[raw[k - o : k]][raw[k]] += 1
+
+        def ppm(raw, order=order, trie=trie):
+            total = 0.0
+            for k in range(order, len(raw)):
+                out = set()
+                for o in range(order, -1, -1):
+                    seen = {s: c for s, c in trie[raw[k - o : k]].items() if s not in out} if raw[k - o : k] in trie else {}
+                    whole = sum(seen.values()) + (len(seen) if len(out) + len(seen) < 256 else 0)
+                    if raw[k] in seen:
+                        total += math.log10(seen[raw[k]] / whole)
+                        break
+                    if seen:
+                        total += math.log10(len(seen) / whole)
+                        out |= seen.keys()
+                else:
+                    total -= math.log10(256 - len(out))
+            return total
+
+        got = lm.score(frame(spark, rows), order=order).collect()
+        want = sorted((-1 if i is None else i, ppm(raw_of(t))) for i, t in rows)
+        have = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in got)
+        assert [i for i, _ in have] == [i for i, _ in want]
+        assert [x for _, x in have] == pytest.approx([x for _, x in want], rel=1e-5)
+    assert lm.ORDER == 5 and lm.score(frame(spark, rows).limit(0), order=5).count() == 0
+    none = frame(spark, [(i, "ab") for i in range(40) if held(i)])
+    assert all(r["score"] == pytest.approx(-3 * math.log10(256)) for r in lm.score(none, order=5).collect())
+
+
 def brute_substrings(rows, k):
     order = lambda i: 2**63 - 1 if i is None else i
     first = {}

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from skein.llm._shared import AT_END
+
 CHUNK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _BASES = {"byte": _BASE, "word": 0xD6E8FEB86659FD93}
@@ -46,6 +48,7 @@ SPACED_LOWER = _kind("spaced_lower", [not (b == 32 or 9 <= b <= 13) for b in ran
 
 _LETTERS = np.random.Generator(np.random.PCG64(20_011)).integers(0, 2**64, 256, dtype=np.uint64)
 _powers: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+AT_END.append(_powers.clear)
 
 
 def _power_tables(which: str, n: int) -> tuple[np.ndarray, np.ndarray]:

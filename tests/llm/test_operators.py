@@ -586,6 +586,25 @@ def test_bpe_cuts_many_parts_as_one_text(monkeypatch):
     assert 0 < sum(n for q, n in rows if q == bpe._ENCODE) <= len({p for t in texts for p in pattern.findall(t)})
 
 
+def test_workers_give_back_their_tables():
+    """A worker that has ended a task holds no tables of powers, which idle workers would keep beside those of the next stage."""
+    import pickle
+
+    import pyarrow as pa
+    from pyspark import cloudpickle
+
+    from skein.llm import _words
+    from skein.llm._shared import lean
+
+    hashes = lambda batches: ([w.hashes() for w in _words.words_of(b, _words.SPACED)] for b in batches)
+    first, second = (list(lean(hashes)([pa.array(["to be or not", "to be"])])) for _ in range(2))
+    assert not _words._powers and (first[0][0] == second[0][0]).all()
+    list(hashes([pa.array(["to be"])]))
+    sent = cloudpickle.dumps(lean(hashes))
+    assert _words._powers and len(sent) < 10_000
+    assert len(list(pickle.loads(sent)([pa.array(["to be"])]))) == 1 and not _words._powers
+
+
 def test_bpe_of_a_very_long_word():
     import time
 

@@ -132,6 +132,16 @@ def _find(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, values[at] == wanted
 
 
+def _values(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of wanted, which are all among sorted keys and repeat a lot: each is looked up once, in order."""
+    by = np.argsort(wanted)
+    near = wanted[by]
+    first = np.flatnonzero(np.append(True, near[1:] != near[:-1]))
+    out = np.empty(len(wanted), values.dtype)
+    out[by] = np.repeat(values[np.searchsorted(keys, near[first])], np.diff(np.append(first, len(near))))
+    return out
+
+
 def _tries(keys: np.ndarray, n: np.ndarray, order: int, least: int, below: dict[int, tuple]) -> dict[int, tuple]:
     """By order: keys of context and symbol with their counts; contexts with their totals, their numbers of symbols, and the counts that these symbols have in the context that is one byte shorter. keys are of the highest order; below has the orders under least."""
     keys, n = keys[n > 0], n[n > 0]
@@ -348,7 +358,7 @@ def _longer(scanned: DataFrame, order: int, parts: int, trie, name: str) -> Data
             sums = []
             for _, _, part, ends in _pieces(data, at, CHUNK_BYTES):
                 codes, first = _codes(part, ends, order)
-                sums.append(np.add.reduceat(rated[np.searchsorted(keys, codes)].astype(np.float64), first))
+                sums.append(np.add.reduceat(_values(keys, rated, codes).astype(np.float64), first))
             return pa.RecordBatch.from_arrays([pa.array(np.arange(len(at) - 1) + group), pa.array(np.concatenate(sums))], names=["row", "score"])
 
         group, data, at, lengths = None, None, None, []

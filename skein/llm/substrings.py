@@ -9,6 +9,9 @@ matching statistics against the automaton of the segments of smaller documents,
 
 Documents with equal word sequences are one class, of which only the smallest is looked at: all words of the others go (if they have a window at all). Grams that occur in a large share of
 a sample of the documents are hot: they become anchors only of windows all of whose grams are hot, and such windows are segments of their own, keyed by all their words. The sample decides on the way only, and not on results.
+
+Segments that hold more than 1/MANY of all places are broadcast with what was found in them, so that tasks settle their places where they meet them and pass on runs of windows: a passage that many documents share, or repeat, takes rows
+as the documents it is in, and not as its windows there.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ WINDOW, GRAM = 13, 7
 #: Grams of fewer bytes, mostly of common words, become anchors only where there are no others. One byte counts between two words, whatever white space is there.
 LONG_GRAM = 34
 SAMPLE, HOT, HOT_KEYS = 64, 16, 100_000
+MANY = 10_000
 _LAST = 2**63 - 1
 
 
@@ -216,20 +220,16 @@ def _picked(w: Words, k: int, anchors: list[list[int] | None], hot: np.ndarray):
     return np.concatenate([doc[is_shared], np.repeat(doc[is_hot], sizes)]), np.concatenate([key[is_shared], seg[is_shared.sum() :]]), seg, start, end
 
 
-def _emitted(k: int, hot, places: bool):
-    """Rows of (class, ord, text, anchors) as segments: key, seg, words, ord, and the number of texts of the batch that it stands for; with places class, ord, key, seg, first word, number of windows."""
+def _emitted(k: int, hot):
+    """Rows of (class, ord, text, anchors) as segments: key, seg, words, ord, and the number of places of the batch that it stands for."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            classes, ords = (batch.column(c).to_numpy() for c in ("class", "ord"))
+            ords = batch.column("ord").to_numpy()
             anchors = batch.column("anchors").to_pylist()
             for w in words_of(batch.column("text"), SPACED):
                 doc, key, seg, start, end = _picked(w, k, anchors[w.lo : w.hi], hot.value)
-                own, ord_ = classes[w.lo + doc], ords[w.lo + doc]
-                if places:
-                    columns = (own, ord_, key, seg, start - w.bounds[doc], end - start - k + 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["class", "ord", "key", "seg", "first", "n_windows"])
-                    continue
+                ord_ = ords[w.lo + doc]
                 order = np.lexsort((ord_, seg, key))
                 key, seg, ord_, start, end = (x[order] for x in (key, seg, ord_, start, end))
                 at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (seg[1:] != seg[:-1]))) if len(key) else np.empty(0, np.int64)
@@ -239,6 +239,51 @@ def _emitted(k: int, hot, places: bool):
     return work
 
 
+class Known:
+    """Segments of many places (key, seg, least, found), for the tasks that meet these places."""
+
+    def __init__(self, rows: list[tuple[int, int, int, bytes]]):
+        rows = sorted(rows, key=lambda r: r[1])
+        self.key, self.seg, self.least = (np.array([r[c] for r in rows], np.int64) for c in range(3))
+        self.bits = np.unpackbits(np.frombuffer(b"".join(r[3] for r in rows), np.uint8)).astype(bool)
+        self.first = 8 * np.cumsum([0, *(len(r[3]) for r in rows)])[:-1]
+
+    def place(self, key: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the segments given are known, and as which."""
+        if not len(self.seg):
+            return np.zeros(len(seg), bool), np.zeros(len(seg), np.int64)
+        at = np.minimum(np.searchsorted(self.seg, seg), len(self.seg) - 1)
+        return (self.seg[at] == seg) & (self.key[at] == key), at
+
+    def windows(self, at: np.ndarray, ord_: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The windows found, in order, of the known segments at, which begin with the words start of documents ord_ and have n windows."""
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        found = np.repeat(ord_ > self.least[at], n) | self.bits[np.repeat(self.first[at], n) + step]
+        return np.sort((np.repeat(start, n) + step)[found])
+
+
+def _placed(k: int, hot, known):
+    """Rows of (class, ord, text, anchors) as places of segments: class, ord, key, seg, first word, number of windows. In place of known segments come runs of the windows found in them, without key and seg."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes, ords = (batch.column(c).to_numpy() for c in ("class", "ord"))
+            anchors = batch.column("anchors").to_pylist()
+            for w in words_of(batch.column("text"), SPACED):
+                doc, key, seg, start, end = _picked(w, k, anchors[w.lo : w.hi], hot.value)
+                n = end - start - k + 1
+                settled, at = known.value.place(key, seg)
+                window = known.value.windows(at[settled], ords[w.lo + doc[settled]], start[settled], n[settled])
+                of = w.doc_of_word()[window]
+                begins = np.flatnonzero(np.append(True, (window[1:] != window[:-1] + 1) | (of[1:] != of[:-1]))) if len(window) else np.empty(0, np.int64)
+                doc, start, n = (np.append(x[~settled], y) for x, y in ((doc, of[begins]), (start, window[begins]), (n, np.diff(np.append(begins, len(window))))))
+                none = pa.nulls(len(begins), pa.int64())
+                columns = [classes[w.lo + doc], ords[w.lo + doc], *(pa.concat_arrays([pa.array(x[~settled], pa.int64()), none]) for x in (key, seg)), start - w.bounds[doc], n]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["class", "ord", "key", "seg", "first", "n_windows"])
+
+    return work
+
+
 def _streamed(k: int):
     """Segments sorted by key and least document, each matched against the automaton of those of smaller documents: the windows found."""
 
@@ -341,13 +386,15 @@ def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     found = found.join(needed.repartition("ord", "text_hash").hint("shuffle_hash"), ["ord", "text_hash"]).select("class", "ord", "text", "anchors")
     found = written(found.mapInArrow(lean(own), found.schema), "involved")
 
-    segments = found.mapInArrow(lean(_emitted(window, hot, False)), "key bigint, seg bigint, words binary, ord bigint, n bigint").groupBy("key", "seg").agg(F.first("words").alias("words"), F.min("ord").alias("least"), F.sum("n").alias("n"))
+    segments = found.mapInArrow(lean(_emitted(window, hot)), "key bigint, seg bigint, words binary, ord bigint, n bigint").groupBy("key", "seg").agg(F.first("words").alias("words"), F.min("ord").alias("least"), F.sum("n").alias("n"))
     matched = segments.repartition("key").sortWithinPartitions("key", "least").mapInArrow(lean(_streamed(window)), "key bigint, seg bigint, least bigint, n bigint, found binary")
     matched = written(matched, "matched")
     total = matched.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    places = written(found.mapInArrow(lean(_emitted(window, hot, True)), "class bigint, ord bigint, key bigint, seg bigint, first bigint, n_windows bigint"), "places")
-    covers = hot_join(places, matched, ["key", "seg"], total)
-    covers = covers.withColumn("found", F.when(F.col("ord") <= F.col("least"), F.col("found"))).where(F.col("found").isNull() | (F.regexp_replace(F.hex("found"), "0", "") != ""))
+    known = matched.where(F.col("n") * MANY > total).select("key", "seg", "least", "found").collect()  # fewer than MANY
+    known = spark.sparkContext.broadcast(Known([(r["key"], r["seg"], r["least"], bytes(r["found"])) for r in known]))
+    places = written(found.mapInArrow(lean(_placed(window, hot, known)), "class bigint, ord bigint, key bigint, seg bigint, first bigint, n_windows bigint"), "places")
+    covers = places.where("key is not null").join(matched, ["key", "seg"]).withColumn("found", F.when(F.col("ord") <= F.col("least"), F.col("found"))).where(F.col("found").isNull() | (F.regexp_replace(F.hex("found"), "0", "") != ""))
+    covers = covers.select("class", "first", "n_windows", "found").unionByName(places.where("key is null").select("class", "first", "n_windows", F.lit(None).cast("binary").alias("found")))
     covers = covers.groupBy("class").agg(F.collect_list(F.struct("first", "n_windows", "found")).alias("covers"))  # a document's
     changed = found.select("class", "text").join(covers, "class").mapInArrow(lean(_spanned(window)), "class bigint, n_removed bigint, kept_words binary, kept_text string")
     return rows, classes.drop("text_hash").join(written(changed, "changed"), "class", "left")

@@ -439,6 +439,25 @@ def test_substrings_whatever_the_white_space(spark, window):
     assert collections.Counter(tuple(r) for r in substrings.digest(frame(spark, rows), window).collect()) == want
 
 
+@pytest.mark.parametrize(("hot", "many"), [(2, 10_000), (16, 10_000), (2, 20)])
+def test_substrings_of_a_repeated_passage(spark, monkeypatch, hot, many):
+    """A large group of documents that say one passage over and over: rows of places as the documents, and not as their windows."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "SAMPLE", 1)
+    monkeypatch.setattr(substrings, "MANY", many)
+    tables, write = {}, substrings.written
+    monkeypatch.setattr(substrings, "written", lambda df, name: tables.setdefault(name, []).append(write(df, name)) or tables[name][-1])
+    rng = random.Random(23)
+    passage = " ".join(f"passage{k}" for k in range(9))
+    rows = [(rng.choice([i, i, i, None]), f"{prose(rng, 9, 10**6)} {' '.join([passage] * rng.randrange(4, 20))}\n{prose(rng, 9, 10**6)}") for i in range(60)]
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(corpus(29))]
+    want = collections.Counter(brute_substrings(rows, 13))
+    assert collections.Counter(tuple(r) for r in substrings.digest(frame(spark, rows), 13).collect()) == want
+    windows = sum(max(0, len(SPACED.findall(t or "")) - 12) for _, t in rows[:60])
+    of_passage = tables["places"][0].join(tables["involved"][0].where(F.col("text").contains(passage)).select("class"), "class", "left_semi").count()
+    assert of_passage <= 5 * 60 < windows / 3
+
+
 def test_automaton():
     rng = random.Random(2)
     auto, texts = substrings.Automaton(), [[rng.choice([b"a", b"b", b"c"]) for _ in range(30)] for _ in range(6)]

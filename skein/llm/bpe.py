@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by DuckDB recursive queries within Spark's tasks.
 
 Each task cuts its texts with the tokenizer's pattern and keeps the distinct pieces that its worker hasn't met yet. Their bytes become lists of tokens;
-a recursive query joins neighbouring tokens to the merge table, contracts each piece's leftmost pair of least rank, and ends at the fixpoint. A piece that is a token itself is that token, as in the
+a recursive query contracts each piece's leftmost pair of least rank, joins the two pairs that this makes to the merge table, and ends at the fixpoint. A piece that is a token itself is that token, as in the
 tiktoken library. Pieces don't depend on what stands around them, so that a worker looks up those it knows; its table holds PIECE_BYTES of what was used last. Decoding takes each document's own
 ids: rows of document, position and id join the vocabulary, and an ordered aggregation gives their bytes.
 
@@ -31,32 +31,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.llm._shared import lean, trim
+from skein.llm._words import texts_as_bytes
 
 LONG, SPAN, WINDOW = 48, 32, 4
-#: Bytes that a worker's table of pieces may take, keys, values and what Python adds; characters of parts that the pattern cuts as one text.
+#: Bytes that a worker's table of pieces may take, keys, values and what Python adds; bytes of parts that the pattern cuts as one text.
 PIECE_BYTES, PART_BYTES = 64 << 20, 1 << 20
 #: Seconds after which a worker that does something else drops its tables.
 IDLE = 20
 #: Bytes of text that are encoded at once, and ids that are decoded at once; longer texts go through in parts.
 CHUNK_BYTES, DECODED_IDS = 3 << 20, 200_000
-#: Bytes of pieces, and so rows to begin with, of a query.
-QUERY_BYTES = 100_000
+#: Bytes of long pieces, and so rows to begin with, of a query; of others.
+QUERY_BYTES, SHORT_BYTES = 100_000, 300_000
 _ROUNDS = 16
 _ENTRY = 200  # what Python adds to a table's entry
 
-#: A row for each piece (w) with its tokens. best packs the rank of its least pair and the place of that pair's left token in the list; it is null once there is none.
-_ENCODE = """
+_NONE = 2**31 - 1  # the rank of a pair that isn't merged
+
+#: A row for each piece (w) with its tokens and the rank of each pair of neighbours; least is the smallest one.
+_ENCODE = f"""
 WITH RECURSIVE s AS (
-  SELECT w, toks, CAST(0 AS BIGINT) AS best FROM start_lists
+  SELECT w, toks, ranks, coalesce(list_min(ranks), {_NONE}) AS least FROM start_lists
   UNION ALL
-  SELECT s.w, CASE WHEN b.best IS NULL THEN s.toks ELSE list_concat(s.toks[:(b.best & 4294967295) - 1], [CAST(b.best >> 32 AS INTEGER)], s.toks[(b.best & 4294967295) + 2:]) END, b.best
-  FROM s LEFT JOIN (
-    SELECT w, min((CAST(m.new AS BIGINT) << 32) + place) AS best FROM (
-      SELECT w, unnest(toks[:-2]) AS l, unnest(toks[2:]) AS r, generate_subscripts(toks[2:], 1) AS place FROM s WHERE best IS NOT NULL
-    ) p JOIN merges m ON m.pair = (CAST(p.l AS BIGINT) << 32) + p.r GROUP BY w
-  ) b ON b.w = s.w WHERE s.best IS NOT NULL
+  SELECT w, toks, ranks, coalesce(list_min(ranks), {_NONE})
+  FROM (
+    SELECT w, list_concat(toks[:place - 1], [least], toks[place + 2:]) AS toks, list_concat(
+      ranks[1:greatest(place - 2, 0)], CASE WHEN place > 1 THEN [coalesce(a.new, {_NONE})] ELSE [] END, CASE WHEN place < len(ranks) THEN [coalesce(b.new, {_NONE})] ELSE [] END, ranks[place + 2:]
+    ) AS ranks
+    FROM (
+      SELECT *, (CAST(toks[place - 1] AS BIGINT) << 32) + least AS before, (CAST(least AS BIGINT) << 32) + toks[place + 2] AS behind
+      FROM (SELECT *, list_position(ranks, least) AS place FROM s WHERE least < {_NONE})
+    ) p LEFT JOIN merges a ON a.pair = p.before LEFT JOIN merges b ON b.pair = p.behind
+  )
 )
-SELECT w, toks FROM s WHERE best IS NULL
+SELECT w, toks FROM s WHERE least = {_NONE}
 """
 
 #: Rows of a piece (w) with the byte place (pos) of each token; best packs the rank of the least pair and its place.
@@ -97,20 +104,22 @@ class _Recent:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def put(self, key: str, value: bytes) -> None:
-        if self.size > self.most // 2:
-            self.old, self.new, self.size = self.new, {}, 0
-        self.new[key] = value
-        self.size += len(key) + len(value) + _ENTRY
+    def put(self, keys: list[str], values: list[bytes]) -> None:
+        for k in range(0, len(keys), 1000):
+            if self.size > self.most // 2:
+                self.old, self.new, self.size = self.new, {}, 0
+            some, of_some = keys[k : k + 1000], values[k : k + 1000]
+            self.new.update(zip(some, of_some, strict=True))
+            self.size += sum(map(len, some)) + sum(map(len, of_some)) + _ENTRY * len(some)
 
     def get(self, keys: list[str]) -> list[bytes | None]:
         """The values of distinct keys, None for those it doesn't have."""
         out = list(map(self.new.get, keys))
         if self.old:
-            for i, v in enumerate(out):
-                if v is None and (v := self.old.get(keys[i])) is not None:
-                    out[i] = v
-                    self.put(keys[i], v)
+            again = [i for i, v in enumerate(out) if v is None and keys[i] in self.old]
+            for i in again:
+                out[i] = self.old[keys[i]]
+            self.put([keys[i] for i in again], [out[i] for i in again])
         return out
 
 
@@ -143,6 +152,10 @@ class Codec:
                     restless.update(x for x in (a, b) if x > rank)
         # what a query holds is bounded by the chunks, so that it needs no folder to spill to
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.of_two = np.full(1 << 16, _NONE, np.int32)  # the rank of two bytes
+        for token, rank in self.ranks.items():
+            if len(token) == 2:
+                self.of_two[int.from_bytes(token, "big")] = rank
         self._table("merges", pair=np.array(pair, np.int64), new=np.array(new, np.int32))
         self._table("vocabulary", id=np.array(list(self.ranks.values()), np.int32), bytes=pa.array(list(self.ranks), pa.binary()))
         self._table("calm", id=np.array([r for r in self.ranks.values() if r not in restless], np.int32))
@@ -172,13 +185,11 @@ class Codec:
         """The same as int32 bytes."""
         out = [b""] * len(strings)
         for long in (False, True):
-            todo = [i for i, p in enumerate(strings) if (len(p) > LONG) == long]
-            while todo:
-                taken, size = 0, 0
-                while taken < len(todo) and (not taken or size + len(strings[todo[taken]]) <= QUERY_BYTES):
-                    size += len(strings[todo[taken]])
-                    taken += 1
-                some, todo = todo[:taken], todo[taken:]
+            todo, most = [i for i, p in enumerate(strings) if (len(p) > LONG) == long], QUERY_BYTES if long else SHORT_BYTES
+            ends, lo = np.cumsum([len(strings[i]) for i in todo]), 0
+            while lo < len(todo):
+                hi = max(lo + 1, int(np.searchsorted(ends, most + (int(ends[lo - 1]) if lo else 0), "right")))
+                some, lo = todo[lo:hi], hi
                 got, sizes = (self._long if long else self._short)([strings[i] for i in some])
                 data, at = got.tobytes(), 0
                 for i, end in zip(some, (4 * np.cumsum(sizes)).tolist(), strict=True):
@@ -188,9 +199,11 @@ class Codec:
 
     def _short(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces, one after the other, and each one's number of them."""
-        ends = np.cumsum([len(p) for p in pieces])
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]))
-        got = self._ask(_ENCODE, "start_lists", w=np.arange(len(pieces), dtype=np.int32), toks=lists).combine_chunks()
+        bounds = np.append(0, np.cumsum([len(p) for p in pieces]))
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        two = np.delete(self.of_two[(raw[:-1].astype(np.int32) << 8) + raw[1:]], bounds[1:-1] - 1)  # not from a piece to the next
+        lists, ranks = (pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(of)) for at, of in ((bounds, self.of_byte[raw]), (bounds - np.arange(len(bounds)), two)))
+        got = self._ask(_ENCODE, "start_lists", w=np.arange(len(pieces), dtype=np.int32), toks=lists, ranks=ranks).combine_chunks()
         by = np.argsort(got["w"].to_numpy())
         toks = got["toks"].take(pa.array(by)).combine_chunks()
         return toks.flatten().to_numpy().astype(np.int32, copy=False), toks.value_lengths().to_numpy()
@@ -281,47 +294,48 @@ class Codec:
         new = [i for i, v in enumerate(out) if v is None]
         for k in range(0, len(new), 50_000):
             some = new[k : k + 50_000]
-            for i, ids in zip(some, self._encoded([pieces[i].encode() for i in some]), strict=True):
+            found = self._encoded([pieces[i].encode() for i in some])
+            for i, ids in zip(some, found, strict=True):
                 out[i] = ids
-                self.pieces.put(pieces[i], ids)
+            self.pieces.put([pieces[i] for i in some], found)
         return out
 
-    def _cut(self, parts: pa.Array, alone: np.ndarray) -> tuple[list[str], np.ndarray]:
+    def _cut(self, parts: pa.Array, alone: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         """The pieces of all parts, one after the other, and each part's number of them. Parts that aren't alone begin with a space behind which, and end where, there is nothing white, so that they are cut as one text."""
-        texts = parts.to_pylist()
-        pieces, counts = [], np.zeros(len(texts), np.int64)
-        sizes = pc.utf8_length(parts).to_numpy().astype(np.int64)
+        data, at = texts_as_bytes(parts)
+        pieces, waiting, counts = [], [], np.zeros(len(parts), np.int64)
         # runs of parts of one kind, of about PART_BYTES
-        run = np.cumsum(np.append(False, alone[1:] | alone[:-1])) if len(texts) else np.empty(0, np.int64)
-        run = run * (1 << 32) + np.cumsum(sizes) // PART_BYTES
-        edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
+        run = np.cumsum(np.append(False, alone[1:] | alone[:-1])) if len(parts) else np.empty(0, np.int64)
+        run = run * (1 << 32) + at[1:] // PART_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(parts)]
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            found = self.pattern.findall("".join(texts[lo:hi]))
+            found = self.pattern.findall(data[at[lo] : at[hi]].tobytes().decode())
             if hi - lo == 1:
                 counts[lo] = len(found)
+                waiting += found
             elif hi > lo:
-                ends = np.cumsum(pc.utf8_length(pa.array(found, pa.string())).to_numpy().astype(np.int64))
-                due = np.cumsum(sizes[lo:hi])
-                upto = np.searchsorted(ends, due, "right")
-                if upto[-1] != len(found) or not np.array_equal(ends[upto - 1], due):  # the pattern leaves something out
-                    each = [self.pattern.findall(t) for t in texts[lo:hi]]
-                    found, upto = [p for e in each for p in e], np.cumsum([len(e) for e in each])
+                pieces += [pa.array(waiting, pa.string()), pa.array(found, pa.string())]
+                waiting = []
+                ends, due = texts_as_bytes(pieces[-1])[1], at[lo + 1 : hi + 1] - at[lo]
+                upto = np.searchsorted(ends[1:], due, "right")
+                if upto[-1] != len(found) or not np.array_equal(ends[upto], due):  # the pattern leaves something out
+                    each = [self.pattern.findall(t) for t in parts[lo:hi].to_pylist()]
+                    pieces[-1], upto = pa.array([p for e in each for p in e], pa.string()), np.cumsum([len(e) for e in each])
                 counts[lo:hi] = np.diff(upto, prepend=0)
-            pieces += found
-        return pieces, counts
+        return pa.concat_arrays([*pieces, pa.array(waiting, pa.string())]), counts
 
     def _of_parts(self, parts: pa.Array, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct parts of texts that were cut before spaces, one after the other, and each part's number of them."""
         pieces, counts = self._cut(parts, alone)
-        coded = pa.array(pieces, pa.string()).dictionary_encode()
+        coded = pieces.dictionary_encode()
         del pieces
         trim()
-        known = self._of_pieces(coded.dictionary.to_pylist())
+        data, at = texts_as_bytes(pa.array(self._of_pieces(coded.dictionary.to_pylist()), pa.binary()))
         trim()
-        lengths = np.array([len(x) for x in known], np.int64) // 4
+        lengths = np.diff(at) // 4
         which = coded.indices.to_numpy()
         of_piece = lengths[which]
-        ids = np.frombuffer(b"".join(known), np.int32)[_ragged((np.cumsum(lengths) - lengths)[which], of_piece)]
+        ids = data[: at[-1]].view(np.int32)[_ragged(at[:-1][which] // 4, of_piece)]
         sums = np.append(0, np.cumsum(of_piece))
         ends = np.cumsum(counts)
         return ids, sums[ends] - sums[ends - counts]

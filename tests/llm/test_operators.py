@@ -605,6 +605,22 @@ def test_bpe_cuts_many_parts_as_one_text(monkeypatch):
     assert 0 < sum(n for q, n in rows if q == bpe._ENCODE) <= len({p for t in texts for p in pattern.findall(t)})
 
 
+def test_bpe_asks_few_queries():
+    """Pieces of some hundred kilobytes, all as long as a query of lists takes, are one query, within its memory; bytes that merge with none are pieces, too."""
+    import public_tokenizers
+    import tiktoken
+
+    own = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, True)
+    right = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=own.ranks, special_tokens={})
+    asked = []
+    own._ask = lambda query, *a, had=own._ask, **b: asked.append(query) or had(query, *a, **b)
+    rng = random.Random(19)
+    pieces = ["".join(rng.choice("etaoinshrdlu") for _ in range(bpe.LONG)) for _ in range(6000)]
+    pieces += ["e", "é", "\x00\x01", "\x01e\x00", "aaaa", "aaaaaaa", "日"]
+    assert [ids.tolist() for ids in own.encode([p.encode() for p in pieces])] == [right.encode_ordinary(p) for p in pieces]
+    assert asked == [bpe._ENCODE]
+
+
 def test_workers_give_back_their_tables():
     """A worker that has ended a task holds no tables of powers, which idle workers would keep beside those of the next stage."""
     import pickle

@@ -196,7 +196,8 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, id_column: str = "
     rings = rings.withColumn("slice", F.explode(F.sequence("from", "to")))
     lower = F.greatest(F.lit(0.0), F.col("near") - F.col("d"), F.col("d") - F.col("far")) * (1 - _SLACK)
     limit = (F.col("q_square") + F.col("square") - lower * lower) / 2 + (F.col("q_square") + F.col("square")) * _SLACK + 1
-    pairs = reached.withColumn("slice", F.explode(F.sequence("first", "last"))).join(rings, ["pivot", "slice"])
+    # rings are no more than SLICES + 1 rows a pivot and one a block; queries' slices are many times those, and Spark, which sizes them as if nothing had been exploded, would take them for the smaller side
+    pairs = reached.withColumn("slice", F.explode(F.sequence("first", "last"))).join(F.broadcast(rings), ["pivot", "slice"])
     pairs = pairs.where(F.col("slice") == F.greatest("first", "from"))  # the first slice that a query and an annulus share
     pairs = pairs.withColumn("limit", limit).where(F.col("limit") >= F.col("least").cast("double")).select("query", "block", "limit")
     parts = max(1, -(-n_queries // _QUERIES))
@@ -225,7 +226,8 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, id_column: str = "
                     known[x["query"]] = sorted(known.get(x["query"], []) + best)[-k:]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query", "query_id", "vec_id", "score"])
 
-    found = pairs.join(index.select("block", "rows", "ids", "vectors"), "block").select("rows", "ids", "vectors", F.array_sort("queries", lambda a, b: F.when(a["limit"] > b["limit"], -1).when(a["limit"] < b["limit"], 1).otherwise(0)).alias("queries"))
+    # all vectors are never broadcast, however small their files are: equal ones take next to nothing there
+    found = pairs.join(index.select("block", "rows", "ids", "vectors").hint("merge"), "block").select("rows", "ids", "vectors", F.array_sort("queries", lambda a, b: F.when(a["limit"] > b["limit"], -1).when(a["limit"] < b["limit"], 1).otherwise(0)).alias("queries"))
     found = found.mapInArrow(expand, "query bigint, query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

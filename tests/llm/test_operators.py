@@ -306,6 +306,25 @@ def test_topk(spark):
     assert topk.search(vectors.where("vec_id in (0, 1, 2)"), every=100).count() == 2
 
 
+def below(plan, node):
+    """The subtrees of a plan, as text, under each node of a name."""
+    lines = plan.split("\n")
+    depth = [len(re.match(r"[ :|+-]*", x)[0]) for x in lines]
+    for i, x in enumerate(lines):
+        if x.lstrip(" :|+-").startswith(node):
+            ends = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            yield "\n".join(lines[i + 1 : ends])
+
+
+def test_topk_broadcasts(spark):
+    """Neither the slices of all questions, which Spark sizes as if they weren't exploded, nor the vectors are broadcast."""
+    rng = random.Random(3)
+    vectors = frame(spark, [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(2000)], "vec_id bigint, embedding array<double>")
+    plan = topk.search(vectors, every=10)._jdf.queryExecution().executedPlan().toString()
+    sent = list(below(plan, "BroadcastExchange"))
+    assert any("explode(sequence(from" in x for x in sent) and not any("explode(sequence(first" in x or "vectors#" in x for x in sent)
+
+
 def test_ppm(spark, monkeypatch):
     monkeypatch.setattr(lm, "HEAVY", 50)  # most words go the long way
     rows = corpus(9)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.order import running
+from skein.sources.shared import stored
 
 
 def hash_slices(rows: DataFrame, key: str, salt: str, slices: list[tuple[str, int]]) -> DataFrame:
@@ -108,6 +109,7 @@ def evaluate_cases(results: DataFrame, cases: DataFrame, relevant: DataFrame, mo
 
     A case's best score counts as positive in the fit if it has relevant items. Cases with exact citations pass the threshold whatever their score, and don't take part in the fit. relevant: (case_id, item_id), null items for cases without any.
     """
+    results = stored(results, "results")  # read three times; results may be a union, whose sides Spark 4.1 takes to be partitioned alike before a join and, planned again at run time, as one behind the other
     best = results.groupBy("case_id").agg(F.max("score").alias("score"))
     positive = relevant.groupBy("case_id").agg((F.count("item_id") > 0).alias("positive"))
     fitting = cases.where("split = 'development' and not exact").join(best, "case_id").join(positive, "case_id").select("score", "positive")

@@ -23,3 +23,12 @@ def test_query(name, spark, con):
         same(df, con, plans.oracle_sql()[name])
     else:
         assert df.count() > 0
+
+
+def test_evaluate_cases_without_broadcasts(spark, con):
+    """As on larger tables, where joins are by shuffles: results are a union of two sides with the cases as their keys."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        same(plans.queries()["evaluate_cases"](spark, SF), con, plans.oracle_sql()["evaluate_cases"])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -1,6 +1,7 @@
 """Hand-checked numbers of retrieval, selection and evaluation."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +107,36 @@ def test_threshold(spark):
     rows = spark.createDataFrame([(0.9, True), (0.7, True), (0.4, True), (0.65, False), (0.2, False)], "score double, positive boolean")
     got = evals.fit_threshold(rows).first()
     assert (got["threshold"], got["false_positive_rate"]) == (0.7, 0) and got["recall"] == pytest.approx(2 / 3)
+
+
+def test_products(spark):
+    """All pairs against sums in order; halves go away from zero, whatever the order in which a product of matrices adds them up."""
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(150)] + [(200, None), (201, [1.0, None, 1.0, 1.0, 1.0]), (202, [1.0]), (203, []), (None, [1.0] * 5), (204, [0.5**6, 0.0, 0.0, 0.0, 0.0]), (205, [0.1, 0.2, 0.3, 1e300, 0.0])]
+    asked = [(i, v) for i, v in rows if i is not None and i % 50 == 0 or i in (201, 202, 203)] + [(300, [0.001 * 0.5**3, 0.0, 0.0, 0.0, 0.0]), (301, [-0.001 * 0.5**3, 0.0, 0.0, 0.0, 0.0]), (302, [0.0, 0.0, 0.0, 1e5, 1.0])]
+    schema = "{} bigint, embedding array<double>"
+
+    def want(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return None
+        s = 0.0
+        for x, y in zip(a, b, strict=True):
+            s += x * y
+        y = s * 1e5
+        return s if math.isinf(y) else (math.floor(abs(y) + 0.5) / 1e5) * (1 if y > 0 else -1)
+
+    vectors = spark.createDataFrame(rows, schema.format("vec_id")).repartition(3)
+    for block in (4096, 4):
+        got = search.products(vectors, spark.createDataFrame(asked, schema.format("query_id")), "vec_id", "query_id", "embedding", block=block).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(((i, q, want(v, w)) for i, v in rows for q, w in asked), key=repr)
+    assert search.products(vectors, vectors.limit(0).select(F.col("vec_id").alias("query_id"), "embedding"), "vec_id", "query_id", "embedding").count() == 0
+    assert search.products(vectors.limit(0), vectors.select(F.col("vec_id").alias("query_id"), "embedding"), "vec_id", "query_id", "embedding").count() == 0
+
+
+def test_products_deal_pairs(spark, monkeypatch):
+    """Tasks have a bounded number of pairs, and no join carries the vectors of both sides."""
+    monkeypatch.setattr(search, "_PAIRS", 100)
+    rows = spark.createDataFrame([(i, [float(i)]) for i in range(100)], "vec_id int, embedding array<float>").coalesce(1)
+    out = search.products(rows, rows.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id"), "vec_id", "query_id", "embedding")
+    assert out.rdd.getNumPartitions() == 18 and "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["vec_id"], r["query_id"]): r["score"] for r in out.collect()} == {(i, q): float(i * q) for i in range(100) for q in range(0, 100, 10)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,8 @@ def question_ok(text: Column) -> Column:
 def cited_documents(index: Index, questions: DataFrame) -> DataFrame:
     """query_id, place, citation and document_id (null if there is none) for the citations that questions name."""
     named = questions.select("query_id", F.posexplode(citations(F.col("text"))).alias("place", "citation"))
-    known = index.chunks.groupBy(F.lower(F.trim("citation")).alias("citation")).agg(F.min("document_id").alias("document_id"))
+    known = index.chunks.select(F.lower(F.trim("citation")).alias("citation"), "document_id").join(named.select("citation").distinct(), "citation", "left_semi")
+    known = known.groupBy("citation").agg(F.min("document_id").alias("document_id"))
     return named.join(known, "citation", "left").select("query_id", "place", "citation", "document_id")
 
 
@@ -40,30 +43,52 @@ def neighbors(index: Index, hits: DataFrame) -> DataFrame:
     return beside.withColumn("n", F.row_number().over(first)).where("n = 1").select("query_id", "chunk_id", "neighbor_of", "rank", "side")
 
 
-def ranked_hits(index: Index, questions: DataFrame, mode: str, dense_min: float | None, dense_weight: float = 3.0) -> tuple[DataFrame, DataFrame]:
-    """Hits (query_id, chunk_id, document_id, score, lexical_rank, dense_rank, rank) and outcomes (query_id, outcome) before evidence is selected.
+@dataclass(frozen=True)
+class Legs:
+    """What all modes rank, stored: hits of both legs by questions that name no documents (free) and by those whose documents are all there (bound), the documents that these name (required: query_id, document_id, place), and routes (query_id, found)."""
 
-    Questions that name documents get hits of these only, and none (authoritative_no_match) if one of them isn't there; those that name none get no hits if the best dense score is below dense_min.
-    """
+    lexical: DataFrame | None
+    dense_free: DataFrame | None
+    dense_bound: DataFrame | None
+    required: DataFrame
+    routes: DataFrame
+    free: DataFrame
+
+
+def legs(index: Index, questions: DataFrame, modes: tuple[str, ...] = MODES) -> Legs:
+    """The legs that these modes need, each found once: no more than CUT hits of a question are kept of a leg."""
     asked = questions.where(question_ok(F.col("text")))
-    cited = cited_documents(index, asked)
+    cited = stored(cited_documents(index, asked), "cited")
     routes = cited.groupBy("query_id").agg(F.bool_and(F.col("document_id").isNotNull()).alias("found"))
     required = cited.join(routes.where("found"), "query_id", "left_semi").groupBy("query_id", "document_id").agg(F.min("place").alias("place"))
-    only = required.join(index.chunks.select("document_id", "chunk_id"), "document_id").select("query_id", "chunk_id")
     free, bound = asked.join(routes, "query_id", "left_anti"), asked.join(routes.where("found"), "query_id", "left_semi")
-    empty = asked.sparkSession.createDataFrame([], f"query_id {dict(questions.dtypes)['query_id']}, chunk_id string, score double, rank int")
-    lex = den = empty
-    if mode != "dense":
+    lex = open_ = own = None
+    only = stored(index.chunks.select("document_id", "chunk_id").join(search.few(required), "document_id").select("query_id", "chunk_id"), "only")
+    if modes != ("dense",):
         of = lambda some, chunks=None: search.lexical(index.postings, index.stats, some, "chunk_id", "query_id", "text", chunks, index.terms)
-        lex = of(free).unionByName(of(bound, only))
-    gated = empty.select("query_id")
+        lex = stored(of(free).unionByName(of(bound, only)), "lexical-leg")
+    if modes != ("lexical",):
+        open_ = stored(search.dense(index.vectors, free, "chunk_id", "query_id", "embedding"), "dense-leg")
+        own = stored(search.dense_among(index.vectors, bound, only, "chunk_id", "query_id", "embedding"), "dense-leg-bound")
+    return Legs(lex, open_, own, required, routes, free)
+
+
+def ranked_hits(index: Index, questions: DataFrame, mode: str, dense_min: float | None, dense_weight: float = 3.0, found: Legs | None = None) -> tuple[DataFrame, DataFrame]:
+    """Hits (query_id, chunk_id, document_id, score, lexical_rank, dense_rank, rank), stored, and outcomes (query_id, outcome) before evidence is selected. found: legs() of these questions, if there are already.
+
+    Questions that name documents get hits of these only, and none (authoritative_no_match) if one of them isn't there; those that name none get no hits if the best dense score is below dense_min.
+    """
+    found = found or legs(index, questions, (mode,))
+    required, routes, free = found.required, found.routes, found.free
+    lex, gated = found.lexical, free.select("query_id").limit(0)
     if mode != "lexical":
-        open_ = search.dense(index.vectors, free, "chunk_id", "query_id", "embedding")
+        open_ = found.dense_free
         if dense_min is not None:
             kept = search.dense_gate(open_, "query_id", dense_min)
             gated = free.join(kept, "query_id", "left_anti").select("query_id")
-            open_, lex = kept, lex.join(gated, "query_id", "left_anti")
-        den = open_.unionByName(search.dense_among(index.vectors, bound, only, "chunk_id", "query_id", "embedding"))
+            open_ = kept
+            lex = lex if lex is None else lex.join(gated, "query_id", "left_anti")
+        den = open_.unionByName(found.dense_bound)
     if mode == "hybrid":
         hits = search.fuse(lex, den, "query_id", "chunk_id", dense_weight).where(F.col("rank") <= search.CUT)
     else:
@@ -71,26 +96,31 @@ def ranked_hits(index: Index, questions: DataFrame, mode: str, dense_min: float
         hits = (lex if mode == "lexical" else den).withColumn("lexical_rank", F.col("rank") if mode == "lexical" else null).withColumn("dense_rank", F.col("rank") if mode == "dense" else null)
     hits = hits.join(index.chunks.select("chunk_id", "document_id"), "chunk_id").select("query_id", "chunk_id", "document_id", "score", "lexical_rank", "dense_rank", "rank")
     # a document that is asked for and has no hit is there by its first chunk, with no score
-    missing = required.join(hits, ["query_id", "document_id"], "left_anti").join(index.chunks.groupBy("document_id").agg(F.min_by("chunk_id", F.struct(F.col("previous_id").isNotNull(), "chunk_id")).alias("chunk_id")), "document_id")
+    firsts = index.chunks.join(required.select("document_id").distinct(), "document_id", "left_semi").groupBy("document_id").agg(F.min_by("chunk_id", F.struct(F.col("previous_id").isNotNull(), "chunk_id")).alias("chunk_id"))
+    missing = required.join(hits, ["query_id", "document_id"], "left_anti").join(firsts, "document_id")
     null = F.lit(None).cast("int")
     hits = hits.unionByName(missing.select("query_id", "chunk_id", "document_id", F.lit(0.0).alias("score"), null.alias("lexical_rank"), null.alias("dense_rank"), F.lit(search.CUT + 1).alias("rank")))
     hits = search.cover_documents(hits, required, "query_id", "document_id", "chunk_id")
-    hits = hits.join(required.select("query_id", "document_id", F.col("place").alias("required")), ["query_id", "document_id"], "left")
+    hits = stored(hits.join(required.select("query_id", "document_id", F.col("place").alias("required")), ["query_id", "document_id"], "left"), "hits")  # about a hundred rows for each question, read several times
     outcome = F.when(~question_ok(F.col("text")), "invalid").when(~F.col("found"), "authoritative_no_match").when(F.col("gated"), "below_threshold").when(F.col("any"), "matched").otherwise("no_hits")
     marks = questions.join(routes, "query_id", "left").join(gated.distinct().withColumn("gated", F.lit(True)), "query_id", "left").join(hits.select("query_id").distinct().withColumn("any", F.lit(True)), "query_id", "left")
     return hits, marks.select("query_id", outcome.alias("outcome"))
 
 
-def query(index: Index, questions: DataFrame, top_k: int = 5, most_bytes: int = 32_768, mode: str = "hybrid", dense_min: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """Evidence for questions (query_id, text, embedding): one table of items (query_id, place, chunk_id, document_id, content, sha256, bytes, score, lexical_rank, dense_rank, neighbor_of), one of outcomes (query_id, outcome)."""
+def query(index: Index, questions: DataFrame, top_k: int = 5, most_bytes: int = 32_768, mode: str = "hybrid", dense_min: float | None = None, found: Legs | None = None) -> tuple[DataFrame, DataFrame]:
+    """Evidence for questions (query_id, text, embedding): one table of items (query_id, place, chunk_id, document_id, content, sha256, bytes, score, lexical_rank, dense_rank, neighbor_of), one of outcomes (query_id, outcome).
+
+    found: legs() of these questions, for whoever asks in several modes.
+    """
     check_bounds(top_k, most_bytes, mode)
-    hits, outcomes = ranked_hits(index, questions, mode, dense_min)
-    hits = stored(hits, "hits")  # about a hundred rows for each question, read several times
+    hits, outcomes = ranked_hits(index, questions, mode, dense_min, found=found)
     chunks = index.chunks.select("chunk_id", "content", "sha256", F.octet_length("content").cast("bigint").alias("bytes"))
     hits = hits.withColumn("neighbor_of", F.lit(None).cast("string"))
     near = neighbors(index, hits).join(index.chunks.select("chunk_id", "document_id"), "chunk_id")
     near = near.select("query_id", "chunk_id", "document_id", F.lit(0.0).alias("score"), *(F.lit(None).cast("int").alias(c) for c in ("lexical_rank", "dense_rank")), (F.lit(1000) + 2 * F.col("rank") + F.col("side")).alias("rank"), F.lit(None).cast("int").alias("required"), "neighbor_of")
-    items = stored(hits.unionByName(near).join(chunks, "chunk_id"), "items")
+    both = hits.unionByName(stored(near, "neighbors"))
+    wanted = search.few(both.select("chunk_id").distinct())
+    items = stored(chunks.join(wanted, "chunk_id", "left_semi").join(both, "chunk_id"), "items")  # contents are cut to these before they meet the hits
     chosen = search.select_evidence(items, "query_id", top_k, most_bytes)
     best = items.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy("rank"))).where("n = 1")
     return chosen.join(best, ["query_id", "chunk_id"]).select("query_id", "place", "chunk_id", "document_id", "content", "sha256", "bytes", "score", "lexical_rank", "dense_rank", "neighbor_of"), outcomes

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from skein.operators import checks, search
 from skein.operators.order import numbered
 from skein.sources import versions
-from skein.sources.shared import stored
+from skein.sources.shared import dropping_shuffles, stored
 from skein.sources.versions import Piece
 
 #: Columns of a chunk; vectors are (chunk_id, embedding, embedding_sha256).
@@ -78,13 +78,15 @@ def _key(term: str = "term", chunk: str = "chunk_id") -> Column:
 
 
 def _put(rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
-    rows.write.mode("errorifexists").parquet(path)
+    with dropping_shuffles(spark):
+        rows.write.mode("errorifexists").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
 def _put_parts(rows: DataFrame, spark: SparkSession, name: str, level: int, path: str, lows: dict[int, str] | None = None) -> list[Piece]:
     """Write rows, which have a part, sorted, a folder for each part. There are as many parts as the build has ranges."""
-    rows.sortWithinPartitions("part", "term", "chunk_id").select("part", "term", "chunk_id", "tf", "length").write.partitionBy("part").mode("errorifexists").parquet(path)
+    with dropping_shuffles(spark):
+        rows.sortWithinPartitions("part", "term", "chunk_id").select("part", "term", "chunk_id", "tf", "length").write.partitionBy("part").mode("errorifexists").parquet(path)
     have = spark.read.schema(f"part int, {_POSTING}").parquet(path).groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.min(_key()).alias("low")).collect()
     return [Piece(name, r["part"], level, r["rows"], r["low"] if lows is None else lows.get(r["part"]), f"{path}/part={r['part']}") for r in have]
 

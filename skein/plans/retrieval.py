@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from skein.operators import corpus, encoder, hybrid, index, search
 from skein.plans.registry import query
 from skein.sources import versions
-from skein.sources.shared import shared_dir
+from skein.sources.shared import shared_dir, stored
 
 #: Terms of a text without `_` and CJK characters; RE2 has no lookaround, so that camel parts are cut at spaces put between them.
 _WORDS = "regexp_extract_all({c}, '[A-Za-z0-9_]+')"
@@ -296,11 +296,13 @@ def _(read, spark):
 def _(read, spark):
     """Results in all three modes hold what readers rely on."""
     own, asked, rows = stored_index(read, spark), questions(read), None
+    found = hybrid.legs(own, asked)
     for mode in hybrid.MODES:
-        items, outcomes = hybrid.query(own, asked, mode=mode)
-        found = hybrid.result_errors(items, outcomes, 5, 32_768).select(F.lit(1).alias("error"), F.lit(None).cast("bigint").alias("query_id"))
-        found = found if mode != "hybrid" else found.unionByName(items.select(F.lit(0).alias("error"), "query_id").distinct())
-        rows = found if rows is None else rows.unionByName(found)
+        items, outcomes = hybrid.query(own, asked, mode=mode, found=found)
+        items = stored(items, "evidence")
+        wrong = hybrid.result_errors(items, outcomes, 5, 32_768).select(F.lit(1).alias("error"), F.lit(None).cast("bigint").alias("query_id"))
+        wrong = wrong if mode != "hybrid" else wrong.unionByName(items.select(F.lit(0).alias("error"), "query_id").distinct())
+        rows = wrong if rows is None else rows.unionByName(wrong)
     return rows.agg(F.coalesce(F.sum("error"), F.lit(0)).cast("int").alias("errors"), F.count("query_id").alias("answered"))
 
 

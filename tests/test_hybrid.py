@@ -90,3 +90,29 @@ def test_running_sums(spark):
     got = {r["id"]: (r["n"], r["s"]) for r in order.running(rows, [F.desc("id")], {"n": F.lit(1), "s": F.col("x")}).collect()}
     assert got == {i: (1000 - i, sum(j % 5 for j in range(i, 1000))) for i in range(1000)}
     assert order.numbered(rows.limit(0), [F.col("id")], "n").count() == 0
+
+
+def test_legs_are_found_once(spark, stored, monkeypatch):
+    """Three modes over the same legs give what each gives alone, and postings and vectors are searched once; nothing that is written leaves shuffle files behind."""
+    calls = []
+    for name in ("lexical_hits", "dense"):
+        plain = getattr(hybrid.search, name)
+        monkeypatch.setattr(hybrid.search, name, lambda *a, _f=plain, _n=name: calls.append(_n) or _f(*a))
+    texts = ("alpha opening", "compare 1 CFR 1.1 with 2 CFR 2.1", "what says 9 CFR 9.9", "beta rule")
+    own, found = asked(spark, *texts), None
+    found = hybrid.legs(stored[0], own)
+    rows = lambda t: [sorted(map(repr, x.collect())) for x in t]
+    together = [rows(hybrid.query(stored[0], own, mode=m, dense_min=0.5, found=found)) for m in hybrid.MODES]
+    assert sorted(calls) == ["dense", "lexical_hits", "lexical_hits"]
+    assert together == [rows(hybrid.query(stored[0], own, mode=m, dense_min=0.5)) for m in hybrid.MODES]
+
+
+def test_stored_drops_shuffles(spark):
+    from skein.sources import shared
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen = spark.conf.get(name, None), []
+    probe = spark.range(3).repartition(2)
+    with shared.dropping_shuffles(spark):
+        seen.append(spark.conf.get(name))
+    assert seen == ["true"] and spark.conf.get(name, None) == before and shared.stored(probe, "probe").count() == 3

@@ -37,6 +37,6 @@ def verify_files(listed: DataFrame, actual: DataFrame, key: str, size: str, dige
 
 def assert_none(rows: DataFrame, what: str) -> None:
     """Fails if there is a row."""
-    found = rows.limit(1).collect()
-    if found:
-        raise ValueError(f"{what}: {found[0]}")
+    found = rows.agg(F.any_value(F.struct("*"))).first()[0]  # a limit would look through the partitions one after the other
+    if found is not None:
+        raise ValueError(f"{what}: {found}")

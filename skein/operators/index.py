@@ -31,7 +31,10 @@ CHANGES = ("added", "changed", "moved", "removed")
 
 @dataclass(frozen=True)
 class Index:
-    """postings: term, chunk_id, tf, length (the chunk's tokens); terms: term, df; stats: n, sum_token_count, average, dimensions, model."""
+    """postings: term, chunk_id, tf, length (the chunk's tokens); terms: term, df; stats: n, sum_token_count, average, dimensions, model.
+
+    signed: the rows that postings are merged from. For sums of tf and length they do as well, without meeting by chunk first: what has been taken off is there with a minus.
+    """
 
     chunks: DataFrame
     postings: DataFrame
@@ -39,6 +42,7 @@ class Index:
     vectors: DataFrame
     stats: DataFrame
     version: int
+    signed: DataFrame
 
 
 def chunk_errors(chunks: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -87,8 +91,9 @@ def _put_parts(rows: DataFrame, spark: SparkSession, name: str, level: int, path
     """Write rows, which have a part, sorted, a folder for each part. There are as many parts as the build has ranges."""
     with dropping_shuffles(spark):
         rows.sortWithinPartitions("part", "term", "chunk_id").select("part", "term", "chunk_id", "tf", "length").write.partitionBy("part").mode("errorifexists").parquet(path)
-    have = spark.read.schema(f"part int, {_POSTING}").parquet(path).groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.min(_key()).alias("low")).collect()
-    return [Piece(name, r["part"], level, r["rows"], r["low"] if lows is None else lows.get(r["part"]), f"{path}/part={r['part']}") for r in have]
+    rows = spark.read.schema(f"part int, {_POSTING}").parquet(path)
+    first = {} if lows is not None else dict(rows.where("_metadata.row_index = 0").groupBy("part").agg(F.min(_key())).collect())  # files are sorted: a part's least key is the first one of a file
+    return [Piece(name, part, level, n, first.get(part) if lows is None else lows.get(part), f"{path}/part={part}") for part, n in rows.groupBy("part").count().collect()]
 
 
 def _vector_errors(vectors: DataFrame, dimensions: int | None = None) -> DataFrame:
@@ -169,7 +174,7 @@ def _open(spark: SparkSession, number: int, found: list[Piece]) -> Index:
     terms = _rows(spark, [*_named(found, "terms"), *_named(found, "terms+")], "term string, df bigint")
     if _named(found, "terms+"):
         terms = _summed(terms, ["term"], ["df"]).where("df > 0")
-    return Index(_newest(spark, found, "chunks"), postings, terms, _newest(spark, found, "vectors"), spark.read.parquet(_named(found, "stats")[0].path), number)
+    return Index(_newest(spark, found, "chunks"), postings, terms, _newest(spark, found, "vectors"), spark.read.parquet(_named(found, "stats")[0].path), number, _rows(spark, [*_named(found, "postings"), *_named(found, "postings+")], _POSTING))
 
 
 def read(spark: SparkSession, path: str, version: int | None = None, check: bool = True) -> Index:

@@ -105,6 +105,21 @@ def test_only_touched_ranges_are_written(spark, tmp_path):
     assert set(versions.unused(spark, path, keep=1)) == {p.path for p in [*base, *now]} - {p.path for p in packed}
 
 
+def test_sums_need_no_merge(spark, tmp_path):
+    """Sums by term of the rows as they are stored are those of the merged postings, without a shuffle of postings by chunk; ranges start at their least keys."""
+    rng = random.Random(4)
+    texts = {i: prose(rng) for i in range(30)}
+    path = str(tmp_path / "i")
+    built(spark, corpus(texts), path, ranges=4)
+    for p in versions.pieces(spark, path)[1]:
+        assert p.name != "postings" or (p.low, p.rows) == spark.read.parquet(p.path).agg(F.min(F.concat("term", F.lit("\0"), "chunk_id")), F.count(F.lit(1))).first()
+    texts = {i: t if i % 3 else t + " the new" for i, t in texts.items() if i % 7}
+    index.upgrade(spark, path, spark.createDataFrame(corpus(texts), SCHEMA), encoder(spark, []))
+    own = index.read(spark, path)
+    sums = lambda rows: sorted(map(tuple, rows.groupBy("term").agg(F.sum("tf"), F.sum("length")).join(own.terms, "term").collect()))
+    assert own.signed.count() > own.postings.count() and sums(own.signed) == sums(own.postings)
+
+
 def test_everything_changes_or_goes(spark, tmp_path):
     texts = {i: f"alpha beta w{i}" for i in range(6)}
     path, asked = str(tmp_path / "i"), []
